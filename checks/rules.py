@@ -355,10 +355,10 @@ def t26(t):
       SELECT *, max(amount) OVER (PARTITION BY ClientCd ORDER BY wk
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak FROM weekly)
     SELECT ClientCd, CAST(wk AS VARCHAR) AS CreatedAtDttm, amount AS AssessmentTotalValueAmt, qty AS AssessmentTotalQty
-    FROM peaks WHERE wk = DATE '1995-04-14' AND amount >= 0.3
+    FROM peaks WHERE wk = DATE '1995-03-03' AND amount >= 0.2
       AND (amount - coalesce(peak, amount)) / coalesce(peak, amount) >= 0.25""")
 def t27(t):
-    return build("consumption_peak", t.rules("assessment", "external_search"), dt.date(1995, 4, 12), minimum=0.3)
+    return build("consumption_peak", t.rules("assessment", "external_search"), dt.date(1995, 3, 1), minimum=0.2)
 
 
 @check("t28_quality_gate_bypass", """
