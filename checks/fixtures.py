@@ -233,11 +233,11 @@ VIEWS = {
                concat('rule-', CAST(floor(p_partkey / 13) AS bigint)) AS test_name,
                CASE p_size % 3 WHEN 0 THEN '{OLD_HASH}' WHEN 1 THEN '' ELSE 'feed' END AS row_hash,
                CASE p_partkey % 6
-                 WHEN 0 THEN concat('[{{{{"column":"entity","value":"', p_size % 10, '"}}}}]')
-                 WHEN 1 THEN concat('[{{{{"column":"entity","value":"', p_size % 6, '"}}}},{{{{"column":"category","value":"N"}}}}]')
+                 WHEN 0 THEN concat('[{{{{"column":"entity","value":"', p_size % 50, '"}}}}]')
+                 WHEN 1 THEN concat('[{{{{"column":"entity","value":"', p_size % 20, '"}}}},{{{{"column":"category","value":"N"}}}}]')
                  WHEN 2 THEN '[{{{{"column":"ghost","value":"1"}}}}]'
                  WHEN 3 THEN '[{{{{"column"'
-                 WHEN 4 THEN concat('[{{{{"value":null,"column":"category"}}}},{{{{"column":"entity","value":', p_size % 6, '}}}}]')
+                 WHEN 4 THEN concat('[{{{{"value":null,"column":"category"}}}},{{{{"column":"entity","value":', p_size % 20, '}}}}]')
                END AS match_criteria,
                concat('u', p_size % 4) AS marked_by, DATE '2024-01-01' + CAST(p_size AS int) AS marked_at,
                p_name AS note, p_partkey % 7 <> 0 AS active
@@ -264,7 +264,7 @@ VIEWS = {
         SELECT concat('rule-', user_id) AS test_name, CAST(ts AS date) AS run_date, max(value) > 200 AS broken
         FROM {events} GROUP BY 1, 2""",
     "fx_findings": """
-        SELECT concat('rule-', user_id) AS test_name, CAST(ts AS date) AS run_date, event_id % 5 AS entity,
+        SELECT concat('rule-', user_id) AS test_name, CAST(ts AS date) AS run_date, event_id % 3 AS entity,
                CASE WHEN event_type = 'error' THEN NULL ELSE 'N' END AS category
         FROM {events} WHERE value >= 30""",
     "fx_runlog": """

@@ -179,6 +179,7 @@ def outbox(runs: DataFrame, configs: DataFrame) -> DataFrame:
     }
     return (
         runs.where(F.col("should_notify"))
+        .select("test_name", "execution_date", "threshold", "clean_count")
         .join(configs.select("test_name", "description", "responsible_area", "risco_id", "output_table"), "test_name")
         .select(
             F.sha2(F.concat_ws("::", "test_name", "execution_date"), 256).alias("message_id"),
