@@ -23,6 +23,11 @@ def previous_day(as_of) -> Column:
     return F.date_sub(day(as_of), 1)
 
 
+def on_day(column: str, date: Column) -> Column:
+    """Timestamps of one day, as a range that a scan can use."""
+    return (F.col(column) >= date) & (F.col(column) < F.date_add(date, 1))
+
+
 def in_last_month(column: str, as_of, inclusive_last_day: bool = False) -> Column:
     """Rows of the calendar month before ``as_of``.
 

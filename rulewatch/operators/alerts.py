@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rulewatch.functions.predicates import is_blank
-from rulewatch.operators.grouping import latest_per_key, previous_values
+from rulewatch.operators.grouping import latest_per_key
 
 
 def open_suppressions(suppressions: DataFrame, entries: DataFrame) -> DataFrame:
@@ -62,31 +62,40 @@ def alert_state(
     }
 
 
-def classify_history(runs: DataFrame, order: list[str], bucket: Column) -> DataFrame:
-    """Alert state of every run of every rule, in one pass.
+def classify_history(runs: DataFrame, order: list[str]) -> DataFrame:
+    """Alert state of every run of every rule, in one window pass.
 
     ``runs`` has one row per rule and run: ``test_name``, the ``order`` columns,
     ``result`` (PASSED, FAILED, ERROR), ``incident_hash``, ``suppressed`` and
     ``channel``.  A state depends on the run before, never on the state before, so
     no step-by-step replay is needed.  An ERROR run leaves no hash; a run with no
     findings leaves a NULL hash, which is not the same as leaving none.
+
+    Findings are already counted here, so a window group is the runs of one rule:
+    one row per scheduled day, some 3,650 in ten years.
     """
-    failed = F.col("result") == "FAILED"
-    with_previous = previous_values(
-        runs,
-        ["test_name"],
-        order,
-        bucket,
-        {
-            "_prev_run": F.struct("result", (failed & F.col("suppressed")).alias("suppressed")),
-            "_prev_hash": F.when(F.col("result") != "ERROR", F.struct("incident_hash")),
-        },
+    before = (
+        Window.partitionBy("test_name")
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
+    failed = F.col("result") == "FAILED"
+    this_run = F.struct("result", (failed & F.col("suppressed")).alias("suppressed"))
+    this_hash = F.when(F.col("result") != "ERROR", F.struct("incident_hash"))
     states = alert_state(
         F.col("result"), F.col("suppressed"), F.col("channel"),
         F.col("incident_hash"), F.col("_prev_hash"), F.col("_prev_run"),
     )
-    return with_previous.withColumns(states).drop("_prev_run", "_prev_hash")
+    return (
+        runs.withColumns(
+            {
+                "_prev_run": F.last(this_run).over(before),
+                "_prev_hash": F.last(this_hash, ignorenulls=True).over(before),
+            }
+        )
+        .withColumns(states)
+        .drop("_prev_run", "_prev_hash")
+    )
 
 
 def classify_run(runs: DataFrame, run_log: DataFrame, hash_log: DataFrame) -> DataFrame:

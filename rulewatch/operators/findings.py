@@ -32,20 +32,23 @@ def _slice(column: str, i: int) -> Column:
     return F.conv(digits, 16, 10).cast("bigint")
 
 
-def fingerprint(hashed: DataFrame, keys: list[str], **more: Column) -> DataFrame:
+def fingerprint(
+    hashed: DataFrame, keys: list[str], copies: Column | None = None, **more: Column
+) -> DataFrame:
     """Row count and order-free fingerprint per key, from rows with a ``row_hash``.
 
     Equal multisets of rows have equal fingerprints.  Sums combine before the
     shuffle, so a rule with a huge finding set costs one small row per task.
     240 bits of the row hashes take part; unlike SHA-256 over the sorted rows it
-    does not resist someone who builds rows in order to collide.  ``more`` adds
-    aggregates of the same pass.
+    does not resist someone who builds rows in order to collide.  ``copies`` says
+    how many findings a row stands for; ``more`` adds aggregates of the same pass.
     """
+    copies = F.lit(1).cast("bigint") if copies is None else copies
     slices = [f"_s{i}" for i in range(SLICES)]
     sums = hashed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("row_count"),
+        F.sum(copies).alias("row_count"),
         *[column.alias(name) for name, column in more.items()],
-        *[F.sum(_slice("row_hash", i)).alias(s) for i, s in enumerate(slices)],
+        *[F.sum(_slice("row_hash", i) * copies).alias(s) for i, s in enumerate(slices)],
     )
     return sums.select(
         *keys,
@@ -71,7 +74,7 @@ def exact_set_hash(findings: DataFrame, keys: list[str], limit: int = EXACT_LIMI
     small = whole.where(F.col("row_count") <= limit).select(*keys)
     lines = F.array_join(F.array_sort(F.collect_list("row_hash")), "\n")
     exact = (
-        hashed.join(small, keys, "left_semi")
+        salted_lookup(hashed, small, keys, F.col("row_hash"), "left_semi")
         .groupBy(*keys)
         .agg(F.sha2(lines, 256).alias("_exact"))
     )
@@ -119,12 +122,12 @@ def fp_matches(findings: DataFrame, false_positives: DataFrame, keys: list[str])
         .groupBy("test_name", "fp_hash")
         .agg(F.first("cells").alias("cells"))
     )
-    # One row per rule: the sets of one to three columns its false positives use.
-    shapes = lookup.groupBy("test_name").agg(F.collect_set("names").alias("shapes"))
+    # The sets of one to three columns that the false positives of a rule use.
+    shapes = lookup.select("test_name", "names").distinct()
     cells = F.map_concat("cells", F.create_map(F.lit(WHOLE_ROW), F.col("fp_hash")))
     asked = (
         salted_lookup(content, shapes, ["test_name"], F.col("fp_hash"), "inner")
-        .select("test_name", "fp_hash", cells.alias("cells"), F.explode("shapes").alias("names"))
+        .select("test_name", "fp_hash", cells.alias("cells"), "names")
         .where(F.forall("names", lambda n: F.map_contains_key("cells", n)))
         .select(
             "test_name",
@@ -157,16 +160,26 @@ def flag_false_positives(
     )
 
 
-def run_counts(flagged: DataFrame, keys: list[str]) -> DataFrame:
-    """Raw count, clean count and fingerprint of every run in one aggregation."""
-    columns = [c for c in flagged.columns if c not in keys]
-    return count_hashed(
-        flagged.select(*keys, "_is_false_positive", row_hash(columns).alias("row_hash")), keys
+def run_counts(findings: DataFrame, false_positives: DataFrame, keys: list[str]) -> DataFrame:
+    """Raw count, clean count and fingerprint of every run, over all rules at once.
+
+    Copies of a finding are merged before anything is shuffled or matched, so a
+    group of copies costs one row per task.
+    """
+    columns = [c for c in findings.columns if c not in keys]
+    contents = (
+        findings.select(*keys, row_hash(columns).alias("row_hash"), fp_row_hash(columns).alias("fp_hash"))
+        .groupBy(*keys, "row_hash", "fp_hash")
+        .agg(F.count(F.lit(1)).alias("copies"))
     )
+    matched = fp_matches(findings, false_positives, keys).select("test_name", "fp_hash", F.lit(True).alias("is_fp"))
+    flagged = contents.join(matched, ["test_name", "fp_hash"], "left")
+    clean = F.sum(F.when(F.col("is_fp"), F.lit(0)).otherwise(F.col("copies")))
+    return fingerprint(flagged, keys, F.col("copies"), clean_count=clean)
 
 
 def count_hashed(hashed: DataFrame, keys: list[str]) -> DataFrame:
-    """As :func:`run_counts`, for rows that carry their ``row_hash``."""
+    """The same for archived rows, which carry ``row_hash`` and their stored flag."""
     return fingerprint(hashed, keys, clean_count=F.count_if(~F.col("_is_false_positive")))
 
 

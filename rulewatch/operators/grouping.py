@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rulewatch.functions.hashing import spread
+from rulewatch.operators.joins import salted_lookup
 
 LIST_PART = 10_000
 
@@ -37,20 +38,24 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 
 def list_values(
-    df: DataFrame, keys: list[str], value: str, name: str, part_size: int = LIST_PART
+    df: DataFrame, keys: list[str], value: str, name: str, part_size: int = LIST_PART,
+    at_least: int = 0,
 ) -> DataFrame:
     """Sorted distinct values per key, in parts of about ``part_size``.
 
     A key with no more values than that has one row, part 0.  A larger one has
     several rows, so no task ever holds a whole hot group.  NULLs are left out of
-    the lists; a key with nothing else has an empty list.
+    the lists; a key with nothing else has an empty list.  ``at_least`` keeps the
+    keys with that many values.
     """
     values = df.select(*keys, value).distinct()
     counts = values.groupBy(*keys).agg(F.count(value).alias("distinct_count"))
+    if at_least:
+        counts = counts.where(F.col("distinct_count") >= at_least)
     parts = F.greatest(F.lit(1), F.ceil(F.col("distinct_count") / F.lit(part_size))).cast("bigint")
     part = F.coalesce(spread(F.col(value), parts), F.lit(0).cast("bigint"))
     return (
-        values.join(counts, keys)
+        salted_lookup(values, counts, keys, F.col(value), "inner")
         .withColumn("part", part)
         .groupBy(*keys, "distinct_count", "part")
         .agg(F.array_sort(F.collect_list(value)).alias(name))

@@ -13,23 +13,34 @@ def without(df: DataFrame, other: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows of ``df`` with no partner: what a left join plus IS NULL is used for.
 
     The two differ only where the tested right column itself can be NULL; filter
-    such rows out of ``other`` first if they should not count as a match.
+    such rows out of ``other`` first if they should not count as a match.  Repeated
+    keys of ``other`` are combined before they are shuffled.
     """
-    return df.join(other, on, "left_anti")
+    keys = [on] if isinstance(on, str) else on
+    return df.join(other.select(*keys).distinct(), keys, "left_anti")
 
 
 def salted_lookup(
     df: DataFrame, lookup: DataFrame, on: list[str], row_id: Column, how: str = "left",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Equi-join of a large side to a lookup that is unique on ``on``.
+    """Equi-join of a large side to a much smaller one, NULL keys being equal.
 
     Rows of one hot key are spread over ``salts`` tasks by a number taken from
-    ``row_id``; the lookup is repeated once per salt.  No row is lost or doubled.
+    ``row_id``; the small side is repeated once per salt, so the result is that of
+    the plain join.
     """
     left = df.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    right = lookup.select(
+        *[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in lookup.columns],
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_on_salt"),
+    )
+    match = F.col("_salt") == F.col("_on_salt")
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    joined = left.join(right, match, how)
+    extra = [] if how == "left_semi" else [c for c in lookup.columns if c not in on]
+    return joined.select(*df.columns, *extra)
 
 
 def in_any_list(

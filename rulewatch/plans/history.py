@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rulewatch.operators.alerts import classify_history, open_suppressions
-from rulewatch.operators.findings import flag_false_positives, run_counts, run_result
+from rulewatch.operators.findings import run_counts, run_result
 
 
 def summarise_runs(
@@ -18,7 +18,6 @@ def summarise_runs(
     whatever it found.  Findings are reduced to one row per run before any join.
     """
     keys = ["test_name", "run_date"]
-    flagged = flag_false_positives(findings, false_positives, keys)
     rules = configs.select(
         "test_name", "test_id", "threshold", F.col("should_activate_channel").alias("_channel")
     )
@@ -27,7 +26,7 @@ def summarise_runs(
     clean = F.when(ok, F.coalesce("clean_count", F.lit(0))).otherwise(0).cast("bigint")
     threshold = F.coalesce("threshold", F.lit(0))
     return (
-        runs.join(run_counts(flagged, keys), keys, "left")
+        runs.join(run_counts(findings, false_positives, keys), keys, "left")
         .join(rules, "test_name", "left")
         .join(quiet, "test_id", "left")
         .select(
@@ -50,7 +49,7 @@ def replay(
 ) -> DataFrame:
     """The alert state of every run of every rule."""
     summary = summarise_runs(runs, findings, false_positives, configs, suppressions, entries)
-    return classify_history(summary, ["run_date"], F.trunc("run_date", "month"))
+    return classify_history(summary, ["run_date"])
 
 
 def error_rows(states: DataFrame) -> DataFrame:

@@ -41,8 +41,11 @@ TRANSITIONS = (
 
 
 def _bucket() -> Column:
-    """History is cut by day, so that a rule with very many events is spread."""
-    return F.to_date("changed_at")
+    """History is cut by minute, so that a rule with very many events is spread.
+
+    What is left for a single task per rule is one row per minute with events.
+    """
+    return F.date_trunc("minute", "changed_at")
 
 
 def current_state(history: DataFrame) -> DataFrame:

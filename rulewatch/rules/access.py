@@ -59,16 +59,8 @@ def many_ips(tables, as_of, max_ips: int = 3) -> DataFrame:
             F.to_date("CreatedAtDttm").alias("Date"),
         )
         .na.drop(subset=["UserId", "CreatedByIpCd", "Date"])
-        .distinct()
-    )
-    busy = (
-        seen.groupBy("UserId", "Date")
-        .agg(F.count(F.lit(1)).alias("DistinctIPCount"))
-        .where(F.col("DistinctIPCount") > max_ips)
-    )
-    lists = list_values(
-        seen.join(busy, ["UserId", "Date"], "left_semi"), ["UserId", "Date"], "CreatedByIpCd", "DistinctIPs"
     )
+    lists = list_values(seen, ["UserId", "Date"], "CreatedByIpCd", "DistinctIPs", at_least=max_ips + 1)
     mails = (
         tables["user"]
         .where(F.col("EmailAddressTxt").isNotNull())

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rulewatch.functions.calendar import day, previous_day
+from rulewatch.functions.calendar import day, on_day, previous_day
 from rulewatch.functions.hashing import spread
 from rulewatch.functions.values import from_millis, local_time_label
 from rulewatch.operators.grouping import LIST_PART, first_per_key
-from rulewatch.operators.joins import without
+from rulewatch.operators.joins import salted_lookup, without
 from rulewatch.rules.registry import rule
 
 # Flat column -> key in the log's ``request_params`` map.
@@ -48,7 +48,7 @@ def acl_changes(tables, as_of, action: str = "changeDbTokenAcl", part_size: int
     totals = events.groupBy("user_email").agg(F.count("event_id").alias("count"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("count") / F.lit(part_size))).cast("bigint")
     return (
-        events.join(totals.withColumnRenamed("user_email", "_user"), F.col("user_email").eqNullSafe(F.col("_user")))
+        salted_lookup(events, totals, ["user_email"], F.col("event_id"), "inner")
         .withColumn("part", spread(F.col("event_id"), parts))
         .groupBy("user_email", "count", "part")
         .agg(
@@ -97,7 +97,7 @@ def bulk_downloads(
     audit = tables["audit"]
     downloads = audit.where(
         (F.col("action_name") == "downloadLargeResults")
-        & (F.to_date("event_time") == previous_day(as_of))
+        & on_day("event_time", previous_day(as_of))
     ).select("event_id", "request_id", "session_id", "event_time", "user_email", "notebook_id", "command_id")
     heavy = (
         downloads.groupBy("user_email")

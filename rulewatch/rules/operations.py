@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from rulewatch.functions.calendar import previous_day
+from rulewatch.functions.calendar import on_day, previous_day
 from rulewatch.functions.values import first_non_empty
 from rulewatch.operators.grouping import latest_per_key
 from rulewatch.rules.registry import rule
@@ -112,7 +112,7 @@ def quality_gate_bypass(tables, as_of) -> DataFrame:
     action = F.col("ActionName")
     return (
         tables["policy_history"]
-        .where(action.isin("disabled", "deleted") & (F.to_date("IngestedAtDttm") == previous_day(as_of)))
+        .where(action.isin("disabled", "deleted") & on_day("IngestedAtDttm", previous_day(as_of)))
         .groupBy("UserEmailTxt", "ProjectName", "RepositoryName")
         .agg(
             F.count_if(action == "disabled").alias("disabled_count"),
