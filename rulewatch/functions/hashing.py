@@ -25,12 +25,6 @@ def fp_row_hash(columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", *values), 256)
 
 
-def text_map(columns: list[str]) -> Column:
-    """The columns as ``map<string,string>``, for findings of any schema."""
-    pairs = [part for c in columns for part in (F.lit(c), F.col(f"`{c}`").cast("string"))]
-    return F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
-
-
 def spread(value: Column, parts: Column) -> Column:
     """An even, engine-neutral number below ``parts`` from the text of a value."""
     head = F.conv(F.substring(F.md5(value.cast("string")), 1, 8), 16, 10).cast("bigint")

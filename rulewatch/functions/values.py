@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# Formats tried in turn after Spark's own cast (fixed values).
-DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy")
+# Day-first dates, dd/MM/yyyy or dd-MM-yyyy, and the same date year-first.
+DAY_FIRST, YEAR_FIRST = r"^(\d{2})([/-])(\d{2})\2(\d{4})$", "$4-$3-$1"
 
 
 def parse_date(column: str | Column) -> Column:
-    """First reading of a text or date column that gives a date; NULL if none does."""
+    """A text or date column as date: year-first or day-first; NULL if neither fits.
+
+    Day-first text is turned round and cast.  Trying one format after another
+    would raise and catch an error inside Spark for every row that does not fit.
+    """
     column = F.col(column) if isinstance(column, str) else column
-    text = column.cast("string")
-    return F.coalesce(
-        text.try_cast("date"), *[F.try_to_date(text, pattern) for pattern in DATE_FORMATS]
-    )
+    return F.regexp_replace(column.cast("string"), DAY_FIRST, YEAR_FIRST).try_cast("date")
 
 
 def first_non_empty(*columns: str, default: str | None = None) -> Column:

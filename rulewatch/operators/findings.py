@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rulewatch.functions.hashing import fp_row_hash, row_hash, text_map
+from rulewatch.functions.hashing import fp_row_hash, row_hash
 from rulewatch.operators.joins import salted_lookup
 
 # The fingerprint sums a SHA-256 in 10 slices of 6 hex digits.  A slice stays
@@ -90,8 +90,9 @@ def fp_lookup(false_positives: DataFrame) -> DataFrame:
     """Active false positives as lookup rows ``(test_name, names, wanted) -> fp``.
 
     ``names`` are the criteria columns in name order and ``wanted`` their values.
-    Criteria that are missing, empty or unreadable fall back to the row hash.  Of
-    several with the same criteria the first marked one is kept.
+    Criteria that are missing, empty or unreadable fall back to the row hash; without
+    one the wanted hash is NULL, which no row has.  Of several with the same criteria
+    the first marked one is kept.
     """
     parsed = F.from_json("match_criteria", CRITERIA)
     active = false_positives.where(F.col("active")).withColumn("_c", F.array_sort(parsed))
@@ -103,40 +104,48 @@ def fp_lookup(false_positives: DataFrame) -> DataFrame:
         F.coalesce(names, F.array(F.lit(WHOLE_ROW))).alias("names"),
         F.coalesce(values, F.array(F.nullif(F.col("row_hash"), F.lit("")))).alias("wanted"),
         F.struct("marked_at", "fp_id", "note", "marked_by").alias("fp"),
-    ).where(F.forall("wanted", lambda v: v.isNotNull()))
+    )
     return rows.groupBy("test_name", "names", "wanted").agg(F.min("fp").alias("fp"))
 
 
+def _with_matches(contents: DataFrame, false_positives: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """``contents`` joined to the false positives they match, as ``fp``.
+
+    ``contents`` has ``test_name``, ``fp_hash`` and the finding's ``columns``.  A row
+    comes once per set of criteria columns its rule uses, not once per false
+    positive.  Criteria on a column the rule does not return never match.
+    """
+    lookup = fp_lookup(false_positives)
+    # The sets of one to three columns that the false positives of a rule use, and
+    # where their values stand among a row's cells.
+    cell_names = F.array(*[F.lit(c) for c in columns], F.lit(WHOLE_ROW))
+    shapes = (
+        lookup.select("test_name", "names")
+        .distinct()
+        .withColumn("_places", F.transform("names", lambda n: F.array_position(cell_names, n).cast("int")))
+        .where(F.forall("_places", lambda p: p > 0))
+    )
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]
+    contents = contents.withColumn("_cells", F.array(*cells, F.col("fp_hash")))
+    asked = (
+        salted_lookup(contents, shapes, ["test_name"], F.col("fp_hash"), how)
+        .withColumn("wanted", F.transform("_places", lambda p: F.element_at("_cells", p)))
+        .drop("_cells", "_places")
+    )
+    return salted_lookup(asked, lookup, ["test_name", "names", "wanted"], F.col("fp_hash"), how)
+
+
 def fp_matches(findings: DataFrame, false_positives: DataFrame, keys: list[str]) -> DataFrame:
     """First matching false positive per distinct finding content.
 
     Gives ``(test_name, fp_hash, fp)``.  A finding matches when all criteria of
-    any active false positive equal its values as text, NULL being ''; criteria on
-    a column the rule does not return never match.  Each content is looked up once
-    per set of criteria columns its rule uses, not once per false positive.
+    any active false positive equal its values as text, NULL being ''.
     """
     columns = [c for c in findings.columns if c not in keys]
-    lookup = fp_lookup(false_positives)
-    content = (
-        findings.select("test_name", fp_row_hash(columns).alias("fp_hash"), text_map(columns).alias("cells"))
-        .groupBy("test_name", "fp_hash")
-        .agg(F.first("cells").alias("cells"))
-    )
-    # The sets of one to three columns that the false positives of a rule use.
-    shapes = lookup.select("test_name", "names").distinct()
-    cells = F.map_concat("cells", F.create_map(F.lit(WHOLE_ROW), F.col("fp_hash")))
-    asked = (
-        salted_lookup(content, shapes, ["test_name"], F.col("fp_hash"), "inner")
-        .select("test_name", "fp_hash", cells.alias("cells"), "names")
-        .where(F.forall("names", lambda n: F.map_contains_key("cells", n)))
-        .select(
-            "test_name",
-            "fp_hash",
-            "names",
-            F.transform("names", lambda n: F.coalesce(F.col("cells")[n], F.lit(""))).alias("wanted"),
-        )
+    contents = (
+        findings.select("test_name", *columns).distinct().withColumn("fp_hash", fp_row_hash(columns))
     )
-    hits = salted_lookup(asked, lookup, ["test_name", "names", "wanted"], F.col("fp_hash"), "inner")
+    hits = _with_matches(contents, false_positives, columns, "inner")
     return hits.groupBy("test_name", "fp_hash").agg(F.min("fp").alias("fp"))
 
 
@@ -163,19 +172,20 @@ def flag_false_positives(
 def run_counts(findings: DataFrame, false_positives: DataFrame, keys: list[str]) -> DataFrame:
     """Raw count, clean count and fingerprint of every run, over all rules at once.
 
-    Copies of a finding are merged before anything is shuffled or matched, so a
-    group of copies costs one row per task.
+    Copies of a finding are merged first, so a group of copies costs one row per
+    task before anything is shuffled, matched or hashed.
     """
     columns = [c for c in findings.columns if c not in keys]
-    contents = (
-        findings.select(*keys, row_hash(columns).alias("row_hash"), fp_row_hash(columns).alias("fp_hash"))
-        .groupBy(*keys, "row_hash", "fp_hash")
-        .agg(F.count(F.lit(1)).alias("copies"))
+    contents = findings.groupBy(*findings.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    matched = _with_matches(
+        contents.withColumn("fp_hash", fp_row_hash(columns)), false_positives, columns, "left"
+    )
+    flagged = matched.groupBy(*findings.columns).agg(
+        F.max("_copies").alias("copies"), F.bool_or(F.col("fp").isNotNull()).alias("is_fp")
     )
-    matched = fp_matches(findings, false_positives, keys).select("test_name", "fp_hash", F.lit(True).alias("is_fp"))
-    flagged = contents.join(matched, ["test_name", "fp_hash"], "left")
     clean = F.sum(F.when(F.col("is_fp"), F.lit(0)).otherwise(F.col("copies")))
-    return fingerprint(flagged, keys, F.col("copies"), clean_count=clean)
+    hashed = flagged.select(*keys, "copies", "is_fp", row_hash(columns).alias("row_hash"))
+    return fingerprint(hashed, keys, F.col("copies"), clean_count=clean)
 
 
 def count_hashed(hashed: DataFrame, keys: list[str]) -> DataFrame:

@@ -39,19 +39,23 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 def list_values(
     df: DataFrame, keys: list[str], value: str, name: str, part_size: int = LIST_PART,
-    at_least: int = 0,
+    having: Column | None = None,
 ) -> DataFrame:
     """Sorted distinct values per key, in parts of about ``part_size``.
 
     A key with no more values than that has one row, part 0.  A larger one has
     several rows, so no task ever holds a whole hot group.  NULLs are left out of
-    the lists; a key with nothing else has an empty list.  ``at_least`` keeps the
-    keys with that many values.
+    the lists; a key with nothing else has an empty list.  ``having`` is an
+    aggregate over a key's distinct values that must be true for the key to stay.
     """
     values = df.select(*keys, value).distinct()
-    counts = values.groupBy(*keys).agg(F.count(value).alias("distinct_count"))
-    if at_least:
-        counts = counts.where(F.col("distinct_count") >= at_least)
+    keep = F.lit(True) if having is None else having
+    counts = (
+        values.groupBy(*keys)
+        .agg(F.count(value).alias("distinct_count"), keep.alias("_keep"))
+        .where(F.col("_keep"))
+        .drop("_keep")
+    )
     parts = F.greatest(F.lit(1), F.ceil(F.col("distinct_count") / F.lit(part_size))).cast("bigint")
     part = F.coalesce(spread(F.col(value), parts), F.lit(0).cast("bigint"))
     return (

@@ -6,7 +6,13 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SALTS = 16
+MOST_SALTS = 64
+
+
+def salts_for(df: DataFrame) -> int:
+    """How many tasks a hot key is spread over: a quarter of the shuffle partitions."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, min(MOST_SALTS, partitions // 4))
 
 
 def without(df: DataFrame, other: DataFrame, on: str | list[str]) -> DataFrame:
@@ -22,7 +28,7 @@ def without(df: DataFrame, other: DataFrame, on: str | list[str]) -> DataFrame:
 
 def salted_lookup(
     df: DataFrame, lookup: DataFrame, on: list[str], row_id: Column, how: str = "left",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Equi-join of a large side to a much smaller one, NULL keys being equal.
 
@@ -30,6 +36,7 @@ def salted_lookup(
     ``row_id``; the small side is repeated once per salt, so the result is that of
     the plain join.
     """
+    salts = salts or salts_for(df)
     left = df.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
     right = lookup.select(
         *[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in lookup.columns],

@@ -23,23 +23,18 @@ def sso_bypass(tables, as_of, domain: str, marker: str) -> DataFrame:
         .groupBy("UserId")
         .agg(F.min("EmailAddressTxt").alias("EmailAddressTxt"), F.min("UserName").alias("UserName"))
     )
-    links = (
-        tables["user_company"]
-        .select("UserId", "CompanyId")
-        .distinct()
-        .join(users.select("UserId"), "UserId", "left_semi")
-        .join(tables["company"].select("CompanyId", "CorporateName"), "CompanyId")
-    )
-    internal = links.where(F.lower("CorporateName").contains(marker)).select("UserId")
-    outside = users.join(internal, "UserId", "left_anti")
-    lists = list_values(links.join(outside.select("UserId"), "UserId", "left_semi"), ["UserId"], "CorporateName", "CompanyList")
-    return outside.join(lists.drop("distinct_count"), "UserId", "left").select(
-        "UserId",
-        "EmailAddressTxt",
-        "UserName",
-        F.coalesce("CompanyList", F.array().cast("array<string>")).alias("CompanyList"),
-        F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
+    companies = (
+        users.join(tables["user_company"].select("UserId", "CompanyId").distinct(), "UserId", "left")
+        .join(tables["company"].select("CompanyId", "CorporateName"), "CompanyId", "left")
     )
+    has_internal = F.bool_or(F.lower("CorporateName").contains(marker))
+    return list_values(
+        companies,
+        ["UserId", "EmailAddressTxt", "UserName"],
+        "CorporateName",
+        "CompanyList",
+        having=~F.coalesce(has_internal, F.lit(False)),
+    ).drop("distinct_count")
 
 
 @rule("many_ips", ("historic", "user"))
@@ -60,7 +55,10 @@ def many_ips(tables, as_of, max_ips: int = 3) -> DataFrame:
         )
         .na.drop(subset=["UserId", "CreatedByIpCd", "Date"])
     )
-    lists = list_values(seen, ["UserId", "Date"], "CreatedByIpCd", "DistinctIPs", at_least=max_ips + 1)
+    lists = list_values(
+        seen, ["UserId", "Date"], "CreatedByIpCd", "DistinctIPs",
+        having=F.count("CreatedByIpCd") > max_ips,
+    )
     mails = (
         tables["user"]
         .where(F.col("EmailAddressTxt").isNotNull())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rulewatch.functions.values import DAY_FIRST, YEAR_FIRST
 from rulewatch.rules.registry import rule, sql_rule
 
 # Asset type codes and their short names (fixed values).
@@ -29,14 +30,8 @@ def asset_type_names(registrar: str = "OWN") -> dict[int, str]:
 DUE_BEFORE_REGISTRY = """
     WITH parsed AS (
       SELECT AssetId, TypeAssetId, StatusAssetId, RegistryDttm, DueDt,
-             coalesce(try_cast(RegistryDttm AS date),
-                      try_to_date(cast(RegistryDttm AS string), 'yyyy-MM-dd'),
-                      try_to_date(cast(RegistryDttm AS string), 'dd/MM/yyyy'),
-                      try_to_date(cast(RegistryDttm AS string), 'dd-MM-yyyy')) AS registry_date,
-             coalesce(try_cast(DueDt AS date),
-                      try_to_date(cast(DueDt AS string), 'yyyy-MM-dd'),
-                      try_to_date(cast(DueDt AS string), 'dd/MM/yyyy'),
-                      try_to_date(cast(DueDt AS string), 'dd-MM-yyyy')) AS due_date
+             try_cast(regexp_replace(cast(RegistryDttm AS string), :day_first, :year_first) AS date) AS registry_date,
+             try_cast(regexp_replace(cast(DueDt AS string), :day_first, :year_first) AS date) AS due_date
       FROM {asset}
     )
     SELECT AssetId,
@@ -63,6 +58,8 @@ def _due_before_registry(tables, cutoff, types: tuple[int, ...], new_stock: bool
         {"asset": tables["asset"].where(F.col("TypeAssetId").isin(*types))},
         {
             "names": names,
+            "day_first": DAY_FIRST,
+            "year_first": YEAR_FIRST,
             "moment": moment,
             "new_stock": new_stock,
             "cutoff": cutoff,
