@@ -46,12 +46,15 @@ def write_csv(rows: DataFrame, path: str, one_file: bool = False) -> None:
 
 
 def read_csv(spark, path: str, columns: list[str]) -> DataFrame:
-    """An export read back, as text; empty fields stay empty text."""
+    """An export read back, as text; empty fields stay empty text.
+
+    Values may hold line breaks, so a part file is read as a whole by one task.
+    """
     schema = ", ".join(f"`{c}` string" for c in columns)
     rows = (
         spark.read.schema(schema)
         .option("sep", ";")
-        .option("lineSep", "\r\n")
+        .option("multiLine", True)
         .option("header", True)
         .option("enforceSchema", True)
         .option("escape", '"')
