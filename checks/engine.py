@@ -225,17 +225,18 @@ RULE_ROWS = [
 @check("e03_run_rules", """
     WITH p AS (SELECT * FROM fx_participant WHERE StatusId = '1'),
     n AS (
-      SELECT 'duplicate documents' AS TestName, 0 AS Threshold, 'DAILY' AS Frequency,
+      SELECT 'T0' AS test_id, 'duplicate documents' AS TestName, 0 AS Threshold, 'DAILY' AS Frequency,
              (SELECT count(*) FROM (SELECT DocumentNumberCd FROM p GROUP BY 1 HAVING count(DISTINCT ParticipantId) > 1)) AS raw,
              0 AS fps
-      UNION ALL SELECT 'invalid email', 50, 'MONTHLY', (SELECT count(*) FROM p WHERE EmailName LIKE '%acme%' OR EmailName IS NULL),
+      UNION ALL SELECT 'T1', 'invalid email', 50, 'MONTHLY', (SELECT count(*) FROM p WHERE EmailName LIKE '%acme%' OR EmailName IS NULL),
              (SELECT count(*) FROM p WHERE EmailName = 'f@acme')
-      UNION ALL SELECT 'unmatched document', 100000000, 'DAILY',
+      UNION ALL SELECT 'T2', 'unmatched document', 100000000, 'DAILY',
              (SELECT count(*) FROM p WHERE DocumentNumberCd NOT IN (SELECT DocumentCd FROM fx_establishment)), 0
-      UNION ALL SELECT 'no such body', 0, 'DAILY', NULL, 0 UNION ALL SELECT 'no such schedule', 0, 'YEARLY', NULL, 0)
+      UNION ALL SELECT 'T4', 'no such body', 0, 'DAILY', NULL, 0 UNION ALL SELECT 'T5', 'no such schedule', 0, 'YEARLY', NULL, 0)
     SELECT TestName, Frequency, Threshold, raw AS IncidentCountRaw, coalesce(raw - fps, 0) AS IncidentCount,
            CASE WHEN raw IS NULL THEN 'ERROR' WHEN raw - fps > Threshold THEN 'FAILED' ELSE 'PASSED' END AS TestResult,
-           false AS IsSupressed, false AS IsRecurrent, false AS IsContinued, raw IS NULL AS has_error
+           raw IS NOT NULL AND raw - fps > Threshold AND test_id IN (SELECT test_id FROM sx_open WHERE open_since <= DATE '2024-02-05') AS IsSupressed,
+           false AS IsRecurrent, false AS IsContinued, raw IS NULL AS has_error
     FROM n""")
 def e03(t):
     spark, run_ts = t.spark, dt.datetime(2024, 2, 5, 6)

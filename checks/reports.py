@@ -294,3 +294,22 @@ def r26(t):
     control = {"tb_incident_hashes": t["fx_hashlog"], "tb_tests_executions": t["fx_runlog"]}
     archives = {"findings": t["fx_archive"], "without stamp": t["fx_findings"]}
     return readiness(control, archives, t["fx_config"], EXPECTED)
+
+
+@check("r14_findings_export", """
+    WITH hits AS (
+      SELECT g.event_id FROM fx_archive g JOIN sx_fp p ON p.test_name = 'rule-3' JOIN sx_crit c ON c.fp_id = p.fp_id
+      WHERE p.crit IS NOT NULL GROUP BY g.event_id, g.entity, g.category, p.fp_id
+      HAVING bool_and(coalesce(CASE c.col WHEN 'entity' THEN coalesce(CAST(g.entity AS VARCHAR), '')
+                                          WHEN 'category' THEN coalesce(g.category, '') END = c.val, false)))
+    SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, CAST(amount AS VARCHAR) AS amount,
+           coalesce(CAST(entity AS VARCHAR), '') AS entity, coalesce(category, '') AS category, CAST(ArchiveDate AS VARCHAR) AS ArchiveDate,
+           CASE WHEN event_id IN (SELECT event_id FROM hits) THEN 'Sim' ELSE 'Não' END AS FalsoPositivo
+    FROM fx_archive""")
+def r14(t):
+    return reports.findings_export(t["fx_archive"], t["fx_fp"], "rule-3", ["event_id"], all_dates=True, limit=None)
+
+
+@check("r24_preview", "SELECT event_id, user_id, entity FROM fx_archive ORDER BY event_id LIMIT 10")
+def r24(t):
+    return reports.sample(t["fx_archive"].select("event_id", "user_id", "entity"), 10, ["event_id"])

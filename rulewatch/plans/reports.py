@@ -16,6 +16,7 @@ from rulewatch.functions.values import preview
 from rulewatch.operators.alerts import rule_status
 from rulewatch.operators.findings import flag_false_positives
 from rulewatch.operators.grouping import first_per_key, page, recent_per_key, trend
+from rulewatch.sources.export import export_rows
 from rulewatch.sources.tables import find_column
 
 
@@ -288,6 +289,21 @@ def findings_view(
     return flag_false_positives(keyed, false_positives, ["test_name", "ArchiveDate"], attribute=True).drop("test_name")
 
 
+def findings_export(
+    archive: DataFrame, false_positives: DataFrame, test_name: str, order: list[str],
+    search: str | None = None, limit: int | None = 10_000, day_column: Column | None = None, **scope,
+) -> DataFrame:
+    """The rows of a CSV export under the filters of the view; ``limit=None`` takes all."""
+    rows = archive.where(
+        date_scope(archive, search=search, day_column=day_column, **scope) & contains_text(archive, search)
+    ).drop("_is_false_positive")
+    if limit is not None:
+        rows = rows.orderBy(F.desc("ArchiveDate"), *order).limit(limit)
+    keyed = rows.withColumn("test_name", F.lit(test_name))
+    flagged = flag_false_positives(keyed, false_positives, ["test_name", "ArchiveDate"]).drop("test_name")
+    return export_rows(flagged, order, limit)
+
+
 def view_summary(view: DataFrame, limit: int = 500) -> DataFrame:
     """Rows, false positives and whether the page was cut, of a findings view."""
     return view.agg(
@@ -394,9 +410,9 @@ def area_list(areas: DataFrame) -> DataFrame:
     return areas.where(F.col("Area").isNotNull()).select("Area").distinct().orderBy("Area")
 
 
-def sample(findings: DataFrame, n: int = 10) -> DataFrame:
-    """The first rows of a rule, to look at before it is submitted."""
-    return findings.limit(n)
+def sample(findings: DataFrame, n: int = 10, order: list[str] | None = None) -> DataFrame:
+    """A few rows of a rule, to look at before it is submitted; any rows without ``order``."""
+    return (findings.orderBy(*order) if order else findings).limit(n)
 
 
 def rules_by_status(configs: DataFrame) -> DataFrame:
