@@ -74,7 +74,7 @@ def exact_set_hash(findings: DataFrame, keys: list[str], limit: int = EXACT_LIMI
     small = whole.where(F.col("row_count") <= limit).select(*keys)
     lines = F.array_join(F.array_sort(F.collect_list("row_hash")), "\n")
     exact = (
-        salted_lookup(hashed, small, keys, F.col("row_hash"), "left_semi")
+        salted_lookup(hashed, small, keys, F.col("row_hash"), "left_semi", null_safe=True)
         .groupBy(*keys)
         .agg(F.sha2(lines, 256).alias("_exact"))
     )
@@ -155,8 +155,12 @@ def flag_false_positives(
     """Findings plus ``_is_false_positive`` and, on request, who marked it and why."""
     columns = [c for c in findings.columns if c not in keys]
     matches = fp_matches(findings, false_positives, keys)
-    flagged = findings.withColumn("fp_hash", fp_row_hash(columns)).join(
-        matches, ["test_name", "fp_hash"], "left"
+    # Copies of one finding over many runs are spread by run.
+    flagged = salted_lookup(
+        findings.withColumn("fp_hash", fp_row_hash(columns)),
+        matches,
+        ["test_name", "fp_hash"],
+        F.struct(*keys),
     )
     extra = []
     if attribute:

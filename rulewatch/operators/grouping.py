@@ -59,7 +59,7 @@ def list_values(
     parts = F.greatest(F.lit(1), F.ceil(F.col("distinct_count") / F.lit(part_size))).cast("bigint")
     part = F.coalesce(spread(F.col(value), parts), F.lit(0).cast("bigint"))
     return (
-        salted_lookup(values, counts, keys, F.col(value), "inner")
+        salted_lookup(values, counts, keys, F.col(value), "inner", null_safe=True)
         .withColumn("part", part)
         .groupBy(*keys, "distinct_count", "part")
         .agg(F.array_sort(F.collect_list(value)).alias(name))

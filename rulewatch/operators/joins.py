@@ -28,9 +28,9 @@ def without(df: DataFrame, other: DataFrame, on: str | list[str]) -> DataFrame:
 
 def salted_lookup(
     df: DataFrame, lookup: DataFrame, on: list[str], row_id: Column, how: str = "left",
-    salts: int | None = None,
+    salts: int | None = None, null_safe: bool = False,
 ) -> DataFrame:
-    """Equi-join of a large side to a much smaller one, NULL keys being equal.
+    """Equi-join of a large side to a much smaller one; ``null_safe`` lets NULL meet NULL.
 
     Rows of one hot key are spread over ``salts`` tasks by a number taken from
     ``row_id``; the small side is repeated once per salt, so the result is that of
@@ -44,9 +44,10 @@ def salted_lookup(
     )
     match = F.col("_salt") == F.col("_on_salt")
     for c in on:
-        match = match & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+        left_key, right_key = F.col(c), F.col(f"_on_{c}")
+        match = match & (left_key.eqNullSafe(right_key) if null_safe else left_key == right_key)
     joined = left.join(right, match, how)
-    extra = [] if how == "left_semi" else [c for c in lookup.columns if c not in on]
+    extra = [] if how in ("left_semi", "left_anti") else [c for c in lookup.columns if c not in on]
     return joined.select(*df.columns, *extra)
 
 

@@ -16,6 +16,7 @@ from rulewatch.functions.values import preview
 from rulewatch.operators.alerts import rule_status
 from rulewatch.operators.findings import flag_false_positives
 from rulewatch.operators.grouping import first_per_key, page, recent_per_key, trend
+from rulewatch.operators.joins import salted_lookup
 from rulewatch.sources.export import export_rows
 from rulewatch.sources.tables import find_column
 
@@ -95,18 +96,22 @@ def coverage(configs: DataFrame, **filters) -> DataFrame:
 def run_kpis(
     configs: DataFrame, run_log: DataFrame, date_from=None, date_to=None, result=None, **filters
 ) -> DataFrame:
-    """Runs in total, cleared, flagged and in error."""
+    """Runs in total, cleared, flagged and in error; counted per rule before the join."""
     rules = configs.where(config_filter(**filters)).select(F.col("test_name").alias("TestName"))
     outcome = F.col("TestResult")
-    return (
+    counts = {
+        "runs_total": F.count(F.lit(1)),
+        "runs_cleared": F.count_if(outcome == "PASSED"),
+        "runs_flagged": F.count_if(outcome == "FAILED"),
+        "runs_error": F.count_if(outcome == "ERROR"),
+    }
+    per_rule = (
         run_log.where(run_filter(date_from, date_to, result))
-        .join(rules, "TestName")
-        .agg(
-            F.count(F.lit(1)).alias("runs_total"),
-            F.count_if(outcome == "PASSED").alias("runs_cleared"),
-            F.count_if(outcome == "FAILED").alias("runs_flagged"),
-            F.count_if(outcome == "ERROR").alias("runs_error"),
-        )
+        .groupBy("TestName")
+        .agg(*[c.alias(n) for n, c in counts.items()])
+    )
+    return per_rule.join(rules, "TestName").agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts]
     )
 
 
@@ -141,11 +146,14 @@ def rules_with_open_entries(
     configs: DataFrame, suppressions: DataFrame, entries: DataFrame, n: int = 20
 ) -> DataFrame:
     """Active rules by the number of existing open entries they are linked to."""
-    links = (
+    linked = (
         suppressions.where(F.col("active"))
         .select("test_id", F.col("linked_entry_id").alias("RiskEntryId"))
         .distinct()
-        .join(entries.where(is_blank("ClosingDate")).select("RiskEntryId").distinct(), "RiskEntryId")
+    )
+    still_open = entries.where(is_blank("ClosingDate")).select("RiskEntryId").distinct()
+    links = (
+        salted_lookup(linked, still_open, ["RiskEntryId"], F.col("test_id"), "left_semi")
         .groupBy("test_id")
         .agg(F.count(F.lit(1)).alias("open_entries"))
     )
@@ -331,9 +339,9 @@ def suppressions_with_entries(suppressions: DataFrame, entries: DataFrame) -> Da
         F.col("Criticality").alias("entry_criticality"),
         F.col("ClosingDate").alias("entry_closing_date"),
     )
-    return suppressions.join(linked, "linked_entry_id", "left").withColumn(
-        "entry_is_open", is_blank("entry_closing_date")
-    )
+    return salted_lookup(
+        suppressions, linked, ["linked_entry_id"], F.col("suppression_id")
+    ).withColumn("entry_is_open", is_blank("entry_closing_date"))
 
 
 def search_entries(entries: DataFrame, q: str = "", open_only: bool = True, n: int = 50) -> DataFrame:
@@ -361,8 +369,7 @@ def fp_register(false_positives: DataFrame, configs: DataFrame, history: DataFra
         ["event_at", "fp_history_id"],
     ).select("fp_id", "row_data")
     return (
-        false_positives.where(F.col("active"))
-        .join(rules, "test_name", "left")
+        salted_lookup(false_positives.where(F.col("active")), rules, ["test_name"], F.col("fp_id"))
         .join(marked, "fp_id", "left")
         .select(
             "fp_id", "test_name", "row_hash", "note", "marked_by", "marked_at", "test_id",

@@ -95,7 +95,7 @@ def run_rules(
 ) -> DataFrame:
     """Run every rule due at ``run_ts``; returns the run-log rows as written.
 
-    ``folder`` gets ``findings/<rule>``, ``tb_tests_executions``,
+    ``folder`` gets ``findings/<rule>``, ``run_states``, ``tb_tests_executions``,
     ``tb_incident_hashes`` and ``outbox``, all in folders by run day.
     """
     as_of, params = run_ts.date(), params or {}
@@ -142,6 +142,10 @@ def run_rules(
         _history(spark, folder, "tb_tests_executions", as_of),
         _history(spark, folder, "tb_incident_hashes", as_of),
     )
+    # Written once and read back: the three logs are projections of it, and a lost
+    # executor does not send them back to the archives.
+    write_log(states, folder, "run_states", run_ts)
+    states = spark.read.parquet(f"{folder}/run_states/run_dt={as_of.isoformat()}")
     _write_logs(states, configs, folder, run_ts)
     return spark.read.parquet(f"{folder}/tb_tests_executions/run_dt={as_of.isoformat()}")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rulewatch.functions.calendar import in_last_month
 from rulewatch.operators.grouping import list_values
+from rulewatch.operators.joins import salted_lookup
 from rulewatch.rules.registry import rule
 
 
@@ -23,9 +24,11 @@ def sso_bypass(tables, as_of, domain: str, marker: str) -> DataFrame:
         .groupBy("UserId")
         .agg(F.min("EmailAddressTxt").alias("EmailAddressTxt"), F.min("UserName").alias("UserName"))
     )
-    companies = (
-        users.join(tables["user_company"].select("UserId", "CompanyId").distinct(), "UserId", "left")
-        .join(tables["company"].select("CompanyId", "CorporateName"), "CompanyId", "left")
+    companies = salted_lookup(
+        users.join(tables["user_company"].select("UserId", "CompanyId").distinct(), "UserId", "left"),
+        tables["company"].select("CompanyId", "CorporateName"),
+        ["CompanyId"],
+        F.col("UserId"),
     )
     has_internal = F.bool_or(F.lower("CorporateName").contains(marker))
     return list_values(

@@ -48,7 +48,7 @@ def acl_changes(tables, as_of, action: str = "changeDbTokenAcl", part_size: int
     totals = events.groupBy("user_email").agg(F.count("event_id").alias("count"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("count") / F.lit(part_size))).cast("bigint")
     return (
-        salted_lookup(events, totals, ["user_email"], F.col("event_id"), "inner")
+        salted_lookup(events, totals, ["user_email"], F.col("event_id"), "inner", null_safe=True)
         .withColumn("part", spread(F.col("event_id"), parts))
         .groupBy("user_email", "count", "part")
         .agg(
@@ -105,24 +105,20 @@ def bulk_downloads(
         .where((F.col("n") >= at_least) & F.col("user_email").isNotNull())
         .select("user_email")
     )
-    events = downloads.join(heavy, "user_email", "left_semi")
+    # Hot users, notebooks and workspaces are spread by event.
+    event = F.col("event_id")
+    events = salted_lookup(downloads, heavy, ["user_email"], event, "left_semi")
     wanted = events.select("notebook_id", "command_id").distinct()
-    commands = (
-        audit.where(
-            (F.col("service_name") == "notebook")
-            & F.col("action_name").isin("runCommand", "submitCommand")
-            & F.col("command_text").isNotNull()
-        )
-        .select(
-            "notebook_id", "command_id", F.col("command_text").alias("statement_text"), "event_time", "event_id"
-        )
-        .join(wanted, ["notebook_id", "command_id"], "left_semi")
-    )
+    commands = audit.where(
+        (F.col("service_name") == "notebook")
+        & F.col("action_name").isin("runCommand", "submitCommand")
+        & F.col("command_text").isNotNull()
+    ).select("notebook_id", "command_id", F.col("command_text").alias("statement_text"), "event_time", "event_id")
+    place = ["notebook_id", "command_id"]
+    commands = salted_lookup(commands, wanted, place, event, "left_semi")
     # One command per notebook and id: the earliest, so the choice is repeatable.
-    texts = first_per_key(commands, ["notebook_id", "command_id"], ["event_time", "event_id"])
-    return events.join(
-        texts.select("notebook_id", "command_id", "statement_text"), ["notebook_id", "command_id"], "left"
-    ).select(
+    texts = first_per_key(commands, place, ["event_time", "event_id"]).select(*place, "statement_text")
+    return salted_lookup(events, texts, place, event).select(
         local_time_label("event_time", zone, zone_label).alias("event_time"),
         F.col("event_time").alias("event_ts"),
         F.col("user_email").alias("download_user"),
@@ -148,6 +144,10 @@ def unrevoked_tokens(tables, as_of, marker: str = "prd") -> DataFrame:
         .withColumn("token_expiration_dt", from_millis(F.col("token_expiration_ms")))
         .where(day(as_of) <= F.col("token_expiration_dt"))
     )
-    return without(live, revoked, "token_hash").join(
-        workspaces.select("workspace_id", "workspace_name"), "workspace_id"
+    return salted_lookup(
+        without(live, revoked, "token_hash"),
+        workspaces.select("workspace_id", "workspace_name"),
+        ["workspace_id"],
+        F.col("event_id"),
+        "inner",
     )

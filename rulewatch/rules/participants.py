@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rulewatch.functions.calendar import day, in_last_month
 from rulewatch.operators.grouping import first_per_key, list_values
-from rulewatch.operators.joins import in_any_list, without
+from rulewatch.operators.joins import in_any_list, salted_lookup, without
 from rulewatch.rules.registry import rule
 
 FUNDS = ("fi_registration", "fund_registration")
@@ -94,10 +94,17 @@ def wrong_fund_nature(tables, as_of, fund_nature: str = "FIDC") -> DataFrame:
     """Active participants of the fund nature that no fund registry knows."""
     nature = tables["nature"].where(F.col("DescriptionDesc") == fund_nature)
     links = tables["participant_nature"].where(F.col("StatusId") == 1)
+    # One nature is left, so its rows are spread by participant.
+    of_nature = salted_lookup(
+        links.select("ParticipantId", "NatureOperationId"),
+        nature.select("NatureOperationId", "DescriptionDesc"),
+        ["NatureOperationId"],
+        F.col("ParticipantId"),
+        "inner",
+    )
     return (
         not_a_fund(active_participants(tables), tables)
-        .join(links.select("ParticipantId", "NatureOperationId"), "ParticipantId")
-        .join(nature.select("NatureOperationId", "DescriptionDesc"), "NatureOperationId")
+        .join(of_nature, "ParticipantId")
         .select(
             "DocumentNumberCd",
             "ParticipantId",
@@ -181,15 +188,21 @@ def inactive_registration(tables, as_of, active_code: str = "00") -> DataFrame:
             "RegistrationStatusDt",
         )
     )
-    found = people.join(inactive, "DocumentNumberCd").join(
-        tables["status_reason"], "RegistrationStatusReasonCd", "left"
+    participant = F.col("ParticipantId")
+    found = salted_lookup(
+        people.join(inactive, "DocumentNumberCd"),
+        tables["status_reason"].select("RegistrationStatusReasonCd", "RegistrationStatusReasonDesc"),
+        ["RegistrationStatusReasonCd"],
+        participant,
     )
     natures = tables["nature"].where(F.col("StatusCd") == "1")
-    linked = (
+    linked = salted_lookup(
         tables["participant_nature"]
         .select("ParticipantId", "NatureOperationId")
-        .join(found.select("ParticipantId"), "ParticipantId", "left_semi")
-        .join(natures.select("NatureOperationId", "DescriptionDesc"), "NatureOperationId", "left")
+        .join(found.select("ParticipantId").distinct(), "ParticipantId", "left_semi"),
+        natures.select("NatureOperationId", "DescriptionDesc"),
+        ["NatureOperationId"],
+        participant,
     )
     lists = list_values(linked, ["ParticipantId"], "DescriptionDesc", "OperationNatureDesc")
     return found.join(lists.drop("distinct_count"), "ParticipantId", "left").select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rulewatch.functions.calendar import day
-from rulewatch.operators.joins import without
+from rulewatch.operators.joins import salted_lookup, without
 from rulewatch.rules.participants import active_participants
 from rulewatch.rules.registry import rule
 
@@ -40,11 +40,13 @@ def employee_partners(tables, as_of, own_document: str) -> DataFrame:
         .select("RootDocumentCd", "DocumentCd")
         .where(F.col("DocumentCd").cast("string") != own_document)
     )
-    found = (
-        partners.join(sites, "RootDocumentCd")
-        .join(people, "DocumentCd")
-        .join(tables["public_company"].select("RootDocumentCd", "CompanyName"), "RootDocumentCd", "left")
+    named_sites = salted_lookup(
+        partners.join(sites, "RootDocumentCd"),
+        tables["public_company"].select("RootDocumentCd", "CompanyName"),
+        ["RootDocumentCd"],
+        F.col("DocumentCd"),
     )
+    found = named_sites.join(people, "DocumentCd")
     known = tables["partner_exception"].select(
         F.upper("AssociateName").alias("AssociateName"), F.upper("ParticipantName").alias("ParticipantName")
     )
