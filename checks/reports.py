@@ -118,16 +118,16 @@ def r09(t):
 
 
 @check("r10_run_history", """
-    WITH p AS (SELECT *, row_number() OVER (ORDER BY ExecutionDate DESC) - 20 AS rn FROM fx_runlog WHERE TestName = 'rule-3')
+    WITH p AS (SELECT *, row_number() OVER (ORDER BY ExecutionDate DESC, TestName) - 20 AS rn FROM fx_runlog)
     SELECT * REPLACE (CAST(ExecutionDate AS VARCHAR) AS ExecutionDate), (SELECT max(rn) FROM p) > 20 AS has_more
     FROM p WHERE rn BETWEEN 1 AND 20""")
 def r10(t):
-    return reports.run_history(t["fx_runlog"], "rule-3", 20, 20)
+    return reports.run_history(t["fx_runlog"], None, 20, 20)
 
 
-@check("r11_config_history", "SELECT * REPLACE (CAST(changed_at AS VARCHAR) AS changed_at) FROM fx_history WHERE test_id = 'T3'")
+@check("r11_config_history", "SELECT * REPLACE (CAST(changed_at AS VARCHAR) AS changed_at) FROM fx_history")
 def r11(t):
-    return reports.config_history(t["fx_history"], "T3")
+    return reports.config_history(t["fx_history"])
 
 
 @check("r12_hash_history", """
@@ -158,6 +158,19 @@ def r13(t):
     return reports.findings_view(t["fx_archive"], t["fx_fp"], "rule-3", ["event_id"], search="urch%5")
 
 
+@check("r13_view_summary", """
+    WITH hits AS (
+      SELECT g.event_id FROM fx_archive g JOIN sx_fp p ON p.test_name = 'rule-3' JOIN sx_crit c ON c.fp_id = p.fp_id
+      WHERE p.crit IS NOT NULL GROUP BY g.event_id, g.entity, g.category, p.fp_id
+      HAVING bool_and(coalesce(CASE c.col WHEN 'entity' THEN coalesce(CAST(g.entity AS VARCHAR), '')
+                                          WHEN 'category' THEN coalesce(g.category, '') END = c.val, false))),
+    page AS (SELECT event_id FROM fx_archive ORDER BY ArchiveDate DESC, event_id LIMIT 500)
+    SELECT count(*) AS count, count(*) FILTER (WHERE event_id IN (SELECT event_id FROM hits)) AS fp_count, count(*) >= 500 AS limited
+    FROM page""")
+def r13_summary(t):
+    return reports.view_summary(reports.findings_view(t["fx_archive"], t["fx_fp"], "rule-3", ["event_id"], all_dates=True))
+
+
 @check("r13_run_dates", """
     SELECT CAST(d AS VARCHAR) AS exec_date FROM (SELECT DISTINCT CAST(ArchiveDate AS DATE) AS d FROM fx_archive) ORDER BY d DESC LIMIT 30""")
 def r13_dates(t):
@@ -197,16 +210,16 @@ def r17(t):
     return reports.fp_register(t["fx_fp"], t["fx_config"], t["fx_fp_history"])
 
 
-@check("r18_fp_lists", """
+@check("r18_fp_events", """
     SELECT * REPLACE (CAST(event_at AS VARCHAR) AS event_at) FROM fx_fp_history
     ORDER BY fx_fp_history.event_at DESC, fp_history_id LIMIT 200""")
 def r18(t):
     return reports.fp_event_history(t["fx_fp_history"])
 
 
-@check("r18_fps_of_rule", "SELECT * REPLACE (CAST(marked_at AS VARCHAR) AS marked_at) FROM fx_fp WHERE test_name = 'rule-5'")
+@check("r18_fp_list", "SELECT * REPLACE (CAST(marked_at AS VARCHAR) AS marked_at) FROM fx_fp")
 def r18_rule(t):
-    return reports.fps_of_rule(t["fx_fp"], "rule-5")
+    return reports.fp_list(t["fx_fp"])
 
 
 @check("r19_run_health", """

@@ -248,13 +248,18 @@ def run_trend(run_log: DataFrame, n: int = 14) -> DataFrame:
     return trend(run_log, "TestName", ["ExecutionDate"], fields, n)
 
 
-def run_history(run_log: DataFrame, test_name: str, limit: int = 20, offset: int = 0) -> DataFrame:
-    rows = run_log.where(F.col("TestName") == test_name)
-    return page(rows, [F.desc("ExecutionDate")], limit, offset)
+def run_history(
+    run_log: DataFrame, test_name: str | None = None, limit: int = 20, offset: int = 0
+) -> DataFrame:
+    """A page of runs, newest first, of one rule or of all."""
+    rows = run_log.where(optional_filters({"TestName": ("=", test_name)}))
+    return page(rows, [F.desc("ExecutionDate"), F.asc("TestName")], limit, offset)
 
 
-def config_history(history: DataFrame, test_id: str) -> DataFrame:
-    return history.where(F.col("test_id") == test_id).orderBy(F.desc("changed_at"), F.desc("history_id"))
+def config_history(history: DataFrame, test_id: str | None = None) -> DataFrame:
+    """Changes of one rule or of all, newest first."""
+    rows = history.where(optional_filters({"test_id": ("=", test_id)}))
+    return rows.orderBy(F.desc("changed_at"), F.desc("history_id"))
 
 
 def hash_history(hash_log: DataFrame, n: int = 30) -> DataFrame:
@@ -379,8 +384,10 @@ def fp_register(false_positives: DataFrame, configs: DataFrame, history: DataFra
     )
 
 
-def fps_of_rule(false_positives: DataFrame, test_name: str) -> DataFrame:
-    return false_positives.where(F.col("test_name") == test_name).orderBy(F.desc("marked_at"), "fp_id")
+def fp_list(false_positives: DataFrame, test_name: str | None = None) -> DataFrame:
+    """False positives of one rule or of all, revoked ones too, newest first."""
+    rows = false_positives.where(optional_filters({"test_name": ("=", test_name)}))
+    return rows.orderBy(F.desc("marked_at"), "fp_id")
 
 
 def fp_event_history(history: DataFrame, n: int = 200) -> DataFrame:
