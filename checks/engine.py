@@ -10,7 +10,7 @@ from checks.registry import SHARED_SQL, check
 from rulewatch.functions.hashing import fp_row_hash
 from rulewatch.operators.alerts import open_suppressions, outbox, rule_status
 from rulewatch.operators.findings import (
-    SLICES, exact_set_hash, flag_false_positives, set_hash, with_row_hash,
+    HALF_BITS, SLICE_DIGITS, SLICES, exact_set_hash, flag_false_positives, set_hash, with_row_hash,
 )
 from rulewatch.plans.history import error_rows, replay, summarise_runs
 from rulewatch.plans.runner import run_rules, runs_due
@@ -22,7 +22,11 @@ ROW_HASH = "sha256(concat_ws('|', category, CAST(entity AS VARCHAR)))"
 FP_HASH = "sha256(concat(coalesce(category, ''), '|', coalesce(CAST(entity AS VARCHAR), '')))"
 
 FINGERPRINT = "sha256(concat_ws(':', count(*), {}))".format(
-    ", ".join(f"sum(CAST('0x' || substr(h, {1 + 6 * i}, 6) AS BIGINT))" for i in range(SLICES))
+    ", ".join(
+        f"sum(CAST('0x' || substr(h, {1 + SLICE_DIGITS * i}, {SLICE_DIGITS}) AS BIGINT) {half})"
+        for i in range(SLICES)
+        for half in (f">> {HALF_BITS}", f"& {(1 << HALF_BITS) - 1}")
+    )
 )
 
 SHARED_SQL.update(

@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulewatch.sources.tables import Tables
+from rulewatch.sources.tables import Tables, parquet_tables
 
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -327,8 +327,9 @@ def tables(spark: SparkSession, folder: str) -> Tables:
             text = VIEWS[name]
             used = {n: found[n] for n in set(_NAME.findall(text.replace("{{", "").replace("}}", "")))}
             return spark.sql(text, **used)
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return driver[name]
 
+    driver = parquet_tables(spark, folder, DRIVER_TABLES)
     found = Tables(load, [*DRIVER_TABLES, *VIEWS])
     return found
 

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rulewatch.functions.hashing import fp_row_hash, row_hash
 from rulewatch.operators.joins import salted_lookup
 
-# The fingerprint sums a SHA-256 in 10 slices of 6 hex digits.  A slice stays
-# below 2^24, so a BIGINT sum holds for 2^39 findings.
-SLICES, SLICE_DIGITS = 10, 6
+# The fingerprint reads a SHA-256 in 4 slices of 14 hex digits and sums their halves.
+# A half stays below 2^28, so a BIGINT sum holds for 2^35 findings.
+SLICES, SLICE_DIGITS, HALF_BITS = 4, 14, 28
 
 # Up to this many findings the exact form is used on request.
 EXACT_LIMIT = 100_000
@@ -27,9 +27,15 @@ def with_row_hash(findings: DataFrame, keys: list[str], name: str = "row_hash")
     return findings.withColumn(name, row_hash([c for c in findings.columns if c not in keys]))
 
 
-def _slice(column: str, i: int) -> Column:
-    digits = F.substring(column, 1 + i * SLICE_DIGITS, SLICE_DIGITS)
-    return F.conv(digits, 16, 10).cast("bigint")
+def _halves(column: str) -> dict[str, Column]:
+    """The halves of every slice of a hash, as numbers."""
+    halves = {}
+    for i in range(SLICES):
+        digits = F.substring(column, 1 + i * SLICE_DIGITS, SLICE_DIGITS)
+        number = F.conv(digits, 16, 10).cast("bigint")
+        halves[f"_high{i}"] = F.shiftright(number, HALF_BITS)
+        halves[f"_low{i}"] = number.bitwiseAND(F.lit((1 << HALF_BITS) - 1))
+    return halves
 
 
 def fingerprint(
@@ -39,22 +45,22 @@ def fingerprint(
 
     Equal multisets of rows have equal fingerprints.  Sums combine before the
     shuffle, so a rule with a huge finding set costs one small row per task.
-    240 bits of the row hashes take part; unlike SHA-256 over the sorted rows it
+    224 bits of the row hashes take part; unlike SHA-256 over the sorted rows it
     does not resist someone who builds rows in order to collide.  ``copies`` says
     how many findings a row stands for; ``more`` adds aggregates of the same pass.
     """
     copies = F.lit(1).cast("bigint") if copies is None else copies
-    slices = [f"_s{i}" for i in range(SLICES)]
+    halves = _halves("row_hash")
     sums = hashed.groupBy(*keys).agg(
         F.sum(copies).alias("row_count"),
         *[column.alias(name) for name, column in more.items()],
-        *[F.sum(_slice("row_hash", i) * copies).alias(s) for i, s in enumerate(slices)],
+        *[F.sum(half * copies).alias(name) for name, half in halves.items()],
     )
     return sums.select(
         *keys,
         "row_count",
         *more,
-        F.sha2(F.concat_ws(":", "row_count", *slices), 256).alias("incident_hash"),
+        F.sha2(F.concat_ws(":", "row_count", *halves), 256).alias("incident_hash"),
     )
 
 

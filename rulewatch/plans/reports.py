@@ -15,7 +15,7 @@ from rulewatch.functions.predicates import contains_text, date_scope, is_blank,
 from rulewatch.functions.values import preview
 from rulewatch.operators.alerts import rule_status
 from rulewatch.operators.findings import flag_false_positives
-from rulewatch.operators.grouping import first_per_key, page, recent_per_key, trend
+from rulewatch.operators.grouping import first_per_key, page, recent_per_key, top_groups, trend
 from rulewatch.operators.joins import salted_lookup
 from rulewatch.sources.export import export_rows
 from rulewatch.sources.tables import find_column
@@ -127,18 +127,13 @@ def rules_by_area(configs: DataFrame, **filters) -> DataFrame:
 
 def rules_by_risk(configs: DataFrame, risks: DataFrame, n: int = 20, **filters) -> DataFrame:
     """The risks with the most active rules; a risk without a title shows its id."""
-    counts = (
-        active(configs)
-        .where(config_filter(**filters) & (F.col("risco_id") != "N/A"))
-        .groupBy("risco_id")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    rules = active(configs).where(config_filter(**filters) & (F.col("risco_id") != "N/A"))
+    counts = top_groups(rules, "risco_id", F.count(F.lit(1)), n)
     titles = risks.select(F.col("RiskId").alias("risco_id"), "RiskTitle")
     return (
         counts.join(titles, "risco_id", "left")
         .select("risco_id", F.coalesce("RiskTitle", "risco_id").alias("risk_title"), "cnt")
         .orderBy(F.desc("cnt"), "risco_id")
-        .limit(n)
     )
 
 

@@ -10,7 +10,9 @@ from rulewatch.plans import lifecycle, lint
 from rulewatch.plans.charts import ChartSpec, chart
 from rulewatch.sources import schemas
 from rulewatch.sources.export import export_rows, read_csv, write_csv
-from rulewatch.sources.tables import Tables, cleanup_plan, column_profile, find_column, load_configs, table_health
+from rulewatch.sources.tables import (
+    Tables, catalog_table_names, catalog_tables, cleanup_plan, column_profile, find_column, load_configs, table_health,
+)
 
 
 def test_export_has_mark_separator_and_line_ends(spark, tmp_path):
@@ -68,6 +70,12 @@ def test_columns_are_found_by_name_or_word(spark):
     assert find_column(df.select("amount"), "x") is None
 
 
+def test_catalog_tables(spark):
+    spark.range(2).createOrReplaceTempView("probe_catalog")
+    assert catalog_tables(spark, {"short": "probe_catalog"})["short"].count() == 2
+    assert "probe_catalog" in {r.table_name for r in catalog_table_names(spark).collect()}
+
+
 def test_cleanup_only_plans(spark):
     names = spark.createDataFrame([("tb_incidents_x",), ("tb_false_positives",), ("other",)], "table_name string")
     assert {r.table_name: r.action for r in cleanup_plan(spark, names).collect()} == {"tb_incidents_x": "drop", "tb_false_positives": "drop", "other": "keep"}
