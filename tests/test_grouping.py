@@ -77,11 +77,15 @@ def test_pages_do_not_overlap_and_know_the_end(spark):
 def test_salted_lookup_is_the_plain_join(spark):
     _, df = skewed(spark)
     lookup = df.groupBy("v").agg(F.max("pos").alias("top"))
-    got = salted_lookup(df, lookup, ["v"], F.col("pos"), "left", salts=5)
+    plain = salted_lookup(df, lookup, ["v"], F.col("pos"), "left", salts=5)
+    assert sorted(plain.collect(), key=str) == sorted(df.join(lookup, "v", "left").select(*plain.columns).collect(), key=str)
+    got = salted_lookup(df, lookup, ["v"], F.col("pos"), "left", salts=5, null_safe=True)
     want = df.join(lookup.withColumnRenamed("v", "w"), F.col("v").eqNullSafe(F.col("w")), "left").drop("w")
     assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
     semi = salted_lookup(df, lookup.where("v > 100"), ["v"], F.col("pos"), "left_semi", salts=5)
     assert sorted(semi.collect(), key=str) == sorted(df.where("v > 100").collect(), key=str)
+    anti = salted_lookup(df, lookup.where("v > 100"), ["v"], F.col("pos"), "left_anti", salts=5)
+    assert sorted(anti.collect(), key=str) == sorted(df.where("v <= 100 OR v IS NULL").collect(), key=str)
 
 
 def test_any_list_never_multiplies(spark):
