@@ -76,7 +76,11 @@ def exact_set_hash(findings: DataFrame, keys: list[str], limit: int = EXACT_LIMI
     sets have equal sizes and therefore always the same form.
     """
     hashed = with_row_hash(findings, keys).select(*keys, "row_hash")
-    whole = fingerprint(hashed, keys)
+    return _exact_where_small(hashed, fingerprint(hashed, keys), keys, limit)
+
+
+def _exact_where_small(hashed: DataFrame, whole: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """``whole`` with the exact hash where a set has at most ``limit`` rows."""
     small = whole.where(F.col("row_count") <= limit).select(*keys)
     lines = F.array_join(F.array_sort(F.collect_list("row_hash")), "\n")
     exact = (
@@ -84,9 +88,10 @@ def exact_set_hash(findings: DataFrame, keys: list[str], limit: int = EXACT_LIMI
         .groupBy(*keys)
         .agg(F.sha2(lines, 256).alias("_exact"))
     )
+    rest = [c for c in whole.columns if c not in (*keys, "incident_hash")]
     return whole.join(exact, keys, "left").select(
         *keys,
-        "row_count",
+        *rest,
         F.coalesce("_exact", "incident_hash").alias("incident_hash"),
         F.col("_exact").isNotNull().alias("is_exact"),
     )
@@ -198,9 +203,14 @@ def run_counts(findings: DataFrame, false_positives: DataFrame, keys: list[str])
     return fingerprint(hashed, keys, F.col("copies"), clean_count=clean)
 
 
-def count_hashed(hashed: DataFrame, keys: list[str]) -> DataFrame:
-    """The same for archived rows, which carry ``row_hash`` and their stored flag."""
-    return fingerprint(hashed, keys, clean_count=F.count_if(~F.col("_is_false_positive")))
+def count_hashed(hashed: DataFrame, keys: list[str], limit: int = EXACT_LIMIT) -> DataFrame:
+    """The same for archived rows, which carry ``row_hash`` and their stored flag.
+
+    Sets of up to ``limit`` rows get the exact hash, as a hash log kept elsewhere
+    would hold it; larger ones the fingerprint.
+    """
+    whole = fingerprint(hashed, keys, clean_count=F.count_if(~F.col("_is_false_positive")))
+    return _exact_where_small(hashed.select(*keys, "row_hash"), whole, keys, limit).drop("is_exact")
 
 
 def run_result(clean_count: Column, threshold: Column) -> Column:

@@ -1,6 +1,7 @@
 """The daily run: errors stay apart, repeats change nothing, states follow the logs."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,10 @@ def test_states_follow_the_logs_and_repeats_change_nothing(world):
     assert logs.where("TestName = 'weekly'").count() == 1
     hashes = spark.read.parquet(f"{folder}/tb_incident_hashes")
     assert hashes.where("test_name = 'fails late'").count() == 0
+    # The stored hash is that of the sorted row hashes: columns bad, n, word.
+    lines = sorted(hashlib.sha256(f"true|{n}|{word}".encode()).hexdigest() for n, word in ((1, "a"), (2, "b")))
+    stored = {r.incident_hash for r in hashes.where("test_name = 'python rule'").collect()}
+    assert stored == {hashlib.sha256("\n".join(lines).encode()).hexdigest()}
     assert hashes.where("test_name = 'sql rule' AND incident_hash IS NULL AND row_count = 0").count() == 5
     sent = [r.payload for r in spark.read.parquet(f"{folder}/outbox").where("test_name = 'python rule'").orderBy("execution_date").collect()]
     assert len(sent) == 2 and '"incident_count":2' in sent[0]
