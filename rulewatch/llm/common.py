@@ -13,12 +13,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rulewatch.session import work_dir
 
 SLICE_BYTES = 4 << 20
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -136,3 +136,84 @@ def sliding(op, values: np.ndarray, width: int) -> np.ndarray:
         reach *= 2
     rest = width - reach
     return op(values[:-rest], values[rest:]) if rest else values
+
+
+NO_ID = (1 << 63) - 1  # stands for a null id: larger than any other
+
+
+def chunked(df: DataFrame, text: str = "text", key: str = "doc_id", limit: int = CHUNK_BYTES) -> DataFrame:
+    """Documents as stored chunks: ``chunk, words, size, ids, lengths, texts``.
+
+    The files are bucketed by chunk, so joins with small rows for each chunk move only those.
+    """
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+
+    def run(batches):
+        numbers, ids, texts, size = chunk_ids(), [], [], 0
+
+        def flush():
+            joined = b" ".join(texts)
+            words = sum(len(t.split()) for t in texts)
+            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+            data = zstandard.ZstdCompressor(level=3).compress(joined)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x], kind) for x, kind in ((next(numbers), pa.int64()), (words, pa.int64()), (len(joined), pa.int64()), (np.array(ids, np.int64).tobytes(), pa.binary()), (lengths.tobytes(), pa.binary()), (data, pa.binary()))],
+                ["chunk", "words", "size", "ids", "lengths", "texts"],
+            )
+
+        for part in slices(batches, "text", limit // 4):
+            ids += part.column("id").fill_null(NO_ID).to_pylist()
+            new = as_bytes(part.column("text"))
+            texts += new
+            size += sum(map(len, new))
+            if size >= limit * 3 // 4:
+                yield flush()
+                ids, texts, size = [], [], 0
+        if ids:
+            yield flush()
+
+    out = rows.mapInArrow(run, "chunk long, words long, size long, ids binary, lengths binary, texts binary")
+    spark, name = df.sparkSession, f"chunks_{uuid.uuid4().hex}"
+    out.write.bucketBy(partitions(df), "chunk").option("path", scratch(spark, "chunks")).option("compression", "uncompressed").saveAsTable(name)
+    return spark.table(name)
+
+
+def chunk_rows(batches):
+    """The rows of chunk batches as dicts; texts still compressed."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield {name: batch.column(name)[at].as_py() for name in batch.schema.names}
+
+
+def chunk_texts(row: dict) -> tuple[np.ndarray, list[bytes]]:
+    """Ids and texts of a chunk."""
+    lengths = np.frombuffer(row["lengths"], np.int64)
+    data = zstandard.ZstdDecompressor().decompress(row["texts"], max_output_size=max(1, row["size"]))
+    ends = np.cumsum(lengths + 1) - 1
+    return np.frombuffer(row["ids"], np.int64), [data[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist())]
+
+
+def text_groups(texts: list[bytes], limit: int = 1 << 20):
+    """(first, last + 1) of runs of texts of bounded bytes, one text at least."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > limit:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def word_hashes(texts: list[bytes], seeds=(0,)) -> tuple[list[np.ndarray], np.ndarray]:
+    """64-bit hashes of all words, an array for each seed, and the number of words of each text."""
+    out, counts = [[] for _ in seeds], np.zeros(len(texts), np.int64)
+    for a, b in text_groups(texts):
+        buffer = np.frombuffer(b" ".join(texts[a:b]) + b" ", np.uint8)
+        starts, ends = word_spans(buffer)
+        text_starts = np.cumsum([0, *[len(t) + 1 for t in texts[a : b - 1]]])
+        counts[a:b] = np.bincount(np.searchsorted(text_starts, starts, side="right") - 1, minlength=b - a)
+        values = buffer.astype(np.uint64) + np.uint64(1)
+        for k, seed in enumerate(seeds):
+            out[k].append(span_hashes(values, starts, ends, seed))
+    return [np.concatenate(x) if x else np.empty(0, np.uint64) for x in out], counts

@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rulewatch.llm import bpe, counts, decontaminate, quality
+from rulewatch.llm import ann, bpe, counts, decontaminate, quality, shards, simhash, windows
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,9 +26,25 @@ def op4_decontamination(spark, folder):
     return decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op5_nearest(spark, folder):
+    return ann.search(read(spark, folder, "embeddings"))
+
+
+def op6_simhash(spark, folder):
+    return simhash.document_duplicates(read(spark, folder, "documents"))
+
+
+def op7_shards(spark, folder):
+    return shards.document_shards(read(spark, folder, "documents"))
+
+
+def op9_substring_dedup(spark, folder):
+    return windows.digests(read(spark, folder, "documents"))
+
+
 def op10_bpe(spark, folder):
     return bpe.digests(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op4_decontamination, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op4_decontamination, op5_nearest, op6_simhash, op7_shards, op9_substring_dedup, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
