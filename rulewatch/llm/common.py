@@ -108,14 +108,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+class RunningSums:
+    """Hashes of spans of one array, each from the difference of two running sums."""
+
+    def __init__(self, values: np.ndarray, seed: int = 0):
+        powers, self.inverse = _powers(seed, len(values) + 1)
+        self.sums, self.seed = np.zeros(len(values) + 1, np.uint64), seed
+        np.cumsum(values * powers[: len(values)], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        spans = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
+        return mix(spans + (ends - starts).astype(np.uint64) * np.uint64(ODD[1 - self.seed]))
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of values[starts:ends], each from differences of one running sum."""
-    powers, inverse = _powers(seed, len(values) + 1)
-    sums = np.empty(len(values) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(values * powers[: len(values)], out=sums[1:])
-    spans = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(spans + (ends - starts).astype(np.uint64) * np.uint64(ODD[1 - seed]))
+    """64-bit hashes of values[starts:ends]."""
+    return RunningSums(values, seed)(starts, ends)
 
 
 IS_SPACE = np.zeros(256, bool)

@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rulewatch.llm import ann, bpe, counts, decontaminate, quality, shards, simhash, windows
+from rulewatch.llm import ann, bpe, counts, decontaminate, quality, shards, simhash, suffixes, windows
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_shards(spark, folder):
     return shards.document_shards(read(spark, folder, "documents"))
 
 
+def op8_suffix_dedup(spark, folder):
+    return suffixes.digests(read(spark, folder, "documents"))
+
+
 def op9_substring_dedup(spark, folder):
     return windows.digests(read(spark, folder, "documents"))
 
@@ -46,5 +50,5 @@ def op10_bpe(spark, folder):
     return bpe.digests(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op4_decontamination, op5_nearest, op6_simhash, op7_shards, op9_substring_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op4_decontamination, op5_nearest, op6_simhash, op7_shards, op8_suffix_dedup, op9_substring_dedup, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}

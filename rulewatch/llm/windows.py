@@ -75,14 +75,14 @@ def earliest_windows(chunks: DataFrame, width: int) -> DataFrame:
             keys, counts, _ = Windows(chunk_texts(row)[1], width).keys()
             yield sketch.parts(row["chunk"], keys, counts, bits)
 
-    flags = sketch.repeated_flags(chunks.select("chunk", "size", "ids", "lengths", "texts").mapInArrow(first_pass, sketch.PART))
+    flags = sketch.levels(chunks.select("chunk", "size", "ids", "lengths", "texts").mapInArrow(first_pass, sketch.PART))
 
     def second_pass(batches):
         for row in chunk_rows(batches):
             ids, texts = chunk_texts(row)
             windows = Windows(texts, width)
             keys, _, which = windows.keys()
-            chosen = np.flatnonzero(sketch.repeated(keys, row["flags"], bits)[which]) if len(keys) else np.empty(0, np.int64)
+            chosen = np.flatnonzero(sketch.estimate(keys, row["flags"], bits)[which] > 0) if len(keys) else np.empty(0, np.int64)
             a, b = (h.view(np.int64) for h in windows.full(chosen))
             own = ids[windows.document[chosen]]
             order = np.lexsort((own, b, a))
