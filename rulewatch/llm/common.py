@@ -33,6 +33,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """As ``stored``, bucketed: joins on the column then move the other side only."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(partitions(df), column).option("compression", "zstd")
+    writer.option("path", scratch(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -149,41 +157,48 @@ def sliding(op, values: np.ndarray, width: int) -> np.ndarray:
 NO_ID = (1 << 63) - 1  # stands for a null id: larger than any other
 
 
-def chunked(df: DataFrame, text: str = "text", key: str = "doc_id", limit: int = CHUNK_BYTES) -> DataFrame:
-    """Documents as stored chunks: ``chunk, words, size, ids, lengths, texts``.
+def chunked(df: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None, limit: int = CHUNK_BYTES) -> DataFrame:
+    """Documents as stored chunks: ``chunk, words, size, ids, lengths, texts, rest``.
 
     The files are bucketed by chunk, so joins with small rows for each chunk move only those.
+    ``rest`` has the columns to carry.
     """
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in carry or ()]) if carry else F.struct(F.lit(True).alias("none"))
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), rest.alias("rest"))
 
     def run(batches):
-        numbers, ids, texts, size = chunk_ids(), [], [], 0
+        numbers, ids, texts, others, size = chunk_ids(), [], [], [], 0
 
         def flush():
+            sink = pa.BufferOutputStream()
+            if carry:
+                table = pa.Table.from_batches([pa.RecordBatch.from_struct_array(x) for x in others])
+                with pa.ipc.new_stream(sink, table.schema) as writer:
+                    writer.write_table(table)
+            others_data = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes()) if carry else b""
             joined = b" ".join(texts)
             words = sum(len(t.split()) for t in texts)
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
             data = zstandard.ZstdCompressor(level=3).compress(joined)
             return pa.RecordBatch.from_arrays(
-                [pa.array([x], kind) for x, kind in ((next(numbers), pa.int64()), (words, pa.int64()), (len(joined), pa.int64()), (np.array(ids, np.int64).tobytes(), pa.binary()), (lengths.tobytes(), pa.binary()), (data, pa.binary()))],
-                ["chunk", "words", "size", "ids", "lengths", "texts"],
+                [pa.array([x], kind) for x, kind in ((next(numbers), pa.int64()), (words, pa.int64()), (len(joined), pa.int64()), (np.array(ids, np.int64).tobytes(), pa.binary()), (lengths.tobytes(), pa.binary()), (data, pa.binary()), (others_data, pa.binary()))],
+                ["chunk", "words", "size", "ids", "lengths", "texts", "rest"],
             )
 
         for part in slices(batches, "text", limit // 4):
             ids += part.column("id").fill_null(NO_ID).to_pylist()
+            others.append(part.column("rest"))
             new = as_bytes(part.column("text"))
             texts += new
             size += sum(map(len, new))
             if size >= limit * 3 // 4:
                 yield flush()
-                ids, texts, size = [], [], 0
+                ids, texts, others, size = [], [], [], 0
         if ids:
             yield flush()
 
-    out = rows.mapInArrow(run, "chunk long, words long, size long, ids binary, lengths binary, texts binary")
-    spark, name = df.sparkSession, f"chunks_{uuid.uuid4().hex}"
-    out.write.bucketBy(partitions(df), "chunk").option("path", scratch(spark, "chunks")).option("compression", "uncompressed").saveAsTable(name)
-    return spark.table(name)
+    out = rows.mapInArrow(run, "chunk long, words long, size long, ids binary, lengths binary, texts binary, rest binary")
+    return bucketed(out, "chunk", "chunks")
 
 
 def chunk_rows(batches):
@@ -201,6 +216,12 @@ def chunk_texts(row: dict) -> tuple[np.ndarray, list[bytes]]:
     return np.frombuffer(row["ids"], np.int64), [data[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist())]
 
 
+def chunk_rest(row: dict) -> pa.Table:
+    """The carried columns of a chunk."""
+    with zstandard.ZstdDecompressor().stream_reader(row["rest"]) as data:
+        return pa.ipc.open_stream(pa.py_buffer(data.read())).read_all()
+
+
 def text_groups(texts: list[bytes], limit: int = 1 << 20):
     """(first, last + 1) of runs of texts of bounded bytes, one text at least."""
     start, size = 0, 0

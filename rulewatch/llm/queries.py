@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rulewatch.llm import ann, bpe, counts, decontaminate, quality, shards, simhash, suffixes, windows
+from rulewatch.llm import ann, bpe, brown, counts, decontaminate, quality, shards, simhash, suffixes, windows
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_token_counts(spark, folder):
     return counts.token_counts(read(spark, folder, "documents"), counts.load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op3_language_model(spark, folder):
+    return brown.document_scores(read(spark, folder, "documents"))
+
+
 def op4_decontamination(spark, folder):
     return decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
@@ -50,5 +54,5 @@ def op10_bpe(spark, folder):
     return bpe.digests(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op4_decontamination, op5_nearest, op6_simhash, op7_shards, op8_suffix_dedup, op9_substring_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_language_model, op4_decontamination, op5_nearest, op6_simhash, op7_shards, op8_suffix_dedup, op9_substring_dedup, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}

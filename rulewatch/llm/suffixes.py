@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rulewatch.llm import sketch
-from rulewatch.llm.common import NO_ID, ODD, RunningSums, chunk_rows, chunk_texts, chunked, flat_ranges, mix, sliding, span_hashes, stored, text_groups
+from rulewatch.llm.common import NO_ID, ODD, RunningSums, chunk_rest, chunk_rows, chunk_texts, chunked, flat_ranges, mix, sliding, span_hashes, stored, text_groups
 
 WIDTH, HEAD = 200, 32
 HOT = 20_000
@@ -405,9 +405,33 @@ def digests(documents: DataFrame) -> DataFrame:
     return remove_repeats(documents).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def keep_unrepeated(documents: DataFrame) -> DataFrame:
+def keep_unrepeated(documents: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """The rows, with all their columns, without repeated bytes; what is left of a character cut
-    apart goes too, ``n_chars`` follows the text, and a text of which nothing is left goes."""
-    rows = stored(documents.withColumn("__row", F.monotonically_increasing_id()), "suffixes")
-    left = remove_repeats(rows, key="__row").where("n_removed > 0").select("__row", F.expr("try_validate_utf8(cast(kept as string))").alias("whole"), "kept")
-    return rows, left
+    apart goes too, ``length`` follows the text, and a row of which nothing is left goes."""
+    names = documents.columns
+    carry = [c for c in names if c != text]
+    chunks = chunked(documents.withColumn("__id", F.lit(0)), text, "__id", carry)
+    places = repeated_places(chunks)
+
+    def cut(batches):
+        for row in chunk_rows(batches):
+            _, texts = chunk_texts(row)
+            gone = covered(row, texts, WIDTH, HEAD)
+            ends = np.cumsum([0, *map(len, texts)])
+            rest = chunk_rest(row).combine_chunks()
+            for first in range(0, len(texts), 512):
+                rows = range(first, min(first + 512, len(texts)))
+                masks = [gone[ends[i] : ends[i + 1]] for i in rows]
+                cut_texts = [np.frombuffer(texts[i], np.uint8)[~m].tobytes().decode("utf-8", "ignore") if m.any() else texts[i].decode() for i, m in zip(rows, masks)]
+                changed = np.array([m.any() for m in masks])
+                keep = np.array([not c or bool(t) for c, t in zip(changed, cut_texts)])
+                part = rest.slice(first, len(rows))
+                columns = {c: part.column(c).combine_chunks() for c in carry}
+                columns[text] = pa.array(cut_texts, pa.string())
+                if length in columns:
+                    sizes = pa.array([len(t) for t in cut_texts], pa.int64()).cast(columns[length].type)
+                    columns[length] = pa.compute.if_else(pa.array(changed), sizes, columns[length])
+                yield pa.RecordBatch.from_pydict({c: columns[c] for c in names}).filter(pa.array(keep))
+
+    out = chunks.select("chunk", "size", "ids", "lengths", "texts", "rest").join(places, "chunk", "left")
+    return out.mapInArrow(cut, documents.schema)
