@@ -11,7 +11,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulewatch.llm import bpe, decontaminate, quality
+from rulewatch.llm import bpe, decontaminate, quality, simhash, suffixes
 from rulewatch.llm.common import stored
 
 
@@ -24,6 +24,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.keep_good(docs, _read(spark, sf_dir, "labels"))
 
 
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group linked by close fingerprints."""
+    return simhash.keep_one(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of 200-byte strings that start anywhere else too."""
+    return suffixes.keep_unrepeated(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lie in benchmark passages."""
     return decontaminate.keep_clean(docs, _read(spark, sf_dir, "benchmark"))
@@ -36,6 +46,8 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("suffix-array dedup", suffix_array_dedup),
     ("benchmark decontamination", benchmark_decontamination),
     ("BPE encoding and decoding", bpe_encoding),
 ]
