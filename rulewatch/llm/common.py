@@ -202,10 +202,18 @@ def chunked(df: DataFrame, text: str = "text", key: str = "doc_id", carry: list[
 
 
 def chunk_rows(batches):
-    """The rows of chunk batches as dicts; texts still compressed."""
+    """The rows of chunk batches as dicts; texts still compressed, lists of numbers as arrays by field."""
     for batch in batches:
         for at in range(batch.num_rows):
-            yield {name: batch.column(name)[at].as_py() for name in batch.schema.names}
+            yield {name: _value(batch.column(name)[at]) for name in batch.schema.names}
+
+
+def _value(scalar: pa.Scalar):
+    kind = scalar.type
+    if scalar.is_valid and pa.types.is_list(kind) and pa.types.is_struct(kind.value_type):
+        if all(pa.types.is_integer(f.type) for f in kind.value_type):
+            return {f.name: scalar.values.field(f.name).to_numpy() for f in kind.value_type}
+    return scalar.as_py()
 
 
 def chunk_texts(row: dict) -> tuple[np.ndarray, list[bytes]]:

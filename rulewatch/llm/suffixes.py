@@ -32,6 +32,7 @@ from rulewatch.llm.common import NO_ID, ODD, RunningSums, chunk_rest, chunk_rows
 
 WIDTH, HEAD = 200, 32
 HOT = 20_000
+STRINGS, HEADS = -1, -2  # buckets of what is exchanged for hot classes
 BUCKET_BYTES = 32 << 20
 _BYTE = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64)
 
@@ -279,7 +280,8 @@ def merged_bucket(table: pa.Table, width: int, head: int) -> pa.Table:
 
 
 def repeated_places(chunks: DataFrame, width: int = WIDTH, head: int = HEAD, hot: int = HOT) -> DataFrame:
-    """``chunk, found, strings``: contexts with repeated offsets, and hashes of repeated hot strings."""
+    """``chunk, found, strings, heads``: contexts with repeated offsets; hashes of repeated strings
+    around the anchors of hot classes, and the heads of those anchors."""
     columns = ("chunk", "size", "ids", "lengths", "texts")
     total = chunks.agg(F.sum("size")).first()[0] or 0
     anchors = 2 * total // (width - head + 2)
@@ -303,7 +305,8 @@ def repeated_places(chunks: DataFrame, width: int = WIDTH, head: int = HEAD, hot
                 _, starts, hashes = anchors.strings(np.flatnonzero(level == 2))
                 _, one = np.unique(starts, return_index=True)  # a string may hold several anchors
                 hashes, counts = np.unique(hashes[one], axis=0, return_counts=True)
-                out.append((-1, np.column_stack((hashes, np.minimum(counts, 2).astype(np.uint64))).tobytes()))
+                out.append((STRINGS, np.column_stack((hashes, np.minimum(counts, 2).astype(np.uint64))).tobytes()))
+                out.append((HEADS, keys[np.unique(which[level == 2])].tobytes()))
             one, counts = anchors.distinct(np.flatnonzero(level == 1))
             data, bucket = anchors.data, (anchors.heads[one] % np.uint64(buckets)).astype(np.int64)
             rights = [data[a:b] for a, b in zip(anchors.at[one].tolist(), anchors.right[one].tolist())]
@@ -326,10 +329,11 @@ def repeated_places(chunks: DataFrame, width: int = WIDTH, head: int = HEAD, hot
                 hashes = np.frombuffer(batch.column("run")[at].as_py(), np.int64).reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*hashes.T, np.full(len(hashes), batch.column("chunk")[at].as_py()))], ["a", "b", "n", "chunk"])
 
-    strings = sent.where("bucket < 0").select("chunk", "run").mapInArrow(unpacked, "a long, b long, n long, chunk long")
+    strings = sent.where(F.col("bucket") == STRINGS).select("chunk", "run").mapInArrow(unpacked, "a long, b long, n long, chunk long")
     strings = strings.withColumn("n", F.sum("n").over(Window.partitionBy("a", "b"))).where("n > 1")
     strings = strings.groupBy("chunk").agg(F.collect_list(F.struct("a", "b")).alias("strings"))
-    return places.join(strings, "chunk", "full")
+    heads = sent.where(F.col("bucket") == HEADS).select("chunk", F.col("run").alias("heads"))
+    return places.join(strings.join(heads, "chunk"), "chunk", "full")
 
 
 def _sorted_lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -363,14 +367,16 @@ def covered(row: dict, texts: list[bytes], width: int, head: int) -> np.ndarray:
         first, last = found[at[hit], 2].astype(np.int64), found[at[hit], 3].astype(np.int64)
         np.add.at(change, anchors.at[hit] - last, 1)
         np.add.at(change, anchors.at[hit] - first + width, -1)
-    if row["strings"]:
-        found = np.array([(x["a"], x["b"]) for x in row["strings"]], np.int64).view(np.uint64)
+    if row["strings"] is not None:
+        found = np.column_stack((row["strings"]["a"], row["strings"]["b"])).view(np.uint64)
         found = found[np.lexsort((found[:, 1], found[:, 0]))]
-        _, starts, hashes = anchors.strings(np.arange(len(anchors.at)))
-        starts = starts[_sorted_lookup(found, hashes) >= 0]
-        np.add.at(change, starts, 1)
-        np.add.at(change, starts + width, -1)
-    return np.cumsum(change[:-1]) > 0
+        hot = np.flatnonzero(np.isin(anchors.heads, np.frombuffer(row["heads"], np.uint64)))
+        for first in range(0, len(hot), 2048):
+            _, starts, hashes = anchors.strings(hot[first : first + 2048])
+            starts = starts[_sorted_lookup(found, hashes) >= 0]
+            np.add.at(change, starts, 1)
+            np.add.at(change, starts + width, -1)
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, head: int = HEAD, hot: int = HOT) -> DataFrame:

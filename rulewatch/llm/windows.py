@@ -118,7 +118,7 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width
             windows = Windows(texts, width)
             mask = np.zeros(len(windows.hashes[0]), bool)
             if row["found"] is not None:
-                a, b, least = (np.frombuffer(row["found"], np.int64).reshape(3, -1))
+                a, b, least = (row["found"][name] for name in ("a", "b", "least"))
                 order = np.lexsort((b, a))
                 a, b, least = a[order], b[order], least[order]
                 mask = _covered(windows, _earlier(windows, ids, a, b, least))
@@ -136,16 +136,6 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width
                     ["id", "n_words", "n_removed", "kept"],
                 )
 
-    def packed(batches):
-        for batch in batches:
-            for at in range(batch.num_rows):
-                values = batch.column("found")[at].values
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("chunk").slice(at, 1), pa.array([b"".join(values.field(n).to_numpy().tobytes() for n in ("a", "b", "least"))], pa.binary())],
-                    ["chunk", "found"],
-                )
-
-    found = found.mapInArrow(packed, "chunk long, found binary")
     out = chunks.select("chunk", "size", "ids", "lengths", "texts").join(found, "chunk", "left").mapInArrow(third_pass, "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", key)
 
