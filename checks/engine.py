@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,7 +11,7 @@ from checks.registry import SHARED_SQL, check
 from rulewatch.functions.hashing import fp_row_hash
 from rulewatch.operators.alerts import open_suppressions, outbox, rule_status
 from rulewatch.operators.findings import (
-    HALF_BITS, SLICE_DIGITS, SLICES, exact_set_hash, flag_false_positives, set_hash, with_row_hash,
+    HALF_BITS, SLICE_DIGITS, SLICES, flag_false_positives, set_hash, with_row_hash,
 )
 from rulewatch.plans.history import error_rows, replay, summarise_runs
 from rulewatch.plans.runner import run_rules, runs_due
@@ -116,14 +117,6 @@ def e04(t):
     return with_row_hash(t["fx_findings"], KEYS)
 
 
-@check("e05_set_hash", f"""
-    SELECT test_name, {DAY}, count(*) AS row_count, sha256(string_agg(h, chr(10) ORDER BY h)) AS incident_hash,
-           true AS is_exact
-    FROM (SELECT *, {ROW_HASH} AS h FROM fx_findings) GROUP BY ALL""")
-def e05(t):
-    return exact_set_hash(t["fx_findings"], KEYS)
-
-
 @check("e05_fingerprint", f"""
     SELECT test_name, {DAY}, count(*) AS row_count, {FINGERPRINT} AS incident_hash
     FROM (SELECT *, {ROW_HASH} AS h FROM fx_findings) GROUP BY ALL""")
@@ -261,7 +254,7 @@ def e03(t):
     )
     log = run_rules(
         spark, configs, t.rules("participant", "establishment"), run_ts,
-        f"{work_dir(spark)}/runner/{t.folder.rsplit('/', 1)[-1]}",
+        f"{work_dir(spark)}/runner-{uuid.uuid4().hex}",
         t["fx_suppression"], t["fx_entry"], fps, {"invalid_email": {"marker": "acme"}},
     )
     return log.select(

@@ -35,7 +35,8 @@ VIEWS = {
         SELECT o_orderkey AS ParticipantId, o_custkey AS DocumentNumberCd,
                concat('P', o_orderkey) AS ParticipantName,
                CASE WHEN o_orderstatus = 'P' THEN '0' ELSE '1' END AS StatusId,
-               o_orderdate AS CreatedAtDttm,
+               o_orderdate AS CreatedAtDttm, CAST(1 + o_orderkey % 2 AS int) AS DocumentTypeId,
+               concat('u', o_custkey % 6) AS CreatedById,
                CASE WHEN o_custkey % 9 = 0 THEN NULL
                     ELSE concat(lower(o_orderstatus), '@', CASE WHEN o_custkey % 4 = 0 THEN 'acme' ELSE 'mail' END)
                END AS EmailName,
@@ -43,22 +44,24 @@ VIEWS = {
                     ELSE concat('9', CAST(10000000 + o_custkey * 7919 AS string)) END AS Phone1Num
         FROM {orders}""",
     "fx_establishment": """
-        SELECT c_custkey AS DocumentCd, CAST(floor(c_custkey / 10) AS bigint) AS RootDocumentCd,
+        SELECT CASE WHEN c_acctbal >= 0 THEN c_custkey ELSE -c_custkey END AS DocumentCd,
+               CAST(floor(c_custkey / 10) AS bigint) AS RootDocumentCd,
                DATE '1995-01-01' + CAST(c_custkey % 2400 AS int) AS ActivityStartDt,
                CASE WHEN c_nationkey = 1 THEN '01' WHEN c_nationkey = 2 THEN '02'
                     WHEN c_nationkey = 3 THEN '09' ELSE '00' END AS RegistrationStatusReasonCd,
                DATE '1996-01-01' + CAST(c_custkey % 700 AS int) AS RegistrationStatusDt
-        FROM {customer} WHERE c_acctbal >= 0""",
+        FROM {customer}""",
     "fx_status_reason": """
         SELECT concat('0', r_regionkey) AS RegistrationStatusReasonCd,
                r_name AS RegistrationStatusReasonDesc FROM {region}""",
     "fx_fi_registration": """
-        SELECT c_custkey AS FundDocumentCd, c_custkey + 100000 AS CvmCd,
-               concat('Fund ', c_custkey) AS FundSocialName
-        FROM {customer} WHERE c_mktsegment = 'MACHINERY'""",
+        SELECT CASE WHEN c_mktsegment = 'MACHINERY' THEN c_custkey ELSE -c_custkey END AS FundDocumentCd,
+               c_custkey + 100000 AS CvmCd, concat('Fund ', c_custkey) AS FundSocialName
+        FROM {customer}""",
     "fx_fund_registration": """
-        SELECT c_custkey AS FundDocumentCd, c_custkey + 200000 AS FundRegistrationId
-        FROM {customer} WHERE c_nationkey = 6""",
+        SELECT CASE WHEN c_nationkey = 6 THEN c_custkey ELSE -c_custkey END AS FundDocumentCd,
+               c_custkey + 200000 AS FundRegistrationId
+        FROM {customer}""",
     "fx_participant_nature": """
         SELECT l_orderkey AS ParticipantId, l_linenumber % 5 AS NatureOperationId,
                CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS StatusId FROM {lineitem}""",
@@ -67,17 +70,21 @@ VIEWS = {
                CASE WHEN r_regionkey = 2 THEN 'FIDC' ELSE r_name END AS DescriptionDesc,
                CASE WHEN r_regionkey = 4 THEN '0' ELSE '1' END AS StatusCd FROM {region}""",
     "fx_ceis": """
-        SELECT c_custkey AS DocumentNumberCd, concat_ws('-', c_custkey % 3, c_mktsegment) AS CEISIncidence
-        FROM {customer} WHERE c_nationkey = 3""",
+        SELECT CASE WHEN c_nationkey = 3 THEN c_custkey END AS SanctionedCpfOrCnpjCd,
+               c_custkey % 3 AS SanctionCodeCd, c_mktsegment AS SanctionCategoryDesc
+        FROM {customer}""",
     "fx_cepim": """
-        SELECT c_custkey AS DocumentNumberCd, concat_ws('-', c_custkey % 5, c_mktsegment) AS CEPIMIncidence
-        FROM {customer} WHERE c_nationkey = 4""",
+        SELECT CASE WHEN c_nationkey = 4 THEN c_custkey END AS EntityCnpjCd,
+               c_custkey % 5 AS AgreementNum, c_mktsegment AS GrantingAgencyDesc
+        FROM {customer}""",
     "fx_cnep": """
-        SELECT c_custkey AS DocumentNumberCd, concat_ws('-', c_custkey % 7, c_mktsegment) AS CNEPIncidence
-        FROM {customer} WHERE c_nationkey IN (3, 7)""",
+        SELECT CASE WHEN c_nationkey IN (3, 7) THEN c_custkey END AS SanctionedCpfOrCnpjCd,
+               c_custkey % 7 AS SanctionCodeCd, c_mktsegment AS SanctionCategoryDesc
+        FROM {customer}""",
     "fx_leniency": """
-        SELECT c_custkey AS DocumentNumberCd, concat_ws('-', c_custkey % 9, c_mktsegment) AS LeniencyIncidence
-        FROM {customer} WHERE c_acctbal > 9000""",
+        SELECT CASE WHEN c_acctbal > 9000 THEN c_custkey END AS SanctionedCompanyCnpjCd,
+               c_custkey % 9 AS ProcessNum, c_mktsegment AS SanctioningOfficeDesc
+        FROM {customer}""",
     "fx_historic": """
         SELECT event_id, ts AS CreatedAtDttm,
                concat('[', event_type, '] [user/participant id: ', user_id, ']') AS DescriptionTxt,
@@ -112,30 +119,36 @@ VIEWS = {
                CASE WHEN user_id % 6 = 0 THEN NULL ELSE CAST(user_id AS string) END AS actor_user_id
         FROM {events}""",
     "fx_employee": """
-        SELECT upper(c_name) AS EmployeeName, concat('Emp', c_custkey, '@ACME.example') AS CorporateEmail,
-               c_mktsegment AS DepartmentName
-        FROM {customer} WHERE c_mktsegment = 'HOUSEHOLD'""",
+        SELECT concat(CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '' ELSE 'EX ' END, upper(c_name)) AS EmployeeName,
+               concat('Emp', c_custkey, '@ACME.example') AS CorporateEmail, c_mktsegment AS DepartmentName,
+               concat('class ', c_nationkey) AS ManagementClassName,
+               DATE '1995-01-01' + CAST(c_custkey % 2400 AS int) AS HireDate
+        FROM {customer}""",
     "fx_associate": """
-        SELECT lower(c_name) AS AssociateName, CAST(floor(c_custkey / 10) AS bigint) AS RootDocumentCd
-        FROM {customer} WHERE c_acctbal > 5000""",
+        SELECT concat(CASE WHEN c_acctbal > 5000 THEN '' ELSE 'late ' END, lower(c_name)) AS AssociateName,
+               c_nationkey AS AssociateQualificationCd, c_custkey * 7 AS AssociateDocumentCd,
+               CAST(floor(c_custkey / 10) AS bigint) AS RootDocumentCd
+        FROM {customer}""",
     "fx_public_company": """
         SELECT DISTINCT CAST(floor(c_custkey / 10) AS bigint) AS RootDocumentCd,
                concat('Company ', CAST(floor(c_custkey / 10) AS bigint)) AS CompanyName
         FROM {customer}""",
     "fx_partner_exception": """
-        SELECT c_name AS AssociateName, concat('P', o_orderkey) AS ParticipantName
-        FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'""",
+        SELECT concat(CASE WHEN o_orderpriority = '1-URGENT' THEN '' ELSE 'not ' END, c_name) AS AssociateName,
+               concat('P', o_orderkey) AS ParticipantName
+        FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
     "fx_hr_employee": """
         SELECT c_name AS Name, concat('Emp', c_custkey, '@ACME.example') AS CorporateEmail,
                c_mktsegment AS DepartmentName,
                DATE '1995-01-01' + CAST(c_custkey % 2400 AS int) AS AdmissionDate
         FROM {customer}""",
     "fx_training": """
-        SELECT concat('emp', o_custkey, '@acme.example') AS Email, concat('M', o_orderkey % 2) AS ModuleName,
+        SELECT concat(CASE WHEN o_orderpriority = '2-HIGH' THEN 'emp' ELSE 'guest' END, o_custkey, '@acme.example') AS Email,
+               concat('M', o_orderkey % 2) AS ModuleName,
                CAST(o_orderdate AS date) AS StartDate,
                CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS date) END AS CompletionDate,
                o_orderstatus AS Status
-        FROM {orders} WHERE o_orderpriority = '2-HIGH'""",
+        FROM {orders}""",
     "fx_audit": """
         SELECT event_id, concat('r', event_id) AS request_id, concat('s', user_id) AS session_id,
                concat('a', user_id % 3) AS account_id, ts AS event_time, CAST(ts AS date) AS event_date,
@@ -153,7 +166,8 @@ VIEWS = {
         FROM {events}""",
     "fx_workspace": """
         SELECT n_nationkey AS workspace_id,
-               concat(n_name, CASE WHEN n_nationkey % 3 = 0 THEN '-prd' ELSE '-dev' END) AS workspace_name
+               concat(n_name, CASE WHEN n_nationkey % 3 = 0 THEN '-prd' ELSE '-dev' END) AS workspace_name,
+               concat('https://w', n_nationkey, '.example') AS workspace_url
         FROM {nation}""",
     "fx_assessment": """
         SELECT o_orderkey AS AssessmentId, CAST(floor(o_custkey / 75) AS bigint) AS ClientCd,
@@ -206,8 +220,8 @@ VIEWS = {
                'cat' AS pending_category, false AS pending_should_activate_channel
         FROM {customer}""",
     "fx_risk": """
-        SELECT concat('R', n_nationkey) AS RiskId, n_name AS RiskTitle, n_regionkey AS nivel_inerente
-        FROM {nation} WHERE n_regionkey <> 4""",
+        SELECT concat(CASE WHEN n_regionkey <> 4 THEN 'R' ELSE 'X' END, n_nationkey) AS RiskId, n_name AS RiskTitle, n_regionkey AS nivel_inerente
+        FROM {nation}""",
     "fx_area": "SELECT c_mktsegment AS Area FROM {customer}",
     "fx_entry": """
         SELECT concat('E', s_suppkey) AS RiskEntryId, s_name AS RiskEntryTitle,
@@ -222,12 +236,14 @@ VIEWS = {
                concat('rule-', CAST(floor(p_partkey / 13) AS bigint)) AS test_name,
                CASE WHEN p_size = 7 THEN NULL ELSE concat('E', p_size * 3) END AS linked_entry_id,
                p_name AS note, concat('u', p_size % 4) AS created_by,
-               DATE '2024-01-01' + CAST(p_size AS int) AS created_at, p_partkey % 4 <> 0 AS active
-        FROM {part} WHERE p_type = 'PROMO'""",
+               DATE '2024-01-01' + CAST(p_size AS int) AS created_at,
+               p_partkey % 4 <> 0 AND p_type = 'PROMO' AS active
+        FROM {part}""",
     "fx_suppression_event": """
-        SELECT suppression_id, created_at + CAST(3 AS int) AS event_at,
+        SELECT concat(CASE WHEN created_by IN ('u1', 'u2') THEN '' ELSE 'old-' END, suppression_id) AS suppression_id,
+               created_at + CAST(3 AS int) AS event_at,
                CASE WHEN created_by = 'u1' THEN 'revoked' ELSE 'renewed' END AS event_type
-        FROM {fx_suppression} WHERE created_by IN ('u1', 'u2')""",
+        FROM {fx_suppression}""",
     "fx_fp": f"""
         SELECT concat('F', p_partkey) AS fp_id,
                concat('rule-', CAST(floor(p_partkey / 13) AS bigint)) AS test_name,
@@ -257,16 +273,17 @@ VIEWS = {
                DATE '2024-01-01' + CAST(p_size AS int) AS event_at
         FROM {part}
         UNION ALL
-        SELECT concat('H2-', p_partkey), concat('F', p_partkey), 'unmarked',
+        SELECT concat('H2-', p_partkey), concat(CASE WHEN p_type = 'PROMO' THEN 'F' ELSE 'G' END, p_partkey), 'unmarked',
                '{{}}', p_name, concat('u', p_size % 3), DATE '2024-02-01' + CAST(p_size AS int)
-        FROM {part} WHERE p_type = 'PROMO'""",
+        FROM {part}""",
     "fx_runs": """
         SELECT concat('rule-', user_id) AS test_name, CAST(ts AS date) AS run_date, max(value) > 200 AS broken
         FROM {events} GROUP BY 1, 2""",
     "fx_findings": """
-        SELECT concat('rule-', user_id) AS test_name, CAST(ts AS date) AS run_date, event_id % 3 AS entity,
-               CASE WHEN event_type = 'error' THEN NULL ELSE 'N' END AS category
-        FROM {events} WHERE value >= 30""",
+        SELECT concat('rule-', user_id) AS test_name,
+               CASE WHEN value >= 30 THEN CAST(ts AS date) ELSE DATE '1990-01-01' END AS run_date,
+               event_id % 3 AS entity, CASE WHEN event_type = 'error' THEN NULL ELSE 'N' END AS category
+        FROM {events}""",
     "fx_runlog": """
         SELECT concat('rule-', user_id) AS TestName, ts AS ExecutionDate,
                CAST(floor(value) AS int) % 30 AS IncidentCount,

@@ -118,11 +118,12 @@ def r09(t):
 
 
 @check("r10_run_history", """
-    WITH p AS (SELECT *, row_number() OVER (ORDER BY ExecutionDate DESC, TestName) - 20 AS rn FROM fx_runlog)
+    WITH p AS (SELECT *, row_number() OVER (ORDER BY ExecutionDate DESC, TestName) AS rn FROM fx_runlog
+               WHERE ExecutionDate < TIMESTAMP '2024-01-20' OR (ExecutionDate = TIMESTAMP '2024-01-20' AND TestName > 'rule-1'))
     SELECT * REPLACE (CAST(ExecutionDate AS VARCHAR) AS ExecutionDate), (SELECT max(rn) FROM p) > 20 AS has_more
     FROM p WHERE rn BETWEEN 1 AND 20""")
 def r10(t):
-    return reports.run_history(t["fx_runlog"], None, 20, 20)
+    return reports.run_history(t["fx_runlog"], None, 20, (dt.datetime(2024, 1, 20), "rule-1"))
 
 
 @check("r11_config_history", "SELECT * REPLACE (CAST(changed_at AS VARCHAR) AS changed_at) FROM fx_history")
@@ -155,7 +156,7 @@ def r12(t):
            b.fp_id AS _fp_id, b.note AS _fp_note, b.marked_by AS _fp_marked_by, CAST(b.marked_at AS VARCHAR) AS _fp_marked_at
     FROM page LEFT JOIN best b ON b.event_id = page.event_id AND b.rn = 1""")
 def r13(t):
-    return reports.findings_view(t["fx_archive"], t["fx_fp"], "rule-3", ["event_id"], search="urch%5")
+    return reports.findings_view(t["fx_archive"], t["fx_fp"], "rule-3", ["event_id"], search="urch%5", limit=500)
 
 
 @check("r13_view_summary", """
@@ -165,10 +166,11 @@ def r13(t):
       HAVING bool_and(coalesce(CASE c.col WHEN 'entity' THEN coalesce(CAST(g.entity AS VARCHAR), '')
                                           WHEN 'category' THEN coalesce(g.category, '') END = c.val, false))),
     page AS (SELECT event_id FROM fx_archive ORDER BY ArchiveDate DESC, event_id LIMIT 500)
-    SELECT count(*) AS count, count(*) FILTER (WHERE event_id IN (SELECT event_id FROM hits)) AS fp_count, count(*) >= 500 AS limited
+    SELECT count(*) AS count, count(*) FILTER (WHERE event_id IN (SELECT event_id FROM hits)) AS fp_count, count(*) < (SELECT count(*) FROM fx_archive) AS limited
     FROM page""")
 def r13_summary(t):
-    return reports.view_summary(reports.findings_view(t["fx_archive"], t["fx_fp"], "rule-3", ["event_id"], all_dates=True))
+    view = reports.findings_view(t["fx_archive"], t["fx_fp"], "rule-3", ["event_id"], limit=500, all_dates=True)
+    return reports.view_summary(view, reports.in_view(t["fx_archive"], all_dates=True))
 
 
 @check("r13_run_dates", """
@@ -193,6 +195,12 @@ def r15(t):
     return reports.suppressions_with_entries(t["fx_suppression"], t["fx_entry"])
 
 
+@check("r15_of_one_rule", """
+    SELECT suppression_id, linked_entry_id FROM fx_suppression WHERE test_id = 'T3'""")
+def r15_rule(t):
+    return reports.suppressions_with_entries(t["fx_suppression"], t["fx_entry"], "T3").select("suppression_id", "linked_entry_id")
+
+
 @check("r16_entry_search", """
     SELECT * FROM fx_entry WHERE (RiskEntryId LIKE '%1%' OR RiskEntryTitle LIKE '%1%')
       AND (ClosingDate IS NULL OR trim(ClosingDate) = '') ORDER BY RiskEntryId LIMIT 50""")
@@ -320,7 +328,7 @@ def r26(t):
            CASE WHEN event_id IN (SELECT event_id FROM hits) THEN 'Sim' ELSE 'Não' END AS FalsoPositivo
     FROM fx_archive""")
 def r14(t):
-    return reports.findings_export(t["fx_archive"], t["fx_fp"], "rule-3", ["event_id"], all_dates=True, limit=None)
+    return reports.findings_export(t["fx_archive"], t["fx_fp"], "rule-3", ["event_id"], all_dates=True)
 
 
 @check("r24_preview", "SELECT event_id, user_id, entity FROM fx_archive ORDER BY event_id LIMIT 10")

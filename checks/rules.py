@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 import rulewatch.rules  # noqa: F401
 from checks.registry import check
+from rulewatch.rules.access import many_ips_addresses, sso_bypass_companies
+from rulewatch.rules.audit_log import acl_change_events
+from rulewatch.rules.participants import inactive_registration_natures
 from rulewatch.rules.registry import build
 
 YEAR98, JAN16 = dt.date(1998, 1, 10), dt.date(2024, 1, 16)
@@ -26,8 +29,7 @@ LAST_MONTH = "CreatedAtDttm BETWEEN TIMESTAMP '1997-12-01' AND TIMESTAMP '1997-1
           LEFT JOIN fx_user_company uc ON uc.UserId = u.UserId
           LEFT JOIN fx_company c ON c.CompanyId = uc.CompanyId)
     SELECT u.UserId, u.EmailAddressTxt, u.UserName,
-           coalesce(string_agg(l.CorporateName, ',' ORDER BY l.CorporateName), '') AS CompanyList,
-           CAST(0 AS BIGINT) AS part
+           count(l.CorporateName) AS CompanyCount
     FROM u JOIN l ON l.UserId = u.UserId
     GROUP BY 1, 2, 3
     HAVING count(*) FILTER (WHERE contains(l.CorporateName, '7')) = 0""")
@@ -36,6 +38,15 @@ def t01(t):
     return build("sso_bypass", tables, JAN16, domain="@acme", marker="7")
 
 
+@check("t01_companies", """
+    WITH u AS (SELECT * FROM fx_user WHERE StatusId = 1 AND regexp_matches(lower(EmailAddressTxt), '@acme')),
+    l AS (SELECT DISTINCT u.UserId, c.CorporateName FROM u
+          JOIN fx_user_company uc ON uc.UserId = u.UserId JOIN fx_company c ON c.CompanyId = uc.CompanyId)
+    SELECT * FROM l WHERE UserId NOT IN (SELECT UserId FROM l WHERE contains(CorporateName, '7'))""")
+def t01_companies(t):
+    return sso_bypass_companies(t.rules("user", "user_company", "company"), JAN16, domain="@acme", marker="7")
+
+
 @check("t02_young_participants", f"""
     SELECT p.DocumentNumberCd, ParticipantId, ParticipantName,
            CAST(e.ActivityStartDt AS VARCHAR) AS CompanyActivityStartDt,
@@ -90,8 +101,10 @@ def t05(t):
              CEISIncidence, CEPIMIncidence, CNEPIncidence, LeniencyIncidence,
              row_number() OVER (PARTITION BY p.DocumentNumberCd ORDER BY p.ParticipantId) AS rn
       FROM (SELECT * FROM {ACTIVE}) p
-      LEFT JOIN fx_ceis USING (DocumentNumberCd) LEFT JOIN fx_cepim USING (DocumentNumberCd)
-      LEFT JOIN fx_cnep USING (DocumentNumberCd) LEFT JOIN fx_leniency USING (DocumentNumberCd)
+      LEFT JOIN (SELECT SanctionedCpfOrCnpjCd AS DocumentNumberCd, SanctionCodeCd || '-' || SanctionCategoryDesc AS CEISIncidence FROM fx_ceis) USING (DocumentNumberCd)
+      LEFT JOIN (SELECT EntityCnpjCd AS DocumentNumberCd, AgreementNum || '-' || GrantingAgencyDesc AS CEPIMIncidence FROM fx_cepim) USING (DocumentNumberCd)
+      LEFT JOIN (SELECT SanctionedCpfOrCnpjCd AS DocumentNumberCd, SanctionCodeCd || '-' || SanctionCategoryDesc AS CNEPIncidence FROM fx_cnep) USING (DocumentNumberCd)
+      LEFT JOIN (SELECT SanctionedCompanyCnpjCd AS DocumentNumberCd, ProcessNum || '-' || SanctioningOfficeDesc AS LeniencyIncidence FROM fx_leniency) USING (DocumentNumberCd)
       WHERE CEISIncidence IS NOT NULL OR CEPIMIncidence IS NOT NULL
          OR CNEPIncidence IS NOT NULL OR LeniencyIncidence IS NOT NULL)
     SELECT * EXCLUDE (rn) FROM joined WHERE rn = 1""")
@@ -100,8 +113,8 @@ def t06(t):
 
 
 @check("t07_unmatched_document", f"""
-    SELECT p.DocumentNumberCd, ParticipantId, ParticipantName, CAST(CreatedAtDttm AS VARCHAR) AS CreatedAtDttm,
-           CAST(e.RootDocumentCd AS VARCHAR) AS RootDocumentCd
+    SELECT p.DocumentNumberCd, ParticipantId, ParticipantName, DocumentTypeId, CreatedById,
+           CAST(CreatedAtDttm AS VARCHAR) AS CreatedAtDttm, CAST(e.RootDocumentCd AS VARCHAR) AS RootDocumentCd
     FROM (SELECT * FROM {ACTIVE}) p LEFT JOIN fx_establishment e ON e.DocumentCd = p.DocumentNumberCd
     WHERE e.RootDocumentCd IS NULL""")
 def t07(t):
@@ -115,15 +128,13 @@ def t08(t):
 
 @check("t09_inactive_registration", f"""
     WITH natures AS (
-      SELECT pn.ParticipantId,
-             coalesce(string_agg(DISTINCT n.DescriptionDesc, ',' ORDER BY n.DescriptionDesc), '') AS OperationNatureDesc
+      SELECT pn.ParticipantId, count(DISTINCT n.DescriptionDesc) AS NatureCount
       FROM fx_participant_nature pn
       LEFT JOIN (SELECT * FROM fx_nature WHERE StatusCd = '1') n USING (NatureOperationId)
       GROUP BY 1)
     SELECT p.ParticipantId, p.DocumentNumberCd, p.ParticipantName, p.StatusId,
-           CAST(e.RegistrationStatusDt AS VARCHAR) AS RegistrationStatusDt, o.OperationNatureDesc,
-           e.RegistrationStatusReasonCd, r.RegistrationStatusReasonDesc,
-           CASE WHEN o.ParticipantId IS NULL THEN NULL ELSE CAST(0 AS BIGINT) END AS part
+           CAST(e.RegistrationStatusDt AS VARCHAR) AS RegistrationStatusDt, coalesce(o.NatureCount, 0) AS NatureCount,
+           e.RegistrationStatusReasonCd, r.RegistrationStatusReasonDesc
     FROM (SELECT * FROM {ACTIVE}) p
     LEFT JOIN fx_establishment e ON e.DocumentCd = p.DocumentNumberCd
     LEFT JOIN fx_status_reason r USING (RegistrationStatusReasonCd)
@@ -134,8 +145,18 @@ def t09(t):
     return build("inactive_registration", tables, YEAR98)
 
 
+@check("t09_natures", f"""
+    SELECT DISTINCT pn.ParticipantId, n.DescriptionDesc FROM fx_participant_nature pn
+    JOIN (SELECT * FROM fx_nature WHERE StatusCd = '1') n USING (NatureOperationId)
+    WHERE pn.ParticipantId IN (SELECT ParticipantId FROM (SELECT * FROM {ACTIVE}) p
+      JOIN fx_establishment e ON e.DocumentCd = p.DocumentNumberCd WHERE e.RegistrationStatusReasonCd <> '00')""")
+def t09_natures(t):
+    tables = t.rules("participant", "establishment", "status_reason", "participant_nature", "nature")
+    return inactive_registration_natures(tables, YEAR98)
+
+
 @check("t10_invalid_email", f"""
-    SELECT ParticipantId, DocumentNumberCd, ParticipantName, EmailName, CAST(CreatedAtDttm AS VARCHAR) AS CreatedAtDttm
+    SELECT ParticipantId, DocumentNumberCd, ParticipantName, EmailName, CAST(CreatedAtDttm AS VARCHAR) AS CreatedAtDttm, CreatedById
     FROM {ACTIVE} AND (EmailName LIKE '%acme%' OR EmailName IS NULL)""")
 def t10(t):
     return build("invalid_email", t.rules("participant"), YEAR98, marker="acme")
@@ -143,7 +164,7 @@ def t10(t):
 
 @check("t11_invalid_phone", f"""
     SELECT ParticipantId, DocumentNumberCd, ParticipantName, StatusId,
-           CAST(CreatedAtDttm AS VARCHAR) AS CreatedAtDttm, EmailName, Phone1Num
+           CAST(CreatedAtDttm AS VARCHAR) AS CreatedAtDttm, DocumentTypeId, CreatedById, EmailName, Phone1Num
     FROM {ACTIVE} AND (Phone1Num IS NULL OR Phone1Num = '' OR length(Phone1Num) < 8
       OR Phone1Num LIKE '%12345%' OR regexp_matches(Phone1Num, '{"|".join(str(i) * 5 for i in range(10))}'))""")
 def t11(t):
@@ -159,13 +180,23 @@ def t11(t):
             WHERE CreatedAtDttm BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31') h
       LEFT JOIN fx_user u ON CAST(u.UserId AS VARCHAR) = h.uid
       WHERE u.EmailAddressTxt IS NOT NULL AND h.ip IS NOT NULL)
-    SELECT EmailAddressTxt, UserId, CAST(d AS VARCHAR) AS "Date", count(*) AS DistinctIPCount,
-           string_agg(ip, ',' ORDER BY ip) AS DistinctIPs, CAST(0 AS BIGINT) AS part
+    SELECT EmailAddressTxt, UserId, CAST(d AS VARCHAR) AS "Date", count(*) AS DistinctIPCount
     FROM base GROUP BY EmailAddressTxt, UserId, d HAVING count(*) > 3""")
 def t12(t):
     return build("many_ips", t.rules("historic", "user"), dt.date(2024, 2, 10))
 
 
+@check("t12_addresses", """
+    WITH h AS (
+      SELECT DISTINCT trim(regexp_extract(DescriptionTxt, 'user/participant id:\\s*([^\\]]+)\\]', 1)) AS UserId,
+             CreatedByIpCd, CAST(CAST(CreatedAtDttm AS DATE) AS VARCHAR) AS "Date"
+      FROM fx_historic WHERE CreatedAtDttm BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31')
+    SELECT * FROM h WHERE UserId IN (SELECT CAST(UserId AS VARCHAR) FROM fx_user WHERE EmailAddressTxt IS NOT NULL)
+      AND (UserId, "Date") IN (SELECT (UserId, "Date") FROM h GROUP BY UserId, "Date" HAVING count(*) > 3)""")
+def t12_addresses(t):
+    return many_ips_addresses(t.rules("historic", "user"), dt.date(2024, 2, 10))
+
+
 def due_before(types: str, new: bool) -> str:
     def parsed(column):
         return f"""coalesce(try_strptime({column}, '%Y-%m-%d'), try_strptime({column}, '%d/%m/%Y'),
@@ -231,18 +262,21 @@ def t17(t):
            '' AS token_reference,
            CASE rule_id WHEN 'token_criado_ou_deletado' THEN 'Evento de criacao/delecao de token/chave.'
                         ELSE 'Evento explicito de exportacao de dados.' END AS evidence,
-           concat('{"id":', id, ',"created_at":"', created_at, '","type":"', type, '","actor_email":"', actor_email, '"',
-                  CASE WHEN actor_user_id IS NULL THEN '' ELSE concat(',"actor_user_id":"', actor_user_id, '"') END,
-                  '}') AS raw_event
+           concat('{"id":', id, ',"created_at":"', created_at, '","type":"', type, '","actor":{"email_address":"', actor_email, '"',
+                  CASE WHEN actor_user_id IS NULL THEN '' ELSE concat(',"user_id":"', actor_user_id, '"') END,
+                  '}}') AS raw_event
     FROM hits WHERE rule_id IS NOT NULL""")
 def t18(t):
-    return build("token_events", t.rules("feed"), JAN16)
+    actor = F.struct(F.col("actor_email").alias("email_address"), F.col("actor_user_id").alias("user_id"))
+    feed = t["fx_feed"].select("id", "created_at", "type", actor.alias("actor"))
+    return build("token_events", {"feed": feed}, JAN16)
 
 
 @check("t19_employee_partners", f"""
     WITH chain AS (
-      SELECT e.CorporateEmail, upper(e.EmployeeName) AS AssociateName, e.DepartmentName, a.RootDocumentCd,
-             c.CompanyName, s.DocumentCd, p.ParticipantId, upper(p.ParticipantName) AS ParticipantName,
+      SELECT e.CorporateEmail, upper(e.EmployeeName) AS AssociateName, e.DepartmentName, e.ManagementClassName,
+             CAST(e.HireDate AS VARCHAR) AS HireDate, a.AssociateQualificationCd, a.AssociateDocumentCd, a.RootDocumentCd,
+             p.CreatedById, c.CompanyName, s.DocumentCd, p.ParticipantId, upper(p.ParticipantName) AS ParticipantName,
              CAST(p.CreatedAtDttm AS VARCHAR) AS CreatedAtDttm
       FROM fx_employee e
       LEFT JOIN fx_associate a ON upper(a.AssociateName) = upper(e.EmployeeName)
@@ -270,55 +304,92 @@ def t20(t):
     return build("overdue_training", t.rules("hr_employee", "training"), YEAR98, hired_since="1995-06-01")
 
 
+# Flat column of the fixture -> key of the log's ``request_params``.
+PARAMS = {
+    "notebook_id": "notebookId", "command_id": "commandId", "command_text": "commandText",
+    "token_hash": "tokenHash", "token_expiration_ms": "tokenExpirationTime",
+}
+PLAIN = ("event_id", "request_id", "session_id", "account_id", "event_time", "event_date", "service_name", "action_name", "workspace_id")
+
+
+def audit_log(t):
+    """The log as a platform writes it: a struct for the user, a map for the request, a struct for the answer."""
+    request = F.create_map(*[x for flat, key in PARAMS.items() for x in (F.lit(key), F.col(flat).cast("string"))])
+    return t["fx_audit"].select(
+        *PLAIN,
+        F.struct(F.col("user_email").alias("email"), F.concat(F.lit("s-"), "account_id").alias("subject_name")).alias("user_identity"),
+        request.alias("request_params"),
+        F.struct(F.lit(200).alias("status_code"), F.col("request_params").alias("result")).alias("response"),
+    )
+
+
+def flat(found):
+    """An event of the log by its parts."""
+    params = [F.col("request_params")[key].alias(name) for name, key in PARAMS.items()]
+    return found.select(*PLAIN, F.col("user_identity.email").alias("user_email"), *params, F.col("response.result").alias("result"))
+
+
+FLAT = f"""{', '.join(PLAIN[:4])}, CAST(event_time AS VARCHAR) AS event_time, CAST(event_date AS VARCHAR) AS event_date,
+           {', '.join(PLAIN[6:])}, user_email, {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in PARAMS)}, request_params AS result"""
+
+
 def audit_of(action: str, more: str = "") -> str:
-    return f"""
-    SELECT * REPLACE (CAST(event_time AS VARCHAR) AS event_time, CAST(event_date AS VARCHAR) AS event_date)
-    FROM fx_audit WHERE action_name = '{action}' AND event_date = DATE '2024-01-15' {more}"""
+    return f"SELECT {FLAT} FROM fx_audit WHERE action_name = '{action}' AND event_date = DATE '2024-01-15' {more}"
 
 
 @check("t21_acl_changes", """
-    SELECT user_email, count(*) AS "count", CAST(0 AS BIGINT) AS part,
-           string_agg(DISTINCT account_id, ',' ORDER BY account_id) AS account_id,
-           string_agg(DISTINCT request_id, ',' ORDER BY request_id) AS request_id,
-           string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS event_id,
-           string_agg(CAST(event_time AS VARCHAR), ',' ORDER BY event_time) AS event_time,
-           string_agg(request_params, ',' ORDER BY request_params) AS request_params
+    SELECT user_email AS email, count(*) AS "count", count(DISTINCT account_id) AS account_count,
+           count(DISTINCT request_id) AS request_count, CAST(min(event_time) AS VARCHAR) AS first_event_time,
+           CAST(max(event_time) AS VARCHAR) AS last_event_time
     FROM fx_audit WHERE action_name = 'runCommand' AND event_date = DATE '2024-01-15'
     GROUP BY user_email""")
 def t21(t):
-    return build("acl_changes", t.rules("audit"), JAN16, action="runCommand")
+    return build("acl_changes", {"audit": audit_log(t)}, JAN16, action="runCommand")
+
+
+@check("t21_events", """
+    SELECT user_email AS email, account_id, request_id, event_id, CAST(event_time AS VARCHAR) AS event_time,
+           concat('{"notebookId":"', notebook_id, '","commandId":"', command_id, '","commandText":"', command_text,
+                  '","tokenHash":"', token_hash, '","tokenExpirationTime":"', token_expiration_ms, '"}') AS request_params,
+           concat('{"status_code":200,"result":"', replace(request_params, '"', '\\"'), '"}') AS response
+    FROM fx_audit WHERE action_name = 'runCommand' AND event_date = DATE '2024-01-15'""")
+def t21_events(t):
+    return acl_change_events({"audit": audit_log(t)}, JAN16, action="runCommand")
 
 
 @check("t22_acl_disabled", audit_of("revokeDbToken"))
 def t22(t):
-    return build("acl_disabled", t.rules("audit"), JAN16, action="revokeDbToken")
+    return flat(build("acl_disabled", {"audit": audit_log(t)}, JAN16, action="revokeDbToken"))
 
 
 @check("t23_bulk_downloads", """
-    WITH d AS (SELECT * FROM fx_audit WHERE action_name = 'downloadLargeResults'),
-    q AS (SELECT user_email, CAST(event_time AS DATE) AS day FROM d
-          WHERE CAST(event_time AS DATE) = DATE '2024-01-15' GROUP BY 1, 2 HAVING count(*) >= 5),
+    WITH d AS (SELECT *, user_email || '/s-' || account_id AS who FROM fx_audit WHERE action_name = 'downloadLargeResults'),
+    q AS (SELECT who, CAST(event_time AS DATE) AS day FROM d
+          WHERE CAST(event_time AS DATE) = DATE '2024-01-15' GROUP BY 1, 2 HAVING count(*) >= 3),
     c AS (SELECT notebook_id, command_id, command_text,
                  row_number() OVER (PARTITION BY notebook_id, command_id ORDER BY event_time, event_id) AS rn
           FROM fx_audit WHERE service_name = 'notebook' AND action_name IN ('runCommand', 'submitCommand')
             AND command_text IS NOT NULL)
     SELECT strftime(d.event_time - INTERVAL 3 HOUR, '%d-%b-%Y %I:%M:%S %p') || ' GMT-3' AS event_time,
-           CAST(d.event_time AS VARCHAR) AS event_ts, d.user_email AS download_user, c.command_text AS statement_text,
-           d.notebook_id, d.command_id, d.request_id, d.event_id, d.session_id
-    FROM d JOIN q ON q.user_email = d.user_email AND q.day = CAST(d.event_time AS DATE)
+           CAST(d.event_time AS VARCHAR) AS event_ts, d.who, c.command_text AS statement_text,
+           CAST(d.notebook_id AS VARCHAR) AS notebook_id, CAST(d.command_id AS VARCHAR) AS command_id,
+           d.request_id, d.event_id, d.session_id
+    FROM d JOIN q ON q.who = d.who AND q.day = CAST(d.event_time AS DATE)
     LEFT JOIN c ON c.notebook_id = d.notebook_id AND c.command_id = d.command_id AND c.rn = 1""")
 def t23(t):
-    return build("bulk_downloads", t.rules("audit"), JAN16)
+    found = build("bulk_downloads", {"audit": audit_log(t)}, JAN16, at_least=3)
+    who = F.concat_ws("/", "download_user_identity.email", "download_user_identity.subject_name")
+    return found.withColumn("who", who).drop("download_user_identity")
 
 
 @check("t24_credentials_created", audit_of("generateDbToken"))
 def t24(t):
-    return build("credentials_created", t.rules("audit"), JAN16, action="generateDbToken")
+    return flat(build("credentials_created", {"audit": audit_log(t)}, JAN16, action="generateDbToken"))
 
 
 @check("t25_unrevoked_tokens", """
     WITH r AS (SELECT token_hash, event_date AS revoke_date FROM fx_audit WHERE action_name = 'revokeDbToken')
-    SELECT g.event_id, g.user_email, g.token_hash, g.workspace_id, w.workspace_name,
+    SELECT g.event_id, g.user_email, CAST(g.token_hash AS VARCHAR) AS token_hash, g.workspace_id, w.workspace_name, w.workspace_url,
            CAST(CAST(make_timestamp(CAST(g.token_expiration_ms AS BIGINT) * 1000) AS DATE) AS VARCHAR) AS expires_on
     FROM fx_audit g LEFT JOIN r ON r.token_hash = g.token_hash
     LEFT JOIN fx_workspace w ON w.workspace_id = g.workspace_id
@@ -326,16 +397,27 @@ def t24(t):
       AND make_timestamp(CAST(g.token_expiration_ms AS BIGINT) * 1000) >= TIMESTAMP '2024-02-01'
       AND w.workspace_name LIKE '%prd%'""")
 def t25(t):
-    found = build("unrevoked_tokens", t.rules("audit", "workspace"), dt.date(2024, 2, 1))
+    found = build("unrevoked_tokens", {"audit": audit_log(t), "workspace": t["fx_workspace"]}, dt.date(2024, 2, 1))
     return found.select(
-        "event_id", "user_email", "token_hash", "workspace_id", "workspace_name",
+        "event_id", F.col("user_identity.email").alias("user_email"), "token_hash", "workspace_id", "workspace_name", "workspace_url",
         F.to_date("token_expiration_dt").alias("expires_on"),
     )
 
 
 @check("t26_permission_changes", audit_of("updatePermissionAssignment", "AND user_email NOT LIKE '%user1@%'"))
 def t26(t):
-    return build("permission_changes", t.rules("audit"), JAN16, automation="user1@")
+    return flat(build("permission_changes", {"audit": audit_log(t)}, JAN16, automation="user1@"))
+
+
+@check("p13_nested_access", f"SELECT {FLAT} FROM fx_audit")
+def p13(t):
+    return flat(audit_log(t))
+
+
+@check("a12_group_by_struct", """
+    SELECT user_email AS email, 's-' || account_id AS subject_name, count(*) AS n FROM fx_audit GROUP BY 1, 2""")
+def a12(t):
+    return audit_log(t).groupBy("user_identity").agg(F.count("*").alias("n")).select("user_identity.*", "n")
 
 
 @check("t27_consumption_peak", """

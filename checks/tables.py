@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F, types as T
 
+from checks.fixtures import DRIVER_TABLES
 from checks.registry import check
 from rulewatch.functions.calendar import in_last_month, since_days
 from rulewatch.functions.predicates import contains_text, date_scope
 from rulewatch.functions.values import json_safe_rows, local_time_label, parse_date
 from rulewatch.operators.grouping import (
-    first_per_key, latest_per_key, list_values, page, page_after, recent_per_key, running_peak,
+    count_values, first_per_key, latest_per_key, page, page_after, values_of, recent_per_key, running_peak,
 )
 from rulewatch.operators.joins import in_any_list
 from rulewatch.rules.consumption import weekly_volume
@@ -23,26 +25,28 @@ from rulewatch.sources.tables import cleanup_plan, column_ranges, table_health
 
 
 def scratch(t, name: str) -> str:
-    return f"{work_dir(t.spark)}/{name}/{t.folder.rsplit('/', 1)[-1]}"
+    """A folder of its own for each call."""
+    return f"{work_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # --- sources and sinks --------------------------------------------------------
 
 
 @check("s05_findings_archive", """
-    SELECT ParticipantId, DocumentNumberCd, EmailName, '2024-02-05 06:00:00' AS ArchiveDate, '2024-02-05' AS archive_dt
-    FROM fx_participant WHERE StatusId = '1' AND (EmailName LIKE '%acme%' OR EmailName IS NULL)""")
+    SELECT ParticipantId, DocumentNumberCd, EmailName, moment AS ArchiveDate, '2024-02-05' AS archive_dt, part AS run_at
+    FROM fx_participant, (VALUES ('2024-02-05 06:00:00', '060000s'), ('2024-02-05 18:30:00', '183000s')) runs(moment, part)
+    WHERE StatusId = '1' AND (EmailName LIKE '%acme%' OR EmailName IS NULL)""")
 def s05(t):
-    """Written twice for one day: the archive holds the findings once."""
+    """Two runs of a day, the first written twice: the archive holds each run's findings once."""
     import rulewatch.rules as rules
 
     found = rules.build("invalid_email", t.rules("participant"), None, marker="acme").select(
         "ParticipantId", "DocumentNumberCd", "EmailName"
     )
     folder = scratch(t, "archive")
-    for _ in range(2):
-        write_findings(found, folder, "tb_incidents_email", dt.datetime(2024, 2, 5, 6))
-    return read_findings(t.spark, folder, "tb_incidents_email")
+    for run_ts in (dt.datetime(2024, 2, 5, 6), dt.datetime(2024, 2, 5, 18, 30), dt.datetime(2024, 2, 5, 6)):
+        write_findings(found, folder, "T/email", run_ts)
+    return read_findings(t.spark, folder, "T/email")
 
 
 @check("s08_replace_by_key", """
@@ -89,7 +93,7 @@ def s12(t):
     FROM fx_archive""")
 def s13(t):
     path = scratch(t, "export")
-    rows = export_rows(t["fx_archive"], ["event_id"], limit=None)
+    rows = export_rows(t["fx_archive"], ["event_id"])
     write_csv(rows, path)
     return read_csv(t.spark, path, rows.columns)
 
@@ -109,11 +113,10 @@ def s14(t):
 
 @check("s15_table_health", " UNION ALL ".join(
     f"SELECT '{n}' AS table_name, count(*) AS row_count, CAST(NULL AS VARCHAR) AS error FROM {n}"
-    for n in ("orders", "lineitem", "events", "customer")
+    for n in DRIVER_TABLES
 ) + " UNION ALL SELECT 'gone', NULL, '''gone'''")
 def s15(t):
-    names = ("orders", "lineitem", "events", "customer")
-    return table_health({n: t[n] for n in names}, [*names, "gone"])
+    return table_health(t.spark, {n: t[n] for n in DRIVER_TABLES}, [*DRIVER_TABLES, "gone"])
 
 
 @check("s16_column_profile", """
@@ -213,7 +216,7 @@ def w03(t):
 
 @check("o03_page", """
     WITH n AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders)
-    SELECT o_orderkey, o_totalprice, n - 200 AS rn, (SELECT count(*) FROM orders) > 300 AS has_more FROM n WHERE n BETWEEN 201 AND 300""")
+    SELECT o_orderkey, o_totalprice, n - 200 AS rn, (SELECT count(*) FROM orders) > 700 AS has_more FROM n WHERE n BETWEEN 201 AND 700""")
 def o03(t):
     return page(t["orders"].select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 500, 200)
 
@@ -254,16 +257,17 @@ def d05(t):
     return t["customer"].select("c_custkey", "c_name").join(large, "c_custkey", "left_anti")
 
 
-@check("a06_value_lists", """
-    WITH v AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
-    c AS (SELECT l_suppkey, count(*) AS distinct_count FROM v GROUP BY 1),
-    p AS (SELECT v.l_suppkey, c.distinct_count, l_partkey,
-                 CAST('0x' || substr(md5(CAST(l_partkey AS VARCHAR)), 1, 8) AS BIGINT) % greatest(1, CAST(ceil(distinct_count / 200.0) AS BIGINT)) AS part
-          FROM v JOIN c ON c.l_suppkey = v.l_suppkey)
-    SELECT l_suppkey, distinct_count, part, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS parts
-    FROM p GROUP BY 1, 2, 3""")
+@check("a06_value_counts", "SELECT l_suppkey, count(DISTINCT l_partkey) AS distinct_count FROM lineitem GROUP BY 1")
 def a06(t):
-    return list_values(t["lineitem"], ["l_suppkey"], "l_partkey", "parts", part_size=200)
+    return count_values(t["lineitem"], ["l_suppkey"], "l_partkey", "distinct_count")
+
+
+@check("a06_values", """
+    SELECT DISTINCT l_suppkey, l_partkey FROM lineitem
+    WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) > 40)""")
+def a06_values(t):
+    found = count_values(t["lineitem"], ["l_suppkey"], "l_partkey", "n", having=F.count("l_partkey") > 40)
+    return values_of(t["lineitem"], found, ["l_suppkey"], "l_partkey")
 
 
 @check("f11_multi_format_date", """

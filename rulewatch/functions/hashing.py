@@ -23,9 +23,3 @@ def fp_row_hash(columns: list[str]) -> Column:
     names = sorted(c for c in columns if c != "ArchiveDate" and not c.startswith("_"))
     values = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names]
     return F.sha2(F.concat_ws("|", *values), 256)
-
-
-def spread(value: Column, parts: Column) -> Column:
-    """An even, engine-neutral number below ``parts`` from the text of a value."""
-    head = F.conv(F.substring(F.md5(value.cast("string")), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(head, parts)

@@ -10,14 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rulewatch.functions.hashing import fp_row_hash, row_hash
-from rulewatch.operators.joins import salted_lookup
+from rulewatch.operators.joins import lookup_join
 
 # The fingerprint reads a SHA-256 in 4 slices of 14 hex digits and sums their halves.
-# A half stays below 2^28, so a BIGINT sum holds for 2^35 findings.
+# Sums are decimals of 38 digits, so no number of findings overflows them.
 SLICES, SLICE_DIGITS, HALF_BITS = 4, 14, 28
-
-# Up to this many findings the exact form is used on request.
-EXACT_LIMIT = 100_000
+SUM = "decimal(38,0)"
 
 CRITERIA = "array<struct<column:string,value:string>>"
 WHOLE_ROW = "#row"  # stands for "the hash of the whole row" among criteria columns
@@ -54,7 +52,7 @@ def fingerprint(
     sums = hashed.groupBy(*keys).agg(
         F.sum(copies).alias("row_count"),
         *[column.alias(name) for name, column in more.items()],
-        *[F.sum(half * copies).alias(name) for name, half in halves.items()],
+        *[F.sum((half * copies).cast(SUM)).cast(SUM).alias(name) for name, half in halves.items()],
     )
     return sums.select(
         *keys,
@@ -69,34 +67,6 @@ def set_hash(findings: DataFrame, keys: list[str]) -> DataFrame:
     return fingerprint(with_row_hash(findings, keys).select(*keys, "row_hash"), keys)
 
 
-def exact_set_hash(findings: DataFrame, keys: list[str], limit: int = EXACT_LIMIT) -> DataFrame:
-    """SHA-256 of the sorted row hashes, one per line, for sets up to ``limit`` rows.
-
-    Larger sets carry the fingerprint instead, so no task has to hold one; equal
-    sets have equal sizes and therefore always the same form.
-    """
-    hashed = with_row_hash(findings, keys).select(*keys, "row_hash")
-    return _exact_where_small(hashed, fingerprint(hashed, keys), keys, limit)
-
-
-def _exact_where_small(hashed: DataFrame, whole: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """``whole`` with the exact hash where a set has at most ``limit`` rows."""
-    small = whole.where(F.col("row_count") <= limit).select(*keys)
-    lines = F.array_join(F.array_sort(F.collect_list("row_hash")), "\n")
-    exact = (
-        salted_lookup(hashed, small, keys, F.col("row_hash"), "left_semi", null_safe=True)
-        .groupBy(*keys)
-        .agg(F.sha2(lines, 256).alias("_exact"))
-    )
-    rest = [c for c in whole.columns if c not in (*keys, "incident_hash")]
-    return whole.join(exact, keys, "left").select(
-        *keys,
-        *rest,
-        F.coalesce("_exact", "incident_hash").alias("incident_hash"),
-        F.col("_exact").isNotNull().alias("is_exact"),
-    )
-
-
 def fp_lookup(false_positives: DataFrame) -> DataFrame:
     """Active false positives as lookup rows ``(test_name, names, wanted) -> fp``.
 
@@ -105,7 +75,8 @@ def fp_lookup(false_positives: DataFrame) -> DataFrame:
     one the wanted hash is NULL, which no row has.  Of several with the same criteria
     the first marked one is kept.
     """
-    parsed = F.from_json("match_criteria", CRITERIA)
+    is_list = F.ltrim("match_criteria").startswith("[")  # a single object is not a list of criteria
+    parsed = F.when(is_list, F.from_json("match_criteria", CRITERIA))
     active = false_positives.where(F.col("active")).withColumn("_c", F.array_sort(parsed))
     has_criteria = F.coalesce(F.size("_c"), F.lit(0)) > 0
     names = F.when(has_criteria, F.transform("_c", lambda c: F.coalesce(c["column"], F.lit(""))))
@@ -119,7 +90,9 @@ def fp_lookup(false_positives: DataFrame) -> DataFrame:
     return rows.groupBy("test_name", "names", "wanted").agg(F.min("fp").alias("fp"))
 
 
-def _with_matches(contents: DataFrame, false_positives: DataFrame, columns: list[str], how: str) -> DataFrame:
+def _with_matches(
+    contents: DataFrame, false_positives: DataFrame, columns: list[str], how: str, rule: str | None = None
+) -> DataFrame:
     """``contents`` joined to the false positives they match, as ``fp``.
 
     ``contents`` has ``test_name``, ``fp_hash`` and the finding's ``columns``.  A row
@@ -136,43 +109,60 @@ def _with_matches(contents: DataFrame, false_positives: DataFrame, columns: list
         .withColumn("_places", F.transform("names", lambda n: F.array_position(cell_names, n).cast("int")))
         .where(F.forall("_places", lambda p: p > 0))
     )
-    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]
-    contents = contents.withColumn("_cells", F.array(*cells, F.col("fp_hash")))
+    contents = contents.withColumnRenamed("cells", "_cells")
+    if rule is None:
+        asked = contents.join(shapes, "test_name", how)
+    else:  # a handful of column sets: with one rule there is no key to join them by
+        known = shapes.agg(F.collect_list(F.struct("names", "_places"))).scalar()
+        asked = contents.select("*", F.inline(known))
+        lookup = lookup.drop("test_name")
     asked = (
-        salted_lookup(contents, shapes, ["test_name"], F.col("fp_hash"), how)
+        asked
         .withColumn("wanted", F.transform("_places", lambda p: F.element_at("_cells", p)))
         .drop("_cells", "_places")
     )
-    return salted_lookup(asked, lookup, ["test_name", "names", "wanted"], F.col("fp_hash"), how)
+    return lookup_join(asked, lookup, [c for c in ("test_name", "names", "wanted") if c in lookup.columns], how)
+
+
+def _cells(columns: list[str]) -> Column:
+    """A finding as text, cell by cell, with the hash of the whole row at the end."""
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]
+    return F.array(*cells, F.col("fp_hash"))
 
 
-def fp_matches(findings: DataFrame, false_positives: DataFrame, keys: list[str]) -> DataFrame:
+def fp_matches(
+    findings: DataFrame, false_positives: DataFrame, keys: list[str], rule: str | None = None
+) -> DataFrame:
     """First matching false positive per distinct finding content.
 
-    Gives ``(test_name, fp_hash, fp)``.  A finding matches when all criteria of
-    any active false positive equal its values as text, NULL being ''.
+    Gives ``(test_name, fp_hash, fp)``, or ``(fp_hash, fp)`` for the findings of one ``rule``.  A finding matches when all criteria of
+    any active false positive equal its values as text, NULL being ''.  Contents are
+    told apart by that text, so findings may hold maps, structs and lists.
     """
     columns = [c for c in findings.columns if c not in keys]
-    contents = (
-        findings.select("test_name", *columns).distinct().withColumn("fp_hash", fp_row_hash(columns))
-    )
-    hits = _with_matches(contents, false_positives, columns, "inner")
-    return hits.groupBy("test_name", "fp_hash").agg(F.min("fp").alias("fp"))
+    hashed = findings.withColumn("fp_hash", fp_row_hash(columns))
+    by = ["fp_hash"] if rule is not None else ["test_name", "fp_hash"]
+    contents = hashed.select(*by, _cells(columns).alias("cells")).distinct()
+    hits = _with_matches(contents, false_positives, columns, "inner", rule)
+    return hits.groupBy(*by).agg(F.min("fp").alias("fp"))
 
 
 def flag_false_positives(
-    findings: DataFrame, false_positives: DataFrame, keys: list[str], attribute: bool = False
+    findings: DataFrame, false_positives: DataFrame, keys: list[str], attribute: bool = False, rule: str | None = None
 ) -> DataFrame:
-    """Findings plus ``_is_false_positive`` and, on request, who marked it and why."""
+    """Findings plus ``_is_false_positive`` and, on request, who marked it and why.
+
+    Findings name their rule in ``test_name``, unless they are all of one ``rule``.
+
+    Findings are read twice, for the contents and for the rows: give a stored table,
+    not the body of a rule.
+    """
     columns = [c for c in findings.columns if c not in keys]
-    matches = fp_matches(findings, false_positives, keys)
-    # Copies of one finding over many runs are spread by run.
-    flagged = salted_lookup(
-        findings.withColumn("fp_hash", fp_row_hash(columns)),
-        matches,
-        ["test_name", "fp_hash"],
-        F.struct(*keys),
-    )
+    if rule is not None:
+        false_positives = false_positives.where(F.col("test_name") == rule)
+    matches = fp_matches(findings, false_positives, keys, rule)
+    by = [c for c in matches.columns if c != "fp"]
+    flagged = findings.withColumn("fp_hash", fp_row_hash(columns)).join(matches, by, "left")
     extra = []
     if attribute:
         extra = [
@@ -192,9 +182,8 @@ def run_counts(findings: DataFrame, false_positives: DataFrame, keys: list[str])
     """
     columns = [c for c in findings.columns if c not in keys]
     contents = findings.groupBy(*findings.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    matched = _with_matches(
-        contents.withColumn("fp_hash", fp_row_hash(columns)), false_positives, columns, "left"
-    )
+    hashed = contents.withColumn("fp_hash", fp_row_hash(columns)).withColumn("cells", _cells(columns))
+    matched = _with_matches(hashed, false_positives, columns, "left")
     flagged = matched.groupBy(*findings.columns).agg(
         F.max("_copies").alias("copies"), F.bool_or(F.col("fp").isNotNull()).alias("is_fp")
     )
@@ -203,14 +192,9 @@ def run_counts(findings: DataFrame, false_positives: DataFrame, keys: list[str])
     return fingerprint(hashed, keys, F.col("copies"), clean_count=clean)
 
 
-def count_hashed(hashed: DataFrame, keys: list[str], limit: int = EXACT_LIMIT) -> DataFrame:
-    """The same for archived rows, which carry ``row_hash`` and their stored flag.
-
-    Sets of up to ``limit`` rows get the exact hash, as a hash log kept elsewhere
-    would hold it; larger ones the fingerprint.
-    """
-    whole = fingerprint(hashed, keys, clean_count=F.count_if(~F.col("_is_false_positive")))
-    return _exact_where_small(hashed.select(*keys, "row_hash"), whole, keys, limit).drop("is_exact")
+def count_hashed(hashed: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for archived rows, which carry ``row_hash`` and their stored flag."""
+    return fingerprint(hashed, keys, clean_count=F.count_if(~F.col("_is_false_positive")))
 
 
 def run_result(clean_count: Column, threshold: Column) -> Column:

@@ -1,19 +1,14 @@
 """Grouping operators that hold up when one group has a large share of the rows.
 
-Picks of one row per key are aggregates, not sorted windows, so Spark combines
-them before the shuffle.  Lists are cut into bounded parts instead of growing
-with the group.
+Picks of one row per key are aggregates, which combine before the shuffle, not
+windows over whole groups.  Values of a key are counted; the values themselves are
+rows of a result of their own, however many there are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rulewatch.functions.hashing import spread
-from rulewatch.operators.joins import salted_lookup
-
-LIST_PART = 10_000
-
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row per key by ``order`` (which should be unique within a key)."""
@@ -37,33 +32,22 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     )
 
 
-def list_values(
-    df: DataFrame, keys: list[str], value: str, name: str, part_size: int = LIST_PART,
-    having: Column | None = None,
+def count_values(
+    df: DataFrame, keys: list[str], value: str, name: str, having: Column | None = None
 ) -> DataFrame:
-    """Sorted distinct values per key, in parts of about ``part_size``.
+    """One row per key with the number of its distinct values; NULL is no value.
 
-    A key with no more values than that has one row, part 0.  A larger one has
-    several rows, so no task ever holds a whole hot group.  NULLs are left out of
-    the lists; a key with nothing else has an empty list.  ``having`` is an
-    aggregate over a key's distinct values that must be true for the key to stay.
+    ``having`` is an aggregate over a key's distinct values that must be true for
+    the key to stay.
     """
-    values = df.select(*keys, value).distinct()
+    counts = df.select(*keys, value).distinct().groupBy(*keys)
     keep = F.lit(True) if having is None else having
-    counts = (
-        values.groupBy(*keys)
-        .agg(F.count(value).alias("distinct_count"), keep.alias("_keep"))
-        .where(F.col("_keep"))
-        .drop("_keep")
-    )
-    parts = F.greatest(F.lit(1), F.ceil(F.col("distinct_count") / F.lit(part_size))).cast("bigint")
-    part = F.coalesce(spread(F.col(value), parts), F.lit(0).cast("bigint"))
-    return (
-        salted_lookup(values, counts, keys, F.col(value), "inner", null_safe=True)
-        .withColumn("part", part)
-        .groupBy(*keys, "distinct_count", "part")
-        .agg(F.array_sort(F.collect_list(value)).alias(name))
-    )
+    return counts.agg(F.count(value).alias(name), keep.alias("_keep")).where("_keep").drop("_keep")
+
+
+def values_of(df: DataFrame, found: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The distinct values of the keys of ``found``, one row each."""
+    return df.select(*keys, value).where(F.col(value).isNotNull()).distinct().join(found.select(*keys).distinct(), keys, "left_semi")
 
 
 def top_groups(
@@ -151,21 +135,21 @@ def previous_values(
     )
 
 
-def page(df: DataFrame, order: list[Column], limit: int = 20, offset: int = 0, most: int = 100) -> DataFrame:
+def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, deepest: int = 10_000) -> DataFrame:
     """One page plus a look-ahead row, with ``has_more`` on every row kept.
 
-    ``limit`` is held between 1 and ``most``.  For deep pages use
-    :func:`page_after`, whose cost does not grow with the offset.
+    All rows up to the end of the page reach one task, so a page that ends beyond
+    ``deepest`` is refused; :func:`page_after` costs the same at any depth.
     """
-    limit, offset = max(1, min(limit, most)), max(0, offset)
+    if limit < 1 or offset < 0 or offset + limit > deepest:
+        raise ValueError(f"a page lies within the first {deepest} rows; go on with page_after")
     return _with_look_ahead(df.orderBy(*order).offset(offset).limit(limit + 1), order, limit)
 
 
-def page_after(
-    df: DataFrame, order: str, tie: str, after: tuple | None, limit: int = 20, most: int = 100
-) -> DataFrame:
+def page_after(df: DataFrame, order: str, tie: str, after: tuple | None, limit: int) -> DataFrame:
     """The page after the row ``after = (order value, tie value)``, newest first."""
-    limit = max(1, min(limit, most))
+    if limit < 1:
+        raise ValueError("a page has one row at least")
     if after is not None:
         last, last_tie = (F.lit(v) for v in after)
         df = df.where((F.col(order) < last) | ((F.col(order) == last) & (F.col(tie) > last_tie)))

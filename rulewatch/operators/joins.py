@@ -4,16 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-MOST_SALTS = 64
-
-
-def salts_for(df: DataFrame) -> int:
-    """How many tasks a hot key is spread over: a quarter of the shuffle partitions."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(MOST_SALTS, partitions // 4))
-
+from pyspark.sql import DataFrame, functions as F
 
 def without(df: DataFrame, other: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows of ``df`` with no partner: what a left join plus IS NULL is used for.
@@ -26,29 +17,14 @@ def without(df: DataFrame, other: DataFrame, on: str | list[str]) -> DataFrame:
     return df.join(other.select(*keys).distinct(), keys, "left_anti")
 
 
-def salted_lookup(
-    df: DataFrame, lookup: DataFrame, on: list[str], row_id: Column, how: str = "left",
-    salts: int | None = None, null_safe: bool = False,
-) -> DataFrame:
-    """Equi-join of a large side to a much smaller one; ``null_safe`` lets NULL meet NULL.
+def lookup_join(df: DataFrame, lookup: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Equi-join that keeps the columns of ``df`` in their order.
 
-    Rows of one hot key are spread over ``salts`` tasks by a number taken from
-    ``row_id``; the small side is repeated once per salt, so the result is that of
-    the plain join.
+    ``lookup`` should be unique by key.  Spark broadcasts it while it measures it
+    small; else it sorts and merges, and splits the partitions of hot keys.
     """
-    salts = salts or salts_for(df)
-    left = df.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-    right = lookup.select(
-        *[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in lookup.columns],
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_on_salt"),
-    )
-    match = F.col("_salt") == F.col("_on_salt")
-    for c in on:
-        left_key, right_key = F.col(c), F.col(f"_on_{c}")
-        match = match & (left_key.eqNullSafe(right_key) if null_safe else left_key == right_key)
-    joined = left.join(right, match, how)
     extra = [] if how in ("left_semi", "left_anti") else [c for c in lookup.columns if c not in on]
-    return joined.select(*df.columns, *extra)
+    return df.join(lookup, on, how).select(*df.columns, *extra)
 
 
 def in_any_list(

@@ -17,7 +17,6 @@ AGGREGATES = ("COUNT", "SUM", "AVG", "MIN", "MAX")
 DATE_RANGES = {"7d": 7, "30d": 30, "90d": 90, "all": None}
 UNSET = ("", "none", "null")
 NO_LABEL = "—"
-MAX_SERIES = 100
 
 
 @dataclasses.dataclass(frozen=True)
@@ -31,7 +30,7 @@ class ChartSpec:
     group_by: str | None = None
     top_n_series: int = 8
     date_range: str = "30d"
-    max_points: int = 200
+    max_points: int | None = None
 
     @classmethod
     def from_json(cls, chart_type: str, config: str | None) -> ChartSpec:
@@ -78,13 +77,10 @@ def chart(findings: DataFrame, spec: ChartSpec, as_of) -> DataFrame:
     if spec.group_by:
         return _series(rows.withColumn("_x", x), spec)
     order = [F.asc_nulls_first("_x")] if by_day else [F.desc_nulls_last("y"), F.asc_nulls_first("_x")]
-    return (
-        rows.groupBy(x.alias("_x"))
-        .agg(measure(spec).alias("y"))
-        .orderBy(*order)
-        .limit(spec.max_points)
-        .select(F.coalesce("_x", F.lit(NO_LABEL)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"))
-    )
+    points = rows.groupBy(x.alias("_x")).agg(measure(spec).alias("y")).orderBy(*order)
+    if spec.max_points is not None:
+        points = points.limit(spec.max_points)
+    return points.select(F.coalesce("_x", F.lit(NO_LABEL)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"))
 
 
 def top_series(rows: DataFrame, spec: ChartSpec, keep_null: bool = False) -> DataFrame:
@@ -93,7 +89,6 @@ def top_series(rows: DataFrame, spec: ChartSpec, keep_null: bool = False) -> Dat
     A NULL series is left out first; ``keep_null`` lets it take a place, although
     it is never drawn.
     """
-    n = max(1, min(spec.top_n_series, MAX_SERIES))
     named = rows.withColumn("series", F.col(spec.group_by).cast("string"))
     if not keep_null:
         named = named.where(F.col("series").isNotNull())
@@ -101,37 +96,20 @@ def top_series(rows: DataFrame, spec: ChartSpec, keep_null: bool = False) -> Dat
         named.groupBy("series")
         .agg(measure(spec).alias("total"))
         .orderBy(F.desc_nulls_last("total"), F.asc_nulls_first("series"))
-        .limit(n)
+        .limit(max(1, spec.top_n_series))
     )
-    # At most MAX_SERIES rows reach this window.
+    # As many rows as series asked for reach this window.
     place = Window.orderBy(F.desc_nulls_last("total"), F.asc_nulls_first("series"))
     return top.withColumn("place", F.row_number().over(place))
 
 
 def _series(rows: DataFrame, spec: ChartSpec) -> DataFrame:
     """Every x of the top series by every top series; a cell without rows is 0."""
-    n = max(1, min(spec.top_n_series, MAX_SERIES))
-    top = F.broadcast(top_series(rows, spec).select("series", "place"))  # at most n rows
-    cells = (
-        rows.withColumn("series", F.col(spec.group_by).cast("string"))
-        .join(top, "series")
-        .where(F.col("_x").isNotNull())
-        .groupBy("_x")
-        .pivot("place", list(range(1, n + 1)))
-        .agg(F.count(F.lit(1)).alias("n"), measure(spec).alias("y"))
-    )
-    # A pivoted cell that had no rows is NULL; one that had rows may hold a NULL y.
-    dense = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("place"),
-                F.when(F.col(f"{i}_n") > 0, F.col(f"{i}_y")).otherwise(F.lit(0)).alias("y"),
-            )
-            for i in range(1, n + 1)
-        ]
-    )
-    return (
-        cells.select(F.col("_x").alias("x"), F.inline(dense))
-        .join(top, "place")
-        .select("x", "series", "y")
-    )
+    top = top_series(rows, spec).select("series")
+    drawn = rows.withColumn("series", F.col(spec.group_by).cast("string")).where(F.col("_x").isNotNull())
+    cells = drawn.join(top, "series", "left_semi").groupBy(F.col("_x").alias("x"), "series").agg(measure(spec).alias("y"), F.lit(True).alias("_drawn"))
+    # The list of series has the length asked for; each x of the chart gets it whole.
+    every = top.agg(F.collect_list("series")).scalar()
+    grid = cells.select("x").distinct().select("x", F.explode(every).alias("series"))
+    y = F.when(F.col("_drawn"), F.col("y")).otherwise(F.lit(0))
+    return grid.join(cells, ["x", "series"], "left").select("x", "series", y.alias("y"))

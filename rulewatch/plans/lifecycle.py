@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rulewatch.operators.grouping import latest_per_key, previous_values
-from rulewatch.operators.joins import salted_lookup
+from rulewatch.operators.joins import lookup_join
 from rulewatch.sources.schemas import STAGED_FIELDS
 
 ORDER = ["changed_at", "history_id"]
@@ -153,7 +153,7 @@ def four_eyes_breaches(history: DataFrame, configs: DataFrame, allowed: list[str
     other = F.col("status_before").isin("UNDER_REVIEW", "PENDING_DELETE")
     answerable = F.when(own_edit, F.col("pending_author")).when(other, F.col("created_by"))
     return (
-        salted_lookup(reviews, creators, ["test_id"], F.col("history_id"))
+        lookup_join(reviews, creators, ["test_id"])
         .withColumn("answerable", answerable)
         .where((F.col("answerable") == F.col("changed_by")) & ~F.col("changed_by").isin(*allowed))
         .select("history_id", "test_id", "change_type", "status_before", "changed_by")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rulewatch.functions.predicates import any_of, is_blank
 from rulewatch.operators.findings import CRITERIA
-from rulewatch.operators.joins import salted_lookup
 from rulewatch.plans.charts import AGGREGATES, CHART_TYPES, DATE_RANGES, UNSET, WIDTHS
 from rulewatch.sources.tables import FINDINGS_PREFIX
 
@@ -78,7 +77,7 @@ def duplicate_names(configs: DataFrame) -> DataFrame:
     for field in ("test_name", "output_table"):
         named = live.select("test_id", F.lit(field).alias("field"), F.lower(field).alias("value"))
         shared = named.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-        part = salted_lookup(named, shared.select("value"), ["value"], F.col("test_id"), "left_semi").select(
+        part = named.join(shared, "value", "left_semi").select(
             "test_id", "field", "value"
         )
         out = part if out is None else out.unionByName(part)

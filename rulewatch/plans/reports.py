@@ -15,8 +15,8 @@ from rulewatch.functions.predicates import contains_text, date_scope, is_blank,
 from rulewatch.functions.values import preview
 from rulewatch.operators.alerts import rule_status
 from rulewatch.operators.findings import flag_false_positives
-from rulewatch.operators.grouping import first_per_key, page, recent_per_key, top_groups, trend
-from rulewatch.operators.joins import salted_lookup
+from rulewatch.operators.grouping import first_per_key, page_after, recent_per_key, top_groups, trend
+from rulewatch.operators.joins import lookup_join
 from rulewatch.sources.export import export_rows
 from rulewatch.sources.tables import find_column
 
@@ -148,7 +148,7 @@ def rules_with_open_entries(
     )
     still_open = entries.where(is_blank("ClosingDate")).select("RiskEntryId").distinct()
     links = (
-        salted_lookup(linked, still_open, ["RiskEntryId"], F.col("test_id"), "left_semi")
+        linked.join(still_open, "RiskEntryId", "left_semi")
         .groupBy("test_id")
         .agg(F.count(F.lit(1)).alias("open_entries"))
     )
@@ -244,11 +244,14 @@ def run_trend(run_log: DataFrame, n: int = 14) -> DataFrame:
 
 
 def run_history(
-    run_log: DataFrame, test_name: str | None = None, limit: int = 20, offset: int = 0
+    run_log: DataFrame, test_name: str | None = None, limit: int = 20, after: tuple | None = None
 ) -> DataFrame:
-    """A page of runs, newest first, of one rule or of all."""
+    """A page of runs, newest first, of one rule or of all.
+
+    ``after`` is the last (ExecutionDate, TestName) of the page before.
+    """
     rows = run_log.where(optional_filters({"TestName": ("=", test_name)}))
-    return page(rows, [F.desc("ExecutionDate"), F.asc("TestName")], limit, offset)
+    return page_after(rows, "ExecutionDate", "TestName", after, limit)
 
 
 def config_history(history: DataFrame, test_id: str | None = None) -> DataFrame:
@@ -280,45 +283,43 @@ def same_as_previous(hash_log: DataFrame) -> DataFrame:
     )
 
 
+def in_view(archive: DataFrame, search: str | None = None, day_column: Column | None = None, **scope) -> DataFrame:
+    """The findings of the scope that hold the text."""
+    days = date_scope(archive, search=search, day_column=day_column, **scope)
+    return archive.where(days & contains_text(archive, search))
+
+
 def findings_view(
     archive: DataFrame, false_positives: DataFrame, test_name: str, order: list[str],
-    search: str | None = None, limit: int = 500, day_column: Column | None = None, **scope,
+    search: str | None = None, *, limit: int, day_column: Column | None = None, **scope,
 ) -> DataFrame:
     """A page of a rule's findings, newest first, with the false positive each matches.
 
     The stored flag is dropped: matching uses the false positives as they are now.
     The page is cut before matching, so only its rows are matched.
     """
-    rows = archive.where(
-        date_scope(archive, search=search, day_column=day_column, **scope) & contains_text(archive, search)
-    )
+    rows = in_view(archive, search, day_column, **scope)
     shown = rows.drop("_is_false_positive").orderBy(F.desc("ArchiveDate"), *order).limit(limit)
-    keyed = shown.withColumn("test_name", F.lit(test_name))
-    return flag_false_positives(keyed, false_positives, ["test_name", "ArchiveDate"], attribute=True).drop("test_name")
+    return flag_false_positives(shown, false_positives, ["ArchiveDate"], attribute=True, rule=test_name)
 
 
 def findings_export(
     archive: DataFrame, false_positives: DataFrame, test_name: str, order: list[str],
-    search: str | None = None, limit: int | None = 10_000, day_column: Column | None = None, **scope,
+    search: str | None = None, limit: int | None = None, day_column: Column | None = None, **scope,
 ) -> DataFrame:
-    """The rows of a CSV export under the filters of the view; ``limit=None`` takes all."""
-    rows = archive.where(
-        date_scope(archive, search=search, day_column=day_column, **scope) & contains_text(archive, search)
-    ).drop("_is_false_positive")
+    """The rows of a CSV export under the filters of the view; all unless a limit is asked for."""
+    rows = in_view(archive, search, day_column, **scope).drop("_is_false_positive")
     if limit is not None:
         rows = rows.orderBy(F.desc("ArchiveDate"), *order).limit(limit)
-    keyed = rows.withColumn("test_name", F.lit(test_name))
-    flagged = flag_false_positives(keyed, false_positives, ["test_name", "ArchiveDate"]).drop("test_name")
+    flagged = flag_false_positives(rows, false_positives, ["ArchiveDate"], rule=test_name)
     return export_rows(flagged, order, limit)
 
 
-def view_summary(view: DataFrame, limit: int = 500) -> DataFrame:
-    """Rows, false positives and whether the page was cut, of a findings view."""
-    return view.agg(
-        F.count(F.lit(1)).alias("count"),
-        F.count_if("_is_false_positive").alias("fp_count"),
-        (F.count(F.lit(1)) >= limit).alias("limited"),
-    )
+def view_summary(view: DataFrame, scope: DataFrame) -> DataFrame:
+    """Rows and false positives of a page, and whether its scope has more rows."""
+    page = view.agg(F.count(F.lit(1)).alias("count"), F.count_if("_is_false_positive").alias("fp_count"))
+    total = scope.select(F.count(F.lit(1))).scalar()
+    return page.withColumn("limited", F.col("count") < total)
 
 
 def run_dates(archive: DataFrame, n: int = 30) -> DataFrame:
@@ -331,17 +332,18 @@ def run_dates(archive: DataFrame, n: int = 30) -> DataFrame:
     )
 
 
-def suppressions_with_entries(suppressions: DataFrame, entries: DataFrame) -> DataFrame:
-    """Suppressions and the state of their risk entry; a missing entry is open."""
+def suppressions_with_entries(suppressions: DataFrame, entries: DataFrame, test_id: str | None = None) -> DataFrame:
+    """Suppressions, of one rule or all, newest first, and the state of their risk entry; a
+    missing entry is open."""
+    suppressions = suppressions.where(optional_filters({"test_id": ("=", test_id)}))
     linked = entries.select(
         F.col("RiskEntryId").alias("linked_entry_id"),
         F.col("RiskEntryTitle").alias("entry_title"),
         F.col("Criticality").alias("entry_criticality"),
         F.col("ClosingDate").alias("entry_closing_date"),
     )
-    return salted_lookup(
-        suppressions, linked, ["linked_entry_id"], F.col("suppression_id")
-    ).withColumn("entry_is_open", is_blank("entry_closing_date"))
+    joined = lookup_join(suppressions, linked, ["linked_entry_id"])
+    return joined.withColumn("entry_is_open", is_blank("entry_closing_date")).orderBy(F.desc("created_at"), "suppression_id")
 
 
 def search_entries(entries: DataFrame, q: str = "", open_only: bool = True, n: int = 50) -> DataFrame:
@@ -369,7 +371,7 @@ def fp_register(false_positives: DataFrame, configs: DataFrame, history: DataFra
         ["event_at", "fp_history_id"],
     ).select("fp_id", "row_data")
     return (
-        salted_lookup(false_positives.where(F.col("active")), rules, ["test_name"], F.col("fp_id"))
+        lookup_join(false_positives.where(F.col("active")), rules, ["test_name"])
         .join(marked, "fp_id", "left")
         .select(
             "fp_id", "test_name", "row_hash", "note", "marked_by", "marked_at", "test_id",

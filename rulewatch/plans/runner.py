@@ -1,9 +1,10 @@
 """The daily run over all due rules.
 
-Each rule body is evaluated once: its findings are flagged and written to the
-archive in one job.  Counts, fingerprints and alert states of all rules then come
-from the written archives in one more plan.  A rule that fails becomes one ERROR
-row and the others go on.
+Each rule body is evaluated once: its findings are written, and flagged from the written
+copy if the rule has false positives.  Counts, fingerprints and alert states of all rules
+then come from the written archives in one more plan.  A rule that fails becomes one ERROR
+row and the others go on.  Rules may run several times a day: a run is compared with the
+logged runs before it, and repeating it replaces just its own rows.
 """
 
 from __future__ import annotations
@@ -15,25 +16,26 @@ from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rulewatch.functions.calendar import frequency_of, is_due
 from rulewatch.functions.hashing import row_hash
 from rulewatch.operators.alerts import classify_run, open_suppressions, outbox
 from rulewatch.operators.findings import count_hashed, flag_false_positives, run_result
+from rulewatch.plans.lint import rule_code
 from rulewatch.rules.registry import build
-from rulewatch.sources.archive import write_findings, write_log
-from rulewatch.sources.schemas import control_schema, empty
+from rulewatch.sources.archive import read_log, run_folder, run_time, write_findings, write_log
+from rulewatch.sources.schemas import CONTROL_DDL, control_schema, to_schema, widen
 
-MAX_CALENDAR_DAYS = 36_600
+# What is left in the archive of a run whose rule failed.
+NO_FINDINGS = "_is_false_positive boolean"
 
 
 def due_calendar(spark: SparkSession, first: dt.date, last: dt.date) -> DataFrame:
     """``(run_date, frequency)`` for every schedule due on every day."""
     days = (last - first).days + 1
-    if not 0 < days <= MAX_CALENDAR_DAYS:
-        raise ValueError(f"a calendar has 1 to {MAX_CALENDAR_DAYS} days, not {days}")
+    if days < 1:
+        raise ValueError(f"{last} lies before {first}")
     run_date = F.date_add(F.lit(first), F.col("id").cast("int"))
     return (
         spark.range(days)
@@ -43,17 +45,13 @@ def due_calendar(spark: SparkSession, first: dt.date, last: dt.date) -> DataFram
 
 
 def runs_due(configs: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
-    """Active rules by the days they are due; an unknown schedule gives ``gate='ERROR'``.
-
-    The calendar has at most three rows per day of a checked range, so it is
-    broadcast and the rules do not move.
-    """
+    """Active rules by the days they are due; an unknown schedule gives ``gate='ERROR'``."""
     calendar = due_calendar(configs.sparkSession, first, last)
     active = configs.where(F.col("status") == "ACTIVE").select(
         "test_id", "test_name", frequency_of(F.col("frequency")).alias("_frequency")
     )
     known = F.col("_frequency").isin("DAILY", "WEEKLY", "MONTHLY")
-    due = active.where(known).join(F.broadcast(calendar), "_frequency").withColumn("gate", F.lit("RUN"))
+    due = active.where(known).join(calendar, "_frequency").withColumn("gate", F.lit("RUN"))
     unknown = active.where(~known).select(
         "*", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("run_date"), F.lit("ERROR").alias("gate")
     )
@@ -63,6 +61,8 @@ def runs_due(configs: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
 def _findings(spark, config, tables, as_of, params) -> DataFrame:
     if config["gate"] == "ERROR":
         raise ValueError(f"unknown frequency: {config['frequency']}")
+    if config["code_error"]:
+        raise ValueError(f"the code may not run: {config['code_error']}")
     kind = (config["query_type"] or "").upper()
     if kind == "SQL":
         return spark.sql(config["query_code"])
@@ -72,13 +72,15 @@ def _findings(spark, config, tables, as_of, params) -> DataFrame:
     raise ValueError(f"unknown query type: {config['query_type']}")
 
 
-def _history(spark, folder, table, before: dt.date) -> DataFrame:
-    """A log without the run day itself, so that repeating a run changes nothing."""
-    try:
-        log = spark.read.parquet(f"{folder}/{table}")
-    except AnalysisException:
-        return empty(spark, table)
-    return log.where(F.col("run_dt") < F.lit(before))
+def run_totals(configs: DataFrame, log: DataFrame) -> DataFrame:
+    """One row: active rules that ran, that were not due, and that failed, in a run's log."""
+    ran = log.select(F.col("TestName").alias("test_name"), "TestResult")
+    every = configs.where(F.col("status") == "ACTIVE").select("test_name").join(ran, "test_name", "left")
+    return every.agg(
+        F.count("TestResult").alias("executed"),
+        F.count_if(F.col("TestResult").isNull()).alias("skipped"),
+        F.count_if(F.col("TestResult") == "ERROR").alias("errors"),
+    )
 
 
 def run_rules(
@@ -93,18 +95,25 @@ def run_rules(
     params: Mapping[str, dict] | None = None,
     workers: int = 4,
 ) -> DataFrame:
-    """Run every rule due at ``run_ts``; returns the run-log rows as written.
+    """Run every rule due at ``run_ts``; returns their run-log rows as written.
 
     ``folder`` gets ``findings/<rule>``, ``run_states``, ``tb_tests_executions``,
-    ``tb_incident_hashes`` and ``outbox``, all in folders by run day.
+    ``tb_incident_hashes`` and ``outbox``, all by run.  To repeat single rules of a run,
+    give their configurations only.
     """
     as_of, params = run_ts.date(), params or {}
+    false_positives = widen(false_positives, control_schema("tb_false_positives"))
+    configs = widen(configs, to_schema(CONTROL_DDL["tb_test_configurations"]))
     due = runs_due(configs, as_of, as_of).select("test_id", "frequency", "gate")
+    wrong = rule_code(configs.where(F.upper("query_type") == "SQL")).select("test_id", F.col("error").alias("code_error"))
     # One row per rule: the driver needs them, since every rule is a plan of its own.
     todo = [
         r.asDict()
-        for r in configs.drop("frequency").join(due, "test_id").collect()
+        for r in configs.drop("frequency").join(due, "test_id").join(wrong, "test_id", "left").collect()
     ]
+    for name in ("test_id", "test_name"):
+        if len({c[name] for c in todo}) < len(todo):
+            raise ValueError(f"two rules to run have one {name}")
     names = [c["test_name"] for c in todo]
     with_fps = {
         r.test_name
@@ -119,45 +128,51 @@ def run_rules(
         try:
             found = _findings(spark, config, tables, as_of, params)
             if config["test_name"] in with_fps:
-                found = flag_false_positives(
-                    found.withColumn("test_name", F.lit(config["test_name"])), false_positives, ["test_name"]
-                ).drop("test_name")
+                raw = write_findings(found, f"{folder}/raw_findings", config["test_id"], run_ts)
+                found = spark.read.parquet(raw).drop("ArchiveDate")
+                found = flag_false_positives(found, false_positives, [], rule=config["test_name"])
             else:
                 found = found.withColumn("_is_false_positive", F.lit(False))
-            write_findings(found, f"{folder}/findings", config["output_table"], run_ts)
-            return config, time.monotonic() - started, None
+            path = write_findings(found, f"{folder}/findings", config["test_id"], run_ts)
+            return config, time.monotonic() - started, None, path
         except Exception:
-            return config, 0.0, traceback.format_exc()
+            problem = traceback.format_exc()
+            # What an earlier attempt of this run found is not what this one found.
+            write_findings(spark.createDataFrame([], NO_FINDINGS), f"{folder}/findings", config["test_id"], run_ts)
+            return config, 0.0, problem, None
 
     with ThreadPoolExecutor(workers) as pool:
         outcomes = list(pool.map(inheritable_thread_target(spark)(run_one), todo))
 
     facts = spark.createDataFrame(
-        [(c["test_id"], c["test_name"], seconds, error) for c, seconds, error in outcomes],
+        [(c["test_id"], c["test_name"], seconds, error) for c, seconds, error, _ in outcomes],
         "test_id string, test_name string, seconds float, error string",
     )
-    written = [c for c, _, error in outcomes if error is None]
+    written = [(c["test_name"], path) for c, _, _, path in outcomes if path]
+    now = run_time(run_ts)
     states = classify_run(
-        _runs(spark, configs, facts, due, written, folder, run_ts, suppressions, entries),
-        _history(spark, folder, "tb_tests_executions", as_of),
-        _history(spark, folder, "tb_incident_hashes", as_of),
+        _runs(spark, configs, facts, due, written, run_ts, suppressions, entries),
+        read_log(spark, folder, "tb_tests_executions").where(F.col("ExecutionDate") < now),
+        read_log(spark, folder, "tb_incident_hashes").where(F.col("execution_date") < now),
     )
     # Written once and read back: the three logs are projections of it, and a lost
     # executor does not send them back to the archives.
     write_log(states, folder, "run_states", run_ts)
-    states = spark.read.parquet(f"{folder}/run_states/run_dt={as_of.isoformat()}")
+    mine = facts.select("test_id")
+    states = spark.read.parquet(f"{folder}/run_states/{run_folder('run_dt', run_ts)}")
+    states = states.withColumn("test_id", F.col("test_id").cast("string")).join(mine, "test_id", "left_semi")
     _write_logs(states, configs, folder, run_ts)
-    return spark.read.parquet(f"{folder}/tb_tests_executions/run_dt={as_of.isoformat()}")
+    log = read_log(spark, folder, "tb_tests_executions", run_ts)
+    return log.join(mine, "test_id", "left_semi").drop("test_id")
 
 
-def _runs(spark, configs, facts, due, written, folder, run_ts, suppressions, entries) -> DataFrame:
+def _runs(spark, configs, facts, due, written, run_ts, suppressions, entries) -> DataFrame:
     """One row per rule of this run, ready to be classified."""
     counted = None
-    for config in written:
-        path = f"{folder}/findings/{config['output_table']}/archive_dt={run_ts.date().isoformat()}"
+    for name, path in written:
         rows = spark.read.parquet(path)
         rows = rows.select(
-            F.lit(config["test_name"]).alias("test_name"),
+            F.lit(name).alias("test_name"),
             "_is_false_positive",
             row_hash(rows.columns).alias("row_hash"),
         )
@@ -165,7 +180,7 @@ def _runs(spark, configs, facts, due, written, folder, run_ts, suppressions, ent
     if counted is None:
         counted = spark.createDataFrame([], "test_name string, _is_false_positive boolean, row_hash string")
     counts = count_hashed(counted, ["test_name"])
-    quiet = open_suppressions(suppressions, entries).where(F.col("open_since") <= F.lit(run_ts))
+    quiet = open_suppressions(suppressions, entries).where(F.col("open_since") <= run_time(run_ts))
     clean = F.coalesce("clean_count", F.lit(0))
     threshold = F.coalesce("threshold", F.lit(0))
     return (
@@ -181,7 +196,7 @@ def _runs(spark, configs, facts, due, written, folder, run_ts, suppressions, ent
                 "result": F.when(F.col("error").isNotNull(), "ERROR").otherwise(run_result(clean, threshold)),
                 "suppressed": F.col("open_since").isNotNull(),
                 "channel": F.coalesce("should_activate_channel", F.lit(True)),
-                "execution_date": F.lit(run_ts).cast("timestamp"),
+                "execution_date": run_time(run_ts),
             }
         )
     )
@@ -189,6 +204,7 @@ def _runs(spark, configs, facts, due, written, folder, run_ts, suppressions, ent
 
 def _write_logs(states: DataFrame, configs: DataFrame, folder: str, run_ts: dt.datetime) -> None:
     run_log = states.select(
+        "test_id",
         F.col("test_name").alias("TestName"),
         F.coalesce("description", F.lit("")).alias("Description"),
         F.coalesce("responsible_area", F.lit("")).alias("ResponsibleArea"),
@@ -208,6 +224,7 @@ def _write_logs(states: DataFrame, configs: DataFrame, folder: str, run_ts: dt.d
     )
     write_log(_typed(run_log, "tb_tests_executions"), folder, "tb_tests_executions", run_ts)
     hash_log = states.where(F.col("result") != "ERROR").select(
+        "test_id",
         "test_name",
         "execution_date",
         "incident_hash",
@@ -216,8 +233,9 @@ def _write_logs(states: DataFrame, configs: DataFrame, folder: str, run_ts: dt.d
         "is_recurrent",
     )
     write_log(_typed(hash_log, "tb_incident_hashes"), folder, "tb_incident_hashes", run_ts)
-    write_log(outbox(states, configs), folder, "outbox", run_ts)
+    sent = outbox(states, configs).join(states.select("test_id", "test_name"), "test_name")
+    write_log(sent, folder, "outbox", run_ts)
 
 
 def _typed(df: DataFrame, table: str) -> DataFrame:
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in control_schema(table)])
+    return df.select("test_id", *[F.col(f.name).cast(f.dataType) for f in control_schema(table)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rulewatch.functions.values import DAY_FIRST, YEAR_FIRST
 from rulewatch.rules.registry import rule, sql_rule
@@ -53,7 +53,7 @@ DUE_BEFORE_REGISTRY = """
 def _due_before_registry(tables, cutoff, types: tuple[int, ...], new_stock: bool, moment: str) -> DataFrame:
     names = F.create_map(*[F.lit(x) for pair in asset_type_names().items() for x in pair])
     return sql_rule(
-        SparkSession.getActiveSession(),
+        tables["asset"].sparkSession,
         DUE_BEFORE_REGISTRY,
         {"asset": tables["asset"].where(F.col("TypeAssetId").isin(*types))},
         {

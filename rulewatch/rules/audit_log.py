@@ -1,34 +1,24 @@
-"""Checks on a platform audit log."""
+"""Checks on a platform audit log.
+
+The log is read as it is: who acted is a struct ``user_identity``, what they asked for a
+map ``request_params``, and the answer a struct ``response``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rulewatch.functions.calendar import day, on_day, previous_day
-from rulewatch.functions.hashing import spread
 from rulewatch.functions.values import from_millis, local_time_label
-from rulewatch.operators.grouping import LIST_PART, first_per_key
-from rulewatch.operators.joins import salted_lookup, without
+from rulewatch.operators.grouping import first_per_key
+from rulewatch.operators.joins import lookup_join, without
 from rulewatch.rules.registry import rule
 
-# Flat column -> key in the log's ``request_params`` map.
-PARAMS = {
-    "notebook_id": "notebookId",
-    "command_id": "commandId",
-    "command_text": "commandText",
-    "token_hash": "tokenHash",
-    "token_expiration_ms": "tokenExpirationTime",
-}
-
-
-def flatten_audit(audit: DataFrame) -> DataFrame:
-    """A log with nested ``user_identity`` and ``request_params`` in flat columns."""
-    return audit.withColumns(
-        {
-            "user_email": F.col("user_identity.email"),
-            **{flat: F.col("request_params")[key] for flat, key in PARAMS.items()},
-        }
-    )
+EMAIL = "user_identity.email"
+
+
+def param(name: str) -> Column:
+    return F.col("request_params")[name]
 
 
 def actions_of_day_before(tables, as_of, action: str) -> DataFrame:
@@ -38,29 +28,37 @@ def actions_of_day_before(tables, as_of, action: str) -> DataFrame:
 
 
 @rule("acl_changes", ("audit",))
-def acl_changes(tables, as_of, action: str = "changeDbTokenAcl", part_size: int = LIST_PART) -> DataFrame:
-    """Who changed access lists on the day before, with the events they made.
+def acl_changes(tables, as_of, action: str = "changeDbTokenAcl") -> DataFrame:
+    """Who changed access lists on the day before, and how much: one row per user.
 
-    ``count`` is the user's total.  A user with very many events takes several
-    rows, told apart by ``part``, each with its own share of the lists.
+    The events themselves are the rows of :func:`acl_change_events`.
     """
-    events = actions_of_day_before(tables, as_of, action)
-    totals = events.groupBy("user_email").agg(F.count("event_id").alias("count"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("count") / F.lit(part_size))).cast("bigint")
     return (
-        salted_lookup(events, totals, ["user_email"], F.col("event_id"), "inner", null_safe=True)
-        .withColumn("part", spread(F.col("event_id"), parts))
-        .groupBy("user_email", "count", "part")
+        actions_of_day_before(tables, as_of, action)
+        .groupBy(F.col(EMAIL).alias("email"))
         .agg(
-            F.array_sort(F.collect_set("account_id")).alias("account_id"),
-            F.array_sort(F.collect_set("request_id")).alias("request_id"),
-            F.array_sort(F.collect_set("event_id")).alias("event_id"),
-            F.array_sort(F.collect_set("event_time")).alias("event_time"),
-            F.array_sort(F.collect_list("request_params")).alias("request_params"),
+            F.count("event_id").alias("count"),
+            F.countDistinct("account_id").alias("account_count"),
+            F.countDistinct("request_id").alias("request_count"),
+            F.min("event_time").alias("first_event_time"),
+            F.max("event_time").alias("last_event_time"),
         )
     )
 
 
+def acl_change_events(tables, as_of, action: str = "changeDbTokenAcl") -> DataFrame:
+    """The events that :func:`acl_changes` counts, with request and answer as JSON."""
+    return actions_of_day_before(tables, as_of, action).select(
+        F.col(EMAIL).alias("email"),
+        "account_id",
+        "request_id",
+        "event_id",
+        "event_time",
+        F.to_json("request_params").alias("request_params"),
+        F.to_json("response").alias("response"),
+    )
+
+
 @rule("acl_disabled", ("audit",))
 def acl_disabled(tables, as_of, action: str = "disableTableAcls") -> DataFrame:
     """Access lists turned off on the day before."""
@@ -81,9 +79,7 @@ def permission_changes(
 
     Events without an e-mail are left out: the comparison gives NULL for them.
     """
-    return actions_of_day_before(tables, as_of, action).where(
-        ~F.col("user_email").contains(automation)
-    )
+    return actions_of_day_before(tables, as_of, action).where(~F.col(EMAIL).contains(automation))
 
 
 @rule("bulk_downloads", ("audit",))
@@ -92,36 +88,40 @@ def bulk_downloads(
 ) -> DataFrame:
     """Downloads of users with at least five on the day before, with the command run.
 
-    Sort the result by ``event_ts``; the label beside it does not sort by time.
+    A user is the whole identity.  Sort the result by ``event_ts``; the label beside it
+    does not sort by time.
     """
     audit = tables["audit"]
     downloads = audit.where(
         (F.col("action_name") == "downloadLargeResults")
         & on_day("event_time", previous_day(as_of))
-    ).select("event_id", "request_id", "session_id", "event_time", "user_email", "notebook_id", "command_id")
+    ).select(
+        "event_id", "request_id", "session_id", "event_time", F.col("user_identity").alias("download_user_identity"),
+        param("notebookId").alias("notebook_id"), param("commandId").alias("command_id"),
+    )
     heavy = (
-        downloads.groupBy("user_email")
+        downloads.groupBy("download_user_identity")
         .agg(F.count(F.lit(1)).alias("n"))
-        .where((F.col("n") >= at_least) & F.col("user_email").isNotNull())
-        .select("user_email")
+        .where((F.col("n") >= at_least) & F.col("download_user_identity").isNotNull())
     )
-    # Hot users, notebooks and workspaces are spread by event.
-    event = F.col("event_id")
-    events = salted_lookup(downloads, heavy, ["user_email"], event, "left_semi")
-    wanted = events.select("notebook_id", "command_id").distinct()
+    events = downloads.join(heavy, "download_user_identity", "left_semi")
+    place = ["notebook_id", "command_id"]
+    wanted = events.select(*place).distinct()
     commands = audit.where(
         (F.col("service_name") == "notebook")
         & F.col("action_name").isin("runCommand", "submitCommand")
-        & F.col("command_text").isNotNull()
-    ).select("notebook_id", "command_id", F.col("command_text").alias("statement_text"), "event_time", "event_id")
-    place = ["notebook_id", "command_id"]
-    commands = salted_lookup(commands, wanted, place, event, "left_semi")
+        & param("commandText").isNotNull()
+    ).select(
+        param("notebookId").alias("notebook_id"), param("commandId").alias("command_id"),
+        param("commandText").alias("statement_text"), "event_time", "event_id",
+    )
+    commands = commands.join(wanted, place, "left_semi")
     # One command per notebook and id: the earliest, so the choice is repeatable.
     texts = first_per_key(commands, place, ["event_time", "event_id"]).select(*place, "statement_text")
-    return salted_lookup(events, texts, place, event).select(
+    return lookup_join(events, texts, place).select(
         local_time_label("event_time", zone, zone_label).alias("event_time"),
         F.col("event_time").alias("event_ts"),
-        F.col("user_email").alias("download_user"),
+        "download_user_identity",
         "statement_text",
         "notebook_id",
         "command_id",
@@ -137,17 +137,17 @@ def unrevoked_tokens(tables, as_of, marker: str = "prd") -> DataFrame:
     audit = tables["audit"]
     revoked = audit.where(
         (F.col("action_name") == "revokeDbToken") & F.col("event_date").isNotNull()
-    ).select("token_hash")
+    ).select(param("tokenHash").alias("token_hash"))
     workspaces = tables["workspace"].where(F.col("workspace_name").contains(marker))
     live = (
         audit.where(F.col("action_name") == "generateDbToken")
-        .withColumn("token_expiration_dt", from_millis(F.col("token_expiration_ms")))
+        .withColumn("token_expiration_dt", from_millis(param("tokenExpirationTime")))
+        .withColumn("token_hash", param("tokenHash"))
         .where(day(as_of) <= F.col("token_expiration_dt"))
     )
-    return salted_lookup(
+    return lookup_join(
         without(live, revoked, "token_hash"),
-        workspaces.select("workspace_id", "workspace_name"),
+        workspaces.select("workspace_id", "workspace_name", "workspace_url"),
         ["workspace_id"],
-        F.col("event_id"),
         "inner",
     )

@@ -51,15 +51,21 @@ FEED_FIELDS = (
 )
 
 
+# Flat name -> field of the feed's ``actor`` struct.
+ACTOR_FIELDS = {
+    "actor_email": "email_address",
+    "actor_user_id": "user_id",
+    "actor_api_key_id": "api_key_id",
+    "actor_id": "id",
+}
+
+
 def flatten_activity(feed: DataFrame) -> DataFrame:
-    """A feed with a nested ``actor`` in the flat columns the classifier reads."""
-    actor = {
-        "actor_email": "email_address",
-        "actor_user_id": "user_id",
-        "actor_api_key_id": "api_key_id",
-        "actor_id": "id",
-    }
-    return feed.withColumns({n: F.col("actor").getField(f) for n, f in actor.items()}).drop("actor")
+    """The fields of ``actor`` beside the columns of the feed, as far as it has them."""
+    if "actor" not in feed.columns:
+        return feed
+    have = feed.schema["actor"].dataType.names
+    return feed.withColumns({n: F.col("actor").getField(f) for n, f in ACTOR_FIELDS.items() if f in have})
 
 
 @rule("token_events", ("feed",))
@@ -71,18 +77,21 @@ def token_events(tables, as_of: dt.date, look_back_days: int = 3) -> DataFrame:
     """
     feed = tables["feed"]
     kind = F.lower("type")
-    at = F.col("created_at").try_cast("timestamp_ntz")
-    end = F.lit(as_of).cast("timestamp_ntz")
+    # A time with an offset is an instant; one without is read in the session's zone.
+    at = F.col("created_at").try_cast("timestamp")
+    end = F.lit(as_of).cast("timestamp")
+    raw = F.to_json(F.struct(*feed.columns))  # the event as it came
     recent = (
-        feed.where((at >= F.date_sub(F.lit(as_of), look_back_days)) & (at <= end))
+        feed.withColumn("raw_event", raw)
+        .where((at >= F.date_sub(F.lit(as_of), look_back_days)) & (at <= end))
         .withColumn(
             "rule_id",
             F.when(kind.isin(*TOKEN_CHANGES), TOKEN_RULE).when(kind.isin(*DATA_EXPORTS), EXPORT_RULE),
         )
         .where(F.col("rule_id").isNotNull())
-        .withColumn("raw_event", F.to_json(F.struct(*feed.columns)))
     )
-    have = [c for c in FEED_FIELDS if c in feed.columns]
+    recent = flatten_activity(recent)
+    have = [c for c in FEED_FIELDS if c in recent.columns]
 
     def first_of(names, default):
         return first_non_empty(*[n for n in names if n in have], default=default)

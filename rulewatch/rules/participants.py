@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rulewatch.functions.calendar import day, in_last_month
-from rulewatch.operators.grouping import first_per_key, list_values
-from rulewatch.operators.joins import in_any_list, salted_lookup, without
+from rulewatch.operators.grouping import count_values, first_per_key, values_of
+from rulewatch.operators.joins import in_any_list, lookup_join, without
 from rulewatch.rules.registry import rule
 
 FUNDS = ("fi_registration", "fund_registration")
@@ -94,12 +94,10 @@ def wrong_fund_nature(tables, as_of, fund_nature: str = "FIDC") -> DataFrame:
     """Active participants of the fund nature that no fund registry knows."""
     nature = tables["nature"].where(F.col("DescriptionDesc") == fund_nature)
     links = tables["participant_nature"].where(F.col("StatusId") == 1)
-    # One nature is left, so its rows are spread by participant.
-    of_nature = salted_lookup(
+    of_nature = lookup_join(
         links.select("ParticipantId", "NatureOperationId"),
         nature.select("NatureOperationId", "DescriptionDesc"),
         ["NatureOperationId"],
-        F.col("ParticipantId"),
         "inner",
     )
     return (
@@ -131,6 +129,15 @@ def duplicate_documents(tables, as_of) -> DataFrame:
     )
 
 
+# Each list with its result column, its document column and what its label is made of.
+SANCTION_LISTS = (
+    ("ceis", "CEISIncidence", "SanctionedCpfOrCnpjCd", ("SanctionCodeCd", "SanctionCategoryDesc")),
+    ("cepim", "CEPIMIncidence", "EntityCnpjCd", ("AgreementNum", "GrantingAgencyDesc")),
+    ("cnep", "CNEPIncidence", "SanctionedCpfOrCnpjCd", ("SanctionCodeCd", "SanctionCategoryDesc")),
+    ("leniency", "LeniencyIncidence", "SanctionedCompanyCnpjCd", ("ProcessNum", "SanctioningOfficeDesc")),
+)
+
+
 @rule("sanctions", ("participant", "ceis", "cepim", "cnep", "leniency"))
 def sanctions(tables, as_of) -> DataFrame:
     """Active participants on any of four sanction lists, one row per document."""
@@ -138,13 +145,13 @@ def sanctions(tables, as_of) -> DataFrame:
         "ParticipantId", "DocumentNumberCd", "ParticipantName", "StatusId"
     )
     lists = {
-        label: (tables[name], label)
-        for name, label in (
-            ("ceis", "CEISIncidence"),
-            ("cepim", "CEPIMIncidence"),
-            ("cnep", "CNEPIncidence"),
-            ("leniency", "LeniencyIncidence"),
+        label: (
+            tables[name].select(
+                F.col(document).alias("DocumentNumberCd"), F.concat_ws("-", *parts).alias(label)
+            ),
+            label,
         )
+        for name, label, document, parts in SANCTION_LISTS
     }
     hits = in_any_list(people, "DocumentNumberCd", lists)
     return first_per_key(hits, ["DocumentNumberCd"], ["ParticipantId"])
@@ -162,7 +169,9 @@ def unmatched_document(tables, as_of) -> DataFrame:
         "DocumentNumberCd",
         "ParticipantId",
         "ParticipantName",
+        "DocumentTypeId",
         "CreatedAtDttm",
+        "CreatedById",
         F.lit(None).cast("string").alias("RootDocumentCd"),
     )
 
@@ -174,7 +183,8 @@ def unmatched_document(tables, as_of) -> DataFrame:
 def inactive_registration(tables, as_of, active_code: str = "00") -> DataFrame:
     """Active participants whose registration status is not the active one.
 
-    A participant with very many natures takes several rows, told apart by ``part``.
+    Their natures of operation are counted; the names are the rows of
+    :func:`inactive_registration_natures`.
     """
     people = active_participants(tables).select(
         "ParticipantId", "DocumentNumberCd", "ParticipantName", "StatusId"
@@ -188,43 +198,41 @@ def inactive_registration(tables, as_of, active_code: str = "00") -> DataFrame:
             "RegistrationStatusDt",
         )
     )
-    participant = F.col("ParticipantId")
-    found = salted_lookup(
-        people.join(inactive, "DocumentNumberCd"),
-        tables["status_reason"].select("RegistrationStatusReasonCd", "RegistrationStatusReasonDesc"),
-        ["RegistrationStatusReasonCd"],
-        participant,
-    )
-    natures = tables["nature"].where(F.col("StatusCd") == "1")
-    linked = salted_lookup(
-        tables["participant_nature"]
-        .select("ParticipantId", "NatureOperationId")
-        .join(found.select("ParticipantId").distinct(), "ParticipantId", "left_semi"),
-        natures.select("NatureOperationId", "DescriptionDesc"),
-        ["NatureOperationId"],
-        participant,
-    )
-    lists = list_values(linked, ["ParticipantId"], "DescriptionDesc", "OperationNatureDesc")
-    return found.join(lists.drop("distinct_count"), "ParticipantId", "left").select(
+    reasons = tables["status_reason"].select("RegistrationStatusReasonCd", "RegistrationStatusReasonDesc")
+    found = lookup_join(people.join(inactive, "DocumentNumberCd"), reasons, ["RegistrationStatusReasonCd"])
+    counts = count_values(_natures(tables), ["ParticipantId"], "DescriptionDesc", "NatureCount")
+    return found.join(counts, "ParticipantId", "left").select(
         "ParticipantId",
         "DocumentNumberCd",
         "ParticipantName",
         "StatusId",
         "RegistrationStatusDt",
-        "OperationNatureDesc",
+        F.coalesce("NatureCount", F.lit(0)).alias("NatureCount"),
         "RegistrationStatusReasonCd",
         "RegistrationStatusReasonDesc",
-        "part",
     )
 
 
+def inactive_registration_natures(tables, as_of, active_code: str = "00") -> DataFrame:
+    """The natures of the participants that :func:`inactive_registration` finds, one row each."""
+    found = inactive_registration(tables, as_of, active_code)
+    return values_of(_natures(tables), found, ["ParticipantId"], "DescriptionDesc")
+
+
+def _natures(tables) -> DataFrame:
+    """Participants by their active natures of operation."""
+    natures = tables["nature"].where(F.col("StatusCd") == "1").select("NatureOperationId", "DescriptionDesc")
+    links = tables["participant_nature"].select("ParticipantId", "NatureOperationId")
+    return lookup_join(links, natures, ["NatureOperationId"], "inner")
+
+
 @rule("invalid_email", ("participant",))
 def invalid_email(tables, as_of, marker: str) -> DataFrame:
     """Active participants with no e-mail, or one that contains the marker."""
     return (
         active_participants(tables)
         .where(F.col("EmailName").contains(marker) | F.col("EmailName").isNull())
-        .select("ParticipantId", "DocumentNumberCd", "ParticipantName", "EmailName", "CreatedAtDttm")
+        .select("ParticipantId", "DocumentNumberCd", "ParticipantName", "EmailName", "CreatedAtDttm", "CreatedById")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rulewatch.functions.calendar import day
-from rulewatch.operators.joins import salted_lookup, without
+from rulewatch.operators.joins import lookup_join, without
 from rulewatch.rules.participants import active_participants
 from rulewatch.rules.registry import rule
 
@@ -22,9 +22,11 @@ def employee_partners(tables, as_of, own_document: str) -> DataFrame:
     ``partner_exception`` and the house's own document are left out.
     """
     partners = tables["employee"].select(
-        "CorporateEmail", F.upper("EmployeeName").alias("AssociateName"), "DepartmentName"
+        "CorporateEmail", F.upper("EmployeeName").alias("AssociateName"), "DepartmentName", "ManagementClassName", "HireDate"
     ).join(
-        tables["associate"].select(F.upper("AssociateName").alias("AssociateName"), "RootDocumentCd"),
+        tables["associate"].select(
+            F.upper("AssociateName").alias("AssociateName"), "AssociateQualificationCd", "AssociateDocumentCd", "RootDocumentCd"
+        ),
         "AssociateName",
     )
     people = active_participants(tables).select(
@@ -32,6 +34,7 @@ def employee_partners(tables, as_of, own_document: str) -> DataFrame:
         F.col("DocumentNumberCd").alias("DocumentCd"),
         F.upper("ParticipantName").alias("ParticipantName"),
         "CreatedAtDttm",
+        "CreatedById",
     )
     # Few employees are partners: their roots cut the registry down before it meets
     # the participants.
@@ -40,12 +43,8 @@ def employee_partners(tables, as_of, own_document: str) -> DataFrame:
         .select("RootDocumentCd", "DocumentCd")
         .where(F.col("DocumentCd").cast("string") != own_document)
     )
-    named_sites = salted_lookup(
-        partners.join(sites, "RootDocumentCd"),
-        tables["public_company"].select("RootDocumentCd", "CompanyName"),
-        ["RootDocumentCd"],
-        F.col("DocumentCd"),
-    )
+    companies = tables["public_company"].select("RootDocumentCd", "CompanyName")
+    named_sites = lookup_join(partners.join(sites, "RootDocumentCd"), companies, ["RootDocumentCd"])
     found = named_sites.join(people, "DocumentCd")
     known = tables["partner_exception"].select(
         F.upper("AssociateName").alias("AssociateName"), F.upper("ParticipantName").alias("ParticipantName")

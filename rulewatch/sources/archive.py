@@ -1,43 +1,73 @@
 """Finding archives, logs and event-sourced control tables on Parquet.
 
-An archive holds one rule's findings, in folders by run day.  A run replaces the
-folder of its own day, so repeating it changes nothing, and readers of other days
-are never disturbed.
+What a rule found in a run lies in a folder of that rule and run; so does each log row.  A
+repeated run of a rule replaces just that, and neither other rules of the run nor other
+runs of the day are touched.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulewatch.operators.grouping import latest_per_key
+from rulewatch.sources.schemas import control_schema, empty, widen
 
 DAY = "archive_dt"
 
 
+def run_time(run_ts: dt.datetime) -> Column:
+    """A run's time; without an offset it is read in the session's time zone, not the machine's."""
+    return F.lit(run_ts.isoformat(sep=" ")).cast("timestamp")
+
+
+def run_folder(day: str, run_ts: dt.datetime) -> str:
+    return f"{day}={run_ts.date().isoformat()}/run_at={run_ts.strftime('%H%M%S')}s"
+
+
 def stamp(findings: DataFrame, run_ts: dt.datetime) -> DataFrame:
     """Findings with the run time every archived row carries."""
-    return findings.withColumn("ArchiveDate", F.lit(run_ts).cast("timestamp"))
+    return findings.withColumn("ArchiveDate", run_time(run_ts))
 
 
-def write_findings(findings: DataFrame, folder: str, rule: str, run_ts: dt.datetime) -> None:
-    """Write one run's findings, replacing those of the same rule and day."""
-    (
-        stamp(findings, run_ts)
-        .write.mode("overwrite")
-        .parquet(f"{folder}/{rule}/{DAY}={run_ts.date().isoformat()}")
-    )
+def write_findings(findings: DataFrame, folder: str, test_id: str, run_ts: dt.datetime) -> str:
+    """Write one run's findings, replacing those of the same rule and run; returns their folder."""
+    path = f"{folder}/{quote(test_id, safe='')}/{run_folder(DAY, run_ts)}"
+    stamp(findings, run_ts).write.mode("overwrite").parquet(path)
+    return path
 
 
-def read_findings(spark: SparkSession, folder: str, rule: str) -> DataFrame:
-    """A rule's archive over all days; columns added later are NULL before."""
-    return spark.read.option("mergeSchema", True).parquet(f"{folder}/{rule}")
+def read_findings(spark: SparkSession, folder: str, test_id: str) -> DataFrame:
+    """A rule's archive over all runs; columns added later are NULL before."""
+    return spark.read.option("mergeSchema", True).parquet(f"{folder}/{quote(test_id, safe='')}")
 
 
 def write_log(rows: DataFrame, folder: str, table: str, run_ts: dt.datetime) -> None:
-    """Write the log rows of one run, replacing those of the same run day."""
-    rows.write.mode("overwrite").parquet(f"{folder}/{table}/run_dt={run_ts.date().isoformat()}")
+    """Write the log rows of a run, replacing those of the same rules (``test_id``) and run.
+
+    One small file a rule and run: compact days that no run will repeat.
+    """
+    writer = rows.repartition("test_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("test_id").parquet(f"{folder}/{table}/{run_folder('run_dt', run_ts)}")
+
+
+def read_log(spark: SparkSession, folder: str, table: str, run_ts: dt.datetime | None = None) -> DataFrame:
+    """A log, or one run of it; columns that an older log lacks are NULL.
+
+    Only a path that is not there counts as an empty log.
+    """
+    path = f"{folder}/{table}" + (f"/{run_folder('run_dt', run_ts)}" if run_ts else "")
+    try:
+        log = spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty(spark, table).withColumn("test_id", F.lit(None).cast("string"))
+    log = log.withColumn("test_id", F.col("test_id").cast("string")) if "test_id" in log.columns else log
+    return widen(log, control_schema(table))
 
 
 def replace_by_key(target: DataFrame, new: DataFrame, key: str) -> DataFrame:

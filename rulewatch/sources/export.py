@@ -10,10 +10,10 @@ BOM = "\ufeff"
 FLAG, YES, NO = "FalsoPositivo", "Sim", "Não"  # fixed values
 
 
-def export_rows(flagged: DataFrame, order: list[str], limit: int | None = 10_000) -> DataFrame:
+def export_rows(flagged: DataFrame, order: list[str], limit: int | None = None) -> DataFrame:
     """Findings as text, newest first, with the false-positive flag in words.
 
-    ``limit=None`` exports every row.
+    Every row, unless a caller asks for a number.
     """
     columns = [c for c in flagged.columns if not c.startswith("_")]
     ordered = flagged.orderBy(F.desc(ARCHIVE_TS), *order)
@@ -25,14 +25,17 @@ def export_rows(flagged: DataFrame, order: list[str], limit: int | None = 10_000
     )
 
 
-def write_csv(rows: DataFrame, path: str, one_file: bool = False) -> None:
+def write_csv(rows: DataFrame, path: str, one_file_rows: int | None = None) -> None:
     """``;`` between values, CRLF between lines, a byte-order mark before the header.
 
-    Each part file is a complete CSV.  ``one_file`` suits a limited export only.
+    Each part file is a complete CSV.  ``one_file_rows`` asks for a single file of so
+    many rows at most; an export that has more is refused, not cut.
     """
     first, *rest = rows.columns
     marked = rows.toDF(BOM + first, *rest)
-    if one_file:
+    if one_file_rows is not None:
+        if rows.limit(one_file_rows + 1).count() > one_file_rows:
+            raise ValueError(f"one file holds {one_file_rows} rows at most")
         marked = marked.coalesce(1)
     (
         marked.write.mode("overwrite")

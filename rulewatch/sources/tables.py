@@ -67,7 +67,7 @@ def load_configs(
     return rows.select(*full.names)
 
 
-def table_health(tables: Mapping[str, DataFrame], names: Iterable[str]) -> DataFrame:
+def table_health(spark: SparkSession, tables: Mapping[str, DataFrame], names: Iterable[str]) -> DataFrame:
     """Row count per table, or the reason why it cannot be read."""
     counts = []
     for name in names:
@@ -80,11 +80,10 @@ def table_health(tables: Mapping[str, DataFrame], names: Iterable[str]) -> DataF
                 )
             )
         except (PySparkException, KeyError) as problem:
-            counts.append((name, str(problem)[:100]))
+            counts.append((name, str(problem)))
     frames = [c for c in counts if isinstance(c, DataFrame)]
     failed = [(n, None, e) for n, e in (c for c in counts if isinstance(c, tuple))]
     if failed:
-        spark = SparkSession.getActiveSession()
         frames.append(
             spark.createDataFrame(failed, "table_name string, row_count bigint, error string")
         )

@@ -6,7 +6,7 @@ import json
 import random
 
 from rulewatch.functions.hashing import fp_row_hash, row_hash
-from rulewatch.operators.findings import exact_set_hash, flag_false_positives, run_counts, run_result, set_hash
+from rulewatch.operators.findings import flag_false_positives, run_counts, run_result, set_hash
 
 FINDINGS = "test_name string, day int, b string, a int"
 FPS = "fp_id string, test_name string, row_hash string, match_criteria string, marked_by string, marked_at int, note string, active boolean"
@@ -23,19 +23,6 @@ def test_set_hash_skips_null_and_fp_hash_does_not(spark):
     assert [r.f for r in rows] == [sha("x||y"), sha("x|y|")]
 
 
-def test_exact_set_hash_is_the_sorted_lines(spark):
-    rows = [("r", 1, "z", 1), ("r", 1, "z", 1), ("r", 1, "y", None), ("s", 1, "z", 1)]
-    got = {r.test_name: r for r in exact_set_hash(spark.createDataFrame(rows, FINDINGS), ["test_name", "day"]).collect()}
-    assert got["r"].incident_hash == sha("\n".join(sorted([sha("1|z"), sha("1|z"), sha("y")])))
-    assert got["r"].row_count == 3 and got["r"].is_exact
-
-
-def test_large_sets_take_the_fingerprint(spark):
-    df = spark.createDataFrame([("r", 1, str(i), i) for i in range(20)] + [("s", 1, "a", 1)], FINDINGS)
-    got = {r.test_name: r.is_exact for r in exact_set_hash(df, ["test_name", "day"], limit=10).collect()}
-    assert got == {"r": False, "s": True}
-
-
 def test_fingerprint_tells_multisets_apart(spark):
     sets = {
         1: [("a", 1), ("b", 2)], 2: [("b", 2), ("a", 1)], 3: [("a", 1), ("b", 2), ("b", 2)],
@@ -121,3 +108,15 @@ def test_no_false_positives_flags_nothing(spark):
 def test_at_the_threshold_a_run_passes(spark):
     df = spark.createDataFrame([(5, 5), (6, 5), (0, -1)], "n int, t int")
     assert [r[0] for r in df.select(run_result(df.n, df.t)).collect()] == ["PASSED", "FAILED", "FAILED"]
+
+
+def test_findings_may_hold_maps_structs_and_lists(spark):
+    found = spark.sql("""SELECT 'r' AS test_name, id % 2 AS day, map('k', concat('v', id % 3)) AS m, named_struct('x', id % 3) AS s,
+                         array(id % 3) AS l FROM range(12)""")
+    fps = spark.createDataFrame([("F", "r", None, '[{"column":"m","value":"{k -> v1}"}]', "u", 1, "n", True),
+                                 ("G", "r", None, '{"column":"s","value":"{2}"}', "u", 1, "n", True)], FPS)
+    flagged = flag_false_positives(found, fps, ["test_name", "day"]).collect()
+    assert len(flagged) == 12 and all(r._is_false_positive == (r.m["k"] == "v1") for r in flagged)
+    one = flag_false_positives(found.drop("test_name"), fps, ["day"], attribute=True, rule="r").collect()
+    assert sorted(r._fp_id for r in one if r._is_false_positive) == ["F"] * 4 and len(one) == 12
+    assert {r.clean_count for r in run_counts(found, fps, ["test_name", "day"]).collect()} == {4}

@@ -2,12 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window, functions as F
 
 from rulewatch.operators.grouping import (
-    first_per_key, latest_per_key, list_values, page, page_after, previous_values, recent_per_key, trend,
+    count_values, first_per_key, latest_per_key, page, page_after, previous_values, recent_per_key, trend, values_of,
 )
-from rulewatch.operators.joins import in_any_list, salted_lookup, without
+from rulewatch.operators.joins import in_any_list, lookup_join, without
 
 
 def skewed(spark, n=900, seed=3):
@@ -17,21 +18,18 @@ def skewed(spark, n=900, seed=3):
     return rows, spark.createDataFrame(rows, "k string, pos int, v int")
 
 
-def test_lists_are_whole_and_cut_into_parts(spark):
+def test_values_are_counted_and_listed(spark):
     rows, df = skewed(spark)
-    out = list_values(df, ["k"], "v", "vs", part_size=10).collect()
-    for key in {r[0] for r in rows}:
-        want = {v for k, _, v in rows if k == key and v is not None}
-        parts = [r for r in out if r.k == key]
-        got = [v for r in parts for v in r.vs]
-        assert sorted(got) == sorted(want)
-        assert all(r.distinct_count == len(want) for r in parts)
-    assert max(len(r.vs) for r in out) < 40 and sum(r.k == "hot" for r in out) > 5
+    want = {k: {v for key, _, v in rows if key == k and v is not None} for k, _, _ in rows}
+    assert {r.k: r.n for r in count_values(df, ["k"], "v", "n").collect()} == {k: len(v) for k, v in want.items()}
+    many = count_values(df, ["k"], "v", "n", having=F.count("v") > 9)
+    listed = [(r.k, r.v) for r in values_of(df, many, ["k"], "v").collect()]
+    assert sorted(listed) == sorted((k, v) for k, vs in want.items() if len(vs) > 9 for v in vs)
 
 
-def test_a_key_with_only_null_has_an_empty_list(spark):
+def test_a_key_with_only_null_has_no_values(spark):
     df = spark.createDataFrame([("a", None), ("b", "x")], "k string, v string")
-    assert {r.k: r.vs for r in list_values(df, ["k"], "v", "vs").collect()} == {"a": [], "b": ["x"]}
+    assert {r.k: r.n for r in count_values(df, ["k"], "v", "n").collect()} == {"a": 0, "b": 1}
 
 
 def test_previous_values_equals_a_plain_window(spark):
@@ -71,21 +69,27 @@ def test_pages_do_not_overlap_and_know_the_end(spark):
     assert seen == list(range(44, -1, -1))
     second = page_after(df.withColumn("tie", F.lit(0)), "n", "tie", (25, 0), 20).orderBy("rn").collect()
     assert [r.n for r in second] == list(range(24, 4, -1)) and second[0].has_more
-    assert page(df, [F.desc("n")], 1000).count() == 45 and page(df, [F.desc("n")], 0).count() == 1
+    assert page(df, [F.desc("n")], 1000).count() == 45
+    for limit, offset in ((0, 0), (5, -1), (10_001, 0), (1, 10_000)):
+        with pytest.raises(ValueError):
+            page(df, [F.desc("n")], limit, offset)
 
 
-def test_salted_lookup_is_the_plain_join(spark):
-    _, df = skewed(spark)
-    lookup = df.groupBy("v").agg(F.max("pos").alias("top"))
-    plain = salted_lookup(df, lookup, ["v"], F.col("pos"), "left", salts=5)
-    assert sorted(plain.collect(), key=str) == sorted(df.join(lookup, "v", "left").select(*plain.columns).collect(), key=str)
-    got = salted_lookup(df, lookup, ["v"], F.col("pos"), "left", salts=5, null_safe=True)
-    want = df.join(lookup.withColumnRenamed("v", "w"), F.col("v").eqNullSafe(F.col("w")), "left").drop("w")
-    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
-    semi = salted_lookup(df, lookup.where("v > 100"), ["v"], F.col("pos"), "left_semi", salts=5)
-    assert sorted(semi.collect(), key=str) == sorted(df.where("v > 100").collect(), key=str)
-    anti = salted_lookup(df, lookup.where("v > 100"), ["v"], F.col("pos"), "left_anti", salts=5)
-    assert sorted(anti.collect(), key=str) == sorted(df.where("v <= 100 OR v IS NULL").collect(), key=str)
+def test_lookup_join_of_a_hot_key(spark):
+    rows, df = skewed(spark)
+    lookup = spark.createDataFrame([("hot", 1), ("k1", 2)], "k string, x int")
+    assert lookup_join(df, lookup, ["k"]).columns == ["k", "pos", "v", "x"]
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for threshold in ("10m", "-1"):
+        for k, v in (conf | {"spark.sql.autoBroadcastJoinThreshold": threshold}).items():
+            spark.conf.set(k, v)
+        got = lookup_join(df, lookup, ["k"]).collect()
+        assert sorted((r.k, r.pos, r.x) for r in got if r.x) == sorted((k, p, 1 if k == "hot" else 2) for k, p, _ in rows if k in ("hot", "k1"))
+        assert len(got) == len(rows) and lookup_join(df, lookup, ["k"], "left_semi").columns == df.columns
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 def test_any_list_never_multiplies(spark):

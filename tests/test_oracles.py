@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as spark_entry
+from checks import registry
 from compare import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = spark_entry.queries(), spark_entry.oracle_sql()
+QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables here")
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from rulewatch.functions.calendar import business_friday, in_last_month, is_due
 from rulewatch.functions.values import first_non_empty, from_millis, json_safe_rows, local_time_label, parse_date
-from rulewatch.rules.audit_log import flatten_audit
-from rulewatch.rules.operations import flatten_activity
+from rulewatch.rules.audit_log import acl_change_events
+from rulewatch.rules.participants import SANCTION_LISTS
 from rulewatch.rules.registry import RULES, build, rule, sql_rule
 
 
@@ -96,33 +96,40 @@ def test_consumption_peak_needs_an_earlier_week(spark):
 
 def test_sanctions_keep_one_row_per_document(spark):
     people = [(2, 7, "b", "1"), (1, 7, "a", "1"), (3, 8, "c", "0"), (4, 9, "d", "1")]
-    lists = {n: spark.createDataFrame([(7, "z"), (7, "y"), (8, "x")], f"DocumentNumberCd int, {label} string")
-             for n, label in (("ceis", "CEISIncidence"), ("cepim", "CEPIMIncidence"), ("cnep", "CNEPIncidence"), ("leniency", "LeniencyIncidence"))}
+    lists = {name: spark.createDataFrame([(7, "z", "1"), (7, "y", None), (8, "x", "1")], f"{document} int, {parts[0]} string, {parts[1]} string")
+             for name, _, document, parts in SANCTION_LISTS}
     tables = {"participant": spark.createDataFrame(people, "ParticipantId int, DocumentNumberCd int, ParticipantName string, StatusId string"), **lists}
     rows = build("sanctions", tables, None).collect()
     assert [(r.DocumentNumberCd, r.ParticipantId, r.CEISIncidence) for r in rows] == [(7, 1, "y")]
 
 
-def test_acl_changes_cut_a_busy_user_into_parts(spark):
-    day = ts("2024-01-15T10:00")
-    rows = [(i, f"r{i}", "a", day, day.date(), "act", "busy" if i % 3 else None, "{}") for i in range(90)]
-    audit = spark.createDataFrame(rows, "event_id int, request_id string, account_id string, event_time timestamp_ntz, event_date date, action_name string, user_email string, request_params string")
-    out = build("acl_changes", {"audit": audit}, dt.date(2024, 1, 16), action="act", part_size=10).collect()
-    for user in ("busy", None):
-        mine = [r for r in out if r.user_email == user]
-        assert {r["count"] for r in mine} == {60 if user else 30}
-        assert sorted(e for r in mine for e in r.event_id) == [i for i in range(90) if bool(i % 3) == bool(user)]
-        assert sum(len(r.request_params) for r in mine) == mine[0]["count"] and len(mine) > 1
+def test_acl_changes_are_one_row_per_user(spark):
+    audit = spark.sql("""SELECT id AS event_id, concat('r', id) AS request_id, 'a' AS account_id, timestamp_ntz'2024-01-15 10:00:00' AS event_time,
+        date'2024-01-15' AS event_date, 'act' AS action_name, named_struct('email', if(id % 3 = 0, NULL, 'busy')) AS user_identity,
+        map('k', concat('v', id)) AS request_params, named_struct('status_code', 200) AS response FROM range(90)""")
+    out = {r.email: r for r in build("acl_changes", {"audit": audit}, dt.date(2024, 1, 16), action="act").collect()}
+    assert {k: (r["count"], r.account_count, r.request_count) for k, r in out.items()} == {"busy": (60, 1, 60), None: (30, 1, 30)}
+    events = acl_change_events({"audit": audit}, dt.date(2024, 1, 16), action="act").where("event_id = 4").first()
+    assert (events.email, events.request_params, events.response) == ("busy", '{"k":"v4"}', '{"status_code":200}')
 
 
-def test_nested_logs_become_flat(spark):
-    audit = spark.sql("""SELECT named_struct('email', 'e') AS user_identity, map('notebookId', 'n', 'tokenHash', 'h') AS request_params""")
-    row = flatten_audit(audit).first()
-    assert (row.user_email, row.notebook_id, row.token_hash, row.command_id) == ("e", "n", "h", None)
+def test_downloads_count_by_the_whole_identity(spark):
+    audit = spark.sql("""SELECT id AS event_id, 'r' AS request_id, 's' AS session_id, timestamp_ntz'2024-01-15 10:00:00' AS event_time,
+        'downloadLargeResults' AS action_name, 'notebook' AS service_name, if(id = 0, NULL, named_struct('email', if(id < 4, NULL, 'e'), 'subject_name', if(id < 8, 'a', 'b'))) AS user_identity,
+        map('notebookId', 'n', 'commandId', 'c') AS request_params FROM range(9)""")
+    found = build("bulk_downloads", {"audit": audit}, dt.date(2024, 1, 16), at_least=3).collect()
+    assert sorted(r.event_id for r in found) == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_the_raw_event_stays_as_it_came(spark):
     feed = spark.sql("""SELECT 1 AS id, '2024-01-15 10:00:00' AS created_at, 'api_key_deleted' AS type, 'org' AS organization_id,
                         named_struct('email_address', '', 'user_id', cast(NULL AS string), 'api_key_id', 'k', 'id', 'i') AS actor, 't' AS token_id""")
-    got = build("token_events", {"feed": flatten_activity(feed)}, dt.date(2024, 1, 16)).first()
+    got = build("token_events", {"feed": feed}, dt.date(2024, 1, 16)).first()
     assert (got.incident_id, got.actor_identifier, got.token_reference, got.organization_uuid) == ("token_criado_ou_deletado::1", "k", "t", "org")
+    assert '"actor":{"email_address":"","api_key_id":"k","id":"i"}' in got.raw_event
+    late = feed.withColumn("created_at", F.lit("2024-01-15T22:30:00-03:00"))  # 01:30 of the 16th in UTC
+    assert build("token_events", {"feed": late}, dt.date(2024, 1, 16)).count() == 0
+    assert build("token_events", {"feed": late}, dt.date(2024, 1, 17)).count() == 1
 
 
 def test_availability_without_requests_is_no_finding(spark):

@@ -1,14 +1,14 @@
 """The daily run: errors stay apart, repeats change nothing, states follow the logs."""
 
 import datetime as dt
-import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from rulewatch.plans.runner import run_rules, runs_due
+from rulewatch.operators.findings import set_hash
+from rulewatch.plans.runner import run_rules, run_totals, runs_due
 from rulewatch.rules.registry import RULES, rule
-from rulewatch.sources.archive import read_findings
+from rulewatch.sources.archive import read_findings, read_log, run_time, write_log
 
 CONFIG = ("test_id string, test_name string, output_table string, description string, responsible_area string, risco_id string, "
           "threshold int, frequency string, query_type string, query_code string, status string, should_activate_channel boolean")
@@ -41,16 +41,19 @@ def world(spark, tmp_path):
         CONFIG,
     )
 
-    def run(n, rows, fps=(), suppressions=(), entries=()):
-        data = spark.createDataFrame(rows, "n int, word string, bad boolean")
+    def run(n, rows, fps=(), suppressions=(), entries=(), hour=6, only=None, code=None, fp_schema=FPS):
+        data = spark.createDataFrame(rows or [], "n int, word string, bad boolean")
         data.createOrReplaceTempView("probe_data")
+        mine = configs.where(F.col("test_id").isin(only)) if only else configs
+        mine = mine.withColumn("query_code", F.lit(code)) if code else mine
         log = run_rules(
-            spark, configs, {"data": data}, day(n), str(tmp_path),
+            spark, mine, {"data": data} if rows is not None else {}, day(n).replace(hour=hour), str(tmp_path),
             spark.createDataFrame(list(suppressions), SUP), spark.createDataFrame(list(entries), "RiskEntryId string, ClosingDate string"),
-            spark.createDataFrame(list(fps), FPS),
+            spark.createDataFrame(list(fps), fp_schema),
         )
         return {r.TestName: r for r in log.collect()}
 
+    run.configs = configs
     return run, str(tmp_path), spark
 
 
@@ -85,24 +88,80 @@ def test_states_follow_the_logs_and_repeats_change_nothing(world):
     known = [("F", "python rule", None, '[{"column":"word","value":"a"}]', "u", dt.date(2024, 1, 1), "ok", True)]
     assert state(run(5, ROWS, fps=known))[0] == "PASSED"
 
-    archive = read_findings(spark, f"{folder}/findings", "tb_incidents_1")
+    archive = read_findings(spark, f"{folder}/findings", "T1")
     assert archive.count() == 10 and archive.where("_is_false_positive").count() == 1
     assert archive.groupBy("archive_dt").count().agg(F.max("count")).first()[0] == 2
-    logs = spark.read.parquet(f"{folder}/tb_tests_executions")
+    logs = read_log(spark, folder, "tb_tests_executions")
     assert logs.where("TestName = 'python rule'").count() == 5
     # Day 5 is a Friday.
     assert logs.where("TestName = 'weekly'").count() == 1
-    hashes = spark.read.parquet(f"{folder}/tb_incident_hashes")
+    hashes = read_log(spark, folder, "tb_incident_hashes")
     assert hashes.where("test_name = 'fails late'").count() == 0
-    # The stored hash is that of the sorted row hashes: columns bad, n, word.
-    lines = sorted(hashlib.sha256(f"true|{n}|{word}".encode()).hexdigest() for n, word in ((1, "a"), (2, "b")))
-    stored = {r.incident_hash for r in hashes.where("test_name = 'python rule'").collect()}
-    assert stored == {hashlib.sha256("\n".join(lines).encode()).hexdigest()}
+    # The stored hash is the fingerprint that replaying all history gives, whatever the size.
+    found = archive.where("archive_dt = '2024-01-01'").select("n", "word", "bad").withColumns({"test_name": F.lit("python rule"), "day": F.lit(1)})
+    assert {r.incident_hash for r in hashes.where("test_name = 'python rule'").collect()} == {set_hash(found, ["test_name", "day"]).first().incident_hash}
     assert hashes.where("test_name = 'sql rule' AND incident_hash IS NULL AND row_count = 0").count() == 5
     sent = [r.payload for r in spark.read.parquet(f"{folder}/outbox").where("test_name = 'python rule'").orderBy("execution_date").collect()]
     assert len(sent) == 2 and '"incident_count":2' in sent[0]
 
 
+def test_runs_of_one_day_are_kept_and_compared(world):
+    run, folder, spark = world
+    assert run(1, ROWS)["python rule"].IsContinued is False
+    assert run(1, ROWS, hour=9, only=["T1"])["python rule"].IsContinued is True
+    logs = read_log(spark, folder, "tb_tests_executions")
+    assert logs.count() == 6 and logs.where("TestName = 'python rule'").count() == 2
+    # Repeating one rule of the first run leaves the other rows of that run and the later run alone.
+    assert set(run(1, ROWS[:1], only=["T1"])) == {"python rule"}
+    logs = {(r.TestName, r.ExecutionDate.hour): r for r in read_log(spark, folder, "tb_tests_executions").collect()}
+    assert len(logs) == 6 and logs["python rule", 6].IncidentCountRaw == 1 and logs["python rule", 9].IncidentCountRaw == 2
+    assert read_findings(spark, f"{folder}/findings", "T1").count() == 3
+
+
+def test_a_rule_that_fails_on_a_repeat_leaves_no_findings(world):
+    run, folder, spark = world
+    run(1, ROWS)
+    run(1, [(1, "a", None)], only=["T1"])
+    spark.createDataFrame([], "other int").createOrReplaceTempView("probe_other")
+    log = run(1, None, only=["T1"])
+    assert log["python rule"].TestResult == "ERROR" and read_findings(spark, f"{folder}/findings", "T1").count() == 0
+
+
+def test_text_that_is_no_query_is_not_run(world):
+    run, folder, spark = world
+    spark.range(1).createOrReplaceTempView("victim")
+    log = run(1, ROWS, code="drop view victim", only=["T2"])
+    assert log["sql rule"].TestResult == "ERROR" and "not a select" in log["sql rule"].ErrorMessage
+    assert spark.catalog.tableExists("victim")
+
+
+def test_totals(world):
+    run, folder, spark = world
+    run(1, ROWS)
+    log = read_log(spark, folder, "tb_tests_executions", day(1))
+    assert tuple(run_totals(run.configs, log).first()) == (5, 1, 3)
+
+
+def test_a_run_time_does_not_depend_on_the_machine(spark):
+    stamp = spark.range(1).select(run_time(dt.datetime(2024, 2, 5, 22)).cast("string"), run_time(dt.datetime(2024, 2, 5, 22, tzinfo=dt.timezone.utc)).cast("string")).first()
+    assert set(stamp) == {"2024-02-05 22:00:00"}
+
+
+def test_only_a_missing_log_is_empty(spark, tmp_path):
+    assert read_log(spark, str(tmp_path), "tb_tests_executions").count() == 0
+    (tmp_path / "tb_tests_executions").mkdir()
+    (tmp_path / "tb_tests_executions" / "x.parquet").write_text("broken")
+    with pytest.raises(Exception):
+        read_log(spark, str(tmp_path), "tb_tests_executions").count()
+
+
+def test_older_logs_and_false_positives_lack_columns(world):
+    run, folder, spark = world
+    old = spark.createDataFrame([("T1", "python rule", dt.datetime(2023, 12, 30), "FAILED")], "test_id string, TestName string, ExecutionDate timestamp, TestResult string")
+    write_log(old, folder, "tb_tests_executions", dt.datetime(2023, 12, 30))
+    assert run(1, ROWS, fps=[("F", "python rule", "x", True)], fp_schema="fp_id string, test_name string, row_hash string, active boolean")["python rule"].TestResult == "FAILED"
+
+
 def test_columns_added_later_are_null_before(world):
     from rulewatch.sources.archive import write_findings
 

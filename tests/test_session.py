@@ -2,7 +2,6 @@
 
 import pytest
 
-from rulewatch.operators.joins import salts_for
 from rulewatch.session import SETTINGS, work_dir
 
 
@@ -28,15 +27,3 @@ def test_no_machine_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         work_dir(Session())
-
-
-def test_salts_follow_the_shuffle_partitions(spark):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        found = []
-        for partitions in ("4", "200", "20000"):
-            spark.conf.set("spark.sql.shuffle.partitions", partitions)
-            found.append(salts_for(spark.range(1)))
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert found == [2, 50, 64]

@@ -19,7 +19,9 @@ def test_export_has_mark_separator_and_line_ends(spark, tmp_path):
     rows = [(1, 'a;"b"', dt.datetime(2024, 1, 1), True), (2, None, dt.datetime(2024, 1, 3), False), (3, "x\ny", dt.datetime(2024, 1, 2), False)]
     df = spark.createDataFrame(rows, "id int, note string, ArchiveDate timestamp_ntz, _is_false_positive boolean")
     out = export_rows(df, ["id"])
-    write_csv(out, str(tmp_path / "csv"), one_file=True)
+    write_csv(out, str(tmp_path / "csv"), one_file_rows=3)
+    with pytest.raises(ValueError):
+        write_csv(out, str(tmp_path / "cut"), one_file_rows=2)
     (path,) = glob.glob(str(tmp_path / "csv" / "part-*"))
     data = open(path, "rb").read()
     assert data.startswith("﻿id;note;ArchiveDate;FalsoPositivo\r\n".encode())
@@ -58,7 +60,7 @@ def test_health_reports_missing_tables(spark):
     def load(name):
         return spark.range(3) if name == "here" else spark.read.parquet("/nowhere/at/all")
 
-    rows = {r.table_name: r for r in table_health(Tables(load, ["here", "gone"]), ["here", "gone"]).collect()}
+    rows = {r.table_name: r for r in table_health(spark, Tables(load, ["here", "gone"]), ["here", "gone"]).collect()}
     assert rows["here"].row_count == 3 and rows["here"].error is None
     assert rows["gone"].row_count is None and "PATH_NOT_FOUND" in rows["gone"].error
 
