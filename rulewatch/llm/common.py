@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rulewatch.session import work_dir
 
 SLICE_BYTES = 4 << 20
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -206,6 +206,7 @@ def chunk_rows(batches):
     for batch in batches:
         for at in range(batch.num_rows):
             yield {name: _value(batch.column(name)[at]) for name in batch.schema.names}
+            pa.default_memory_pool().release_unused()
 
 
 def _value(scalar: pa.Scalar):
@@ -230,7 +231,7 @@ def chunk_rest(row: dict) -> pa.Table:
         return pa.ipc.open_stream(pa.py_buffer(data.read())).read_all()
 
 
-def text_groups(texts: list[bytes], limit: int = 1 << 20):
+def text_groups(texts: list[bytes], limit: int = 1 << 19):
     """(first, last + 1) of runs of texts of bounded bytes, one text at least."""
     start, size = 0, 0
     for i, t in enumerate(texts):

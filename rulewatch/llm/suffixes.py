@@ -100,7 +100,7 @@ class Anchors:
         starts = flat_ranges(low, high - low + 1)
         owner = np.repeat(which, high - low + 1)
         out = np.empty((len(starts), 2), np.uint64)
-        step = 1 << 20
+        step = 1 << 19
         order = np.argsort(starts, kind="stable")
         while len(order):  # windows of the buffer, so that the running sums stay small
             base = starts[order[0]]
@@ -215,8 +215,8 @@ def repeated_offsets(classes: np.ndarray, lefts: list[bytes], rights: list[bytes
     first = np.flatnonzero(np.append(True, classes[1:] != classes[:-1])) if len(classes) else np.empty(0, np.int64)
     group_ends = np.append(first[1:], len(classes))
     start = 0
-    while start < len(classes):  # whole classes, a few thousand members at a time
-        end = int(group_ends[max(np.searchsorted(group_ends, start + 4096, side="right") - 1, np.searchsorted(group_ends, start, side="right"))])
+    while start < len(classes):  # whole classes, two thousand members at a time
+        end = int(group_ends[max(np.searchsorted(group_ends, start + 2048, side="right") - 1, np.searchsorted(group_ends, start, side="right"))])
         rows = b"".join(lefts[i].rjust(reach, b"\0") + rights[i].ljust(width, b"\0") for i in range(start, end))
         values = np.frombuffer(rows, np.uint8).astype(np.uint64) + np.uint64(1)
         hashes = RunningSums(values)
