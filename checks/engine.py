@@ -170,27 +170,43 @@ def e13(t):
     return error_rows(states_of(t))
 
 
-LADDER = """
-    SELECT c.test_id, c.test_name, l.TestResult AS last_result,
-           {flag} AS has_active_suppression,
-           CASE WHEN l.TestResult IS NULL THEN 'nunca_rodou' WHEN l.TestResult = 'PASSED' THEN 'sem_achados'
-                WHEN l.TestResult = 'ERROR' THEN 'erro' WHEN {quiet} THEN 'em_tratamento'
-                WHEN l.IsRecurrent THEN 'reincidente' WHEN l.IsContinued THEN 'persistente'
-                WHEN l.TestResult = 'FAILED' THEN 'novo_achado' ELSE 'sem_achados' END AS alert_status
-    FROM fx_config c
-    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY TestName ORDER BY ExecutionDate DESC) AS rn FROM fx_runlog) l
-      ON l.TestName = c.test_name AND l.rn = 1
-    LEFT JOIN (SELECT test_id, min(suppression_id) AS sid FROM fx_suppression WHERE active GROUP BY 1) s
-      ON s.test_id = c.test_id"""
+# Labels (fixed values) in the order in which the facts of a rule are looked at.
+SHARED_SQL["sx_labels"] = """
+    SELECT * FROM (VALUES (1, 'never', 'nunca_rodou'), (2, 'PASSED', 'sem_achados'), (3, 'ERROR', 'erro'),
+      (4, 'quiet', 'em_tratamento'), (5, 'again', 'reincidente'), (6, 'still', 'persistente'),
+      (7, 'FAILED', 'novo_achado'), (8, 'any', 'sem_achados')) labels(priority, fact, label)"""
+SHARED_SQL["sx_last"] = """
+    SELECT TestName AS test_name, max(ExecutionDate) AS last_at,
+           arg_max(struct_pack(res := TestResult, raw := IncidentCountRaw, clean := IncidentCount, quiet := IsSupressed,
+                               again := IsRecurrent, still := IsContinued), ExecutionDate) AS run
+    FROM fx_runlog GROUP BY 1"""
+
+
+def ladder(quiet: str) -> str:
+    """The first label that a fact of the rule's latest run calls for; ``quiet`` says when it is treated."""
+    return f"""
+    SELECT test_id, status, any_value(test_name) AS test_name, any_value(res) AS last_result, min_by(label, priority) AS label
+    FROM (SELECT test_id, status, test_name, run.res AS res,
+                 [coalesce(run.res, 'never'), CASE WHEN {quiet} THEN 'quiet' END, CASE WHEN run.again THEN 'again' END,
+                  CASE WHEN run.still THEN 'still' END, 'any'] AS facts
+          FROM fx_config LEFT JOIN sx_last USING (test_name)) rules
+    JOIN sx_labels ON list_contains(facts, fact) GROUP BY test_id, status"""
+
+
+SHARED_SQL["sx_ladder"] = ladder("run.res = 'FAILED' AND test_id IN (SELECT test_id FROM fx_suppression WHERE active)")
+SHARED_SQL["sx_ladder_stored"] = ladder("run.quiet")
 STATUS = ["test_id", "test_name", "TestResult AS last_result", "has_active_suppression", "alert_status"]
 
 
-@check("e15_status_ladder", LADDER.format(flag="s.sid IS NOT NULL", quiet="s.sid IS NOT NULL AND l.TestResult = 'FAILED'"))
+@check("e15_status_ladder", """
+    SELECT test_id, test_name, last_result, test_id IN (SELECT test_id FROM fx_suppression WHERE active) AS has_active_suppression,
+           label AS alert_status FROM sx_ladder""")
 def e15(t):
     return rule_status(t["fx_config"], t["fx_runlog"], t["fx_suppression"]).selectExpr(*STATUS)
 
 
-@check("e16_status_ladder_stored", LADDER.format(flag="false", quiet="l.IsSupressed"))
+@check("e16_status_ladder_stored", """
+    SELECT test_id, test_name, last_result, false AS has_active_suppression, label AS alert_status FROM sx_ladder_stored""")
 def e16(t):
     return rule_status(t["fx_config"], t["fx_runlog"]).selectExpr(*STATUS)
 

@@ -11,17 +11,7 @@ from rulewatch.plans import charts, reports
 from rulewatch.sources.tables import readiness
 
 AS_OF = dt.date(2024, 1, 31)
-LATEST = """(SELECT *, row_number() OVER (PARTITION BY TestName ORDER BY ExecutionDate DESC) AS rn FROM fx_runlog)"""
-COUNTS = "(SELECT test_name, count(*) AS fp_count FROM fx_fp WHERE active GROUP BY 1)"
-
-SHARED_SQL["sx_ladder"] = f"""
-    SELECT c.test_id, c.status,
-           CASE WHEN l.TestResult IS NULL THEN 'nunca_rodou' WHEN l.TestResult = 'PASSED' THEN 'sem_achados'
-                WHEN l.TestResult = 'ERROR' THEN 'erro' WHEN s.sid IS NOT NULL AND l.TestResult = 'FAILED' THEN 'em_tratamento'
-                WHEN l.IsRecurrent THEN 'reincidente' WHEN l.IsContinued THEN 'persistente'
-                WHEN l.TestResult = 'FAILED' THEN 'novo_achado' ELSE 'sem_achados' END AS label
-    FROM fx_config c LEFT JOIN {LATEST} l ON l.TestName = c.test_name AND l.rn = 1
-    LEFT JOIN (SELECT test_id, min(suppression_id) AS sid FROM fx_suppression WHERE active GROUP BY 1) s ON s.test_id = c.test_id"""
+SHARED_SQL["sx_fp_rules"] = "SELECT test_name, count(*) AS marked FROM fx_fp WHERE active GROUP BY 1"
 
 
 @check("r01_stats", """
@@ -78,40 +68,37 @@ def r06(t):
     return reports.rules_with_open_entries(t["fx_config"], t["fx_suppression"], t["fx_entry"])
 
 
-@check("r07_status_by_rule", f"""
-    SELECT c.test_name, c.responsible_area, c.risco_id, lr.TestResult AS last_result,
-           greatest(0, coalesce(lr.IncidentCountRaw, lr.IncidentCount, 0) - coalesce(f.fp_count, 0)) AS last_incidents,
-           CAST(lr.ExecutionDate AS VARCHAR) AS last_run, count(e.TestResult) AS total_runs,
-           count(*) FILTER (WHERE e.TestResult = 'FAILED') AS flagged_runs
-    FROM fx_config c LEFT JOIN {LATEST} lr ON lr.TestName = c.test_name AND lr.rn = 1
-    LEFT JOIN {COUNTS} f ON f.test_name = c.test_name
-    LEFT JOIN fx_runlog e ON e.TestName = c.test_name AND e.ExecutionDate >= TIMESTAMP '2024-01-10'
-      AND e.ExecutionDate <= TIMESTAMP '2024-01-25'
-    WHERE c.status = 'ACTIVE' GROUP BY c.test_id, c.test_name, c.responsible_area, c.risco_id, lr.TestResult,
-      lr.IncidentCountRaw, lr.IncidentCount, lr.ExecutionDate, f.fp_count""")
+@check("r07_status_by_rule", """
+    WITH in_range AS (
+      SELECT TestName AS test_name, count(TestResult) AS runs, count(*) FILTER (WHERE TestResult = 'FAILED') AS bad
+      FROM fx_runlog WHERE ExecutionDate BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-25' GROUP BY 1)
+    SELECT test_name, responsible_area, risco_id, run.res AS last_result, CAST(last_at AS VARCHAR) AS last_run,
+           greatest(0, coalesce(run.raw, run.clean, 0) - coalesce(marked, 0)) AS last_incidents,
+           coalesce(runs, 0) AS total_runs, coalesce(bad, 0) AS flagged_runs
+    FROM (SELECT * FROM fx_config WHERE status = 'ACTIVE')
+    LEFT JOIN sx_last USING (test_name) LEFT JOIN sx_fp_rules USING (test_name) LEFT JOIN in_range USING (test_name)""")
 def r07(t):
     return reports.status_by_rule(t["fx_config"], t["fx_runlog"], t["fx_fp"], "2024-01-10", "2024-01-25")
 
 
-@check("r08_rule_list", f"""
-    SELECT c.test_id, c.test_name, c.status, CAST(c.updated_at AS VARCHAR) AS updated_at, lr.TestResult AS last_result,
-           CAST(lr.ExecutionDate AS VARCHAR) AS last_run,
-           greatest(0, coalesce(lr.IncidentCountRaw, lr.IncidentCount, 0) - coalesce(f.fp_count, 0)) AS last_incident_count,
-           coalesce(f.fp_count, 0) AS active_fp_count, s.sid IS NOT NULL AS has_active_suppression,
-           d.label AS last_alert_status
-    FROM fx_config c JOIN sx_ladder d USING (test_id)
-    LEFT JOIN {LATEST} lr ON lr.TestName = c.test_name AND lr.rn = 1
-    LEFT JOIN {COUNTS} f ON f.test_name = c.test_name
-    LEFT JOIN (SELECT test_id, min(suppression_id) AS sid FROM fx_suppression WHERE active GROUP BY 1) s ON s.test_id = c.test_id""")
+@check("r08_rule_list", """
+    SELECT test_id, test_name, status, CAST(updated_at AS VARCHAR) AS updated_at, run.res AS last_result,
+           CAST(last_at AS VARCHAR) AS last_run, coalesce(marked, 0) AS active_fp_count,
+           greatest(0, coalesce(run.raw, run.clean, 0) - coalesce(marked, 0)) AS last_incident_count,
+           test_id IN (SELECT test_id FROM fx_suppression WHERE active) AS has_active_suppression,
+           label AS last_alert_status
+    FROM fx_config JOIN (SELECT test_id, label FROM sx_ladder) USING (test_id)
+    LEFT JOIN sx_last USING (test_name) LEFT JOIN sx_fp_rules USING (test_name)""")
 def r08(t):
     shown = ["test_id", "test_name", "status", "updated_at", "last_result", "last_run", "last_incident_count",
              "active_fp_count", "has_active_suppression", "last_alert_status"]
     return reports.rule_list(t["fx_config"], t["fx_runlog"], t["fx_suppression"], t["fx_fp"]).select(*shown)
 
 
-@check("r09_trend", f"""
+@check("r09_trend", """
     SELECT TestName, string_agg(concat_ws('/', CAST(ExecutionDate AS VARCHAR), IncidentCount, TestResult), ',' ORDER BY ExecutionDate) AS trend
-    FROM {LATEST} WHERE rn <= 14 GROUP BY TestName""")
+    FROM (SELECT *, row_number() OVER (PARTITION BY TestName ORDER BY ExecutionDate DESC) AS rn FROM fx_runlog)
+    WHERE rn <= 14 GROUP BY TestName""")
 def r09(t):
     points = F.transform("trend", lambda p: F.concat_ws("/", p["d"].cast("string"), p["n"].cast("string"), p["r"]))
     return reports.run_trend(t["fx_runlog"]).withColumn("trend", points)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-NOT_HASHED = ("ArchiveDate", "_is_false_positive")
+NOT_HASHED = ("ArchiveDate", "archive_dt", "run_at", "_is_false_positive")
 
 
 def row_hash(columns: list[str]) -> Column:
@@ -20,6 +20,6 @@ def row_hash(columns: list[str]) -> Column:
 
 def fp_row_hash(columns: list[str]) -> Column:
     """SHA-256 of a finding as false positives store it; NULL counts as ''."""
-    names = sorted(c for c in columns if c != "ArchiveDate" and not c.startswith("_"))
+    names = sorted(c for c in columns if c not in NOT_HASHED and not c.startswith("_"))
     values = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names]
     return F.sha2(F.concat_ws("|", *values), 256)

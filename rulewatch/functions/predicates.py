@@ -9,6 +9,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 ARCHIVE_TS = "ArchiveDate"
+ARCHIVE_DAY = "archive_dt"  # the partition column of an archive
 
 
 def is_blank(column: str | Column) -> Column:
@@ -38,8 +39,8 @@ def optional_filters(given: Mapping[str, tuple[str, object]]) -> Column:
 
 
 def business_columns(df: DataFrame) -> list[str]:
-    """Columns a rule produced: no archive stamp, no internal ``_`` columns."""
-    return [c for c in df.columns if c != ARCHIVE_TS and not c.startswith("_")]
+    """Columns a rule produced: no archive stamp or folder, no internal ``_`` columns."""
+    return [c for c in df.columns if c not in (ARCHIVE_TS, ARCHIVE_DAY, "run_at") and not c.startswith("_")]
 
 
 def contains_text(df: DataFrame, text: str | None, columns: list[str] | None = None) -> Column:
@@ -62,10 +63,12 @@ def date_scope(
     """Which archive days to show.
 
     All days, else a range, else one open bound, else all days when searching,
-    else the latest day.  ``day_column`` may name the partition column, so that
-    only the needed folders are read.
+    else the latest day.  Days are those of the archive's partition column, so that
+    only the needed folders are read; a table without one is read by its time stamps.
     """
-    day = F.to_date(ARCHIVE_TS) if day_column is None else day_column
+    if day_column is None:
+        day_column = F.col(ARCHIVE_DAY).cast("date") if ARCHIVE_DAY in df.columns else F.to_date(ARCHIVE_TS)
+    day = day_column
     if all_dates:
         return F.lit(True)
     if date_from or date_to:

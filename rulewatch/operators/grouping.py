@@ -7,6 +7,9 @@ rows of a result of their own, however many there are.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -95,43 +98,57 @@ def running_peak(df: DataFrame, key: str, order: str, value: str, name: str) ->
 
 
 def previous_values(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, values: dict[str, Column]
+    df: DataFrame, keys: list[str], order: list[str], buckets: list[Column], values: dict[str, Column]
 ) -> DataFrame:
     """Last non-NULL value of each expression among the earlier rows of a key.
 
-    Like ``last(v, ignorenulls)`` over all preceding rows, but a window group is
-    one key *and one time bucket*, so a key with very many rows is spread over
-    tasks.  What crosses a bucket border is carried by one small row per bucket.
-    ``bucket`` must not decrease along ``order``.
+    Like ``last(v, ignorenulls)`` over all preceding rows, but a window group is one
+    key *and one bucket*, so a key with very many rows is spread over tasks.  What
+    crosses a border is carried by one small row per bucket, and those are cut by the
+    coarser levels in turn.  ``buckets`` go from coarse to fine; together they must
+    not decrease along ``order``.
     """
+    levels = [f"_bucket{i}" for i in range(len(buckets))]
     raw = {name: f"_v_{name}" for name in values}
-    rows = df.withColumns({raw[n]: v for n, v in values.items()}).withColumn("_bucket", bucket)
-    inside = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    rows = df.withColumns({raw[n]: v for n, v in values.items()}).withColumns(dict(zip(levels, buckets)))
+    inside = Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns(
         {f"_in_{n}": F.last(raw[n], ignorenulls=True).over(inside) for n in values}
     )
-    position = F.struct(*order)
-    tails = rows.groupBy(*keys, "_bucket").agg(
-        *[
-            F.max_by(raw[n], F.when(F.col(raw[n]).isNotNull(), position)).alias(f"_tail_{n}")
-            for n in values
-        ]
+    tails = _tails(rows, [*keys, *levels], F.struct(*order), raw)
+    # Keys and times may be NULL, so borders are met null-safely.
+    carried = _carried(tails, keys, levels, list(values))
+    meet = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*keys, *levels)]
+    joined = rows.alias("r").join(carried.alias("c"), functools.reduce(operator.and_, meet), "left")
+    return joined.select(
+        *[F.col(f"r.{c}") for c in df.columns],
+        *[F.coalesce(F.col(f"r._in_{n}"), F.col(f"c._carry_{n}")).alias(n) for n in values],
     )
-    earlier = (
-        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _tails(rows: DataFrame, group: list[str], position: Column, raw: dict[str, str]) -> DataFrame:
+    """The last non-NULL values of each group."""
+    return rows.groupBy(*group).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_tail_{n}") for n, c in raw.items()]
     )
-    carried = tails.select(
-        *keys,
-        "_bucket",
-        *[F.last(f"_tail_{n}", ignorenulls=True).over(earlier).alias(f"_carry_{n}") for n in values],
+
+
+def _carried(tails: DataFrame, keys: list[str], levels: list[str], names: list[str]) -> DataFrame:
+    """For each bucket the last non-NULL tails of the buckets before it."""
+    group = [*keys, *levels[:-1]]
+    earlier = Window.partitionBy(*group).orderBy(levels[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    out = tails.select(
+        *keys, *levels, *[F.last(f"_tail_{n}", ignorenulls=True).over(earlier).alias(f"_carry_{n}") for n in names]
     )
-    return rows.join(carried, [*keys, "_bucket"], "left").select(
-        *df.columns,
-        *[F.coalesce(F.col(f"_in_{n}"), F.col(f"_carry_{n}")).alias(n) for n in values],
+    if len(levels) == 1:
+        return out
+    above = _tails(tails, group, F.struct(levels[-1]), {n: f"_tail_{n}" for n in names})
+    above = _carried(above, keys, levels[:-1], names)
+    meet = [F.col(f"o.{c}").eqNullSafe(F.col(f"a.{c}")) for c in group]
+    joined = out.alias("o").join(above.alias("a"), functools.reduce(operator.and_, meet), "left")
+    return joined.select(
+        *[F.col(f"o.{c}") for c in (*keys, *levels)],
+        *[F.coalesce(F.col(f"o._carry_{n}"), F.col(f"a._carry_{n}")).alias(f"_carry_{n}") for n in names],
     )
 
 

@@ -41,12 +41,10 @@ TRANSITIONS = (
 )
 
 
-def _bucket() -> Column:
-    """History is cut by minute, so that a rule with very many events is spread.
-
-    What is left for a single task per rule is one row per minute with events.
-    """
-    return F.date_trunc("minute", "changed_at")
+def _buckets() -> list[Column]:
+    """History is cut by minute, by time, and by the first characters of the event's id, so that
+    neither a rule with very many events nor a bulk load at one moment stays in one task."""
+    return [F.date_trunc("minute", "changed_at"), F.col("changed_at"), F.substring("history_id", 1, 6)]
 
 
 def current_state(history: DataFrame) -> DataFrame:
@@ -68,7 +66,7 @@ def transition_errors(history: DataFrame) -> DataFrame:
         known,
         ["test_id"],
         ORDER,
-        _bucket(),
+        _buckets(),
         {"_prev": F.struct(F.col("status_after").alias("status"), "version")},
     )
     step = F.lit(None).cast("int")
@@ -104,7 +102,7 @@ def with_pending_author(history: DataFrame) -> DataFrame:
     author = F.when(staged, F.struct(F.col("changed_by").alias("author"))).when(
         decided, F.struct(F.lit(None).cast("string").alias("author"))
     )
-    events = previous_values(history, ["test_id"], ORDER, _bucket(), {"_pending": author})
+    events = previous_values(history, ["test_id"], ORDER, _buckets(), {"_pending": author})
     return events.withColumns(
         {"pending_author": F.col("_pending.author"), "_staged": staged, "_decided": decided}
     ).drop("_pending")

@@ -283,6 +283,10 @@ def same_as_previous(hash_log: DataFrame) -> DataFrame:
     )
 
 
+# Columns of an archive that no rule made.
+ARCHIVE_KEYS = ("ArchiveDate", "archive_dt", "run_at")
+
+
 def in_view(archive: DataFrame, search: str | None = None, day_column: Column | None = None, **scope) -> DataFrame:
     """The findings of the scope that hold the text."""
     days = date_scope(archive, search=search, day_column=day_column, **scope)
@@ -300,7 +304,7 @@ def findings_view(
     """
     rows = in_view(archive, search, day_column, **scope)
     shown = rows.drop("_is_false_positive").orderBy(F.desc("ArchiveDate"), *order).limit(limit)
-    return flag_false_positives(shown, false_positives, ["ArchiveDate"], attribute=True, rule=test_name)
+    return flag_false_positives(shown, false_positives, [*ARCHIVE_KEYS], attribute=True, rule=test_name)
 
 
 def findings_export(
@@ -311,7 +315,7 @@ def findings_export(
     rows = in_view(archive, search, day_column, **scope).drop("_is_false_positive")
     if limit is not None:
         rows = rows.orderBy(F.desc("ArchiveDate"), *order).limit(limit)
-    flagged = flag_false_positives(rows, false_positives, ["ArchiveDate"], rule=test_name)
+    flagged = flag_false_positives(rows, false_positives, [*ARCHIVE_KEYS], rule=test_name)
     return export_rows(flagged, order, limit)
 
 

@@ -13,10 +13,11 @@ from urllib.parse import quote
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from rulewatch.functions.predicates import ARCHIVE_DAY
 from rulewatch.operators.grouping import latest_per_key
 from rulewatch.sources.schemas import control_schema, empty, widen
 
-DAY = "archive_dt"
+DAY = ARCHIVE_DAY
 
 
 def run_time(run_ts: dt.datetime) -> Column:

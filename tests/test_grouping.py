@@ -37,8 +37,11 @@ def test_previous_values_equals_a_plain_window(spark):
     plain = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     want = df.withColumn("p", F.last("v", ignorenulls=True).over(plain)).withColumn("q", F.lag("pos").over(Window.partitionBy("k").orderBy("pos")))
     for width in (7, 100, 10_000):
-        got = previous_values(df, ["k"], ["pos"], F.floor(F.col("pos") / width), {"p": F.col("v"), "q": F.col("pos")})
+        got = previous_values(df, ["k"], ["pos"], [F.floor(F.col("pos") / width)], {"p": F.col("v"), "q": F.col("pos")})
         assert sorted(got.select("k", "pos", "p", "q").collect(), key=str) == sorted(want.select("k", "pos", "p", "q").collect(), key=str)
+    levels = [F.floor(F.col("pos") / w) for w in (200, 50, 3)]
+    got = previous_values(df, ["k"], ["pos"], levels, {"p": F.col("v"), "q": F.col("pos")})
+    assert sorted(got.select("k", "pos", "p", "q").collect(), key=str) == sorted(want.select("k", "pos", "p", "q").collect(), key=str)
 
 
 def test_latest_and_first(spark):

@@ -57,3 +57,18 @@ def test_recent_rows_are_cut_before_the_shuffle(spark):
 def test_flagship_reads_findings_once(spark):
     text = plan(spark_entry.entry(spark))
     assert text.count("Window [") == 1
+
+
+def test_the_latest_day_is_one_folder(spark, tmp_path):
+    import datetime as dt
+
+    from rulewatch.plans.reports import in_view
+    from rulewatch.sources.archive import read_findings, write_findings
+
+    for n in (1, 2, 3):
+        write_findings(spark.range(n), str(tmp_path), "T1", dt.datetime(2024, 1, n, 6))
+    archive = read_findings(spark, str(tmp_path), "T1")
+    latest = in_view(archive)
+    assert latest.count() == 3 and in_view(archive, date_from="2024-01-02").count() == 5
+    scans = [line for line in plan(latest).splitlines() if "FileScan" in line]
+    assert any(re.search(r"PartitionFilters: \[[^]]*archive_dt", line) for line in scans)
