@@ -8,14 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from checks.registry import SHARED_SQL, check
+from checks.rules import audit_log
 from rulewatch.functions.hashing import fp_row_hash
 from rulewatch.operators.alerts import open_suppressions, outbox, rule_status
 from rulewatch.operators.findings import (
     HALF_BITS, SLICE_DIGITS, SLICES, flag_false_positives, set_hash, with_row_hash,
 )
 from rulewatch.plans.history import error_rows, replay, summarise_runs
-from rulewatch.plans.runner import run_rules, runs_due
+from rulewatch.plans.runner import run_rules, run_totals, runs_due
+from rulewatch.rules.registry import RULES
 from rulewatch.session import work_dir
+from rulewatch.sources.archive import read_log
+from rulewatch.sources.schemas import empty
 
 KEYS = ["test_name", "run_date"]
 DAY = "CAST(run_date AS VARCHAR) AS run_date"
@@ -252,29 +256,125 @@ RULE_ROWS = [
            false AS IsRecurrent, false AS IsContinued, raw IS NULL AS has_error
     FROM n""")
 def e03(t):
-    spark, run_ts = t.spark, dt.datetime(2024, 2, 5, 6)
-    configs = spark.createDataFrame(
+    log = daily_run(t, f"{work_dir(t.spark)}/runner-{uuid.uuid4().hex}", SIX)
+    return log.select(
+        "TestName", "Frequency", "Threshold", F.col("IncidentCountRaw").cast("bigint").alias("IncidentCountRaw"),
+        F.col("IncidentCount").cast("bigint").alias("IncidentCount"), "TestResult", "IsSupressed", "IsRecurrent",
+        "IsContinued", F.col("ErrorMessage").isNotNull().alias("has_error"),
+    )
+
+
+SIX, NINE = dt.datetime(2024, 2, 5, 6), dt.datetime(2024, 2, 5, 9)
+CONFIG = (
+    "test_id string, test_name string, output_table string, description string, responsible_area string, "
+    "risco_id string, threshold int, frequency string, query_type string, query_code string, status string, "
+    "should_activate_channel boolean"
+)
+
+
+def daily_run(t, folder: str, run_ts: dt.datetime, only: tuple[str, ...] = ()) -> DataFrame:
+    configs = t.spark.createDataFrame(
         [
             (f"T{i}", name, f"tb_incidents_{i}", name, "area", "R1", threshold, frequency, kind, body,
              "PAUSED" if name == "paused" else "ACTIVE", True)
             for i, (name, body, frequency, threshold, kind) in enumerate(RULE_ROWS)
+            if not only or f"T{i}" in only
         ],
-        "test_id string, test_name string, output_table string, description string, responsible_area string, "
-        "risco_id string, threshold int, frequency string, query_type string, query_code string, status string, "
-        "should_activate_channel boolean",
+        CONFIG,
     )
-    fps = spark.createDataFrame(
+    fps = t.spark.createDataFrame(
         [("F1", "invalid email", None, '[{"column":"EmailName","value":"f@acme"}]', "u1", run_ts.date(), "known", True)],
         "fp_id string, test_name string, row_hash string, match_criteria string, marked_by string, "
         "marked_at date, note string, active boolean",
     )
-    log = run_rules(
-        spark, configs, t.rules("participant", "establishment"), run_ts,
-        f"{work_dir(spark)}/runner-{uuid.uuid4().hex}",
+    return run_rules(
+        t.spark, configs, t.rules("participant", "establishment"), run_ts, folder,
         t["fx_suppression"], t["fx_entry"], fps, {"invalid_email": {"marker": "acme"}},
     )
+
+
+def one_day(t) -> str:
+    """A run at six, two of its rules again at nine, and one of them repeated for six."""
+    folder = f"{work_dir(t.spark)}/runner-{uuid.uuid4().hex}"
+    daily_run(t, folder, SIX)
+    daily_run(t, folder, NINE, ("T0", "T1"))
+    daily_run(t, folder, SIX, ("T1",))
+    return folder
+
+
+SHARED_SQL["sx_day"] = """
+    WITH p AS (SELECT * FROM fx_participant WHERE StatusId = '1'),
+    n AS (SELECT 'T0' AS id, 'duplicate documents' AS name, 0 AS threshold, (SELECT count(*) FROM (
+            SELECT DocumentNumberCd FROM p GROUP BY 1 HAVING count(DISTINCT ParticipantId) > 1)) AS raw, 0 AS fps
+          UNION ALL SELECT 'T1', 'invalid email', 50, count(*), count(*) FILTER (WHERE EmailName = 'f@acme')
+          FROM p WHERE EmailName LIKE '%acme%' OR EmailName IS NULL),
+    s AS (SELECT *, raw - fps > threshold AS failed,
+                 id IN (SELECT test_id FROM sx_open WHERE open_since <= DATE '2024-02-05') AS quiet FROM n)
+    SELECT name, moment, raw, raw - fps AS clean, failed, failed AND quiet AS suppressed,
+           failed AND NOT quiet AND moment > '2024-02-05 07' AS again
+    FROM s, (VALUES ('2024-02-05 06:00:00'), ('2024-02-05 09:00:00')) runs(moment)"""
+
+
+@check("e03_two_runs_a_day", """
+    SELECT name AS TestName, moment AS ExecutionDate, raw AS IncidentCountRaw, clean AS IncidentCount,
+           CASE WHEN failed THEN 'FAILED' ELSE 'PASSED' END AS TestResult, suppressed AS IsSupressed, again AS IsContinued
+    FROM sx_day
+    UNION ALL SELECT 'unmatched document', '2024-02-05 06:00:00', count(*), count(*), 'PASSED', false, false
+    FROM fx_participant WHERE StatusId = '1' AND DocumentNumberCd NOT IN (SELECT DocumentCd FROM fx_establishment)
+    UNION ALL VALUES ('no such body', '2024-02-05 06:00:00', NULL, 0, 'ERROR', false, false),
+                     ('no such schedule', '2024-02-05 06:00:00', NULL, 0, 'ERROR', false, false)""")
+def e03_two_runs(t):
+    log = read_log(t.spark, one_day(t), "tb_tests_executions")
     return log.select(
-        "TestName", "Frequency", "Threshold", F.col("IncidentCountRaw").cast("bigint").alias("IncidentCountRaw"),
-        F.col("IncidentCount").cast("bigint").alias("IncidentCount"), "TestResult", "IsSupressed", "IsRecurrent",
-        "IsContinued", F.col("ErrorMessage").isNotNull().alias("has_error"),
+        "TestName", "ExecutionDate", F.col("IncidentCountRaw").cast("bigint").alias("IncidentCountRaw"),
+        F.col("IncidentCount").cast("bigint").alias("IncidentCount"), "TestResult", "IsSupressed", "IsContinued",
+    )
+
+
+@check("s07_hash_log", """
+    SELECT name AS test_name, moment AS execution_date, raw AS row_count, suppressed AS is_suppressed, true AS same_as_other_run
+    FROM sx_day
+    UNION ALL SELECT 'unmatched document', '2024-02-05 06:00:00', count(*), false, true
+    FROM fx_participant WHERE StatusId = '1' AND DocumentNumberCd NOT IN (SELECT DocumentCd FROM fx_establishment)""")
+def s07(t):
+    log = read_log(t.spark, one_day(t), "tb_incident_hashes")
+    hashes = log.groupBy("test_name").agg((F.countDistinct("incident_hash") <= 1).alias("same_as_other_run"))
+    return log.join(hashes, "test_name").select(
+        "test_name", "execution_date", F.col("row_count").cast("bigint").alias("row_count"), "is_suppressed", "same_as_other_run"
+    )
+
+
+PARAMS = {
+    "sso_bypass": {"domain": "@acme", "marker": "7"}, "invalid_email": {"marker": "acme"},
+    "employee_partners": {"own_document": "77"}, "overdue_training": {"hired_since": "1995-06-01"},
+    **{f"due_before_registry_{k}": {"cutoff": dt.date(1998, 1, 1)} for k in ("new", "old", "new_type2", "old_type2")},
+}
+
+
+def library() -> list[str]:
+    return sorted(r.name for r in RULES.values() if r.findings.__module__.startswith("rulewatch."))
+
+
+@check("e03_all_rules", f"SELECT unnest({library()}) AS TestName, false AS has_error")
+def e03_all(t):
+    """Every rule of the library in one daily run: none fails."""
+    names = library()
+    configs = t.spark.createDataFrame(
+        [(f"T{i}", n, f"tb_incidents_{n}", n, "area", "R1", 0, "DAILY", "PYTHON", n, "ACTIVE", True) for i, n in enumerate(names)], CONFIG
     )
+    fps = empty(t.spark, "tb_false_positives")
+    tables = {n: t[f"fx_{n}"] for r in RULES.values() if r.name in names for n in r.reads if n != "audit"}
+    log = run_rules(
+        t.spark, configs, tables | {"audit": audit_log(t)}, SIX, f"{work_dir(t.spark)}/runner-{uuid.uuid4().hex}",
+        t["fx_suppression"], t["fx_entry"], fps, PARAMS,
+    )
+    return log.select("TestName", F.col("ErrorMessage").isNotNull().alias("has_error"))
+
+
+@check("e13_run_totals", """
+    SELECT 5 AS executed, 1 AS skipped, 2 AS errors FROM (SELECT count(*) FROM fx_participant)""")
+def e13_totals(t):
+    folder = f"{work_dir(t.spark)}/runner-{uuid.uuid4().hex}"
+    log = daily_run(t, folder, SIX)
+    rows = [(n, "PAUSED" if n == "paused" else "ACTIVE") for n, *_ in RULE_ROWS]
+    return run_totals(t.spark.createDataFrame(rows, "test_name string, status string"), log)

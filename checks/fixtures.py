@@ -176,9 +176,16 @@ VIEWS = {
         SELECT o_orderkey AS AssessmentId,
                CASE WHEN o_totalprice > 400000 THEN 'cache' WHEN o_totalprice < 3000 THEN NULL ELSE 'live'
                END AS UrlParsedName,
-               CASE o_orderpriority WHEN '1-URGENT' THEN 'serpro_fetch_cpf' WHEN '2-HIGH' THEN 'serpro_fetch_cnpj'
-                    WHEN '3-MEDIUM' THEN 'serpro_fetch_nfe' ELSE 'other' END AS DataContractId
+               CASE o_orderpriority WHEN '1-URGENT' THEN 'person' WHEN '2-HIGH' THEN 'company'
+                    WHEN '3-MEDIUM' THEN 'invoice' ELSE 'other' END AS DataContractId
         FROM {orders}""",
+    "fx_contract_price": """
+        SELECT CASE r_regionkey WHEN 0 THEN 'person' WHEN 1 THEN 'company' WHEN 2 THEN 'invoice' ELSE r_name END AS DataContractId,
+               CAST(0.0293 + r_regionkey * 0.0417 AS decimal(18, 6)) AS UnitPriceAmt
+        FROM {region}""",
+    "fx_asset_type": """
+        SELECT CASE r_regionkey WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 37 + r_regionkey END AS TypeAssetId, r_name AS TypeAssetName
+        FROM {region}""",
     "fx_policy_history": """
         SELECT concat('user', user_id % 10) AS UserEmailTxt, ts AS IngestedAtDttm,
                CASE event_type WHEN 'click' THEN 'disabled' WHEN 'error' THEN 'deleted' ELSE 'created'

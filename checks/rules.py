@@ -207,32 +207,33 @@ def due_before(types: str, new: bool) -> str:
     WITH parsed AS (SELECT *, {parsed("RegistryDttm")} AS r, {parsed("DueDt")} AS d
                     FROM fx_asset WHERE TypeAssetId IN ({types}))
     SELECT AssetId, TypeAssetId,
-           CASE TypeAssetId WHEN 1 THEN 'CCB' WHEN 2 THEN 'CPR' WHEN 39 THEN 'DC' END AS TypeAssetName,
+           coalesce(TypeAssetName, CAST(TypeAssetId AS VARCHAR)) AS TypeAssetName,
            StatusAssetId, RegistryDttm AS Registry_orig, DueDt AS Due_orig,
            CAST(r AS VARCHAR) AS RegistryDate_parsed, CAST(d AS VARCHAR) AS DueDate_parsed,
            datediff('day', r, d) AS Days_Due_minus_Registry, '{moment}' AS moment
-    FROM parsed WHERE r IS NOT NULL AND d IS NOT NULL AND datediff('day', r, d) < 0
+    FROM parsed LEFT JOIN fx_asset_type USING (TypeAssetId)
+    WHERE r IS NOT NULL AND d IS NOT NULL AND datediff('day', r, d) < 0
       AND r {sign} DATE '1998-01-01'"""
 
 
 @check("t13_due_before_registry_new", due_before("1, 39", True))
 def t13(t):
-    return build("due_before_registry_new", t.rules("asset"), YEAR98, cutoff=CUTOFF)
+    return build("due_before_registry_new", t.rules("asset", "asset_type"), YEAR98, cutoff=CUTOFF)
 
 
 @check("t14_due_before_registry_old", due_before("1, 39", False))
 def t14(t):
-    return build("due_before_registry_old", t.rules("asset"), YEAR98, cutoff=CUTOFF)
+    return build("due_before_registry_old", t.rules("asset", "asset_type"), YEAR98, cutoff=CUTOFF)
 
 
 @check("t15_due_before_registry_new_type2", due_before("2", True))
 def t15(t):
-    return build("due_before_registry_new_type2", t.rules("asset"), YEAR98, cutoff=CUTOFF)
+    return build("due_before_registry_new_type2", t.rules("asset", "asset_type"), YEAR98, cutoff=CUTOFF)
 
 
 @check("t16_due_before_registry_old_type2", due_before("2", False))
 def t16(t):
-    return build("due_before_registry_old_type2", t.rules("asset"), YEAR98, cutoff=CUTOFF)
+    return build("due_before_registry_old_type2", t.rules("asset", "asset_type"), YEAR98, cutoff=CUTOFF)
 
 
 @check("t17_availability", """
@@ -421,18 +422,12 @@ def a12(t):
 
 
 @check("t27_consumption_peak", """
-    WITH base AS (
-      SELECT a.ClientCd, date_trunc('week', a.CreatedAtDttm)::DATE + 4 AS wk,
-             CASE x.DataContractId WHEN 'serpro_fetch_cpf' THEN 'CPF' WHEN 'serpro_fetch_cnpj' THEN 'CNPJ'
-                                   ELSE 'NFE' END AS kind
-      FROM fx_assessment a LEFT JOIN fx_external_search x USING (AssessmentId)
-      WHERE x.UrlParsedName <> 'cache' AND x.DataContractId <> 'other'
-        AND dayofweek(a.CreatedAtDttm) BETWEEN 1 AND 5 AND a.ClientCd IS NOT NULL),
-    weekly AS (
-      SELECT ClientCd, wk, count(*) AS qty,
-             count(*) FILTER (WHERE kind = 'CPF') * 0.13::DOUBLE + count(*) FILTER (WHERE kind = 'CNPJ') * 0.0990::DOUBLE
-               + count(*) FILTER (WHERE kind = 'NFE') * 0.0293::DOUBLE AS amount
-      FROM base GROUP BY 1, 2),
+    WITH weekly AS (
+      SELECT a.ClientCd, date_trunc('week', a.CreatedAtDttm)::DATE + 4 AS wk, count(*) AS qty,
+             CAST(sum(p.UnitPriceAmt) AS DOUBLE) AS amount
+      FROM fx_assessment a JOIN fx_external_search x USING (AssessmentId) JOIN fx_contract_price p USING (DataContractId)
+      WHERE x.UrlParsedName <> 'cache' AND dayofweek(a.CreatedAtDttm) BETWEEN 1 AND 5 AND a.ClientCd IS NOT NULL
+      GROUP BY 1, 2),
     peaks AS (
       SELECT *, max(amount) OVER (PARTITION BY ClientCd ORDER BY wk
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak FROM weekly)
@@ -440,7 +435,7 @@ def a12(t):
     FROM peaks WHERE wk = DATE '1995-03-03' AND amount >= 0.2
       AND (amount - coalesce(peak, amount)) / coalesce(peak, amount) >= 0.25""")
 def t27(t):
-    return build("consumption_peak", t.rules("assessment", "external_search"), dt.date(1995, 3, 1), minimum=0.2)
+    return build("consumption_peak", t.rules("assessment", "external_search", "contract_price"), dt.date(1995, 3, 1), minimum=0.2)
 
 
 @check("t28_quality_gate_bypass", """

@@ -210,7 +210,7 @@ def w02(t):
     SELECT ClientCd, CAST(wk AS VARCHAR) AS Week, qty AS AssessmentTotalQty,
            max(qty) OVER (PARTITION BY ClientCd ORDER BY wk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak FROM b""")
 def w03(t):
-    weekly = weekly_volume(t.rules("assessment", "external_search")).select("ClientCd", "Week", "AssessmentTotalQty")
+    weekly = weekly_volume(t.rules("assessment", "external_search", "contract_price")).select("ClientCd", "Week", "AssessmentTotalQty")
     return running_peak(weekly, "ClientCd", "Week", "AssessmentTotalQty", "peak")
 
 

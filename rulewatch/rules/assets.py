@@ -7,26 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from rulewatch.functions.values import DAY_FIRST, YEAR_FIRST
 from rulewatch.rules.registry import rule, sql_rule
 
-# Asset type codes and their short names (fixed values).
-ASSET_TYPES = {
-    1: "CCB", 2: "CPR", 3: "CDCA", 4: "ACC", 5: "CCCM", 6: "CCE", 7: "CCES", 8: "CCIN",
-    9: "CDAWA", 10: "CDIV", 11: "CMER", 12: "CMUT", 13: "CRH", 14: "CRP", 15: "CRPH",
-    16: "DEB", 17: "DUPR", 18: "NC", 19: "NCCM", 20: "NCE", 21: "NCIN", 22: "NCR",
-    23: "CPR_VERDE", 24: "NOTA_PROMISSORIA", 25: "DUPLICATAS", 33: "CIR", 34: "CRI",
-    35: "CRA", 36: "CR", 37: "LCI", 38: "LCA", 39: "DC", 40: "CCI", 41: "CCCB",
-    999: "OUTROS",
-}
-# Codes of assets a registrar issues itself; its short name follows (fixed values).
-OWN_ASSET_TYPES = {
-    26: "DUPLICATA_MERCANTIL", 27: "DUPLICATA_SERVICO", 28: "CHEQUE", 29: "CONTRATO",
-    30: "NOTA_PROMISSORIA", 31: "CONTRATO_DIREITO_CREDITORIO", 32: "NOTA_FISCAL_ELETRONICA",
-}
-
-
-def asset_type_names(registrar: str = "OWN") -> dict[int, str]:
-    return {**ASSET_TYPES, **{code: f"{name}_{registrar}" for code, name in OWN_ASSET_TYPES.items()}}
-
-
 DUE_BEFORE_REGISTRY = """
     WITH parsed AS (
       SELECT AssetId, TypeAssetId, StatusAssetId, RegistryDttm, DueDt,
@@ -36,7 +16,7 @@ DUE_BEFORE_REGISTRY = """
     )
     SELECT AssetId,
            TypeAssetId,
-           coalesce(try_element_at(:names, TypeAssetId), cast(TypeAssetId AS string)) AS TypeAssetName,
+           coalesce(TypeAssetName, cast(TypeAssetId AS string)) AS TypeAssetName,
            StatusAssetId,
            RegistryDttm AS Registry_orig,
            DueDt AS Due_orig,
@@ -44,20 +24,21 @@ DUE_BEFORE_REGISTRY = """
            due_date AS DueDate_parsed,
            datediff(due_date, registry_date) AS Days_Due_minus_Registry,
            :moment AS moment
-    FROM parsed
+    FROM parsed LEFT JOIN {asset_type} USING (TypeAssetId)
     WHERE due_date < registry_date
       AND CASE WHEN :new_stock THEN registry_date > :cutoff ELSE registry_date <= :cutoff END
 """
 
 
 def _due_before_registry(tables, cutoff, types: tuple[int, ...], new_stock: bool, moment: str) -> DataFrame:
-    names = F.create_map(*[F.lit(x) for pair in asset_type_names().items() for x in pair])
     return sql_rule(
         tables["asset"].sparkSession,
         DUE_BEFORE_REGISTRY,
-        {"asset": tables["asset"].where(F.col("TypeAssetId").isin(*types))},
         {
-            "names": names,
+            "asset": tables["asset"].where(F.col("TypeAssetId").isin(*types)),
+            "asset_type": tables["asset_type"].select("TypeAssetId", "TypeAssetName"),
+        },
+        {
             "day_first": DAY_FIRST,
             "year_first": YEAR_FIRST,
             "moment": moment,
@@ -67,25 +48,25 @@ def _due_before_registry(tables, cutoff, types: tuple[int, ...], new_stock: bool
     )
 
 
-@rule("due_before_registry_new", ("asset",))
+@rule("due_before_registry_new", ("asset", "asset_type"))
 def due_before_registry_new(tables, as_of, cutoff, moment: str = "AFTER") -> DataFrame:
     """Notes of types 1 and 39 registered after the cut-off and due before that."""
     return _due_before_registry(tables, cutoff, (1, 39), True, moment)
 
 
-@rule("due_before_registry_old", ("asset",))
+@rule("due_before_registry_old", ("asset", "asset_type"))
 def due_before_registry_old(tables, as_of, cutoff, moment: str = "UNTIL") -> DataFrame:
     """The same, registered up to the cut-off."""
     return _due_before_registry(tables, cutoff, (1, 39), False, moment)
 
 
-@rule("due_before_registry_new_type2", ("asset",))
+@rule("due_before_registry_new_type2", ("asset", "asset_type"))
 def due_before_registry_new_type2(tables, as_of, cutoff, moment: str = "AFTER") -> DataFrame:
     """Notes of type 2 registered after the cut-off."""
     return _due_before_registry(tables, cutoff, (2,), True, moment)
 
 
-@rule("due_before_registry_old_type2", ("asset",))
+@rule("due_before_registry_old_type2", ("asset", "asset_type"))
 def due_before_registry_old_type2(tables, as_of, cutoff, moment: str = "UNTIL") -> DataFrame:
     """Notes of type 2 registered up to the cut-off."""
     return _due_before_registry(tables, cutoff, (2,), False, moment)

@@ -7,47 +7,29 @@ from pyspark.sql import DataFrame, functions as F
 from rulewatch.functions.calendar import business_friday, day, is_weekday
 from rulewatch.rules.registry import rule
 
-# Data contracts by type, and the price of one look-up of each type (fixed values).
-CONTRACTS = {
-    "CPF": (
-        "serpro_fetch_cpf", "serpro_fetch_cpfs", "serpro_fetch_cpf_pre_contract",
-        "serpro_fetch_cpf_emissor",
-    ),
-    "CNPJ": ("serpro_fetch_cnpj", "serpro_fetch_cnpj_pre_contract"),
-    "NFE": ("serpro_fetch_nfe", "serpro_fetch_nfe_summary", "serpro_fetch_nfe_full"),
-}
-PRICES = {"CPF": 0.13, "CNPJ": 0.0990, "NFE": 0.0293}
-
 
 def weekly_volume(tables) -> DataFrame:
     """Look-ups and their price per client and business week, cached ones left out.
 
-    One aggregation counts the types side by side, so the price is a sum of three
-    products in fixed order and does not depend on how rows arrive.
+    ``contract_price`` names the paid contracts and the price of one look-up.  Prices are
+    decimals, so their sum does not depend on how rows arrive.
     """
-    paid = [c for group in CONTRACTS.values() for c in group]
-    look_ups = tables["external_search"].where(
-        (F.col("UrlParsedName") != "cache") & F.col("DataContractId").isin(*paid)
-    )
-    counts = {
-        name: F.count_if(F.col("DataContractId").isin(*group)).alias(f"n_{name}")
-        for name, group in CONTRACTS.items()
-    }
-    price = F.lit(0.0)
-    for name, each in PRICES.items():
-        price = price + F.col(f"n_{name}") * F.lit(each)
+    prices = tables["contract_price"].select("DataContractId", F.col("UnitPriceAmt").cast("decimal(18,6)").alias("_price"))
+    look_ups = tables["external_search"].where(F.col("UrlParsedName") != "cache")
     return (
         tables["assessment"]
         .where(is_weekday(F.col("CreatedAtDttm")) & F.col("ClientCd").isNotNull())
         .select("AssessmentId", "ClientCd", business_friday(F.col("CreatedAtDttm")).alias("Week"))
-        .join(look_ups.select("AssessmentId", "DataContractId"), "AssessmentId")
+        .join(look_ups.select("AssessmentId", "DataContractId").join(prices, "DataContractId"), "AssessmentId")
         .groupBy("ClientCd", "Week")
-        .agg(F.count(F.lit(1)).alias("AssessmentTotalQty"), *counts.values())
-        .select("ClientCd", "Week", price.alias("AssessmentTotalValueAmt"), "AssessmentTotalQty")
+        .agg(
+            F.sum("_price").cast("double").alias("AssessmentTotalValueAmt"),
+            F.count(F.lit(1)).alias("AssessmentTotalQty"),
+        )
     )
 
 
-@rule("consumption_peak", ("assessment", "external_search"))
+@rule("consumption_peak", ("assessment", "external_search", "contract_price"))
 def consumption_peak(
     tables, as_of, rise: float = 0.25, minimum: float = 25_000.0
 ) -> DataFrame:

@@ -77,7 +77,8 @@ def assessments(spark, weeks):
             rows.append((n, "c", ts(week)))
     tables = {
         "assessment": spark.createDataFrame(rows, "AssessmentId int, ClientCd string, CreatedAtDttm timestamp_ntz"),
-        "external_search": spark.createDataFrame([(r[0], "live", "serpro_fetch_nfe") for r in rows], "AssessmentId int, UrlParsedName string, DataContractId string"),
+        "external_search": spark.createDataFrame([(r[0], "live", "invoice") for r in rows], "AssessmentId int, UrlParsedName string, DataContractId string"),
+        "contract_price": spark.sql("SELECT 'invoice' AS DataContractId, 0.0293 AS UnitPriceAmt"),
     }
     return tables
 
