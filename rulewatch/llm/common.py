@@ -34,11 +34,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
-    """As ``stored``, bucketed: joins on the column then move the other side only."""
+    """As ``stored``, bucketed: joins on the column then move the other side only.
+
+    The name is needed to write the buckets alone; the files stay when it is dropped.
+    """
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     writer = df.write.bucketBy(partitions(df), column).option("compression", "zstd")
     writer.option("path", scratch(spark, name)).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 def partitions(df: DataFrame) -> int:
