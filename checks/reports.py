@@ -160,6 +160,14 @@ def r13_summary(t):
     return reports.view_summary(view, reports.in_view(t["fx_archive"], all_dates=True))
 
 
+@check("r13_last_hash", """
+    SELECT CAST(execution_date AS VARCHAR) AS execution_date, row_count, is_suppressed, is_recurrent,
+           left(incident_hash, 8) AS hash_preview
+    FROM fx_hashlog WHERE test_name = 'rule-3' ORDER BY fx_hashlog.execution_date DESC LIMIT 1""")
+def r13_last_hash(t):
+    return reports.last_hash(t["fx_hashlog"], "rule-3")
+
+
 @check("r13_run_dates", """
     SELECT CAST(d AS VARCHAR) AS exec_date FROM (SELECT DISTINCT CAST(ArchiveDate AS DATE) AS d FROM fx_archive) ORDER BY d DESC LIMIT 30""")
 def r13_dates(t):

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulewatch.functions.calendar import since_days
 from rulewatch.functions.predicates import contains_text, date_scope, is_blank, optional_filters
 from rulewatch.functions.values import preview
 from rulewatch.operators.alerts import rule_status
 from rulewatch.operators.findings import flag_false_positives
-from rulewatch.operators.grouping import first_per_key, page_after, recent_per_key, top_groups, trend
+from rulewatch.operators.grouping import first_per_key, latest_per_key, page_after, recent_per_key, top_groups, trend
 from rulewatch.operators.joins import lookup_join
+from rulewatch.plans.lint import rule_code
 from rulewatch.sources.export import export_rows
 from rulewatch.sources.tables import find_column
 
@@ -326,6 +328,14 @@ def view_summary(view: DataFrame, scope: DataFrame) -> DataFrame:
     return page.withColumn("limited", F.col("count") < total)
 
 
+def last_hash(hash_log: DataFrame, test_name: str) -> DataFrame:
+    """What the newest hash row of a rule says of its last run, beside a view of its findings."""
+    rows = hash_log.where(F.col("test_name") == test_name)
+    return latest_per_key(rows, ["test_name"], ["execution_date"]).select(
+        "execution_date", "row_count", "is_suppressed", "is_recurrent", preview("incident_hash").alias("hash_preview")
+    )
+
+
 def run_dates(archive: DataFrame, n: int = 30) -> DataFrame:
     """The newest archive days."""
     return (
@@ -430,6 +440,21 @@ def sample(findings: DataFrame, n: int = 10, order: list[str] | None = None) ->
     return (findings.orderBy(*order) if order else findings).limit(n)
 
 
+def preview_sql(spark: SparkSession, code: str, n: int = 10) -> tuple[DataFrame | None, str | None]:
+    """A few rows of a rule's SQL text, or why it cannot be shown.
+
+    Text that is not one SELECT is never run.
+    """
+    row = spark.createDataFrame([("", "SQL", None, code)], "test_id string, query_type string, imports string, query_code string")
+    wrong = rule_code(row).first()
+    if wrong:
+        return None, wrong["error"]
+    try:
+        return sample(spark.sql(code), n), None
+    except AnalysisException as problem:
+        return None, str(problem)
+
+
 def rules_by_status(configs: DataFrame) -> DataFrame:
     return configs.groupBy("status").agg(F.count(F.lit(1)).alias("cnt")).orderBy("status")
 

@@ -185,3 +185,13 @@ def test_chart_ranges_labels_and_bad_columns(spark):
     assert [(r.x, r.y) for r in bars] == [("a", 2), ("—", 1), ("b", 1), ("c", 1)]
     with pytest.raises(ValueError):
         chart(rows, ChartSpec("bar", x_axis="nothing"), "2024-01-09")
+
+
+def test_preview_runs_nothing_but_a_select(spark):
+    from rulewatch.plans.reports import preview_sql
+
+    spark.range(30).createOrReplaceTempView("probe_preview")
+    rows, error = preview_sql(spark, "SELECT id, id * 2 AS twice FROM probe_preview -- all")
+    assert error is None and rows.columns == ["id", "twice"] and rows.count() == 10
+    assert preview_sql(spark, "DROP VIEW probe_preview") == (None, "not a select") and spark.catalog.tableExists("probe_preview")
+    assert "UNRESOLVED_COLUMN" in preview_sql(spark, "SELECT nothing FROM probe_preview")[1]
