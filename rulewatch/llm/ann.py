@@ -139,6 +139,13 @@ def _blocks(rows: DataFrame, size: int, most: int, name: str) -> DataFrame:
     return stored(dealt.withColumn("number", F.monotonically_increasing_id()), name)
 
 
+def _numbered(blocks: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Blocks numbered from 0, and how many there are; only their numbers reach the driver."""
+    numbers = [r["number"] for r in blocks.select("number").collect()]
+    table = blocks.sparkSession.createDataFrame(list(enumerate(numbers)), f"{name} long, number long")
+    return blocks.join(table, "number").drop("number"), len(numbers)
+
+
 def search(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest rows of each row whose id ``every`` divides."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).where("id is not null and vector is not null")
@@ -157,10 +164,13 @@ def search(df: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vec
     coder = learn(np.array([r["vector"] for r in sample]), longest, k)
     index = _blocks(rows, size, BLOCK_ROWS, "ann")
     queries = _blocks(rows.where(F.col("id") % every == 0), size, QUERY_ROWS, "ann")
-    queries = queries.select(F.col("number").alias("q_number"), F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    # The stated query set meets all rows, block by block; numbers of blocks are few and small.
-    numbers, q_numbers = (F.array(*[F.lit(r[0]) for r in t.select(c).collect()]) for t, c in ((index, "number"), (queries, "q_number")))
-    pairs = index.withColumn("q_number", F.explode(q_numbers)).join(queries.withColumn("number", F.explode(numbers)), ["number", "q_number"])
+    queries = queries.toDF("q_rows", "q_ids", "q_vectors", "number")
+    (index, blocks), (queries, q_blocks) = _numbered(index, "block"), _numbered(queries, "q_block")
+    if not q_blocks:
+        return df.sparkSession.createDataFrame([], out).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
+    # The stated query set meets all rows, block by block.
+    every_block = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    pairs = index.withColumn("q_block", every_block(q_blocks)).join(queries.withColumn("block", every_block(blocks)), ["block", "q_block"])
 
     def run(batches):
         for batch in batches:
