@@ -11,7 +11,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulewatch.llm import bpe, decontaminate, quality, simhash, suffixes
+from rulewatch.llm import bpe, decontaminate, quality, similar, suffixes
 from rulewatch.llm.common import stored
 
 
@@ -25,8 +25,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group linked by close fingerprints."""
-    return simhash.keep_one(docs)
+    """One document, the one with the smallest id, of each group linked by similar texts."""
+    return similar.keep_one(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,11 +51,14 @@ def fingerprints_of(texts: list[bytes], width: int = SHINGLE) -> np.ndarray:
     """A bit is set if it is set in over half of the text's hashes."""
     hashes = [shingle_hashes(t, width) for t in texts]
     counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    out = np.zeros(len(texts), np.uint64)
-    some = np.flatnonzero(counts)
+    return majority(np.array([h for x in hashes for h in x], np.uint64), counts)
+
+
+def majority(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Fingerprints of runs of ``counts`` hashes; that of none is zero."""
+    out, some = np.zeros(len(counts), np.uint64), np.flatnonzero(counts)
     if not len(some):
         return out
-    flat = np.array([h for x in hashes for h in x], np.uint64)
     starts = (np.cumsum(counts) - counts)[some]
     bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     set_bits = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
@@ -126,8 +129,11 @@ def _bits(flags: np.ndarray, words: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def linked(groups: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each row the first row that it reaches by links within its group; groups are contiguous."""
+def linked(groups: np.ndarray, values: np.ndarray, radius: int = RADIUS, alike=None) -> np.ndarray:
+    """For each row the first row that it reaches by links within its group; groups are contiguous.
+
+    ``alike`` says which of the pairs within the radius are links, given their rows; all if None.
+    """
     count = len(values)
     label = np.arange(count)
     if count < 2:
@@ -155,6 +161,9 @@ def linked(groups: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> np.n
         rows = close_pairs(planes, step, _bits((left >= step) & np.repeat(open_groups, sizes), words), radius)
         # Where the word sums allow more than the radius, look at the distance itself.
         rows = rows[np.bitwise_count(ordered[rows] ^ ordered[rows + step]) <= radius]
+        if alike is not None:
+            rows = rows[label[rows] != label[rows + step]]
+            rows = rows[alike(order[rows], order[rows + step])]
         join(label, rows, rows + step)
         step += 1
     out = np.empty(count, np.int64)
