@@ -7,9 +7,12 @@ and of words given their class.
 Chunks of documents are coded once against a dictionary of their own and stored; later passes
 work on numbers.  The most frequent words are exchanged between classes until nothing improves,
 on their bigram counts over the whole corpus (a matrix of fixed size on the driver).  Then every
-other word of the corpus goes to the class under which its own occurrences, all of them, are
-likeliest next to those words; these counts meet by word in Spark.  The vocabulary is never held
-in one place: each chunk gets the counts and classes of its own words by a join.
+other word is placed by its occurrences next to those words; one that never stands there gets a
+class by hash.  In sweeps, each word (those exchanged too) then goes to the class under which all
+its occurrences are likeliest next to the classes that its neighbours have; these counts meet by
+word in Spark.  Sweeps end after SWEEPS, or when one does not make class bigrams more informative.
+The vocabulary is never held in one place: each chunk gets the counts and classes of its own words
+by a join.
 
 Smoothing: a transition is mixed with the class's share; a word's count in its class is discounted
 by a constant (from the numbers of words seen once and twice), and what that frees belongs to
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rulewatch.llm.common import NO_ID, as_bytes, bucketed, chunk_ids, pack, slices, stored, unpack
 
-CLASSES, SEEDS, ROUNDS = 32, 1024, 12
+CLASSES, SEEDS, ROUNDS, SWEEPS = 32, 1024, 12, 2
 CHUNK_BYTES = 16 << 20
 END = "\n"  # never a word: it holds white space
 MIX = 20.0  # weight of the class share in a transition
@@ -195,7 +198,29 @@ def seed_classes(chunks: DataFrame, seeds: int, classes: int) -> tuple[dict[str,
 
 
 def vocabulary(chunks: DataFrame, seeds: dict[str, int], table: np.ndarray) -> DataFrame:
-    """``word, n, class`` of every word learned from."""
+    """``word, n, class`` of every word learned from, placed by its occurrences next to ``seeds``."""
+
+    def near_seeds(batch, at):
+        local = np.array([seeds.get(w, -1) for w in batch.column("words")[at].as_py()], np.int64)
+        return local, local < 0
+
+    return placed(chunks.select("lengths", "learn", "codes", "words", "counts"), near_seeds, table, seeds)
+
+
+def swept(chunks: DataFrame, found: DataFrame, table: np.ndarray) -> DataFrame:
+    """``word, n, class``: each word placed anew by all its occurrences, next to words as ``found``."""
+    classes = len(table) - 1
+
+    def by_class(batch, at):
+        _, local = local_arrays(batch, at, classes)
+        return local, local != classes
+
+    rows = chunks.select("chunk", "lengths", "learn", "codes", "words", "counts", F.size("words").alias("types"))
+    return placed(rows.join(found, "chunk"), by_class, table, {END: classes})
+
+
+def placed(chunks: DataFrame, classes_of, table: np.ndarray, given: dict[str, int]) -> DataFrame:
+    """``word, n, class``; ``classes_of`` gives the classes of a chunk's words (-1: none) and which are placed."""
     classes = len(table) - 1
 
     def contexts(batches):
@@ -203,9 +228,9 @@ def vocabulary(chunks: DataFrame, seeds: dict[str, int], table: np.ndarray) -> D
             for at in range(batch.num_rows):
                 tokens = Tokens(batch, at, True)
                 words, counts = batch.column("words")[at].values, batch.column("counts")[at].values.to_numpy()
-                local = np.array([seeds.get(w, -1) for w in words.to_pylist()], np.int64)
+                local, open_words = classes_of(batch, at)
                 here = local[tokens.codes]
-                other = here < 0
+                other = open_words[tokens.codes]
                 key = []
                 for codes in (tokens.before(here, classes), np.where((after := tokens.after(here, -1)) >= 0, after + classes + 1, -1)):
                     use = other & (codes >= 0)
@@ -243,10 +268,12 @@ def vocabulary(chunks: DataFrame, seeds: dict[str, int], table: np.ndarray) -> D
                 seen = np.bincount((owner[mine] - a) * width + data["code"][mine], data["n"][mine], (b - a) * width).reshape(b - a, width)
                 best[a:b] = np.argmax(seen @ weights, axis=1)
             words = batch.column("word").to_pylist()
-            fixed = np.array([seeds.get(w, -1) for w in words], np.int64)
+            for i in np.flatnonzero(spans == 0).tolist():
+                best[i] = zlib.crc32(words[i].encode()) % classes
+            fixed = np.array([given.get(w, -1) for w in words], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(np.where(fixed >= 0, fixed, best), pa.int32())], ["word", "n", "class"])
 
-    sent = chunks.select("lengths", "learn", "codes", "words", "counts").mapInArrow(contexts, "word string, n long, entries binary")
+    sent = chunks.mapInArrow(contexts, "word string, n long, entries binary")
     met = sent.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("entries").alias("entries"))
     return stored(met.mapInArrow(assign, "word string, n long, class int"), "vocabulary")
 
@@ -269,7 +296,9 @@ class Model:
     unseen_class: int  # what stands before the word after an unseen one
 
 
-def fit(chunks: DataFrame, found: DataFrame, words: DataFrame, classes: int) -> Model:
+def class_bigrams(chunks: DataFrame, found: DataFrame, classes: int) -> np.ndarray:
+    """Counts of neighbouring classes in rows learned from."""
+
     def transitions(batches):
         for batch in batches:
             for at in range(batch.num_rows):
@@ -284,7 +313,17 @@ def fit(chunks: DataFrame, found: DataFrame, words: DataFrame, classes: int) ->
     table = np.zeros((classes + 1) ** 2)
     for r in pairs:
         table[r["pair"]] = r["n"]
-    table = table.reshape(classes + 1, classes + 1)
+    return table.reshape(classes + 1, classes + 1)
+
+
+def information(table: np.ndarray) -> float:
+    """The part of the learned texts' log probability that depends on the classes."""
+    logs = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+    return logs(table) - logs(table.sum(axis=0)) - logs(table.sum(axis=1))
+
+
+def fit(chunks: DataFrame, found: DataFrame, words: DataFrame, classes: int, table: np.ndarray | None = None) -> Model:
+    table = class_bigrams(chunks, found, classes) if table is None else table
     of_class = words.groupBy("class").agg(
         F.sum("n").alias("n"), F.count("*").alias("types"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")
     ).collect()
@@ -341,11 +380,19 @@ def score(chunks: DataFrame, found: DataFrame, model: Model, key: str = "doc_id"
     return out.withColumnRenamed("id", key)
 
 
-def document_scores(documents: DataFrame, folds: int = 7, held: int = 2, classes: int = CLASSES, seeds: int = SEEDS) -> DataFrame:
+def document_scores(documents: DataFrame, folds: int = 7, held: int = 2, classes: int = CLASSES, seeds: int = SEEDS, sweeps: int = SWEEPS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``."""
     chunks = coded(documents, folds, held)
     words = vocabulary(chunks, *seed_classes(chunks, seeds, classes))
     found = looked_up(chunks, words)
-    scored = score(chunks, found, fit(chunks, found, words, classes))
+    table = class_bigrams(chunks, found, classes)
+    for _ in range(sweeps):
+        moved = swept(chunks, found, table)
+        of_moved = looked_up(chunks, moved)
+        moved_table = class_bigrams(chunks, of_moved, classes)
+        if information(moved_table) <= information(table):
+            break
+        words, found, table = moved, of_moved, moved_table
+    scored = score(chunks, found, fit(chunks, found, words, classes, table))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
     return scored.withColumn("held_out", held_out).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
