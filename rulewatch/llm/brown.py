@@ -26,6 +26,7 @@ and not learned from; without any training text every probability is one.
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import zlib
 from collections import defaultdict
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rulewatch.llm.common import NO_ID, as_bytes, bucketed, chunk_ids, pack, slices, stored, unpack
 
-CLASSES, SEEDS, ROUNDS, SWEEPS = 32, 1024, 12, 2
+CLASSES, SEEDS, SWEEPS = 32, 1024, 2
 CHUNK_BYTES = 16 << 20
 END = "\n"  # never a word: it holds white space
 MIX = 20.0  # weight of the class share in a transition
@@ -121,9 +122,9 @@ class Tokens:
         return out
 
 
-def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int, rounds: int | None = None) -> np.ndarray:
     """Classes of words from their bigram counts: each word moves to where the likelihood is
-    greatest, one after another, until a round moves none."""
+    greatest, one after another, until a round moves none (or for ``rounds``)."""
     size = len(bigrams)
     classes = min(classes, size)
     label = np.arange(size) % classes
@@ -132,7 +133,8 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
     to_class, from_class = bigrams @ member, bigrams.T @ member  # counts word -> class, class -> word
     table = member.T @ to_class
     logs = lambda x: x * np.log(np.maximum(x, 1e-300))
-    for _ in range(rounds):
+    least = max(1e-9, 1e-12 * bigrams.sum())  # a gain beyond rounding, so that rounds end
+    for _ in itertools.count() if rounds is None else range(rounds):
         moved = 0
         for w in range(size):
             old, own = label[w], bigrams[w, w]
@@ -150,7 +152,7 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
             rows, columns = table.sum(axis=1) + left, table.sum(axis=0) + right
             gain -= logs(rows + right.sum() + own) - logs(rows) + logs(columns + left.sum() + own) - logs(columns)
             new = int(np.argmax(gain))
-            if gain[new] <= gain[old] + 1e-9:
+            if gain[new] <= gain[old] + least:
                 new = old
             table[new] += right
             table[:, new] += left
@@ -169,8 +171,8 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
 
 def seed_classes(chunks: DataFrame, seeds: int, classes: int) -> tuple[dict[str, int], np.ndarray]:
     """Classes of the most frequent words, and the class bigram counts between them; END is the
-    last class.  Each chunk names its most frequent words; counts of pairs cover the corpus."""
-    each = F.slice(F.arrays_zip("words", "counts"), 1, 8 * seeds)
+    last class.  Counts of words and of pairs cover the corpus."""
+    each = F.arrays_zip("words", "counts")
     counts = chunks.select(F.explode(each).alias("x")).where("x.counts > 0").groupBy("x.words").agg(F.sum("x.counts").alias("n"))
     top = [r["words"] for r in counts.where(F.col("words") != END).orderBy(F.desc("n"), "words").limit(seeds).collect()]
     place = {w: i for i, w in enumerate(top)} | {END: len(top)}

@@ -31,3 +31,9 @@ def test_sweeps_count_every_neighbour(spark):
     assert got.pop("\n") == 3 and set(got) == set(gain)
     assert all(gain[w][k] >= gain[w].max() - 1e-9 for w, k in got.items())
     assert len({of[w] for w in of if w[0] in "pq"}) > 1
+
+
+def test_seeds_from_whole_vocabularies(spark):
+    docs = [(i, " ".join([f"w{i}x{k}" for k in range(9)] * 3 + ["everywhere"] * 2)) for i in range(24)]
+    chunks = brown.coded(spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(24, "doc_id"), 7, 2)
+    assert "everywhere" in brown.seed_classes(chunks, 1, 1)[0]
