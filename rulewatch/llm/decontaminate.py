@@ -108,6 +108,7 @@ def hits(
 ) -> DataFrame:
     """``key, n_words, spans, items``: hit word spans and the ids of items found, for each row."""
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text"))
+    items = stored(items.distinct(), "decontaminate")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     count = 1 if total <= block_bytes else -(-2 * total // block_bytes)
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
