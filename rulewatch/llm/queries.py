@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rulewatch.llm import ann, bpe, brown, counts, decontaminate, quality, shards, simhash, suffixes, windows
+from rulewatch.llm import ann, audit, bpe, brown, counts, decontaminate, oracles, quality, shards, simhash, suffixes, windows
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,5 +54,15 @@ def op10_bpe(spark, folder):
     return bpe.digests(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_language_model, op4_decontamination, op5_nearest, op6_simhash, op7_shards, op8_suffix_dedup, op9_substring_dedup, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_filter_audit(spark, folder):
+    return audit.filter_audit(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality, op2_token_counts, op3_language_model, op4_decontamination, op5_nearest, op6_simhash, op7_shards,
+        op8_suffix_dedup, op9_substring_dedup, op10_bpe, op11_filter_audit,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op11_filter_audit": oracles.FILTER_AUDIT}
