@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rulewatch.llm import ann, audit, bpe, brown, counts, decontaminate, oracles, quality, repair, shards, simhash, suffixes, windows
+from rulewatch.llm import ann, audit, bpe, brown, counts, decontaminate, language, oracles, quality, repair, shards, simhash, suffixes, windows
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,11 +62,15 @@ def op12_conversation_repair(spark, folder):
     return repair.repaired_conversations(read(spark, folder, "conversations"))
 
 
+def op13_language(spark, folder):
+    return language.document_languages(read(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_token_counts, op3_language_model, op4_decontamination, op5_nearest, op6_simhash, op7_shards,
-        op8_suffix_dedup, op9_substring_dedup, op10_bpe, op11_filter_audit, op12_conversation_repair,
+        op8_suffix_dedup, op9_substring_dedup, op10_bpe, op11_filter_audit, op12_conversation_repair, op13_language,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op11_filter_audit": oracles.FILTER_AUDIT, "op12_conversation_repair": oracles.CONVERSATION_REPAIR}

@@ -17,7 +17,7 @@ from test_repeats import brute_links, brute_print, near_rows
 def test_registered():
     found = spark_entry.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(found)
-    assert sorted({k.split("_")[0] for k in queries.QUERIES}) == sorted(f"op{n}" for n in range(1, 13))
+    assert sorted({k.split("_")[0] for k in queries.QUERIES}) == sorted(f"op{n}" for n in range(1, 14))
 
 
 def test_stages_like_brute_force(spark, tmp_path):
