@@ -213,8 +213,9 @@ def document_facts(documents: DataFrame, key: str = "doc_id", text: str = "text"
 def with_copies(facts: DataFrame, bit: int) -> DataFrame:
     """``facts`` with the bit set where a row of a smaller id has the same text."""
     firsts = facts.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    firsts = stored(firsts.select("hash", "first"), "audit")  # a join of two stored tables can split a hot text
     copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
-    joined = facts.join(firsts.select("hash", "first"), "hash", "left")
+    joined = facts.join(firsts, "hash", "left")
     return joined.withColumn("fails", F.col("fails").bitwiseOR(F.when(copy, 1 << bit).otherwise(0))).drop("first", "hash")
 
 
@@ -226,7 +227,7 @@ def filter_audit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", t
         F.coalesce(F.bool_or(F.col("toxic") == 1), F.lit(False)).alias("toxic"),
     )
     failing = with_copies(facts, 4).where("fails > 0")
-    marked = failing.join(marks, "id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
+    marked = failing.join(stored(marks, "audit"), "id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
     parts = facts.groupBy("part").agg(F.count("*").alias("documents"))
     sums = stored(interactions(stored(marked, "audit"), len(FILTERS)), "audit")
     return order_report(parts, sums, len(FILTERS))
