@@ -28,15 +28,17 @@ digest of an empty text; an empty table has no rows; further columns are ignored
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from rulewatch.llm.common import chunk_ids, partitions, stored
+from rulewatch.llm.common import chunk_ids, partitions, slices, stored
 
 PIECE_ROWS, PIECE_BYTES = 1 << 14, 4 << 20
+BATCH = 256  # pieces taken at once, if they are small
 DELETE, REROLE, INSERT, TRUNCATED = 3, 2, 2, 1
 FAR = 1 << 60
 ENDS = (0, 4, 2, 0)  # what ends cost from each state: rows inserted until one may end
@@ -66,6 +68,7 @@ def choices(row: int, state: int):
 EDITS = {(row, state): tuple(choices(row, state)) for row in range(16) for state in range(4)}
 
 
+@functools.lru_cache(1 << 16)  # vectors without their constants are few
 def step_back(row: int, after: tuple) -> tuple:
     """Cheapest costs before a row from those after it, rows inserted before it included."""
     costs = [min(cost + after[to] for _, cost, to in EDITS[row, state]) for state in range(4)]
@@ -163,36 +166,44 @@ def pieces(rows: DataFrame, most_rows: int = PIECE_ROWS, most_bytes: int = PIECE
 
     def run(batches):
         numbers = chunk_ids()
-        conv, held, size, first = None, [], 0, True
-        waiting = None  # a piece is written when the next one is known
-
-        def flush():
-            return (conv, next(numbers), held)
-
-        def written(item, after, last):
-            nonlocal first
-            conv_, piece, rows_ = item
-            mark, first = first or last, False
-            values = (([conv_], conv_kind), ([piece], pa.int64()), ([after], pa.int64()), ([rows_], pa.list_(_ROW)), ([mark], pa.bool_()))
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in values], ["conv", "piece", "after", "rows", "edge"])
-
+        done, held, size, bytes_ = [], [], 0, 0  # pieces to write, of which the last waits for the one after it
+
+        def written(items, last):
+            nonlocal done
+            done = done[len(items) :]
+            first = items[0][1] & 0xFFFFFF == 0
+            edges = [first, *[False] * (len(items) - 1)]
+            edges[-1] |= last
+            columns = [*zip(*items), edges]
+            kinds = (conv_kind, pa.int64(), pa.int64(), pa.list_(_ROW), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["conv", "piece", "after", "rows", "edge"])
+
+        def cut():
+            nonlocal held, size
+            piece = next(numbers)
+            if done and done[-1][0] == conv:
+                done[-1] = (*done[-1][:2], piece, done[-1][3])
+            done.append((conv, piece, None, held))
+            held, size = [], 0
+
+        conv = None
         for batch in batches:
             conv_kind = batch.schema.field("conv").type
-            for at in range(batch.num_rows):
-                key, turn, role, text = (batch.column(c)[at].as_py() for c in ("conv", "turn", "role", "text"))
-                if held and (key != conv or len(held) >= most_rows or size >= most_bytes):
-                    item = flush()
-                    if waiting:
-                        yield written(waiting, item[1] if waiting[0] == item[0] else None, False)
-                    waiting, held, size = item, [], 0
-                conv = key
-                held.append({"turn": turn, "role": role, "text": text})
-                size += 4 * len(text)
+            for part in slices([batch], "text"):
+                for key, turn, role, text in zip(*[part.column(c).to_pylist() for c in ("conv", "turn", "role", "text")]):
+                    if held and (key != conv or len(held) >= most_rows or size >= most_bytes):
+                        bytes_ += size
+                        cut()
+                        if bytes_ >= most_bytes or len(done) > BATCH:
+                            if len(done) > 1:
+                                yield written(done[:-1], False)
+                            bytes_ = 0
+                    conv = key
+                    held.append({"turn": turn, "role": role, "text": text})
+                    size += 4 * len(text)  # bytes at most
         if held:
-            item = flush()
-            if waiting:
-                yield written(waiting, item[1] if waiting[0] == item[0] else None, False)
-            yield written(item, None, True)
+            cut()
+            yield written(done, True)
 
     found = ranged.mapInArrow(run, f"conv {kind}, piece long, after long, rows array<struct<turn:long,role:string,text:string>>, edge boolean")
     return stored(found, "repair")
@@ -249,11 +260,13 @@ def _mapped(df: DataFrame, one, schema: str, fields: list[tuple]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = {name: batch.column(name)[at].as_py() for name in batch.schema.names if name != "conv"}
-                out = one(row)
-                arrays = [pa.array([out[name]], t) for name, t in fields]
-                yield pa.RecordBatch.from_arrays([batch.column("conv").slice(at, 1), *arrays], ["conv", *[n for n, _ in fields]])
+            size = max(1, min(BATCH, PIECE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                names = [name for name in part.schema.names if name != "conv"]
+                found = [one(dict(zip(names, row))) for row in zip(*[part.column(name).to_pylist() for name in names])]
+                arrays = [pa.array([x[name] for x in found], t) for name, t in fields]
+                yield pa.RecordBatch.from_arrays([part.column("conv"), *arrays], ["conv", *[n for n, _ in fields]])
 
     return df.mapInArrow(run, f"conv {kind}, {schema}")
 
