@@ -177,14 +177,14 @@ def inverse_frequencies(training: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def learning_rows(training: DataFrame, counts: dict[str, int], sample: int) -> DataFrame:
-    """Stored ``label, draw, features, frequency, kept`` of the sampled documents."""
+    """Stored ``label, draw, features, frequency, kept, shard`` of the sampled documents, by shard and draw."""
     names = sorted(counts)
     each = sample / max(1, len(names))
     shares = [min(1.0, each / counts[n]) for n in names]
     label = F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int") - 1
     share = F.array(*map(F.lit, shares))[label]
     chosen = training.withColumn("draw", F.rand(7)).withColumn("label", label).where(F.col("draw") < share)
-    chosen = stored(chosen.select("label", "draw", "text"), "language")
+    chosen = chosen.select("label", "draw", "text")
 
     def run(batches):
         for part in slices(batches, "text"):
@@ -199,7 +199,9 @@ def learning_rows(training: DataFrame, counts: dict[str, int], sample: int) -> D
             yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(at, pa.binary()), pa.array(frequency, pa.binary())], ["label", "draw", "features", "frequency"])
 
     rows = chosen.mapInArrow(run, "label int, draw double, features binary, frequency binary")
-    return stored(rows.withColumn("kept", F.pmod(F.xxhash64("draw", "features"), F.lit(KEPT)) == 0), "language")
+    part = F.xxhash64("draw", "features")
+    rows = rows.withColumns({"kept": F.pmod(part, F.lit(KEPT)) == 0, "shard": F.pmod(F.shiftright(part, 16), F.lit(SHARDS))})
+    return stored(rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "draw", "features"), "language")
 
 
 def _examples(batches, idf: np.ndarray):
@@ -211,23 +213,36 @@ def _examples(batches, idf: np.ndarray):
             yield np.append(at, 1 << BITS), np.append(x, 1.0), label
 
 
+def _state(leader: Leader | None, seen: int) -> np.ndarray | float:
+    """A learner's sums times the rows it saw, and these."""
+    return np.concatenate((seen * leader.z.ravel(), seen * leader.n.ravel(), [float(seen)])) if leader else 0.0
+
+
 def train(rows: DataFrame, idf: np.ndarray, languages: int, rounds: int = ROUNDS, lasso: float = LASSO, ridge: float = RIDGE) -> np.ndarray:
     """Weights of languages by features, the constant's last, averaged over shards after each round."""
     shape = (languages, (1 << BITS) + 1)
     size = languages * shape[1]
     z, n = np.zeros(shape), np.zeros(shape)
-    learned = rows.where(~F.col("kept")).select("features", "frequency", "label", "draw")
-    # Dealt and sorted by content each round, so that a model does not depend on files or lost tasks.
-    learned = learned.repartition(SHARDS, F.xxhash64("features", "draw")).sortWithinPartitions("draw", "features")
+    learned = rows.where(~F.col("kept")).select("features", "frequency", "label", "shard")
     for _ in range(rounds):
         start = (z, n)
 
         def one_shard(batches):
-            leader, seen = Leader(*(a.copy() for a in start), lasso, ridge), 0
-            for features, x, label in _examples(batches, idf):
-                leader.learn(features, x, label)
-                seen += 1
-            yield _one(np.concatenate((seen * leader.z.ravel(), seen * leader.n.ravel(), [float(seen)])))
+            """A learner for each run of rows of one shard, whatever files a task reads."""
+            leader, seen, shard = None, 0, None
+            total = np.zeros(2 * size + 1)
+            for batch in batches:
+                shards = batch.column("shard").to_numpy()
+                ends = [*(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+                for first, end in zip([0, *ends], ends):
+                    if leader is None or shards[first] != shard:
+                        total += _state(leader, seen)
+                        leader, seen, shard = Leader(*(a.copy() for a in start), lasso, ridge), 0, shards[first]
+                    for features, x, label in _examples([batch.slice(first, end - first)], idf):
+                        leader.learn(features, x, label)
+                        seen += 1
+            if leader is not None:
+                yield _one(total + _state(leader, seen))
 
         total = _sum_arrays(learned.mapInArrow(one_shard, "part binary"), 2 * size + 1, np.float64)
         if not total[-1]:
