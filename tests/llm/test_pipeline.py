@@ -11,7 +11,8 @@ import __spark_entry__ as spark_entry
 import corpus_pipeline
 from rulewatch.llm import quality, queries
 from test_encoding import brute_hits
-from test_repeats import brute_links, brute_print, near_rows
+from test_repeats import near_rows
+from test_similar import shingles, similarity
 
 
 def test_registered():
@@ -34,8 +35,13 @@ def test_stages_like_brute_force(spark, tmp_path):
     read = spark.read.parquet(f"{folder}/documents.parquet")
     kept = [(r["doc_id"], r["text"]) for r in quality.keep_good(read, labels).collect()]
     assert 0 < len(kept) <= len(rows)
+    # Near duplicates: chains of texts whose five-word shingles are alike by 0.8 or more.
+    sets, root = [shingles(t) for _, t in kept], list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            if similarity(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
     groups: dict = {}
-    root = brute_links([brute_print(t) for _, t in kept], [0] * len(kept), 3)
     for (key, t), r in zip(kept, root):
         groups.setdefault(r, []).append((key is None, key or 0, t))
     first = [(None if min(g)[0] else min(g)[1], [t for none, k, t in g if (none, k) == min(g)[:2]]) for g in ([(a, b, c or "") for a, b, c in g] for g in groups.values())]
