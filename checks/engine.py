@@ -18,7 +18,7 @@ from rulewatch.plans.history import error_rows, replay, summarise_runs
 from rulewatch.plans.runner import run_rules, run_totals, runs_due
 from rulewatch.rules.registry import RULES
 from rulewatch.session import work_dir
-from rulewatch.sources.archive import read_log
+from rulewatch.sources.logs import read_log
 from rulewatch.sources.schemas import empty
 
 KEYS = ["test_name", "run_date"]

@@ -109,7 +109,12 @@ def classify_run(runs: DataFrame, run_log: DataFrame, hash_log: DataFrame) -> Da
     prev_hash = hash_log.groupBy("test_name").agg(
         F.max_by(F.struct("incident_hash"), "execution_date").alias("_prev_hash")
     )
-    joined = runs.join(prev_run, "test_name", "left").join(prev_hash, "test_name", "left")
+    return classify_after(runs, prev_run.join(prev_hash, "test_name", "full"))
+
+
+def classify_after(runs: DataFrame, previous: DataFrame) -> DataFrame:
+    """Alert state of new runs from ``test_name, _prev_run, _prev_hash``, one row a rule."""
+    joined = runs.join(previous, "test_name", "left")
     states = alert_state(
         F.col("result"), F.col("suppressed"), F.col("channel"),
         F.col("incident_hash"), F.col("_prev_hash"), F.col("_prev_run"),

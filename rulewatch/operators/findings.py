@@ -7,6 +7,9 @@ here treats all rules and all runs in one plan.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rulewatch.functions.hashing import fp_row_hash, row_hash
@@ -62,6 +65,20 @@ def fingerprint(
     )
 
 
+def set_sums(row_hash: str = "_row_hash", flag: str = "_is_false_positive") -> dict[str, Column]:
+    """What a job that writes flagged findings must sum for their counts and fingerprint."""
+    sums = {name: F.sum(half.cast(SUM)).cast(SUM) for name, half in _halves(row_hash).items()}
+    return {"row_count": F.count(F.lit(1)), "clean_count": F.count_if(~F.col(flag)), **sums}
+
+
+SUMS_DDL = "row_count long, clean_count long, " + ", ".join(f"_{half}{i} {SUM}" for i in range(SLICES) for half in ("high", "low"))
+
+
+def summed_hash() -> Column:
+    """The fingerprint from a row of such sums; NULL for a set without findings."""
+    return F.when(F.col("row_count") > 0, F.sha2(F.concat_ws(":", "row_count", *_halves("row_count")), 256))
+
+
 def set_hash(findings: DataFrame, keys: list[str]) -> DataFrame:
     """Count and fingerprint of each finding set."""
     return fingerprint(with_row_hash(findings, keys).select(*keys, "row_hash"), keys)
@@ -174,6 +191,36 @@ def flag_false_positives(
     )
 
 
+def criteria_shapes(false_positives: DataFrame) -> dict[str, list[list[str]]]:
+    """The sets of columns that each rule's active false positives ask for: a few for each rule."""
+    found = fp_lookup(false_positives).select("test_name", "names").distinct().collect()
+    shapes: dict[str, list[list[str]]] = {}
+    for r in sorted(found, key=lambda r: (r["test_name"] or "", r["names"])):
+        shapes.setdefault(r["test_name"], []).append(r["names"])
+    return shapes
+
+
+def flag_in_one_pass(findings: DataFrame, false_positives: DataFrame, rule: str, shapes: list[list[str]]) -> DataFrame:
+    """``findings`` of one rule with ``_is_false_positive``, read once.
+
+    One look-up for each set of criteria columns: a broadcast while Spark measures the false positives small.
+    The findings' own order and columns stay; a set with an unknown column matches nothing.
+    """
+    columns = list(findings.columns)
+    lookup = fp_lookup(false_positives.where(F.col("test_name") == rule))
+    flagged, hits = findings.withColumn("_fp_hash", fp_row_hash(columns)), []
+    for i, names in enumerate(shapes):
+        if not set(names) <= {*columns, WHOLE_ROW}:
+            continue
+        cells = [F.col("_fp_hash") if n == WHOLE_ROW else F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")) for n in names]
+        wanted = lookup.where(F.col("names") == F.array(*map(F.lit, names))).select(F.col("wanted").alias(f"_wanted{i}")).distinct()
+        flagged = flagged.withColumn(f"_cells{i}", F.array(*cells))
+        flagged = flagged.join(wanted, F.col(f"_cells{i}") == F.col(f"_wanted{i}"), "left")
+        hits.append(F.col(f"_wanted{i}").isNotNull())
+    hit = functools.reduce(operator.or_, hits, F.lit(False))
+    return flagged.select(*[F.col(f"`{c}`") for c in columns], hit.alias("_is_false_positive"))
+
+
 def run_counts(findings: DataFrame, false_positives: DataFrame, keys: list[str]) -> DataFrame:
     """Raw count, clean count and fingerprint of every run, over all rules at once.
 

@@ -1,32 +1,35 @@
 """The daily run over all due rules.
 
-Each rule body is evaluated once: its findings are written, and flagged from the written
-copy if the rule has false positives.  Counts, fingerprints and alert states of all rules
-then come from the written archives in one more plan.  A rule that fails becomes one ERROR
-row and the others go on.  Rules may run several times a day: a run is compared with the
-logged runs before it, and repeating it replaces just its own rows.
+Each rule is one job: its body is evaluated, flagged and written once, and the tasks that write sum what
+its counts and its fingerprint need.  What reaches the driver is one small row a rule; nothing written is read
+again.  A rule that fails, or that is not done within its limit of time, becomes one ERROR row and the others
+go on.  Rules may run several times a day: a run is compared with the logged runs before it, and repeating it
+replaces just its own rows.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import time
 import traceback
 from collections.abc import Mapping
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rulewatch.functions.calendar import frequency_of, is_due
-from rulewatch.functions.hashing import row_hash
-from rulewatch.operators.alerts import classify_run, open_suppressions, outbox
-from rulewatch.operators.findings import count_hashed, flag_false_positives, run_result
+from rulewatch.operators.alerts import classify_after, open_suppressions, outbox
+from rulewatch.operators.findings import (
+    SUMS_DDL, criteria_shapes, flag_false_positives, flag_in_one_pass, run_result, set_sums, summed_hash,
+)
+from rulewatch.plans.deadline import run_all
 from rulewatch.plans.lint import rule_code
 from rulewatch.rules.registry import build
-from rulewatch.sources.archive import read_log, run_folder, run_time, write_findings, write_log
+from rulewatch.sources.archive import moment_of, run_time, write_counted, write_findings
+from rulewatch.sources.logs import RunLog, previous_of, run_log_of
 from rulewatch.sources.schemas import CONTROL_DDL, control_schema, to_schema, widen
 
+LIMIT_SECONDS = 7_200.0  # for one rule
+SHAPES = 8  # sets of criteria columns that a rule's findings are looked up by in the job that writes them
+
 # What is left in the archive of a run whose rule failed.
 NO_FINDINGS = "_is_false_positive boolean"
 
@@ -94,14 +97,15 @@ def run_rules(
     false_positives: DataFrame,
     params: Mapping[str, dict] | None = None,
     workers: int = 4,
+    limit_seconds: float | None = LIMIT_SECONDS,
 ) -> DataFrame:
     """Run every rule due at ``run_ts``; returns their run-log rows as written.
 
-    ``folder`` gets ``findings/<rule>``, ``run_states``, ``tb_tests_executions``,
-    ``tb_incident_hashes`` and ``outbox``, all by run.  To repeat single rules of a run,
-    give their configurations only.
+    ``folder`` gets ``findings/<rule>`` by run and ``log``, see ``sources.logs``.  A rule that is not done
+    after ``limit_seconds`` is an error.  To repeat single rules of a run, give their configurations only.
     """
-    as_of, params = run_ts.date(), params or {}
+    at, params = moment_of(spark, run_ts), params or {}
+    as_of = dt.date.fromisoformat(at.day)
     false_positives = widen(false_positives, control_schema("tb_false_positives"))
     configs = widen(configs, to_schema(CONTROL_DDL["tb_test_configurations"]))
     due = runs_due(configs, as_of, as_of).select("test_id", "frequency", "gate")
@@ -115,83 +119,60 @@ def run_rules(
         if len({c[name] for c in todo}) < len(todo):
             raise ValueError(f"two rules to run have one {name}")
     names = [c["test_name"] for c in todo]
-    with_fps = {
-        r.test_name
-        for r in false_positives.where(F.col("active") & F.col("test_name").isin(names))
-        .select("test_name")
-        .distinct()
-        .collect()
-    }
-
-    def run_one(config):
-        started = time.monotonic()
-        try:
-            found = _findings(spark, config, tables, as_of, params)
-            if config["test_name"] in with_fps:
-                raw = write_findings(found, f"{folder}/raw_findings", config["test_id"], run_ts)
-                found = spark.read.parquet(raw).drop("ArchiveDate")
-                found = flag_false_positives(found, false_positives, [], rule=config["test_name"])
-            else:
-                found = found.withColumn("_is_false_positive", F.lit(False))
-            path = write_findings(found, f"{folder}/findings", config["test_id"], run_ts)
-            return config, time.monotonic() - started, None, path
-        except Exception:
-            problem = traceback.format_exc()
-            # What an earlier attempt of this run found is not what this one found.
-            write_findings(spark.createDataFrame([], NO_FINDINGS), f"{folder}/findings", config["test_id"], run_ts)
-            return config, 0.0, problem, None
-
-    with ThreadPoolExecutor(workers) as pool:
-        outcomes = list(pool.map(inheritable_thread_target(spark)(run_one), todo))
-
-    facts = spark.createDataFrame(
-        [(c["test_id"], c["test_name"], seconds, error) for c, seconds, error, _ in outcomes],
-        "test_id string, test_name string, seconds float, error string",
-    )
-    written = [(c["test_name"], path) for c, _, _, path in outcomes if path]
-    now = run_time(run_ts)
-    states = classify_run(
-        _runs(spark, configs, facts, due, written, run_ts, suppressions, entries),
-        read_log(spark, folder, "tb_tests_executions").where(F.col("ExecutionDate") < now),
-        read_log(spark, folder, "tb_incident_hashes").where(F.col("execution_date") < now),
-    )
-    # Written once and read back: the three logs are projections of it, and a lost
-    # executor does not send them back to the archives.
-    write_log(states, folder, "run_states", run_ts)
-    mine = facts.select("test_id")
-    states = spark.read.parquet(f"{folder}/run_states/{run_folder('run_dt', run_ts)}")
-    states = states.withColumn("test_id", F.col("test_id").cast("string")).join(mine, "test_id", "left_semi")
-    _write_logs(states, configs, folder, run_ts)
-    log = read_log(spark, folder, "tb_tests_executions", run_ts)
-    return log.join(mine, "test_id", "left_semi").drop("test_id")
-
-
-def _runs(spark, configs, facts, due, written, run_ts, suppressions, entries) -> DataFrame:
+    shapes = criteria_shapes(false_positives.where(F.col("test_name").isin(names)))
+
+    def run_one(config, attempt):
+        rule, test_id = config["test_name"], config["test_id"]
+        found = _findings(spark, config, tables, as_of, params)
+        if len(shapes.get(rule, ())) > SHAPES:  # too many look-ups for one plan: the findings are matched from a copy
+            attempt.begin_writing()
+            found = spark.read.parquet(write_findings(found, f"{folder}/raw_findings", test_id, run_ts)).drop("ArchiveDate")
+            found = flag_false_positives(found, false_positives, [], rule=rule)
+        else:
+            found = flag_in_one_pass(found, false_positives, rule, shapes.get(rule, []))
+        attempt.begin_writing()
+        return write_counted(found, f"{folder}/findings", test_id, run_ts)
+
+    outcomes = run_all(spark, todo, run_one, workers, limit_seconds)
+    facts = []
+    for config, sums, error, seconds in outcomes:
+        if error is not None:
+            sums, seconds = {}, 0.0
+            error += _clear(spark, folder, config["test_id"], run_ts)
+        facts.append((config["test_id"], config["test_name"], seconds, error, *[sums.get(n) for n in set_sums()]))
+    facts = spark.createDataFrame(facts, f"test_id string, test_name string, seconds float, error string, {SUMS_DDL}")
+    log = RunLog(spark, folder)
+    before = log.before(at, facts)
+    states = classify_after(_runs(configs, facts, due, run_ts, suppressions, entries), previous_of(before))
+    sent = outbox(states, configs).select("test_name", "message_id", "payload")
+    return run_log_of(log.add(states.join(sent, "test_name", "left"), before, at)).drop("test_id")
+
+
+def _clear(spark: SparkSession, folder: str, test_id: str, run_ts: dt.datetime) -> str:
+    """Leave no findings of an earlier attempt of this run; if that fails too, the log still says what happened."""
+    try:
+        write_findings(spark.createDataFrame([], NO_FINDINGS), f"{folder}/findings", test_id, run_ts)
+        return ""
+    except Exception:
+        return f"\nwhile its findings were cleared:\n{traceback.format_exc()}"
+
+
+def _runs(configs, facts, due, run_ts, suppressions, entries) -> DataFrame:
     """One row per rule of this run, ready to be classified."""
-    counted = None
-    for name, path in written:
-        rows = spark.read.parquet(path)
-        rows = rows.select(
-            F.lit(name).alias("test_name"),
-            "_is_false_positive",
-            row_hash(rows.columns).alias("row_hash"),
-        )
-        counted = rows if counted is None else counted.unionByName(rows)
-    if counted is None:
-        counted = spark.createDataFrame([], "test_name string, _is_false_positive boolean, row_hash string")
-    counts = count_hashed(counted, ["test_name"])
     quiet = open_suppressions(suppressions, entries).where(F.col("open_since") <= run_time(run_ts))
     clean = F.coalesce("clean_count", F.lit(0))
     threshold = F.coalesce("threshold", F.lit(0))
     return (
-        facts.join(configs.drop("test_name", "frequency"), "test_id")
+        facts.withColumn("incident_hash", summed_hash())
+        .join(configs.drop("test_name", "frequency"), "test_id")
         .join(due.select("test_id", "frequency"), "test_id")
-        .join(counts, "test_name", "left")
         .join(quiet, "test_id", "left")
         .withColumns(
             {
+                "description": F.coalesce("description", F.lit("")),
+                "responsible_area": F.coalesce("responsible_area", F.lit("")),
+                "risco_id": F.coalesce("risco_id", F.lit("N/A")),
                 "threshold": threshold,
-                "row_count": F.when(F.col("error").isNull(), F.coalesce("row_count", F.lit(0))),
                 "clean_count": clean,
                 "result": F.when(F.col("error").isNotNull(), "ERROR").otherwise(run_result(clean, threshold)),
                 "suppressed": F.col("open_since").isNotNull(),
@@ -200,42 +181,3 @@ def _runs(spark, configs, facts, due, written, run_ts, suppressions, entries) ->
             }
         )
     )
-
-
-def _write_logs(states: DataFrame, configs: DataFrame, folder: str, run_ts: dt.datetime) -> None:
-    run_log = states.select(
-        "test_id",
-        F.col("test_name").alias("TestName"),
-        F.coalesce("description", F.lit("")).alias("Description"),
-        F.coalesce("responsible_area", F.lit("")).alias("ResponsibleArea"),
-        F.coalesce("risco_id", F.lit("N/A")).alias("RiskId"),
-        F.col("frequency").alias("Frequency"),
-        F.col("execution_date").alias("ExecutionDate"),
-        F.col("clean_count").alias("IncidentCount"),
-        F.col("row_count").alias("IncidentCountRaw"),
-        F.col("seconds").alias("ExecutionTimeSec"),
-        F.col("threshold").alias("Threshold"),
-        F.col("result").alias("TestResult"),
-        F.col("channel").alias("ShouldActivateChannel"),
-        F.col("error").alias("ErrorMessage"),
-        F.col("is_suppressed").alias("IsSupressed"),
-        F.col("is_recurrent").alias("IsRecurrent"),
-        F.col("is_continued").alias("IsContinued"),
-    )
-    write_log(_typed(run_log, "tb_tests_executions"), folder, "tb_tests_executions", run_ts)
-    hash_log = states.where(F.col("result") != "ERROR").select(
-        "test_id",
-        "test_name",
-        "execution_date",
-        "incident_hash",
-        "row_count",
-        "is_suppressed",
-        "is_recurrent",
-    )
-    write_log(_typed(hash_log, "tb_incident_hashes"), folder, "tb_incident_hashes", run_ts)
-    sent = outbox(states, configs).join(states.select("test_id", "test_name"), "test_name")
-    write_log(sent, folder, "outbox", run_ts)
-
-
-def _typed(df: DataFrame, table: str) -> DataFrame:
-    return df.select("test_id", *[F.col(f.name).cast(f.dataType) for f in control_schema(table)])

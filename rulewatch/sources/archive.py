@@ -1,21 +1,23 @@
-"""Finding archives, logs and event-sourced control tables on Parquet.
+"""Finding archives and event-sourced control tables on Parquet.
 
-What a rule found in a run lies in a folder of that rule and run; so does each log row.  A
-repeated run of a rule replaces just that, and neither other rules of the run nor other
-runs of the day are touched.
+What a rule found in a run lies in a folder of that rule and run.  A repeated run of a rule
+replaces just that, and neither other rules of the run nor other runs of the day are touched.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
+import uuid
 from urllib.parse import quote
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+from rulewatch.functions.hashing import row_hash
 from rulewatch.functions.predicates import ARCHIVE_DAY
+from rulewatch.operators.findings import set_sums
 from rulewatch.operators.grouping import latest_per_key
-from rulewatch.sources.schemas import control_schema, empty, widen
+from rulewatch.sources.versions import Versions
 
 DAY = ARCHIVE_DAY
 
@@ -25,8 +27,25 @@ def run_time(run_ts: dt.datetime) -> Column:
     return F.lit(run_ts.isoformat(sep=" ")).cast("timestamp")
 
 
-def run_folder(day: str, run_ts: dt.datetime) -> str:
-    return f"{day}={run_ts.date().isoformat()}/run_at={run_ts.strftime('%H%M%S')}s"
+@dataclasses.dataclass(frozen=True)
+class Moment:
+    """A run's time as the session's time zone shows it, whatever offset it was given in."""
+
+    micros: int
+    day: str
+    clock: str
+
+
+def moment_of(spark: SparkSession, run_ts: dt.datetime) -> Moment:
+    at = run_time(run_ts)
+    clock = F.concat(F.date_format(at, "HHmmss"), F.when(F.unix_micros(at) % 1_000_000 != 0, F.date_format(at, ".SSSSSS")).otherwise(""))
+    row = spark.range(1).select(F.unix_micros(at), F.date_format(at, "yyyy-MM-dd"), clock).first()
+    return Moment(*row)
+
+
+def run_folder(spark: SparkSession, day: str, run_ts: dt.datetime) -> str:
+    at = moment_of(spark, run_ts)
+    return f"{day}={at.day}/run_at={at.clock}s"
 
 
 def stamp(findings: DataFrame, run_ts: dt.datetime) -> DataFrame:
@@ -36,39 +55,30 @@ def stamp(findings: DataFrame, run_ts: dt.datetime) -> DataFrame:
 
 def write_findings(findings: DataFrame, folder: str, test_id: str, run_ts: dt.datetime) -> str:
     """Write one run's findings, replacing those of the same rule and run; returns their folder."""
-    path = f"{folder}/{quote(test_id, safe='')}/{run_folder(DAY, run_ts)}"
+    path = findings_path(findings.sparkSession, folder, test_id, run_ts)
     stamp(findings, run_ts).write.mode("overwrite").parquet(path)
     return path
 
 
-def read_findings(spark: SparkSession, folder: str, test_id: str) -> DataFrame:
-    """A rule's archive over all runs; columns added later are NULL before."""
-    return spark.read.option("mergeSchema", True).parquet(f"{folder}/{quote(test_id, safe='')}")
-
-
-def write_log(rows: DataFrame, folder: str, table: str, run_ts: dt.datetime) -> None:
-    """Write the log rows of a run, replacing those of the same rules (``test_id``) and run.
+def write_counted(findings: DataFrame, folder: str, test_id: str, run_ts: dt.datetime) -> dict:
+    """As ``write_findings``, of flagged findings; gives their counts and sums, observed by the writing job.
 
-    One small file a rule and run: compact days that no run will repeat.
+    The sums are taken in the tasks that write, of which each counts once, however often it was tried.
     """
-    writer = rows.repartition("test_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("test_id").parquet(f"{folder}/{table}/{run_folder('run_dt', run_ts)}")
+    seen = Observation()
+    hashed = findings.withColumn("_row_hash", row_hash(findings.columns))
+    counted = hashed.observe(seen, *[c.alias(n) for n, c in set_sums().items()]).drop("_row_hash")
+    write_findings(counted, folder, test_id, run_ts)
+    return seen.get
 
 
-def read_log(spark: SparkSession, folder: str, table: str, run_ts: dt.datetime | None = None) -> DataFrame:
-    """A log, or one run of it; columns that an older log lacks are NULL.
+def findings_path(spark: SparkSession, folder: str, test_id: str, run_ts: dt.datetime) -> str:
+    return f"{folder}/{quote(test_id, safe='')}/{run_folder(spark, DAY, run_ts)}"
 
-    Only a path that is not there counts as an empty log.
-    """
-    path = f"{folder}/{table}" + (f"/{run_folder('run_dt', run_ts)}" if run_ts else "")
-    try:
-        log = spark.read.option("mergeSchema", True).parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return empty(spark, table).withColumn("test_id", F.lit(None).cast("string"))
-    log = log.withColumn("test_id", F.col("test_id").cast("string")) if "test_id" in log.columns else log
-    return widen(log, control_schema(table))
+
+def read_findings(spark: SparkSession, folder: str, test_id: str) -> DataFrame:
+    """A rule's archive over all runs; columns added later are NULL before."""
+    return spark.read.option("mergeSchema", True).parquet(f"{folder}/{quote(test_id, safe='')}")
 
 
 def replace_by_key(target: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -78,10 +88,45 @@ def replace_by_key(target: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def publish(df: DataFrame, folder: str, version: str) -> DataFrame:
-    """Write a new version of a table beside the old ones and read it back."""
-    path = f"{folder}/version={version}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Write a new version of a table beside the old ones, make it the current one, and read it.
+
+    Readers of ``read_published`` see the version before until all of this one is written.
+    """
+    spark, path = df.sparkSession, f"version={quote(version, safe='')}/{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{path}")
+    Versions(spark, folder).update(lambda document, number: {"path": path, "version": version})
+    return spark.read.parquet(f"{folder}/{path}")
+
+
+def published(spark: SparkSession, folder: str) -> list[dict]:
+    """``number, version, path`` of the versions still known, oldest first."""
+    versions = Versions(spark, folder)
+    return [{"number": n, **versions.at(n)} for n in versions.numbers()]
+
+
+def read_published(spark: SparkSession, folder: str, version: str | None = None) -> DataFrame:
+    """The current version of a published table, or the last one published under a name."""
+    found = [v for v in published(spark, folder) if version in (None, v["version"])]
+    if not found:
+        raise ValueError(f"{folder} has no version {version or ''}".rstrip())
+    return spark.read.parquet(f"{folder}/{found[-1]['path']}")
+
+
+def publish_replaced(new: DataFrame, folder: str, key: str, version: str) -> DataFrame:
+    """Replace all rows of the new keys in a published table, one writer after another.
+
+    If another version was published meanwhile, the rows are replaced in that one.
+    """
+    spark = new.sparkSession
+
+    def change(document: dict, number: int) -> dict:
+        path = f"version={quote(version, safe='')}/{uuid.uuid4().hex}"
+        target = spark.read.parquet(f"{folder}/{document['path']}") if document else new.limit(0)
+        replace_by_key(target, new, key).write.parquet(f"{folder}/{path}")
+        return {"path": path, "version": version}
+
+    done = Versions(spark, folder).update(change)
+    return spark.read.parquet(f"{folder}/{done['path']}")
 
 
 def apply_revocations(rows: DataFrame, events: DataFrame, key: str, at: str, revoked: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from rulewatch.operators.findings import set_hash
 from rulewatch.plans.runner import run_rules, run_totals, runs_due
 from rulewatch.rules.registry import RULES, rule
-from rulewatch.sources.archive import read_findings, read_log, run_time, write_log
+from rulewatch.sources.archive import read_findings, run_time, write_findings
+from rulewatch.sources.logs import RunLog, read_log
 
 CONFIG = ("test_id string, test_name string, output_table string, description string, responsible_area string, risco_id string, "
           "threshold int, frequency string, query_type string, query_code string, status string, should_activate_channel boolean")
@@ -101,7 +102,7 @@ def test_states_follow_the_logs_and_repeats_change_nothing(world):
     found = archive.where("archive_dt = '2024-01-01'").select("n", "word", "bad").withColumns({"test_name": F.lit("python rule"), "day": F.lit(1)})
     assert {r.incident_hash for r in hashes.where("test_name = 'python rule'").collect()} == {set_hash(found, ["test_name", "day"]).first().incident_hash}
     assert hashes.where("test_name = 'sql rule' AND incident_hash IS NULL AND row_count = 0").count() == 5
-    sent = [r.payload for r in spark.read.parquet(f"{folder}/outbox").where("test_name = 'python rule'").orderBy("execution_date").collect()]
+    sent = [r.payload for r in read_log(spark, folder, "outbox").where("test_name = 'python rule'").orderBy("execution_date").collect()]
     assert len(sent) == 2 and '"incident_count":2' in sent[0]
 
 
@@ -138,7 +139,7 @@ def test_text_that_is_no_query_is_not_run(world):
 def test_totals(world):
     run, folder, spark = world
     run(1, ROWS)
-    log = read_log(spark, folder, "tb_tests_executions", day(1))
+    log = read_log(spark, folder, "tb_tests_executions")
     assert tuple(run_totals(run.configs, log).first()) == (5, 1, 3)
 
 
@@ -149,8 +150,8 @@ def test_a_run_time_does_not_depend_on_the_machine(spark):
 
 def test_only_a_missing_log_is_empty(spark, tmp_path):
     assert read_log(spark, str(tmp_path), "tb_tests_executions").count() == 0
-    (tmp_path / "tb_tests_executions").mkdir()
-    (tmp_path / "tb_tests_executions" / "x.parquet").write_text("broken")
+    (tmp_path / "log" / "_versions").mkdir(parents=True)
+    (tmp_path / "log" / "_versions" / "000000000001.json").write_text('{"runs": [{"path": "runs/gone", "level": 0, "rows": 1, "low": 0, "high": 0}]}')
     with pytest.raises(Exception):
         read_log(spark, str(tmp_path), "tb_tests_executions").count()
 
@@ -158,13 +159,11 @@ def test_only_a_missing_log_is_empty(spark, tmp_path):
 def test_older_logs_and_false_positives_lack_columns(world):
     run, folder, spark = world
     old = spark.createDataFrame([("T1", "python rule", dt.datetime(2023, 12, 30), "FAILED")], "test_id string, TestName string, ExecutionDate timestamp, TestResult string")
-    write_log(old, folder, "tb_tests_executions", dt.datetime(2023, 12, 30))
+    RunLog(spark, folder).adopt(old, "tb_tests_executions")
     assert run(1, ROWS, fps=[("F", "python rule", "x", True)], fp_schema="fp_id string, test_name string, row_hash string, active boolean")["python rule"].TestResult == "FAILED"
 
 
 def test_columns_added_later_are_null_before(world):
-    from rulewatch.sources.archive import write_findings
-
     _, folder, spark = world
     write_findings(spark.createDataFrame([(1,)], "a int"), folder, "r", day(1))
     write_findings(spark.createDataFrame([(2, "x")], "a int, b string"), folder, "r", day(2))
