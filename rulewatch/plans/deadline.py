@@ -49,9 +49,12 @@ class Attempt:
 
 def run_all(
     spark: SparkSession, items: Iterable, body: Callable, workers: int = 4,
-    limit: float | None = None, patience: float = PATIENCE,
+    limit: Callable[[object], float | None] = lambda item: None, patience: float = PATIENCE,
 ) -> list[tuple]:
-    """``(item, value, error, seconds)`` of ``body(item, attempt)`` for each item, in their order."""
+    """``(item, value, error, seconds)`` of ``body(item, attempt)`` for each item, in their order.
+
+    ``limit`` says how many seconds an item has.
+    """
     context, waiting = spark.sparkContext, deque(enumerate(items))
     ended: queue.Queue = queue.Queue()
     running: dict[int, tuple] = {}
@@ -77,23 +80,23 @@ def run_all(
         item, attempt = running.pop(index)
         seconds = time.monotonic() - attempt.started
         if error is not None and attempt.cancelled:
-            error = f"over its limit of {limit:g} seconds\n{error}"
+            error = f"over its limit of {limit(item):g} seconds\n{error}"
         outcomes[index] = item, value, error, seconds
 
     while waiting or running:
         while waiting and len(running) < workers:
             start(*waiting.popleft())
         try:
-            index, value, error = ended.get(timeout=LOOK if limit is not None else None)
+            index, value, error = ended.get(timeout=LOOK)
             if index in running:  # else it was left behind
                 finish(index, value, error)
         except queue.Empty:
             pass
-        for index, (_, attempt) in list(running.items()):
-            spent = time.monotonic() - attempt.started
-            if limit is not None and spent > limit:
+        for index, (item, attempt) in list(running.items()):
+            spent, most = time.monotonic() - attempt.started, limit(item)
+            if most is not None and spent > most:
                 attempt.cancel()
                 context.cancelJobsWithTag(attempt.tag)
-                if spent > limit + patience and not attempt.writing:
+                if spent > most + patience and not attempt.writing:
                     finish(index, None, "it did not end when it was cancelled")
     return [outcomes[i] for i in sorted(outcomes)]

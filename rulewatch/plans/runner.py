@@ -98,11 +98,12 @@ def run_rules(
     params: Mapping[str, dict] | None = None,
     workers: int = 4,
     limit_seconds: float | None = LIMIT_SECONDS,
+    limits: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """Run every rule due at ``run_ts``; returns their run-log rows as written.
 
     ``folder`` gets ``findings/<rule>`` by run and ``log``, see ``sources.logs``.  A rule that is not done
-    after ``limit_seconds`` is an error.  To repeat single rules of a run, give their configurations only.
+    after ``limit_seconds``, or its own of ``limits`` (by rule name), is an error.  To repeat single rules of a run, give their configurations only.
     """
     at, params = moment_of(spark, run_ts), params or {}
     as_of = dt.date.fromisoformat(at.day)
@@ -133,7 +134,7 @@ def run_rules(
         attempt.begin_writing()
         return write_counted(found, f"{folder}/findings", test_id, run_ts)
 
-    outcomes = run_all(spark, todo, run_one, workers, limit_seconds)
+    outcomes = run_all(spark, todo, run_one, workers, lambda config: (limits or {}).get(config["test_name"], limit_seconds))
     facts = []
     for config, sums, error, seconds in outcomes:
         if error is not None:

@@ -1,11 +1,17 @@
 """The daily run: errors stay apart, repeats change nothing, states follow the logs."""
 
 import datetime as dt
+import json
+import os
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from rulewatch.operators.findings import set_hash
+from rulewatch.functions.hashing import fp_row_hash
+from rulewatch.operators.findings import criteria_shapes, flag_false_positives, flag_in_one_pass, set_hash
+from rulewatch.plans.deadline import run_all
 from rulewatch.plans.runner import run_rules, run_totals, runs_due
 from rulewatch.rules.registry import RULES, rule
 from rulewatch.sources.archive import read_findings, run_time, write_findings
@@ -24,6 +30,39 @@ if "bad rows" not in RULES:
         return tables["data"].where("bad")
 
 
+if "never ends in a task" not in RULES:
+
+    @rule("never ends in a task", ("data",))
+    def never_ends_in_a_task(tables, as_of):
+        def wait(batches):
+            import time
+
+            for batch in batches:
+                while True:
+                    time.sleep(0.1)
+                yield batch
+
+        return tables["data"].mapInArrow(wait, "n int, word string, bad boolean")
+
+    @rule("never ends in the driver", ("data",))
+    def never_ends_in_the_driver(tables, as_of):
+        import time
+
+        while True:
+            time.sleep(0.1)
+
+    @rule("loses tasks", ("data",))
+    def loses_tasks(tables, as_of):
+        def once(batches):
+            from pyspark import TaskContext
+
+            yield from batches
+            if TaskContext.get().attemptNumber() == 0:
+                raise ValueError("lost after it gave its rows")
+
+        return tables["data"].repartition(3).mapInArrow(once, "n int, word string, bad boolean")
+
+
 def day(n):
     return dt.datetime(2024, 1, n, 6)
 
@@ -42,7 +81,7 @@ def world(spark, tmp_path):
         CONFIG,
     )
 
-    def run(n, rows, fps=(), suppressions=(), entries=(), hour=6, only=None, code=None, fp_schema=FPS):
+    def run(n, rows, fps=(), suppressions=(), entries=(), hour=6, only=None, code=None, fp_schema=FPS, **more):
         data = spark.createDataFrame(rows or [], "n int, word string, bad boolean")
         data.createOrReplaceTempView("probe_data")
         mine = configs.where(F.col("test_id").isin(only)) if only else configs
@@ -50,7 +89,7 @@ def world(spark, tmp_path):
         log = run_rules(
             spark, mine, {"data": data} if rows is not None else {}, day(n).replace(hour=hour), str(tmp_path),
             spark.createDataFrame(list(suppressions), SUP), spark.createDataFrame(list(entries), "RiskEntryId string, ClosingDate string"),
-            spark.createDataFrame(list(fps), fp_schema),
+            spark.createDataFrame(list(fps), fp_schema), **more,
         )
         return {r.TestName: r for r in log.collect()}
 
@@ -179,3 +218,110 @@ def test_unknown_schedules_are_errors_not_silence(spark):
     assert {(r.test_name, r.gate): r["count"] for r in due} == {("a", "RUN"): 2, ("b", "RUN"): 2, ("c", "ERROR"): 2, ("e", "RUN"): 1}
     with pytest.raises(ValueError):
         runs_due(configs, dt.date(2024, 1, 5), dt.date(2024, 1, 4))
+
+
+def with_rule(run, body, test_id="T9"):
+    """The usual rules and one more."""
+    more = [(test_id, body, "tb_incidents_9", "d", "area", "R1", 0, "DAILY", "PYTHON", body, "ACTIVE", True)]
+    return run.configs.unionByName(run.configs.sparkSession.createDataFrame(more, CONFIG))
+
+
+def run_with(world, body, rows=ROWS, **more):
+    run, folder, spark = world
+    data = spark.createDataFrame(rows, "n int, word string, bad boolean")
+    data.createOrReplaceTempView("probe_data")
+    nothing = [spark.createDataFrame([], s) for s in (SUP, "RiskEntryId string, ClosingDate string", FPS)]
+    return {r.TestName: r for r in run_rules(spark, with_rule(run, body), {"data": data}, day(2), folder, *nothing, **more).collect()}
+
+
+@pytest.mark.parametrize("body", ["never ends in a task", "never ends in the driver"])
+def test_a_rule_over_its_limit_is_an_error_and_the_others_finish(world, body):
+    started = time.monotonic()
+    log = run_with(world, body, limits={body: 2.0}, workers=2)
+    assert log[body].TestResult == "ERROR" and "over its limit of 2 seconds" in log[body].ErrorMessage
+    assert log["python rule"].IncidentCountRaw == 2 and log["sql rule"].TestResult == "PASSED"
+    assert time.monotonic() - started < 60
+    _, folder, spark = world
+    assert read_findings(spark, f"{folder}/findings", "T9").count() == 0
+    assert spark.range(100).repartition(4).count() == 100  # no task is left that blocks others
+
+
+def test_all_places_taken_by_rules_that_never_end(spark):
+    def body(item, attempt):
+        while item < 3:
+            time.sleep(0.05)
+        attempt.begin_writing()
+        return item
+
+    found = run_all(spark, range(6), body, workers=2, limit=lambda item: 0.5, patience=0.3)
+    assert [(i, v) for i, v, *_ in found] == [(0, None), (1, None), (2, None), (3, 3), (4, 4), (5, 5)]
+    assert all("over its limit" in e for _, _, e, _ in found[:3])
+
+
+def test_what_is_left_behind_does_not_write(spark):
+    late = threading.Event()
+    wrote = []
+
+    def body(item, attempt):
+        late.wait()
+        attempt.begin_writing()
+        wrote.append(item)
+
+    assert run_all(spark, [1], body, limit=lambda item: 0.3, patience=0.1)[0][1] is None
+    late.set()
+    time.sleep(0.5)
+    assert wrote == []
+
+
+def test_a_folder_that_cannot_be_written_is_an_error_row(world):
+    _, folder, _ = world
+    os.makedirs(f"{folder}/findings")
+    with open(f"{folder}/findings/T9", "w") as f:
+        f.write("in the way")
+    log = run_with(world, "bad rows")
+    assert log["bad rows"].TestResult == "ERROR" and "while its findings were cleared" in log["bad rows"].ErrorMessage
+    assert log["python rule"].IncidentCountRaw == 2
+
+
+def test_tasks_that_are_repeated_count_once(world):
+    _, folder, spark = world
+    rows = [(i, None if i % 7 == 0 else f"w{i % 5}", True) for i in range(500)]
+    log = run_with(world, "loses tasks", rows)
+    assert (log["loses tasks"].IncidentCountRaw, log["loses tasks"].IncidentCount) == (500, 500)
+    plain = spark.createDataFrame(rows, "n int, word string, bad boolean").withColumns({"test_name": F.lit("x"), "day": F.lit(1)})
+    hashes = read_log(spark, folder, "tb_incident_hashes").where("test_name = 'loses tasks'").first()
+    assert hashes.incident_hash == set_hash(plain, ["test_name", "day"]).first().incident_hash
+
+
+def test_one_pass_flags_like_the_matcher(spark):
+    """Criteria on one column, on several, on unknown ones, on the whole row, and unreadable ones."""
+    rows = spark.createDataFrame([(i % 5, None if i % 3 == 0 else f"w{i % 4}") for i in range(60)], "n int, word string")
+    whole = rows.withColumn("h", fp_row_hash(rows.columns)).where("n = 1 AND word = 'w1'").first().h
+    marks = [
+        ('[{"column":"n","value":"2"}]', None), ('[{"column":"word","value":""},{"column":"n","value":"3"}]', None),
+        ('[{"column":"n","value":"4"},{"column":"no such","value":""}]', None), ("not json", whole), (None, ""),
+    ]
+    fps = spark.createDataFrame([(f"F{i}", "r", h, c, "u", dt.date(2024, 1, 1), "", True) for i, (c, h) in enumerate(marks)], FPS)
+    want = flag_false_positives(rows, fps, [], rule="r")
+    got = flag_in_one_pass(rows, fps, "r", criteria_shapes(fps)["r"])
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert 0 < got.where("_is_false_positive").count() < 60
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") >= 1 and "CartesianProduct" not in plan
+
+
+def test_many_sets_of_criteria(world):
+    run, folder, spark = world
+    fps = [(f"F{i}", "python rule", None, json.dumps([{"column": c, "value": "a"} for c in names]), "u", dt.date(2024, 1, 1), "", True)
+           for i, names in enumerate([["word"], *[[f"c{k}", "word"] for k in range(12)]])]
+    assert run(1, ROWS, fps=fps)["python rule"].IncidentCount == 1
+
+
+def test_runs_within_one_second_and_in_another_offset_stay_apart(spark, tmp_path):
+    one = dt.datetime(2024, 1, 1, 6, 0, 0, 1)
+    for run_ts, n in ((one, 1), (one.replace(microsecond=2), 2), (dt.datetime(2024, 1, 1, 23, tzinfo=dt.timezone(dt.timedelta(hours=-3))), 3)):
+        write_findings(spark.range(n), str(tmp_path), "r", run_ts)
+    found = read_findings(spark, str(tmp_path), "r")
+    assert found.count() == 6
+    # The folder's day is the stamp's day.
+    assert found.where("CAST(archive_dt AS date) <> CAST(ArchiveDate AS date)").count() == 0
