@@ -62,7 +62,7 @@ class Levels:
         return rows if whole else rows.drop(SEQUENCE)
 
     def stamped(self, rows: DataFrame, run: Column, sequence: int) -> DataFrame:
-        return rows.withColumns({RUN: run, SEQUENCE: F.lit(sequence).cast("long")})
+        return rows.withColumns({RUN: run.cast("timestamp"), SEQUENCE: F.lit(sequence).cast("long")})
 
     def full(self, table: str, parts: list[dict]) -> list[dict]:
         """Parts of the lowest level that has enough of them."""
