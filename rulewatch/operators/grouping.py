@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -98,58 +98,85 @@ def running_peak(df: DataFrame, key: str, order: str, value: str, name: str) ->
 
 
 def previous_values(
-    df: DataFrame, keys: list[str], order: list[str], buckets: list[Column], values: dict[str, Column]
+    df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], segments: int | None = None
 ) -> DataFrame:
     """Last non-NULL value of each expression among the earlier rows of a key.
 
-    Like ``last(v, ignorenulls)`` over all preceding rows, but a window group is one
-    key *and one bucket*, so a key with very many rows is spread over tasks.  What
-    crosses a border is carried by one small row per bucket, and those are cut by the
-    coarser levels in turn.  ``buckets`` go from coarse to fine; together they must
-    not decrease along ``order``.
+    Like ``last(v, ignorenulls)`` over all preceding rows, but a scan in two passes.  Borders between about
+    ``segments`` equal runs of (keys, order) come from a sample of fixed size; a window group is one key *and one
+    segment*, so a key with very many rows is spread over tasks, whatever its rows have in common.  Only keys on a
+    border go on in the next segment: the first pass finds their last values, two rows a segment at most, and
+    the second lays them under the segments that follow.  ``order`` should be unique within a key.
     """
-    levels = [f"_bucket{i}" for i in range(len(buckets))]
+    count = segments or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    borders = _borders(df, [*keys, *order], count)
     raw = {name: f"_v_{name}" for name in values}
-    rows = df.withColumns({raw[n]: v for n, v in values.items()}).withColumns(dict(zip(levels, buckets)))
-    inside = Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns(
-        {f"_in_{n}": F.last(raw[n], ignorenulls=True).over(inside) for n in values}
-    )
-    tails = _tails(rows, [*keys, *levels], F.struct(*order), raw)
-    # Keys and times may be NULL, so borders are met null-safely.
-    carried = _carried(tails, keys, levels, list(values))
-    meet = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*keys, *levels)]
-    joined = rows.alias("r").join(carried.alias("c"), functools.reduce(operator.and_, meet), "left")
+    rows = df.withColumns({raw[n]: v for n, v in values.items()}).withColumn("_segment", _segment_of(df.select(*keys, *order), borders))
+    inside = Window.partitionBy("_segment", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    filled = rows.withColumns({f"_in_{n}": F.last(raw[n], ignorenulls=True).over(inside) for n in values})
+    if not borders:
+        return filled.select(*df.columns, *[F.col(f"_in_{n}").alias(n) for n in values])
+    carried = F.broadcast(_carried(rows, keys, order, raw, borders))  # two rows a segment at most
+    meet = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*keys, "_segment")]
+    joined = filled.alias("r").join(carried.alias("c"), functools.reduce(operator.and_, meet), "left")
     return joined.select(
         *[F.col(f"r.{c}") for c in df.columns],
         *[F.coalesce(F.col(f"r._in_{n}"), F.col(f"c._carry_{n}")).alias(n) for n in values],
     )
 
 
-def _tails(rows: DataFrame, group: list[str], position: Column, raw: dict[str, str]) -> DataFrame:
-    """The last non-NULL values of each group."""
-    return rows.groupBy(*group).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_tail_{n}") for n, c in raw.items()]
-    )
-
-
-def _carried(tails: DataFrame, keys: list[str], levels: list[str], names: list[str]) -> DataFrame:
-    """For each bucket the last non-NULL tails of the buckets before it."""
-    group = [*keys, *levels[:-1]]
-    earlier = Window.partitionBy(*group).orderBy(levels[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    out = tails.select(
-        *keys, *levels, *[F.last(f"_tail_{n}", ignorenulls=True).over(earlier).alias(f"_carry_{n}") for n in names]
-    )
-    if len(levels) == 1:
-        return out
-    above = _tails(tails, group, F.struct(levels[-1]), {n: f"_tail_{n}" for n in names})
-    above = _carried(above, keys, levels[:-1], names)
-    meet = [F.col(f"o.{c}").eqNullSafe(F.col(f"a.{c}")) for c in group]
-    joined = out.alias("o").join(above.alias("a"), functools.reduce(operator.and_, meet), "left")
-    return joined.select(
-        *[F.col(f"o.{c}") for c in (*keys, *levels)],
-        *[F.coalesce(F.col(f"o._carry_{n}"), F.col(f"a._carry_{n}")).alias(f"_carry_{n}") for n in names],
+SAMPLED = 30  # rows of the sample for each segment
+
+
+def _borders(df: DataFrame, columns: list[str], segments: int) -> list[Row]:
+    """Rows that start a segment, sorted and apart: evenly spaced in the rows with the smallest hashes."""
+    rows = df.select(*columns, F.xxhash64(*columns).alias("_hash"))
+    sample = rows.orderBy("_hash").limit(SAMPLED * segments).drop("_hash").orderBy(*columns).collect()
+    step = max(1, len(sample) // segments)
+    picked = sample[step::step] if len(sample) > segments else sample[1:]
+    return [b for a, b in zip([None, *picked], picked) if a != b]
+
+
+def _segment_of(keyed: DataFrame, borders: list[Row]) -> Column:
+    """How many borders lie at or before a row, found in blocks of borders first."""
+    if not borders:
+        return F.lit(0)
+    types = [f.dataType for f in keyed.schema]
+    here = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keyed.columns)])
+    width = max(1, int(len(borders) ** 0.5))
+    blocks = [borders[i : i + width] for i in range(0, len(borders), width)]
+
+    def passed(rows: list[Row]) -> Column:
+        starts = [F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(r, types))]) for r in rows]
+        return functools.reduce(operator.add, [(start <= here).cast("int") for start in starts])
+
+    first = passed([b[0] for b in blocks])
+    inside = F.lit(0)
+    for i, block in enumerate(blocks):
+        if block[1:]:
+            inside = F.when(first == i + 1, passed(block[1:])).otherwise(inside)
+    return F.when(first == 0, 0).otherwise((first - 1) * width + 1 + inside)
+
+
+def _carried(rows: DataFrame, keys: list[str], order: list[str], raw: dict[str, str], borders: list[Row]) -> DataFrame:
+    """For each key on a border and each segment it goes on in, the last non-NULL values before the segment."""
+    spark = rows.sparkSession
+    on_border = list(dict.fromkeys(tuple(b[: len(keys)]) for b in borders))
+    crossing = F.broadcast(spark.createDataFrame(on_border, rows.select(*keys).schema))
+    meet = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    mine = rows.alias("r").join(crossing.alias("b"), functools.reduce(operator.and_, meet), "left_semi")
+    position = F.struct(*order)
+    tails = mine.groupBy(*keys, "_segment").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_carry_{n}") for n, c in raw.items()]
     )
+    last: dict[tuple, list] = {}
+    carried = []
+    for row in sorted(tails.collect(), key=lambda r: r["_segment"]):
+        key, found = tuple(row[: len(keys)]), list(row[len(keys) + 1 :])
+        if key in last:
+            carried.append((*key, row["_segment"], *last[key]))
+        last[key] = [old if new is None else new for old, new in zip(last.get(key, found), found)]
+    return spark.createDataFrame(carried, tails.schema)
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, deepest: int = 10_000) -> DataFrame:

@@ -6,7 +6,7 @@ deletion request is logged as CANCELLED while the rule only waits for approval).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rulewatch.operators.grouping import latest_per_key, previous_values
 from rulewatch.operators.joins import lookup_join
@@ -41,12 +41,6 @@ TRANSITIONS = (
 )
 
 
-def _buckets() -> list[Column]:
-    """History is cut by minute, by time, and by the first characters of the event's id, so that
-    neither a rule with very many events nor a bulk load at one moment stays in one task."""
-    return [F.date_trunc("minute", "changed_at"), F.col("changed_at"), F.substring("history_id", 1, 6)]
-
-
 def current_state(history: DataFrame) -> DataFrame:
     """Status and version of every rule after its last event."""
     return latest_per_key(
@@ -66,7 +60,6 @@ def transition_errors(history: DataFrame) -> DataFrame:
         known,
         ["test_id"],
         ORDER,
-        _buckets(),
         {"_prev": F.struct(F.col("status_after").alias("status"), "version")},
     )
     step = F.lit(None).cast("int")
@@ -102,7 +95,7 @@ def with_pending_author(history: DataFrame) -> DataFrame:
     author = F.when(staged, F.struct(F.col("changed_by").alias("author"))).when(
         decided, F.struct(F.lit(None).cast("string").alias("author"))
     )
-    events = previous_values(history, ["test_id"], ORDER, _buckets(), {"_pending": author})
+    events = previous_values(history, ["test_id"], ORDER, {"_pending": author})
     return events.withColumns(
         {"pending_author": F.col("_pending.author"), "_staged": staged, "_decided": decided}
     ).drop("_pending")

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
+from rulewatch.operators import grouping
 from rulewatch.operators.grouping import (
     count_values, first_per_key, latest_per_key, page, page_after, previous_values, recent_per_key, trend, values_of,
 )
@@ -36,12 +37,28 @@ def test_previous_values_equals_a_plain_window(spark):
     _, df = skewed(spark)
     plain = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     want = df.withColumn("p", F.last("v", ignorenulls=True).over(plain)).withColumn("q", F.lag("pos").over(Window.partitionBy("k").orderBy("pos")))
-    for width in (7, 100, 10_000):
-        got = previous_values(df, ["k"], ["pos"], [F.floor(F.col("pos") / width)], {"p": F.col("v"), "q": F.col("pos")})
+    for segments in (1, 2, 7, 40):
+        got = previous_values(df, ["k"], ["pos"], {"p": F.col("v"), "q": F.col("pos")}, segments)
         assert sorted(got.select("k", "pos", "p", "q").collect(), key=str) == sorted(want.select("k", "pos", "p", "q").collect(), key=str)
-    levels = [F.floor(F.col("pos") / w) for w in (200, 50, 3)]
-    got = previous_values(df, ["k"], ["pos"], levels, {"p": F.col("v"), "q": F.col("pos")})
-    assert sorted(got.select("k", "pos", "p", "q").collect(), key=str) == sorted(want.select("k", "pos", "p", "q").collect(), key=str)
+
+
+def test_previous_values_of_one_key_and_moment(spark):
+    """Events of one rule at one moment, ids alike in their first characters, and NULL keys, times and ids."""
+    rows = [("T1", 5, f"EVENT-{i:06d}", None if i % 11 else i) for i in range(3_000)]
+    rows += [(None, None, f"E{i}", i) for i in range(50)] + [("T0", None, None, 1), ("T2", 1, "x", 2)]
+    df = spark.createDataFrame(rows, "k string, at int, id string, v int").repartition(3)
+    plain = Window.partitionBy("k").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumn("p", F.last("v", ignorenulls=True).over(plain))
+    got = previous_values(df, ["k"], ["at", "id"], {"p": F.col("v")}, 8)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    borders = grouping._borders(df, ["k", "at", "id"], 8)
+    segments = df.groupBy(grouping._segment_of(df.select("k", "at", "id"), borders).alias("s")).count().collect()
+    assert len(segments) == 8 and max(r["count"] for r in segments) < 2.5 * len(rows) / 8
+
+
+def test_previous_values_of_nothing(spark):
+    df = spark.createDataFrame([], "k string, at int, v int")
+    assert previous_values(df, ["k"], ["at"], {"p": F.col("v")}).collect() == []
 
 
 def test_latest_and_first(spark):
