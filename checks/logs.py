@@ -1,4 +1,4 @@
-"""The log of runs, its levels and states, snapshots, and rules over their limit, on the driver's tables."""
+"""Logs, snapshots, archives and rules over their limit, on the driver's tables."""
 
 from __future__ import annotations
 
@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from checks.engine import CONFIG, PARAMS, SIX
 from checks.registry import CHECKS, check
+from rulewatch.plans import reports
 from rulewatch.plans.runner import run_rules
 from rulewatch.rules.registry import rule
 from rulewatch.session import work_dir
-from rulewatch.sources.archive import publish, publish_replaced, read_published
+from rulewatch.sources.archive import Archive, publish, publish_replaced, read_published, write_findings
 from rulewatch.sources.levels import Levels
 from rulewatch.sources.logs import RunLog
 from rulewatch.sources.schemas import append_rows, control_schema, empty
@@ -139,3 +140,50 @@ def s04(t):
     none = empty(t.spark, "tb_incident_hashes")
     assert none.schema == control_schema("tb_incident_hashes")
     return append_rows(none, t["fx_hashlog"])
+
+
+RUNS = 6
+
+
+def changing_archive(t) -> Archive:
+    """Six runs of findings, whose amount is first a short, then a long number, then text."""
+    folder = place(t, "archive")
+    rows = t["fx_archive"].select("event_id", "user_id", "event_type", "amount", "_is_false_positive")
+    for k in range(RUNS):
+        mine = rows.where(F.col("event_id") % RUNS == k)
+        typed = mine.withColumn("amount", F.col("amount").cast(("int", "bigint", "string")[k // 2]))
+        write_findings(typed.coalesce(1), folder, "T1", dt.datetime(2024, 1, 1 + k, 6))
+    return Archive(t.spark, folder, "T1")
+
+
+STORED = f"""
+    SELECT event_id, user_id, event_type, CAST(amount AS VARCHAR) AS amount, _is_false_positive,
+           CAST(TIMESTAMP '2024-01-01 06:00:00' + INTERVAL 1 DAY * (event_id % {RUNS}) AS VARCHAR) AS ArchiveDate FROM fx_archive"""
+
+
+@check("s05_changed_types", STORED)
+def s05_changed_types(t):
+    return changing_archive(t).read().drop("archive_dt", "run_at")
+
+
+MARK = """[{"column":"event_type","value":"purchase"}]"""
+
+
+@check("r13_findings_page", f"""
+    SELECT event_id, user_id, event_type, amount, ArchiveDate, event_type = 'purchase' AS _is_false_positive, true AS limited
+    FROM ({STORED}) WHERE lower(concat_ws(' ', event_id, user_id, event_type, amount)) LIKE '%p%ch%' ORDER BY ArchiveDate DESC, event_id LIMIT 450""")
+def r13_page(t):
+    """The newest findings with a text: only the runs that hold them are opened."""
+    fps = t.spark.createDataFrame([("F", "a rule", None, MARK, "u", dt.date(2024, 1, 1), "", True)], "fp_id string, test_name string, row_hash string, match_criteria string, marked_by string, marked_at date, note string, active boolean")
+    page, limited = reports.findings_page(changing_archive(t), fps, "a rule", ["event_id"], "p%ch", limit=450)
+    return page.select("event_id", "user_id", "event_type", F.col("amount").cast("string").alias("amount"), "ArchiveDate", "_is_false_positive").withColumn("limited", F.lit(limited))
+
+
+@check("p15_indexed_search", f"""
+    SELECT event_id, user_id, event_type, amount FROM ({STORED}) WHERE lower(concat_ws(' ', event_id, user_id, event_type, amount)) LIKE '%123%'""")
+def p15_indexed(t):
+    """A search over the files that the index leaves."""
+    archive = changing_archive(t)
+    archive.index()
+    files = archive.matching("123")
+    return archive.read(files, reports.wanted_rows("123")).select("event_id", "user_id", "event_type", F.col("amount").cast("string").alias("amount"))

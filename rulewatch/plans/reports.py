@@ -7,6 +7,7 @@ filters of the dashboard are plain predicates that Spark pushes to the scan.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -19,6 +20,7 @@ from rulewatch.operators.findings import flag_false_positives
 from rulewatch.operators.grouping import first_per_key, latest_per_key, page_after, recent_per_key, top_groups, trend
 from rulewatch.operators.joins import lookup_join
 from rulewatch.plans.lint import rule_code
+from rulewatch.sources.archive import Archive
 from rulewatch.sources.export import export_rows
 from rulewatch.sources.tables import find_column
 
@@ -309,6 +311,42 @@ def findings_view(
     return flag_false_positives(shown, false_positives, [*ARCHIVE_KEYS], attribute=True, rule=test_name)
 
 
+def runs_in_scope(archive: Archive, search: str | None, date_from: str | None, date_to: str | None, all_dates: bool) -> list:
+    """The runs of the scope that ``date_scope`` describes, newest first, by the names of their folders."""
+    if all_dates or (search and search.strip() and not (date_from or date_to)):
+        return archive.runs()
+    if date_from or date_to:
+        return archive.runs(date_from, date_to)
+    runs = archive.runs()
+    return [r for r in runs if r[0] == runs[0][0]]
+
+
+def wanted_rows(search: str | None) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: rows.where(contains_text(rows, search))
+
+
+def findings_page(
+    archive: Archive, false_positives: DataFrame, test_name: str, order: list[str], search: str | None = None, *,
+    limit: int, date_from: str | None = None, date_to: str | None = None, all_dates: bool = False,
+) -> tuple[DataFrame, bool]:
+    """A page like ``findings_view`` gives it, and whether the scope has more rows.
+
+    Only the newest folders that hold the page and one row more are opened; of a search, only files that may
+    hold its text, as far as they are indexed.  Values are searched in the type in which they were written.
+    """
+    runs = runs_in_scope(archive, search, date_from, date_to, all_dates)
+    opened, more = archive.newest(limit, wanted_rows(search), runs, search)
+    none = [p for *_, p in archive.runs()[:1]]
+    rows = archive.read(opened, wanted_rows(search)) if opened else archive.read(none).limit(0)
+    return findings_view(rows, false_positives, test_name, order, limit=limit, all_dates=True), more
+
+
+def page_summary(view: DataFrame, limited: bool) -> DataFrame:
+    """Rows and false positives of a page, beside what is known of the rest."""
+    counts = view.agg(F.count(F.lit(1)).alias("count"), F.count_if("_is_false_positive").alias("fp_count"))
+    return counts.withColumn("limited", F.lit(limited))
+
+
 def findings_export(
     archive: DataFrame, false_positives: DataFrame, test_name: str, order: list[str],
     search: str | None = None, limit: int | None = None, day_column: Column | None = None, **scope,

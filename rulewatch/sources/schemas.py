@@ -95,3 +95,52 @@ def schema_gaps(df: DataFrame, schema: T.StructType) -> list[str]:
         if f.name in have and have[f.name] != f.dataType
     ]
     return gaps
+
+
+INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+DIGITS = (3, 5, 10, 19)  # of the integer types
+
+
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The least type that takes the values of both.
+
+    Integers rise to the wider one, then decimals, doubles and text; dates to timestamps; lists, and
+    structs of the same fields, by their parts.  A decimal that would need over 38 digits is a double, which keeps 15 of them; what else
+    has no common type is text, as Spark's cast writes it.
+    """
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if isinstance(a, INTEGERS) and isinstance(b, INTEGERS):
+        return max(a, b, key=lambda t: INTEGERS.index(type(t)))
+    exact = (*INTEGERS, T.DecimalType)
+    if isinstance(a, exact) and isinstance(b, exact):
+        whole, scale = (max(x) for x in zip(*[(t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (DIGITS[INTEGERS.index(type(t))], 0) for t in (a, b)]))
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.DoubleType()
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        return T.DoubleType()
+    days = (T.DateType, T.TimestampNTZType, T.TimestampType)
+    if isinstance(a, days) and isinstance(b, days):
+        return max(a, b, key=lambda t: days.index(type(t)))
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(common_type(a.elementType, b.elementType), True)
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType) and a.fieldNames() == b.fieldNames():
+        return common_schema([a, b])  # Spark casts structs by place
+    return T.StringType()
+
+
+def common_schema(schemas: list[T.StructType]) -> T.StructType:
+    """All columns of the schemas, in the order in which they come, each of the type that takes all its values."""
+    found: dict[str, T.StructField] = {}
+    for schema in schemas:
+        for f in schema:
+            old = found.get(f.name.lower())
+            found[f.name.lower()] = T.StructField(old.name if old else f.name, common_type(old.dataType, f.dataType) if old else f.dataType, True)
+    return T.StructType(list(found.values()))
+
+
+def fit(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` with the columns and types of a schema that takes its values; those it lacks are NULL."""
+    return widen(df, schema).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+
