@@ -42,7 +42,7 @@ def required_fields(configs: DataFrame, submit: bool = True) -> DataFrame:
 
 
 def without_comments(code: Column) -> Column:
-    """SQL text without block and line comments."""
+    """SQL text without block and line comments; both patterns are fixed values."""
     return F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?\*/", " "), r"--[^\n]*", " ")
 
 

@@ -39,6 +39,7 @@ DATA_EXPORTS = (
     "org_data_export_started", "org_data_export_completed", "org_members_exported",
     "student_data_exported",
 )
+# Names and evidence of the two kinds, as the findings carry them (fixed values).
 TOKEN_RULE, EXPORT_RULE = "token_criado_ou_deletado", "extracao_dados_por_exportacao"
 EVIDENCE = {
     TOKEN_RULE: "Evento de criacao/delecao de token/chave.",

@@ -19,7 +19,8 @@ def employee_partners(tables, as_of, own_document: str) -> DataFrame:
 
     Names are compared in upper case.  One row per employee, partner entry,
     establishment and participant, as the chain of matches gives them; pairs in
-    ``partner_exception`` and the house's own document are left out.
+    ``partner_exception`` and the house's own document are left out.  Input and result columns are fixed
+    values.
     """
     partners = tables["employee"].select(
         "CorporateEmail", F.upper("EmployeeName").alias("AssociateName"), "DepartmentName", "ManagementClassName", "HireDate"
@@ -54,7 +55,7 @@ def employee_partners(tables, as_of, own_document: str) -> DataFrame:
 
 @rule("overdue_training", ("hr_employee", "training"))
 def overdue_training(tables, as_of, hired_since: str, grace_days: int = 30) -> DataFrame:
-    """Employees past the grace period with an open, or no, mandatory training."""
+    """Employees past the grace period with an open, or no, mandatory training; columns are fixed values."""
     employees = (
         tables["hr_employee"]
         .where(F.col("AdmissionDate") >= F.to_date(F.lit(hired_since)))
