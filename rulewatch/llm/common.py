@@ -46,6 +46,14 @@ def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
     return out
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ import re
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from rulewatch.llm.common import as_bytes, slices, stored
 
@@ -148,7 +148,8 @@ def merged_spans(column: str):
 
 
 def _searched(rows: DataFrame, block, width: int) -> DataFrame:
-    kind = rows.schema["key"].dataType.simpleString()
+    found = T.StructType.fromDDL("row long, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
+    schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), *found])  # names in a key need no quotes
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches):
@@ -166,7 +167,7 @@ def _searched(rows: DataFrame, block, width: int) -> DataFrame:
                 ["key", "row", "n_words", "spans", "items"],
             )
 
-    return rows.mapInArrow(run, f"key {kind}, row long, n_words long, spans array<struct<start:int,end:int>>, items array<string>")
+    return rows.mapInArrow(run, schema)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", **named) -> DataFrame:

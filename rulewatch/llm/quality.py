@@ -194,10 +194,13 @@ def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = T
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows, with all their columns, of documents that score the threshold or more."""
     model = learn(stored(document_statistics(documents), "quality"), labels)
+    names = documents.columns
+    places = [f"c{i}" for i in range(len(names))]  # names with dots cannot be handed to tasks
+    text = places[names.index("text")]
 
     def run(batches):
-        for part in slices(batches, "text"):
-            scores = model.score(np.array([statistics(x) for x in as_bytes(part.column("text"))]))
-            yield part.filter(pa.array(scores >= threshold))
+        for part in slices(batches, text):
+            scores = model.score(np.array([statistics(x) for x in as_bytes(part.column(text))]))
+            yield part.rename_columns(names).filter(pa.array(scores >= threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.toDF(*places).mapInArrow(run, documents.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from rulewatch.llm.common import as_bytes, partitions, slices, stored
+from rulewatch.llm.common import as_bytes, free_name, partitions, slices, stored
 from rulewatch.llm.graph import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -245,9 +245,9 @@ def document_duplicates(documents: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One row, with all its columns, of each component: the one with the smallest id."""
-    row = F.monotonically_increasing_id()
-    rows = stored(documents.withColumn("__row", row), "simhash")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
+    number = free_name(documents, "__row")
+    rows = stored(documents.withColumn(number, F.monotonically_increasing_id()), "simhash")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(number).alias("row"))
     prints = stored(fingerprints(rows.select(order.alias("order"), "text"), key="order"), "simhash")
-    kept = near_duplicates(prints, key="order").where("order = component_id").select(F.col("order.row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").drop("__row")
+    kept = near_duplicates(prints, key="order").where("order = component_id").select(F.col("order.row").alias(number))
+    return rows.join(kept, number, "left_semi").drop(number)

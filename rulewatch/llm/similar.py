@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from rulewatch.llm.common import as_bytes, mix, partitions, slices, stored
+from rulewatch.llm.common import as_bytes, free_name, mix, partitions, slices, stored
 from rulewatch.llm.graph import components
 from rulewatch.llm.simhash import SEED, linked, majority, shingle_hashes
 
@@ -159,10 +159,11 @@ def similar(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One row, with all its columns, of each component: the one with the smallest id."""
-    rows = stored(documents.withColumn("__row", F.monotonically_increasing_id()), "similar")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
+    number = free_name(documents, "__row")
+    rows = stored(documents.withColumn(number, F.monotonically_increasing_id()), "similar")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(number).alias("row"))
     signed = signatures(rows.select(order.alias("order"), "text"))
     nodes = stored(signed.groupBy("node").agg(F.min("order").alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")), "similar")
-    placed = nodes.select("node", "first").join(similar(rows, nodes), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").drop("__row")
+    placed = nodes.select("node", "first").join(similar(rows.select(F.col(number).alias("__row"), "text"), nodes), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(number))
+    return rows.join(kept, number, "left_semi").drop(number)

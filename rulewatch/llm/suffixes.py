@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rulewatch.llm import sketch
-from rulewatch.llm.common import NO_ID, ODD, RunningSums, chunk_rest, chunk_rows, chunk_texts, chunked, flat_ranges, mix, sliding, span_hashes, stored, text_groups
+from rulewatch.llm.common import NO_ID, ODD, RunningSums, chunk_rest, chunk_rows, chunk_texts, chunked, flat_ranges, free_name, mix, sliding, span_hashes, stored, text_groups
 
 WIDTH, HEAD = 200, 32
 HOT = 20_000
@@ -416,7 +416,8 @@ def keep_unrepeated(documents: DataFrame, text: str = "text", length: str = "n_c
     apart goes too, ``length`` follows the text, and a row of which nothing is left goes."""
     names = documents.columns
     carry = [c for c in names if c != text]
-    chunks = chunked(documents.withColumn("__id", F.lit(0)), text, "__id", carry)
+    number = free_name(documents, "__id")
+    chunks = chunked(documents.withColumn(number, F.lit(0)), text, number, carry)
     places = repeated_places(chunks)
 
     def cut(batches):

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as spark_entry
 import corpus_pipeline
-from rulewatch.llm import quality, queries
+from rulewatch.llm import decontaminate, quality, queries, simhash, similar, suffixes
 from test_encoding import brute_hits
 from test_repeats import near_rows
 from test_similar import shingles, similarity
@@ -71,3 +71,26 @@ def test_stages_on_empty_tables(spark, tmp_path):
     for name, schema in tables.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that need quotes, and names that the operators use themselves."""
+    names = ["my col", "a.b", "__id", "__row", "__row_", "doc", "row", "order", "Key"]
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words), (2, words + " more"), (3, "something else. " * 30), (4, None), (5, "a passage of a benchmark item that is long enough to be found here today")]
+    quoted = [f"'{n} ' || doc_id AS `{n}`" for n in names]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "CAST(length(text) AS int) AS n_chars", *quoted)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, rows[4][1])], "item_id long, text string")
+    stages = {
+        "quality": (quality.keep_good(docs, labels), {1, 2, 3, 4, 5}),
+        "similar": (similar.keep_one(docs), {1, 3, 4, 5}),
+        "simhash": (simhash.keep_one(docs), None),
+        "suffixes": (suffixes.keep_unrepeated(docs), None),
+        "decontaminate": (decontaminate.keep_clean(docs, items), {1, 2, 3, 4}),
+    }
+    for stage, (df, ids) in stages.items():
+        assert df.columns == docs.columns, stage
+        found = df.collect()
+        assert found and (ids is None or {r["doc_id"] for r in found} == ids), stage
+        assert all(r[n] == f"{n} {r['doc_id']}" for r in found for n in names), stage
