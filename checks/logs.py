@@ -170,7 +170,7 @@ MARK = """[{"column":"event_type","value":"purchase"}]"""
 
 
 @check("r13_findings_page", f"""
-    SELECT event_id, user_id, event_type, amount, ArchiveDate, event_type = 'purchase' AS _is_false_positive, true AS limited
+    SELECT event_id, user_id, event_type, amount, ArchiveDate, event_type = 'purchase' AS _is_false_positive, count(*) OVER () > 450 AS limited
     FROM ({STORED}) WHERE lower(concat_ws(' ', event_id, user_id, event_type, amount)) LIKE '%p%ch%' ORDER BY ArchiveDate DESC, event_id LIMIT 450""")
 def r13_page(t):
     """The newest findings with a text: only the runs that hold them are opened."""
