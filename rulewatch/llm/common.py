@@ -105,14 +105,14 @@ def flat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 ODD = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
-class _Kept(dict):
+class Kept(dict):
     """Kept in a process; a task that carries this module starts with an empty one."""
 
     def __reduce__(self):
-        return _Kept, ()
+        return Kept, ()
 
 
-_POWERS = _Kept()
+_POWERS = Kept()
 
 
 def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -24,14 +24,12 @@ predicted, and never learned from where the held-out fold is by id; repeated row
 from __future__ import annotations
 
 import dataclasses
-import functools
-import sys
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rulewatch.llm.common import slices, stored
+from rulewatch.llm.common import Kept, slices, stored
 from rulewatch.llm.quality import fold
 
 BITS = 15
@@ -45,17 +43,25 @@ MOST_LANGUAGES = 128
 UNKNOWN = "und"
 
 
-@functools.cache
-def letters() -> np.ndarray:
+_LETTERS = Kept()
+PLANES = 0x20000  # code points in the table; those beyond are asked one by one
+
+
+def is_letter(points: np.ndarray) -> np.ndarray:
     """For each code point, whether it is a letter."""
-    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    if not _LETTERS:
+        _LETTERS["table"] = np.fromiter((chr(c).isalpha() for c in range(PLANES)), bool, PLANES)
+    known = _LETTERS["table"][np.minimum(points, PLANES - 1)]
+    for at in np.flatnonzero(points >= PLANES):
+        known[at] = chr(points[at]).isalpha()
+    return known
 
 
 def characters(text: str) -> np.ndarray:
     """Code points of the lower-cased text, one space for a run of anything but letters, a space at both ends."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     points = np.concatenate(([0], points, [0])).astype(np.uint32)
-    known = letters()[points]
+    known = is_letter(points)
     points[~known] = 32
     keep = known.copy()
     keep[0] = True

@@ -28,14 +28,13 @@ digest of an empty text; an empty table has no rows; further columns are ignored
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from rulewatch.llm.common import chunk_ids, partitions, slices, stored
+from rulewatch.llm.common import Kept, chunk_ids, partitions, slices, stored
 
 PIECE_ROWS, PIECE_BYTES = 1 << 14, 4 << 20
 BATCH = 256  # pieces taken at once, if they are small
@@ -68,12 +67,18 @@ def choices(row: int, state: int):
 EDITS = {(row, state): tuple(choices(row, state)) for row in range(16) for state in range(4)}
 
 
-@functools.lru_cache(1 << 16)  # vectors without their constants are few
+_STEPS = Kept()  # vectors without their constants are few
+
+
 def step_back(row: int, after: tuple) -> tuple:
     """Cheapest costs before a row from those after it, rows inserted before it included."""
+    if (row, after) in _STEPS:
+        return _STEPS[row, after]
     costs = [min(cost + after[to] for _, cost, to in EDITS[row, state]) for state in range(4)]
     for _ in range(2):  # two rows inserted lead to every state that any number leads to
         costs = [min(costs[s], INSERT + costs[INSERTED[s]]) for s in range(4)]
+    if len(_STEPS) < 1 << 16:
+        _STEPS[row, after] = tuple(costs)
     return tuple(costs)
 
 
