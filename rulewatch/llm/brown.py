@@ -10,9 +10,10 @@ on their bigram counts over the whole corpus (a matrix of fixed size on the driv
 other word is placed by its occurrences next to those words; one that never stands there gets a
 class by hash.  In sweeps, each word (those exchanged too) then goes to the class under which all
 its occurrences are likeliest next to the classes that its neighbours have; these counts meet by
-word in Spark.  Sweeps end after SWEEPS, or when one does not make class bigrams more informative.
-The vocabulary is never held in one place: each chunk gets the counts and classes of its own words
-by a join.
+word in Spark, FAN chunks at a time, so that a row never holds more than FAN lists of counts, each
+bounded by the number of classes.  Sweeps end after SWEEPS, or when one does not make class bigrams
+more informative.  The vocabulary is never held in one place: the words of all chunks are stored once,
+bucketed by word, and each chunk gets the counts and classes of its own words by a join.
 
 Smoothing: a transition is mixed with the class's share; a word's count in its class is discounted
 by a constant (from the numbers of words seen once and twice), and what that frees belongs to
@@ -34,13 +35,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rulewatch.llm.common import NO_ID, as_bytes, bucketed, chunk_ids, pack, slices, stored, unpack
+from rulewatch.llm.common import NO_ID, as_bytes, bucketed, chunk_ids, pack, partitions, slices, stored, unpack
 
 CLASSES, SEEDS, SWEEPS = 32, 1024, 2
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+FAN = 64  # lists of counts that meet in one row
 END = "\n"  # never a word: it holds white space
 MIX = 20.0  # weight of the class share in a transition
-ENTRY = np.dtype([("code", "u1"), ("n", "<u2")])
+ENTRY = np.dtype([("code", "<u2"), ("n", "<u2")])  # code + digit * codes: a count is written to base 65536
+DIGITS = 4
 
 
 def fold(key, parts: int) -> int:
@@ -169,12 +172,18 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int | None = None) -> np
     return label
 
 
-def seed_classes(chunks: DataFrame, seeds: int, classes: int) -> tuple[dict[str, int], np.ndarray]:
-    """Classes of the most frequent words, and the class bigram counts between them; END is the
-    last class.  Counts of words and of pairs cover the corpus."""
-    each = F.arrays_zip("words", "counts")
-    counts = chunks.select(F.explode(each).alias("x")).where("x.counts > 0").groupBy("x.words").agg(F.sum("x.counts").alias("n"))
-    top = [r["words"] for r in counts.where(F.col("words") != END).orderBy(F.desc("n"), "words").limit(seeds).collect()]
+def chunk_words(chunks: DataFrame) -> DataFrame:
+    """``chunk, place, word, n`` of every word of every chunk, bucketed by word."""
+    each = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x"))
+    rows = each.select("chunk", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+    return bucketed(rows.repartition(partitions(chunks), "word"), "word", "words")
+
+
+def seed_classes(chunks: DataFrame, listed: DataFrame, seeds: int, classes: int) -> tuple[dict[str, int], np.ndarray]:
+    """Classes of the most frequent of the ``listed`` words, and the class bigram counts between
+    them; END is the last class.  Counts of words and of pairs cover the corpus."""
+    counts = listed.where((F.col("n") > 0) & (F.col("word") != END)).groupBy("word").agg(F.sum("n").alias("n"))
+    top = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(seeds).collect()]
     place = {w: i for i, w in enumerate(top)} | {END: len(top)}
     size = len(place)
 
@@ -203,10 +212,10 @@ def vocabulary(chunks: DataFrame, seeds: dict[str, int], table: np.ndarray) -> D
     """``word, n, class`` of every word learned from, placed by its occurrences next to ``seeds``."""
 
     def near_seeds(batch, at):
-        local = np.array([seeds.get(w, -1) for w in batch.column("words")[at].as_py()], np.int64)
+        local = np.array([seeds.get(w, -1) for w in batch.column("words")[at].as_py()], np.int16)
         return local, local < 0
 
-    return placed(chunks.select("lengths", "learn", "codes", "words", "counts"), near_seeds, table, seeds)
+    return placed(chunks.select("chunk", "lengths", "learn", "codes", "words", "counts"), near_seeds, table, seeds)
 
 
 def swept(chunks: DataFrame, found: DataFrame, table: np.ndarray) -> DataFrame:
@@ -221,9 +230,63 @@ def swept(chunks: DataFrame, found: DataFrame, table: np.ndarray) -> DataFrame:
     return placed(rows.join(found, "chunk"), by_class, table, {END: classes})
 
 
+def written(key: np.ndarray, n: np.ndarray, width: int, size: int) -> pa.Array:
+    """Counts of ``size`` words as a binary value each, from sorted keys word * ``width`` + code."""
+    word, code = np.divmod(key, width)
+    found = []
+    for digit in range(DIGITS):
+        value = n >> (16 * digit) & 0xFFFF
+        at = np.flatnonzero(value)
+        found.append((word[at], code[at] + digit * width, value[at]))
+    word, code, value = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(word, kind="stable")
+    entries = np.empty(len(order), ENTRY)
+    entries["code"], entries["n"] = code[order], value[order]
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(word, minlength=size)))).astype(np.int32) * ENTRY.itemsize
+    return pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
+
+
+def totals(batch: pa.RecordBatch, width: int, step: int = 4096):
+    """(first, last + 1, a row of counts for each) of the batch's words, from their lists of counts."""
+    for a in range(0, batch.num_rows, step):
+        lists = batch.column("entries").slice(a, step)
+        flat = lists.flatten()
+        data = np.frombuffer(b"".join(flat.to_pylist()), ENTRY)
+        sizes = pa.compute.binary_length(flat).to_numpy(zero_copy_only=False) // ENTRY.itemsize
+        each = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.repeat(np.arange(len(lists)), each), sizes)
+        digit, code = np.divmod(data["code"].astype(np.int64), width)
+        seen = np.bincount(owner * width + code, data["n"] * 65536.0**digit, len(lists) * width)
+        yield a, a + len(lists), seen.reshape(len(lists), width)
+
+
+def met(sent: DataFrame, parts: int, width: int) -> DataFrame:
+    """``word, n, entries``: the lists of a word's counts, FAN or so; lists of more parts are summed before."""
+
+    def sums(batches):
+        for batch in batches:
+            for a, b, seen in totals(batch, width):
+                key = np.flatnonzero(seen)
+                rows = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("word"), rows.column("part"), rows.column("n"), written(key, seen.ravel()[key].astype(np.int64), width, b - a)],
+                    ["word", "part", "n", "entries"],
+                )
+
+    lists = [F.sum("n").alias("n"), F.collect_list("entries").alias("entries")]
+    while parts > 1:
+        sent = sent.groupBy("word", "part").agg(*lists).mapInArrow(sums, "word string, part long, n long, entries binary")
+        sent = sent.withColumn("part", F.floor(F.col("part") / FAN))
+        parts = -(-parts // FAN)
+    return sent.groupBy("word").agg(*lists)
+
+
 def placed(chunks: DataFrame, classes_of, table: np.ndarray, given: dict[str, int]) -> DataFrame:
-    """``word, n, class``; ``classes_of`` gives the classes of a chunk's words (-1: none) and which are placed."""
+    """``word, n, class``, bucketed by word; ``classes_of`` gives the classes of a chunk's words (-1: none)
+    and which are placed."""
     classes = len(table) - 1
+    width = 2 * classes + 2
+    parts = max(1, -(-chunks.count() // FAN))
 
     def contexts(batches):
         for batch in batches:
@@ -234,20 +297,16 @@ def placed(chunks: DataFrame, classes_of, table: np.ndarray, given: dict[str, in
                 here = local[tokens.codes]
                 other = open_words[tokens.codes]
                 key = []
-                for codes in (tokens.before(here, classes), np.where((after := tokens.after(here, -1)) >= 0, after + classes + 1, -1)):
+                for codes in (tokens.before(here, classes), np.where((after := tokens.after(here, -1)) >= 0, after + np.int16(classes + 1), np.int16(-1))):
                     use = other & (codes >= 0)
-                    key.append(tokens.codes[use] * (2 * classes + 2) + codes[use])
+                    key.append(tokens.codes[use] * width + codes[use])
                 key, n = np.unique(np.concatenate(key), return_counts=True)
-                parts = -(-n // 65535)  # larger counts take several entries
-                entries = np.empty(int(parts.sum()), ENTRY)
-                entries["code"] = np.repeat(key % (2 * classes + 2), parts)
-                entries["n"] = 65535
-                entries["n"][np.cumsum(parts) - 1] = n - (parts - 1) * 65535
-                seen = np.flatnonzero(counts)
-                sizes = np.bincount(np.repeat(key // (2 * classes + 2), parts), minlength=len(words))[seen]
-                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32) * ENTRY.itemsize
-                packed = pa.Array.from_buffers(pa.binary(), len(seen), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
-                yield pa.RecordBatch.from_arrays([words.take(pa.array(seen)), pa.array(counts[seen]), packed], ["word", "n", "entries"])
+                seen = pa.array(np.flatnonzero(counts))
+                part = np.full(len(seen), fold(batch.column("chunk")[at].as_py(), parts))
+                yield pa.RecordBatch.from_arrays(
+                    [words.take(seen), pa.array(part), pa.array(counts).take(seen), written(key, n, width, len(words)).take(seen)],
+                    ["word", "part", "n", "entries"],
+                )
 
     smooth = table + 0.5
     rows, columns = smooth.sum(axis=1), smooth.sum(axis=0)
@@ -256,35 +315,23 @@ def placed(chunks: DataFrame, classes_of, table: np.ndarray, given: dict[str, in
 
     def assign(batches):
         for batch in batches:
-            lists = batch.column("entries")
-            flat = lists.values
-            data = np.frombuffer(b"".join(flat.to_pylist()), ENTRY)
-            sizes = pa.compute.binary_length(flat).to_numpy(zero_copy_only=False) // ENTRY.itemsize
-            spans = np.diff(np.concatenate(([0], np.cumsum(sizes)))[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
-            owner = np.repeat(np.arange(batch.num_rows), spans)
-            width = len(weights)
             best = np.empty(batch.num_rows, np.int64)
-            for a in range(0, batch.num_rows, 4096):
-                b = min(a + 4096, batch.num_rows)
-                mine = slice(*np.searchsorted(owner, [a, b]))
-                seen = np.bincount((owner[mine] - a) * width + data["code"][mine], data["n"][mine], (b - a) * width).reshape(b - a, width)
-                best[a:b] = np.argmax(seen @ weights, axis=1)
             words = batch.column("word").to_pylist()
-            for i in np.flatnonzero(spans == 0).tolist():
-                best[i] = zlib.crc32(words[i].encode()) % classes
+            for a, b, seen in totals(batch, width):
+                best[a:b] = np.argmax(seen @ weights, axis=1)
+                for i in (a + np.flatnonzero(~seen.any(axis=1))).tolist():
+                    best[i] = zlib.crc32(words[i].encode()) % classes
             fixed = np.array([given.get(w, -1) for w in words], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(np.where(fixed >= 0, fixed, best), pa.int32())], ["word", "n", "class"])
 
-    sent = chunks.mapInArrow(contexts, "word string, n long, entries binary")
-    met = sent.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("entries").alias("entries"))
-    return stored(met.mapInArrow(assign, "word string, n long, class int"), "vocabulary")
+    sent = chunks.mapInArrow(contexts, "word string, part long, n long, entries binary")
+    return bucketed(met(sent, parts, width).mapInArrow(assign, "word string, n long, class int"), "word", "vocabulary")
 
 
-def looked_up(chunks: DataFrame, words: DataFrame) -> DataFrame:
+def looked_up(listed: DataFrame, words: DataFrame) -> DataFrame:
     """``chunk, found``: place, count and class of the chunk's words that were learned from."""
-    asked = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
-    found = asked.join(words, "word").groupBy("chunk").agg(F.collect_list(F.struct("place", "n", "class")).alias("found"))
-    return stored(found, "classes")
+    found = listed.select("chunk", "place", "word").join(words, "word")
+    return stored(found.groupBy("chunk").agg(F.collect_list(F.struct("place", "n", "class")).alias("found")), "classes")
 
 
 @dataclasses.dataclass(frozen=True)
@@ -307,8 +354,9 @@ def class_bigrams(chunks: DataFrame, found: DataFrame, classes: int) -> np.ndarr
                 tokens = Tokens(batch, at, True)
                 _, of_word = local_arrays(batch, at, classes)
                 here = of_word[tokens.codes]
-                pair, n = np.unique(tokens.before(here, classes) * (classes + 1) + here, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], ["pair", "n"])
+                n = np.bincount(tokens.before(here, classes).astype(np.int64) * (classes + 1) + here)
+                pair = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n[pair], pa.int64())], ["pair", "n"])
 
     rows = chunks.select("chunk", "lengths", "learn", "codes", F.size("words").alias("types")).join(found, "chunk")
     pairs = rows.mapInArrow(transitions, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
@@ -345,7 +393,7 @@ def fit(chunks: DataFrame, found: DataFrame, words: DataFrame, classes: int, tab
 def local_arrays(batch: pa.RecordBatch, at: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts (0 if not learned from) and classes (-1) of a chunk's words."""
     size = batch.column("types")[at].as_py()
-    counts, of_word = np.zeros(size, np.int64), np.full(size, -1)
+    counts, of_word = np.zeros(size, np.int64), np.full(size, -1, np.int16)
     found = batch.column("found")[at].values
     if found is not None:
         place = found.field("place").to_numpy()
@@ -385,12 +433,13 @@ def score(chunks: DataFrame, found: DataFrame, model: Model, key: str = "doc_id"
 def document_scores(documents: DataFrame, folds: int = 7, held: int = 2, classes: int = CLASSES, seeds: int = SEEDS, sweeps: int = SWEEPS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``."""
     chunks = coded(documents, folds, held)
-    words = vocabulary(chunks, *seed_classes(chunks, seeds, classes))
-    found = looked_up(chunks, words)
+    listed = chunk_words(chunks)
+    words = vocabulary(chunks, *seed_classes(chunks, listed, seeds, classes))
+    found = looked_up(listed, words)
     table = class_bigrams(chunks, found, classes)
     for _ in range(sweeps):
         moved = swept(chunks, found, table)
-        of_moved = looked_up(chunks, moved)
+        of_moved = looked_up(listed, moved)
         moved_table = class_bigrams(chunks, of_moved, classes)
         if information(moved_table) <= information(table):
             break

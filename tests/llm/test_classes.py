@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from rulewatch.llm import brown
 
@@ -11,9 +12,10 @@ def test_sweeps_count_every_neighbour(spark):
     """Words that never stand next to one of the exchanged words are placed by all their neighbours."""
     docs = [(i, "the of the of the") for i in range(40)] + [(100 + i, f"s p{i % 4} q{i % 5} p{i % 3} q{i % 4} s") for i in range(30)]
     chunks = brown.coded(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 7, 2)
-    words = brown.vocabulary(chunks, *brown.seed_classes(chunks, 2, 3))
+    listed = brown.chunk_words(chunks)
+    words = brown.vocabulary(chunks, *brown.seed_classes(chunks, listed, 2, 3))
     of = {r["word"]: r["class"] for r in words.collect()}
-    found = brown.looked_up(chunks, words)
+    found = brown.looked_up(listed, words)
     table = brown.class_bigrams(chunks, found, 3)
     learned = [["\n", *t.split(), "\n"] for k, t in docs if brown.fold(k, 7) != 2]
     want = np.zeros((4, 4))
@@ -36,4 +38,30 @@ def test_sweeps_count_every_neighbour(spark):
 def test_seeds_from_whole_vocabularies(spark):
     docs = [(i, " ".join([f"w{i}x{k}" for k in range(9)] * 3 + ["everywhere"] * 2)) for i in range(24)]
     chunks = brown.coded(spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(24, "doc_id"), 7, 2)
-    assert "everywhere" in brown.seed_classes(chunks, 1, 1)[0]
+    assert "everywhere" in brown.seed_classes(chunks, brown.chunk_words(chunks), 1, 1)[0]
+
+
+def test_counts_of_any_size_in_lists():
+    key, n = np.array([1, 5, 6, 8, 17]), np.array([1, 65535, 65536, 3, (7 << 40) + 5])
+    lists = brown.written(key, n, 6, 4)
+    words = pa.array(["a", "b", "c", "d"])
+    entries = pa.ListArray.from_arrays(pa.array([0, 2, 3, 4, 6], pa.int32()), pa.concat_arrays([lists.take([0, 0]), lists.slice(1), lists.take([2])]))
+    batch = pa.RecordBatch.from_arrays([words, entries], ["word", "entries"])
+    want = np.zeros((4, 6))
+    want[0, [1, 5]] = 2, 2 * 65535
+    want[1, [0, 2]] = 65536, 3
+    want[2, 5] = (7 << 40) + 5
+    want[3, 5] = (7 << 40) + 5
+    for step in (1, 3, 4096):
+        assert (np.concatenate([seen for _, _, seen in brown.totals(batch, 6, step)]) == want).all()
+
+
+def test_counts_meet_in_steps(spark, monkeypatch):
+    """Many chunks and a small fan: the same classes as when all lists of a word meet at once."""
+    docs = [(i, f"a b{i % 7} a c{i % 5} b{i % 3} x{i}") for i in range(90)]
+    chunks = brown.coded(spark.createDataFrame(docs, "doc_id long, text string").repartition(18), 7, 2)
+    seeds = brown.seed_classes(chunks, brown.chunk_words(chunks), 6, 3)
+    rows = lambda: sorted(map(tuple, brown.vocabulary(chunks, *seeds).select("word", "n", "class").collect()))
+    want = rows()
+    monkeypatch.setattr(brown, "FAN", 2)
+    assert rows() == want and len(want) > 80
