@@ -35,11 +35,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rulewatch.llm.common import NO_ID, as_bytes, bucketed, chunk_ids, pack, partitions, slices, stored, unpack
+from rulewatch.llm.common import NO_ID, as_bytes, bucketed, chunk_ids, pack, partitions, slices, unpack
 
 CLASSES, SEEDS, SWEEPS = 32, 1024, 2
 CHUNK_BYTES = 8 << 20
-FAN = 64  # lists of counts that meet in one row
+FAN = 256  # lists of counts that meet in one row
 END = "\n"  # never a word: it holds white space
 MIX = 20.0  # weight of the class share in a transition
 ENTRY = np.dtype([("code", "<u2"), ("n", "<u2")])  # code + digit * codes: a count is written to base 65536
@@ -329,9 +329,10 @@ def placed(chunks: DataFrame, classes_of, table: np.ndarray, given: dict[str, in
 
 
 def looked_up(listed: DataFrame, words: DataFrame) -> DataFrame:
-    """``chunk, found``: place, count and class of the chunk's words that were learned from."""
+    """``chunk, found``: place, count and class of the chunk's words that were learned from; bucketed
+    as the chunks are, so that neither side of their joins moves."""
     found = listed.select("chunk", "place", "word").join(words, "word")
-    return stored(found.groupBy("chunk").agg(F.collect_list(F.struct("place", "n", "class")).alias("found")), "classes")
+    return bucketed(found.groupBy("chunk").agg(F.collect_list(F.struct("place", "n", "class")).alias("found")), "chunk", "classes")
 
 
 @dataclasses.dataclass(frozen=True)
