@@ -10,8 +10,8 @@ on their bigram counts over the whole corpus (a matrix of fixed size on the driv
 other word is placed by its occurrences next to those words; one that never stands there gets a
 class by hash.  In sweeps, each word (those exchanged too) then goes to the class under which all
 its occurrences are likeliest next to the classes that its neighbours have; these counts meet by
-word in Spark, FAN chunks at a time, so that a row never holds more than FAN lists of counts, each
-bounded by the number of classes.  Sweeps end after SWEEPS, or when one does not make class bigrams
+word in Spark, about FAN chunks at a time (dealt by hash), so that a row holds about FAN lists of
+counts, each bounded by the number of classes.  Sweeps end after SWEEPS, or when one does not make class bigrams
 more informative.  The vocabulary is never held in one place: the words of all chunks are stored once,
 bucketed by word, and each chunk gets the counts and classes of its own words by a join.
 
