@@ -9,11 +9,12 @@ work on numbers.  The most frequent words are exchanged between classes until no
 on their bigram counts over the whole corpus (a matrix of fixed size on the driver).  Then every
 other word is placed by its occurrences next to those words; one that never stands there gets a
 class by hash.  In sweeps, each word (those exchanged too) then goes to the class under which all
-its occurrences are likeliest next to the classes that its neighbours have; these counts meet by
-word in Spark, about FAN chunks at a time (dealt by hash), so that a row holds about FAN lists of
-counts, each bounded by the number of classes.  Sweeps end after SWEEPS, or when one does not make class bigrams
-more informative.  The vocabulary is never held in one place: the words of all chunks are stored once,
-bucketed by word, and each chunk gets the counts and classes of its own words by a join.
+its occurrences are likeliest next to the classes that its neighbours have.  For that words are dealt
+to parts by hash, so many that a part holds about FAN words of all chunks; a chunk sends a part one
+row, a list of counts for each of its words there, and each list is bounded by the number of classes.
+Sweeps end after SWEEPS, or when one does not make class bigrams more informative.  The vocabulary
+is never held in one place: the words of all chunks are stored once, bucketed by part, and each
+chunk gets the counts and classes of its own words back, a row from a part.
 
 Smoothing: a transition is mixed with the class's share; a word's count in its class is discounted
 by a constant (from the numbers of words seen once and twice), and what that frees belongs to
@@ -39,7 +40,7 @@ from rulewatch.llm.common import NO_ID, as_bytes, bucketed, chunk_ids, pack, par
 
 CLASSES, SEEDS, SWEEPS = 32, 1024, 2
 CHUNK_BYTES = 8 << 20
-FAN = 256  # lists of counts that meet in one row
+FAN = 1 << 17  # words of chunks that meet in one part
 END = "\n"  # never a word: it holds white space
 MIX = 20.0  # weight of the class share in a transition
 ENTRY = np.dtype([("code", "<u2"), ("n", "<u2")])  # code + digit * codes: a count is written to base 65536
@@ -72,8 +73,8 @@ def coded(df: DataFrame, folds: int, held: int, text: str = "text", key: str = "
             whole = pa.array([0, len(words)], pa.int32())
             return pa.RecordBatch.from_arrays(
                 [pa.array([next(numbers)], pa.int64()), *[pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), learn.tobytes(), sizes.tobytes(), pack(place[codes]))],
-                 pa.ListArray.from_arrays(whole, names), pa.ListArray.from_arrays(whole, pa.array(counts, pa.int64()))],
-                ["chunk", "ids", "learn", "lengths", "codes", "words", "counts"],
+                 pa.ListArray.from_arrays(whole, names), pa.ListArray.from_arrays(whole, pa.array(counts, pa.int64())), pa.array([len(words)], pa.int32())],
+                ["chunk", "ids", "learn", "lengths", "codes", "words", "counts", "types"],
             )
 
         known: dict[bytes, int] = {}
@@ -95,7 +96,7 @@ def coded(df: DataFrame, folds: int, held: int, text: str = "text", key: str = "
         if ids:
             yield flush()
 
-    schema = "chunk long, ids binary, learn binary, lengths binary, codes binary, words array<string>, counts array<long>"
+    schema = "chunk long, ids binary, learn binary, lengths binary, codes binary, words array<string>, counts array<long>, types int"
     return bucketed(rows.mapInArrow(run, schema), "chunk", "coded")
 
 
@@ -172,17 +173,64 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int | None = None) -> np
     return label
 
 
-def chunk_words(chunks: DataFrame) -> DataFrame:
-    """``chunk, place, word, n`` of every word of every chunk, bucketed by word."""
-    each = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x"))
-    rows = each.select("chunk", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    return bucketed(rows.repartition(partitions(chunks), "word"), "word", "words")
+def parts_of(chunks: DataFrame) -> int:
+    """The number of parts that words are dealt to."""
+    return max(partitions(chunks), -(-(chunks.agg(F.sum("types")).first()[0] or 0) // FAN))
+
+
+def dealt(words: pa.Array, parts: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """The parts that ``words`` fall in, where their lists start, and the order of the words in these."""
+    of = np.fromiter(map(zlib.crc32, words.cast(pa.binary()).to_pylist()), np.int64, len(words)) % parts
+    order = np.argsort(of, kind="stable")
+    some, first = np.unique(of[order], return_index=True)
+    return pa.array(some), pa.array(np.append(first, len(of)), pa.int32()), order
 
 
-def seed_classes(chunks: DataFrame, listed: DataFrame, seeds: int, classes: int) -> tuple[dict[str, int], np.ndarray]:
-    """Classes of the most frequent of the ``listed`` words, and the class bigram counts between
-    them; END is the last class.  Counts of words and of pairs cover the corpus."""
-    counts = listed.where((F.col("n") > 0) & (F.col("word") != END)).groupBy("word").agg(F.sum("n").alias("n"))
+def chunk_words(chunks: DataFrame) -> DataFrame:
+    """``part, chunk, words, places, counts`` of every word learned from of every chunk, bucketed by part."""
+    parts = parts_of(chunks)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                counts = batch.column("counts")[at].values
+                seen = np.flatnonzero(counts.to_numpy())
+                words = batch.column("words")[at].values.take(pa.array(seen))
+                part, starts, order = dealt(words, parts)
+                rows = pa.array(order)
+                lists = [pa.ListArray.from_arrays(starts, x) for x in (words.take(rows), pa.array(seen[order], pa.int32()), counts.take(pa.array(seen[order])))]
+                chunk = pa.array(np.full(len(part), batch.column("chunk")[at].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([part, chunk, *lists], ["part", "chunk", "words", "places", "counts"])
+
+    rows = chunks.select("chunk", "words", "counts").mapInArrow(run, "part long, chunk long, words array<string>, places array<int>, counts array<long>")
+    return bucketed(rows.repartition(partitions(chunks), "part"), "part", "words")
+
+
+def distinct(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of a part, the number of each of its listed words, and each distinct word's count."""
+    coded = pa.compute.list_flatten(table.column("words")).combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    number = coded.indices.to_numpy()
+    n = np.zeros(len(coded.dictionary), np.int64)
+    np.add.at(n, number, pa.compute.list_flatten(table.column("counts")).to_numpy())
+    return coded.dictionary, number, n
+
+
+def seed_classes(chunks: DataFrame, *given) -> tuple[dict[str, int], np.ndarray]:
+    """Classes of the most frequent of the listed words, and the class bigram counts between them; END
+    is the last class.  Counts of words and of pairs cover the corpus.  ``given`` are the words as
+    ``chunk_words`` lists them (which may be left out), the number of words, and that of classes."""
+    *listed, seeds, classes = given
+    listed = listed[0] if listed else chunk_words(chunks)
+
+    def frequent(table):
+        words, _, n = distinct(table)
+        n[pa.compute.equal(words, END).to_numpy(zero_copy_only=False)] = 0
+        least = max(1, np.sort(n)[-seeds]) if len(n) > seeds else 1  # ties stay
+        at = np.flatnonzero(n >= least)
+        return pa.table({"word": words.take(pa.array(at)), "n": pa.array(n[at])})
+
+    counts = listed.select("part", "words", "counts").groupBy("part").applyInArrow(frequent, "word string, n long")
     top = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(seeds).collect()]
     place = {w: i for i, w in enumerate(top)} | {END: len(top)}
     size = len(place)
@@ -215,7 +263,7 @@ def vocabulary(chunks: DataFrame, seeds: dict[str, int], table: np.ndarray) -> D
         local = np.array([seeds.get(w, -1) for w in batch.column("words")[at].as_py()], np.int16)
         return local, local < 0
 
-    return placed(chunks.select("chunk", "lengths", "learn", "codes", "words", "counts"), near_seeds, table, seeds)
+    return placed(chunks.select("chunk", "lengths", "learn", "codes", "words", "counts"), parts_of(chunks), near_seeds, table, seeds)
 
 
 def swept(chunks: DataFrame, found: DataFrame, table: np.ndarray) -> DataFrame:
@@ -226,8 +274,8 @@ def swept(chunks: DataFrame, found: DataFrame, table: np.ndarray) -> DataFrame:
         _, local = local_arrays(batch, at, classes)
         return local, local != classes
 
-    rows = chunks.select("chunk", "lengths", "learn", "codes", "words", "counts", F.size("words").alias("types"))
-    return placed(rows.join(found, "chunk"), by_class, table, {END: classes})
+    rows = chunks.select("chunk", "lengths", "learn", "codes", "words", "counts", "types")
+    return placed(rows.join(found, "chunk"), parts_of(chunks), by_class, table, {END: classes})
 
 
 def written(key: np.ndarray, n: np.ndarray, width: int, size: int) -> pa.Array:
@@ -246,12 +294,21 @@ def written(key: np.ndarray, n: np.ndarray, width: int, size: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
 
 
+def flat_entries(lists: pa.Array) -> np.ndarray:
+    """The entries of all lists, one after another."""
+    _, offsets, data = lists.buffers()
+    if data is None or not len(lists):
+        return np.empty(0, ENTRY)
+    ends = np.frombuffer(offsets, np.int32)[lists.offset : lists.offset + len(lists) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(ENTRY)
+
+
 def totals(batch: pa.RecordBatch, width: int, step: int = 4096):
     """(first, last + 1, a row of counts for each) of the batch's words, from their lists of counts."""
     for a in range(0, batch.num_rows, step):
         lists = batch.column("entries").slice(a, step)
         flat = lists.flatten()
-        data = np.frombuffer(b"".join(flat.to_pylist()), ENTRY)
+        data = flat_entries(flat)
         sizes = pa.compute.binary_length(flat).to_numpy(zero_copy_only=False) // ENTRY.itemsize
         each = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
         owner = np.repeat(np.repeat(np.arange(len(lists)), each), sizes)
@@ -260,33 +317,11 @@ def totals(batch: pa.RecordBatch, width: int, step: int = 4096):
         yield a, a + len(lists), seen.reshape(len(lists), width)
 
 
-def met(sent: DataFrame, parts: int, width: int) -> DataFrame:
-    """``word, n, entries``: the lists of a word's counts, FAN or so; lists of more parts are summed before."""
-
-    def sums(batches):
-        for batch in batches:
-            for a, b, seen in totals(batch, width):
-                key = np.flatnonzero(seen)
-                rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("word"), rows.column("part"), rows.column("n"), written(key, seen.ravel()[key].astype(np.int64), width, b - a)],
-                    ["word", "part", "n", "entries"],
-                )
-
-    lists = [F.sum("n").alias("n"), F.collect_list("entries").alias("entries")]
-    while parts > 1:
-        sent = sent.groupBy("word", "part").agg(*lists).mapInArrow(sums, "word string, part long, n long, entries binary")
-        sent = sent.withColumn("part", F.floor(F.col("part") / FAN))
-        parts = -(-parts // FAN)
-    return sent.groupBy("word").agg(*lists)
-
-
-def placed(chunks: DataFrame, classes_of, table: np.ndarray, given: dict[str, int]) -> DataFrame:
-    """``word, n, class``, bucketed by word; ``classes_of`` gives the classes of a chunk's words (-1: none)
+def placed(chunks: DataFrame, parts: int, classes_of, table: np.ndarray, given: dict[str, int]) -> DataFrame:
+    """``part, word, n, class``, bucketed by part; ``classes_of`` gives the classes of a chunk's words (-1: none)
     and which are placed."""
     classes = len(table) - 1
     width = 2 * classes + 2
-    parts = max(1, -(-chunks.count() // FAN))
 
     def contexts(batches):
         for batch in batches:
@@ -301,38 +336,57 @@ def placed(chunks: DataFrame, classes_of, table: np.ndarray, given: dict[str, in
                     use = other & (codes >= 0)
                     key.append(tokens.codes[use] * width + codes[use])
                 key, n = np.unique(np.concatenate(key), return_counts=True)
-                seen = pa.array(np.flatnonzero(counts))
-                part = np.full(len(seen), fold(batch.column("chunk")[at].as_py(), parts))
-                yield pa.RecordBatch.from_arrays(
-                    [words.take(seen), pa.array(part), pa.array(counts).take(seen), written(key, n, width, len(words)).take(seen)],
-                    ["word", "part", "n", "entries"],
-                )
+                seen = np.flatnonzero(counts)
+                part, starts, order = dealt(words.take(pa.array(seen)), parts)
+                rows = pa.array(seen[order])
+                lists = [pa.ListArray.from_arrays(starts, x) for x in (words.take(rows), pa.array(counts).take(rows), written(key, n, width, len(words)).take(rows))]
+                yield pa.RecordBatch.from_arrays([part, *lists], ["part", "words", "counts", "entries"])
 
     smooth = table + 0.5
     rows, columns = smooth.sum(axis=1), smooth.sum(axis=0)
     # log P(class | class before) + log P(class after | class) - log N(class), for each class
     weights = np.vstack((np.log(smooth[:, :-1] / rows[:, None]) - np.log(columns[:-1]), np.log(smooth[:-1] / rows[:-1, None]).T))
 
-    def assign(batches):
-        for batch in batches:
-            best = np.empty(batch.num_rows, np.int64)
-            words = batch.column("word").to_pylist()
-            for a, b, seen in totals(batch, width):
-                best[a:b] = np.argmax(seen @ weights, axis=1)
-                for i in (a + np.flatnonzero(~seen.any(axis=1))).tolist():
-                    best[i] = zlib.crc32(words[i].encode()) % classes
-            fixed = np.array([given.get(w, -1) for w in words], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(np.where(fixed >= 0, fixed, best), pa.int32())], ["word", "n", "class"])
-
-    sent = chunks.mapInArrow(contexts, "word string, part long, n long, entries binary")
-    return bucketed(met(sent, parts, width).mapInArrow(assign, "word string, n long, class int"), "word", "vocabulary")
+    def assign(table):
+        names, number, n = distinct(table)
+        entries = pa.compute.list_flatten(table.column("entries")).combine_chunks()
+        starts = np.concatenate(([0], np.cumsum(np.bincount(number, minlength=len(names)))))
+        lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), entries.take(pa.array(np.argsort(number, kind="stable"))))
+        best = np.empty(len(names), np.int64)
+        words = names.to_pylist()
+        for a, b, seen in totals(pa.RecordBatch.from_arrays([lists], ["entries"]), width):
+            best[a:b] = np.argmax(seen @ weights, axis=1)
+            for i in (a + np.flatnonzero(~seen.any(axis=1))).tolist():
+                best[i] = zlib.crc32(words[i].encode()) % classes
+        fixed = np.array([given.get(w, -1) for w in words], np.int64)
+        part = pa.array(np.full(len(words), table.column("part")[0].as_py()), pa.int64())
+        return pa.table({"part": part, "word": names, "n": pa.array(n), "class": pa.array(np.where(fixed >= 0, fixed, best), pa.int32())})
+
+    sent = chunks.mapInArrow(contexts, "part long, words array<string>, counts array<long>, entries array<binary>")
+    return bucketed(sent.groupBy("part").applyInArrow(assign, "part long, word string, n long, class int"), "part", "vocabulary")
 
 
 def looked_up(listed: DataFrame, words: DataFrame) -> DataFrame:
-    """``chunk, found``: place, count and class of the chunk's words that were learned from; bucketed
-    as the chunks are, so that neither side of their joins moves."""
-    found = listed.select("chunk", "place", "word").join(words, "word")
-    return bucketed(found.groupBy("chunk").agg(F.collect_list(F.struct("place", "n", "class")).alias("found")), "chunk", "classes")
+    """``chunk, found``: place, count and class of the chunk's words that were learned from, a value from each
+    part; bucketed as the chunks are, so that neither side of their joins moves.  Words that are not listed
+    yet are given as chunks."""
+    listed = listed if "part" in listed.columns else chunk_words(listed)
+
+    def of_chunks(lists, known):
+        columns = ["chunk", "place", "n", "class"]
+        if not lists.num_rows:
+            return pa.table({c: pa.array([], pa.int64() if c == "chunk" else pa.binary()) for c in columns})
+        flat = pa.compute.list_flatten(lists.column("words")).combine_chunks()
+        at = pa.compute.index_in(flat, known.column("word").combine_chunks()).to_numpy()
+        place = pa.compute.list_flatten(lists.column("places")).to_numpy().astype(np.int32)
+        n, of = known.column("n").to_numpy()[at], known.column("class").to_numpy().astype(np.int16)[at]
+        ends = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists.column("words")).to_numpy())))
+        values = [pa.array([x[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()) for x in (place, n, of)]
+        return pa.table([lists.column("chunk"), *values], columns)
+
+    both = listed.select("part", "chunk", "words", "places").groupBy("part").cogroup(words.select("part", "word", "n", "class").groupBy("part"))
+    rows = both.applyInArrow(of_chunks, "chunk long, place binary, n binary, class binary")
+    return bucketed(rows.groupBy("chunk").agg(F.collect_list(F.struct("place", "n", "class")).alias("found")), "chunk", "classes")
 
 
 @dataclasses.dataclass(frozen=True)
@@ -359,7 +413,7 @@ def class_bigrams(chunks: DataFrame, found: DataFrame, classes: int) -> np.ndarr
                 pair = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n[pair], pa.int64())], ["pair", "n"])
 
-    rows = chunks.select("chunk", "lengths", "learn", "codes", F.size("words").alias("types")).join(found, "chunk")
+    rows = chunks.select("chunk", "lengths", "learn", "codes", "types").join(found, "chunk")
     pairs = rows.mapInArrow(transitions, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     table = np.zeros((classes + 1) ** 2)
     for r in pairs:
@@ -395,10 +449,9 @@ def local_arrays(batch: pa.RecordBatch, at: int, classes: int) -> tuple[np.ndarr
     """Counts (0 if not learned from) and classes (-1) of a chunk's words."""
     size = batch.column("types")[at].as_py()
     counts, of_word = np.zeros(size, np.int64), np.full(size, -1, np.int16)
-    found = batch.column("found")[at].values
-    if found is not None:
-        place = found.field("place").to_numpy()
-        counts[place], of_word[place] = found.field("n").to_numpy(), found.field("class").to_numpy()
+    for found in batch.column("found")[at].as_py() or ():
+        place = np.frombuffer(found["place"], np.int32)
+        counts[place], of_word[place] = np.frombuffer(found["n"], np.int64), np.frombuffer(found["class"], np.int16)
     return counts, of_word
 
 
@@ -426,7 +479,7 @@ def score(chunks: DataFrame, found: DataFrame, model: Model, key: str = "doc_id"
                     ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    rows = chunks.select("chunk", "ids", "lengths", "learn", "codes", F.size("words").alias("types")).join(found, "chunk", "left")
+    rows = chunks.select("chunk", "ids", "lengths", "learn", "codes", "types").join(found, "chunk", "left")
     out = rows.mapInArrow(run, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", key)
 
