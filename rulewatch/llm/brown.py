@@ -9,11 +9,14 @@ work on numbers.  The most frequent words are exchanged between classes until no
 on their bigram counts over the whole corpus (a matrix of fixed size on the driver).  Then every
 other word is placed by its occurrences next to those words; one that never stands there gets a
 class by hash.  In sweeps, each word (those exchanged too) then goes to the class under which all
-its occurrences are likeliest next to the classes that its neighbours have; these counts meet by
-word in Spark, about FAN chunks at a time (dealt by hash), so that a row holds about FAN lists of
-counts, each bounded by the number of classes.  Sweeps end after SWEEPS, or when one does not make class bigrams
-more informative.  The vocabulary is never held in one place: the words of all chunks are stored once,
-bucketed by word, and each chunk gets the counts and classes of its own words by a join.
+its occurrences are likeliest next to the classes that its neighbours have.  Sweeps end after SWEEPS,
+or when one does not make class bigrams more informative.
+
+The vocabulary is never held in one place.  Words are dealt by hash to parts, so many that about FAN
+words of chunks (PART_BYTES at most, if words are short of that) meet in one.  Once, a part numbers its
+words and adds up their counts; numbers and counts go back to each chunk that holds the word, learned
+from there or not.  From then on no word moves: in each round a chunk sends a part one row, numbers and
+lists of counts (each bounded by the number of classes), and gets back one row, the classes.
 
 Smoothing: a transition is mixed with the class's share; a word's count in its class is discounted
 by a constant (from the numbers of words seen once and twice), and what that frees belongs to
@@ -39,7 +42,8 @@ from rulewatch.llm.common import NO_ID, as_bytes, bucketed, chunk_ids, pack, par
 
 CLASSES, SEEDS, SWEEPS = 32, 1024, 2
 CHUNK_BYTES = 8 << 20
-FAN = 256  # lists of counts that meet in one row
+FAN = 1 << 17  # words of chunks that meet in one part
+PART_BYTES = 16 << 20
 END = "\n"  # never a word: it holds white space
 MIX = 20.0  # weight of the class share in a transition
 ENTRY = np.dtype([("code", "<u2"), ("n", "<u2")])  # code + digit * codes: a count is written to base 65536
@@ -51,8 +55,9 @@ def fold(key, parts: int) -> int:
 
 
 def coded(df: DataFrame, folds: int, held: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Stored chunks: ids, which rows are learned from, tokens as places in ``words``, and how
-    often each of ``words`` occurs in rows learned from.  A text's words are followed by END."""
+    """Stored chunks: ids, which rows are learned from, tokens as places in ``words``, how often each
+    of the ``types`` words occurs in rows learned from, their ``order`` by hash, and what the parts
+    ``known`` of them, see ``numbered``.  A text's words are followed by END."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
     def run(batches):
@@ -68,12 +73,14 @@ def coded(df: DataFrame, folds: int, held: int, text: str = "text", key: str = "
             place[order] = np.arange(len(order))
             words = list(known)
             counts = np.bincount(codes[own], minlength=len(known))[order]
+            by_hash = np.argsort(hashes(words)[order], kind="stable").astype(np.uint32)
             names = pa.array([words[i] for i in order.tolist()], pa.binary()).cast(pa.string())
             whole = pa.array([0, len(words)], pa.int32())
             return pa.RecordBatch.from_arrays(
                 [pa.array([next(numbers)], pa.int64()), *[pa.array([x], pa.binary()) for x in (np.array(ids, np.int64).tobytes(), learn.tobytes(), sizes.tobytes(), pack(place[codes]))],
-                 pa.ListArray.from_arrays(whole, names), pa.ListArray.from_arrays(whole, pa.array(counts, pa.int64()))],
-                ["chunk", "ids", "learn", "lengths", "codes", "words", "counts"],
+                 pa.ListArray.from_arrays(whole, names), pa.ListArray.from_arrays(whole, pa.array(counts, pa.int64())),
+                 pa.array([len(words)], pa.int32()), pa.array([sum(map(len, words))], pa.int64()), pa.array([pack(by_hash)], pa.binary())],
+                ["chunk", "ids", "learn", "lengths", "codes", "words", "counts", "types", "size", "order"],
             )
 
         known: dict[bytes, int] = {}
@@ -95,8 +102,76 @@ def coded(df: DataFrame, folds: int, held: int, text: str = "text", key: str = "
         if ids:
             yield flush()
 
-    schema = "chunk long, ids binary, learn binary, lengths binary, codes binary, words array<string>, counts array<long>"
-    return bucketed(rows.mapInArrow(run, schema), "chunk", "coded")
+    schema = "chunk long, ids binary, learn binary, lengths binary, codes binary, words array<string>, counts array<long>, types int, size long, order binary"
+    chunks = bucketed(rows.mapInArrow(run, schema), "chunk", "coded")
+    return chunks.join(numbered(chunks), "chunk")
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+
+
+def pieces(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` up to each of ``ends``."""
+    return pa.array([values[a:b].tobytes() for a, b in zip([0, *ends.tolist()], ends.tolist())], pa.binary())
+
+
+def joined(column, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all arrays of a column of bytes, and where each array ends."""
+    data = column.to_pylist()
+    width = np.dtype(dtype).itemsize
+    return np.frombuffer(b"".join(data), dtype), np.cumsum([len(x) // width for x in data])
+
+
+def of_parts(batch: pa.RecordBatch, column: str, at: int, field: str) -> pa.Array:
+    """The values that a chunk got from parts, by part: those of its words by hash."""
+    rows = batch.column(column)[at].values
+    return rows.field(field).take(pa.array(np.argsort(rows.field("part").to_numpy())))
+
+
+def to_chunks(rows: DataFrame, name: str, column: str) -> DataFrame:
+    """Rows of parts for chunks as one ``column``; bucketed as the chunks are, so that neither side of their joins moves."""
+    fields = [c for c in rows.columns if c != "chunk"]
+    return bucketed(rows.groupBy("chunk").agg(F.collect_list(F.struct(*fields)).alias(column)), "chunk", name)
+
+
+def numbered(chunks: DataFrame) -> DataFrame:
+    """``chunk, known``: from each part the ``numbers`` there of the chunk's words, how often each is
+    learned from in all chunks (``n``), and which of them this chunk stands for (``own``)."""
+    total = chunks.agg(F.sum("types").alias("types"), F.sum("size").alias("size")).first()
+    parts = max(partitions(chunks), -(-(total["types"] or 0) // FAN), -(-(total["size"] or 0) // PART_BYTES))
+
+    def send(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                order = pa.array(unpack(batch.column("order")[at].as_py(), np.uint32))
+                words = batch.column("words")[at].values.take(order).cast(pa.binary()).to_pylist()
+                counts = batch.column("counts")[at].values.take(order).to_numpy()
+                part, first = np.unique(hashes(words) * np.uint64(parts) >> np.uint64(32), return_index=True)
+                ends = np.append(first[1:], len(words))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part.astype(np.int64)), pa.array(np.full(len(part), batch.column("chunk")[at].as_py()), pa.int64()),
+                     pa.array([b"".join(words[a:b]) for a, b in zip(first.tolist(), ends.tolist())], pa.binary()),
+                     pieces(np.fromiter(map(len, words), np.int32, len(words)), ends), pieces(counts, ends)],
+                    ["part", "chunk", "words", "sizes", "counts"],
+                )
+
+    def number(table):
+        table = table.sort_by("chunk")  # a repeated task numbers alike
+        sizes, ends = joined(table.column("sizes"), np.int32)
+        offsets = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        data = b"".join(table.column("words").to_pylist())
+        words = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+        numbers = words.dictionary_encode().indices.to_numpy()
+        n = np.zeros(int(numbers.max()) + 1, np.int64)
+        np.add.at(n, numbers, joined(table.column("counts"), np.int64)[0])
+        own = np.zeros(len(numbers), bool)
+        own[np.unique(numbers, return_index=True)[1]] = True
+        values = [pieces(x, ends) for x in (numbers.astype(np.int32), n[numbers], own)]
+        return pa.table([table.column("chunk"), table.column("part"), *values], ["chunk", "part", "numbers", "n", "own"])
+
+    sent = chunks.select("chunk", "words", "counts", "order").mapInArrow(send, "part long, chunk long, words binary, sizes binary, counts binary")
+    return to_chunks(sent.groupBy("part").applyInArrow(number, "chunk long, part long, numbers binary, n binary, own binary"), "numbers", "known")
 
 
 class Tokens:
@@ -173,16 +248,38 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int | None = None) -> np
 
 
 def chunk_words(chunks: DataFrame) -> DataFrame:
-    """``chunk, place, word, n`` of every word of every chunk, bucketed by word."""
-    each = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x"))
-    rows = each.select("chunk", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    return bucketed(rows.repartition(partitions(chunks), "word"), "word", "words")
+    """The words of each chunk, with what the parts know of them."""
+    return chunks.select("chunk", "words", "order", "known")
+
+
+def owned(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a chunk's words by hash it stands for, and how often each of these is learned from; all were."""
+    own, _ = joined(of_parts(batch, "known", at, "own"), bool)
+    n, _ = joined(of_parts(batch, "known", at, "n"), np.int64)
+    mine = np.flatnonzero(own & (n > 0))
+    return mine, n[mine]
+
 
+def seed_classes(chunks: DataFrame, *given) -> tuple[dict[str, int], np.ndarray]:
+    """Classes of the most frequent words, and the class bigram counts between them; END is the last
+    class.  Counts of words and of pairs cover the corpus.  ``given``: the words as ``chunk_words``
+    lists them (may be left out), the number of seeds, and that of classes."""
+    *listed, seeds, classes = given
+    listed = listed[0] if listed else chunk_words(chunks)
 
-def seed_classes(chunks: DataFrame, listed: DataFrame, seeds: int, classes: int) -> tuple[dict[str, int], np.ndarray]:
-    """Classes of the most frequent of the ``listed`` words, and the class bigram counts between
-    them; END is the last class.  Counts of words and of pairs cover the corpus."""
-    counts = listed.where((F.col("n") > 0) & (F.col("word") != END)).groupBy("word").agg(F.sum("n").alias("n"))
+    def frequent(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                mine, n = owned(batch, at)
+                if len(n) > seeds + 1:  # END may be among them
+                    keep = n >= np.partition(n, -seeds - 1)[-seeds - 1]
+                    mine, n = mine[keep], n[keep]
+                place = unpack(batch.column("order")[at].as_py(), np.uint32)[mine]
+                words = batch.column("words")[at].values.take(pa.array(place)).to_pylist()
+                best = sorted((-k, w.encode()) for k, w in zip(n.tolist(), words) if w != END)[:seeds]
+                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for _, w in best], pa.string()), pa.array([-k for k, _ in best], pa.int64())], ["word", "n"])
+
+    counts = listed.select("words", "order", "known").mapInArrow(frequent, "word string, n long")
     top = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(seeds).collect()]
     place = {w: i for i, w in enumerate(top)} | {END: len(top)}
     size = len(place)
@@ -208,26 +305,59 @@ def seed_classes(chunks: DataFrame, listed: DataFrame, seeds: int, classes: int)
     return {w: int(label[i]) for w, i in place.items()}, member.T @ bigrams @ member
 
 
-def vocabulary(chunks: DataFrame, seeds: dict[str, int], table: np.ndarray) -> DataFrame:
-    """``word, n, class`` of every word learned from, placed by its occurrences next to ``seeds``."""
+def first_classes(chunks: DataFrame, seeds: dict[str, int], table: np.ndarray) -> DataFrame:
+    """``chunk, found``: classes of all words learned from, placed by their occurrences next to ``seeds``."""
+    classes = len(table) - 1
 
     def near_seeds(batch, at):
-        local = np.array([seeds.get(w, -1) for w in batch.column("words")[at].as_py()], np.int16)
-        return local, local < 0
+        words = batch.column("words")[at].as_py()
+        local = np.array([seeds.get(w, -1) for w in words], np.int16)
+        by_hash = (hashes([w.encode() for w in words]) % np.uint64(classes)).astype(np.int16)
+        return local, local < 0, np.where(local >= 0, local, -2 - by_hash)
 
-    return placed(chunks.select("chunk", "lengths", "learn", "codes", "words", "counts"), near_seeds, table, seeds)
+    return placed(chunks.select("chunk", "lengths", "learn", "codes", "words", "types", "order", "known"), near_seeds, table)
 
 
-def swept(chunks: DataFrame, found: DataFrame, table: np.ndarray) -> DataFrame:
-    """``word, n, class``: each word placed anew by all its occurrences, next to words as ``found``."""
+def moved_classes(chunks: DataFrame, found: DataFrame, table: np.ndarray) -> DataFrame:
+    """``chunk, found``: each word placed anew by all its occurrences, next to words as ``found``."""
     classes = len(table) - 1
 
     def by_class(batch, at):
-        _, local = local_arrays(batch, at, classes)
-        return local, local != classes
+        local = local_classes(batch, at)
+        return local, local != classes, np.where(local == classes, local, -2 - local)
+
+    rows = chunks.select("chunk", "lengths", "learn", "codes", "types", "order", "known")
+    return placed(rows.join(found, "chunk"), by_class, table)
 
-    rows = chunks.select("chunk", "lengths", "learn", "codes", "words", "counts", F.size("words").alias("types"))
-    return placed(rows.join(found, "chunk"), by_class, table, {END: classes})
+
+def vocabulary(chunks: DataFrame, seeds: dict[str, int], table: np.ndarray) -> DataFrame:
+    """``word, n, class, part, number`` of every word learned from, placed by its occurrences next to ``seeds``."""
+    return word_rows(chunks, first_classes(chunks, seeds, table))
+
+
+def swept(chunks: DataFrame, found: DataFrame, table: np.ndarray) -> DataFrame:
+    """``word, n, class, part, number``: each word placed anew by all its occurrences, next to words as ``found``."""
+    return word_rows(chunks, moved_classes(chunks, found, table))
+
+
+def word_rows(chunks: DataFrame, found: DataFrame, named: bool = True) -> DataFrame:
+    """``word, n, class, part, number`` of every word learned from; ``n, class`` alone if not ``named``."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                mine, n = owned(batch, at)
+                of, ends = joined(of_parts(batch, "found", at, "class"), np.int16)
+                columns = [pa.array(n), pa.array(of[mine], pa.int32())]
+                if named:
+                    place = unpack(batch.column("order")[at].as_py(), np.uint32)[mine]
+                    part = of_parts(batch, "found", at, "part").to_numpy()[np.searchsorted(ends, mine, side="right")]
+                    number, _ = joined(of_parts(batch, "known", at, "numbers"), np.int32)
+                    columns = [batch.column("words")[at].values.take(pa.array(place)), *columns, pa.array(part), pa.array(number[mine])]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "n", "class", "part", "number"] if named else ["n", "class"])
+
+    rows = chunks.select("chunk", "known", *["words", "order"] * named).join(found, "chunk")
+    return rows.mapInArrow(run, "word string, n long, class int, part long, number int" if named else "n long, class int")
 
 
 def written(key: np.ndarray, n: np.ndarray, width: int, size: int) -> pa.Array:
@@ -235,6 +365,8 @@ def written(key: np.ndarray, n: np.ndarray, width: int, size: int) -> pa.Array:
     word, code = np.divmod(key, width)
     found = []
     for digit in range(DIGITS):
+        if digit and not (n >> (16 * digit)).any():
+            break
         value = n >> (16 * digit) & 0xFFFF
         at = np.flatnonzero(value)
         found.append((word[at], code[at] + digit * width, value[at]))
@@ -251,7 +383,9 @@ def totals(batch: pa.RecordBatch, width: int, step: int = 4096):
     for a in range(0, batch.num_rows, step):
         lists = batch.column("entries").slice(a, step)
         flat = lists.flatten()
-        data = np.frombuffer(b"".join(flat.to_pylist()), ENTRY)
+        _, offsets, bytes_of = flat.buffers()
+        ends = np.frombuffer(offsets, np.int32)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else [0, 0]
+        data = np.frombuffer(bytes_of or b"", np.uint8)[ends[0] : ends[-1]].view(ENTRY)
         sizes = pa.compute.binary_length(flat).to_numpy(zero_copy_only=False) // ENTRY.itemsize
         each = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
         owner = np.repeat(np.repeat(np.arange(len(lists)), each), sizes)
@@ -260,79 +394,80 @@ def totals(batch: pa.RecordBatch, width: int, step: int = 4096):
         yield a, a + len(lists), seen.reshape(len(lists), width)
 
 
-def met(sent: DataFrame, parts: int, width: int) -> DataFrame:
-    """``word, n, entries``: the lists of a word's counts, FAN or so; lists of more parts are summed before."""
+def placed(chunks: DataFrame, classes_of, table: np.ndarray) -> DataFrame:
+    """``chunk, found``: from each part the classes of the chunk's words by hash (-1: not learned from).
 
-    def sums(batches):
-        for batch in batches:
-            for a, b, seen in totals(batch, width):
-                key = np.flatnonzero(seen)
-                rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("word"), rows.column("part"), rows.column("n"), written(key, seen.ravel()[key].astype(np.int64), width, b - a)],
-                    ["word", "part", "n", "entries"],
-                )
-
-    lists = [F.sum("n").alias("n"), F.collect_list("entries").alias("entries")]
-    while parts > 1:
-        sent = sent.groupBy("word", "part").agg(*lists).mapInArrow(sums, "word string, part long, n long, entries binary")
-        sent = sent.withColumn("part", F.floor(F.col("part") / FAN))
-        parts = -(-parts // FAN)
-    return sent.groupBy("word").agg(*lists)
-
-
-def placed(chunks: DataFrame, classes_of, table: np.ndarray, given: dict[str, int]) -> DataFrame:
-    """``word, n, class``, bucketed by word; ``classes_of`` gives the classes of a chunk's words (-1: none)
-    and which are placed."""
+    ``classes_of`` gives the classes of a chunk's words (-1: none), which are placed, and for each word
+    the class that it has whatever its neighbours, or -2 less the class that it has without any."""
     classes = len(table) - 1
     width = 2 * classes + 2
-    parts = max(1, -(-chunks.count() // FAN))
 
     def contexts(batches):
         for batch in batches:
             for at in range(batch.num_rows):
                 tokens = Tokens(batch, at, True)
-                words, counts = batch.column("words")[at].values, batch.column("counts")[at].values.to_numpy()
-                local, open_words = classes_of(batch, at)
+                local, open_words, given = classes_of(batch, at)
+                types = len(local)
                 here = local[tokens.codes]
                 other = open_words[tokens.codes]
+                small = np.int32 if types * width < 1 << 31 else np.int64
                 key = []
                 for codes in (tokens.before(here, classes), np.where((after := tokens.after(here, -1)) >= 0, after + np.int16(classes + 1), np.int16(-1))):
                     use = other & (codes >= 0)
-                    key.append(tokens.codes[use] * width + codes[use])
+                    key.append((tokens.codes[use] * width + codes[use]).astype(small))
                 key, n = np.unique(np.concatenate(key), return_counts=True)
-                seen = pa.array(np.flatnonzero(counts))
-                part = np.full(len(seen), fold(batch.column("chunk")[at].as_py(), parts))
+                given = np.where(np.bincount(tokens.codes, minlength=types) > 0, given, -1).astype(np.int16)
+                order = unpack(batch.column("order")[at].as_py(), np.uint32)
+                lists = written(key.astype(np.int64), n, width, types).take(pa.array(order))
+                numbers, part = of_parts(batch, "known", at, "numbers"), of_parts(batch, "known", at, "part")
+                _, ends = joined(numbers, np.int32)
+                _, offsets, data = lists.buffers()
+                offsets, data = np.frombuffer(offsets, np.int32), np.frombuffer(data or b"", np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [words.take(seen), pa.array(part), pa.array(counts).take(seen), written(key, n, width, len(words)).take(seen)],
-                    ["word", "part", "n", "entries"],
-                )
+                    [part, pa.array(np.full(len(part), batch.column("chunk")[at].as_py()), pa.int64()), numbers,
+                     pieces(np.diff(offsets), ends), pieces(data, offsets[ends]), pieces(given[order], ends)],
+                    ["part", "chunk", "numbers", "sizes", "entries", "given"],
+                )
 
     smooth = table + 0.5
     rows, columns = smooth.sum(axis=1), smooth.sum(axis=0)
     # log P(class | class before) + log P(class after | class) - log N(class), for each class
     weights = np.vstack((np.log(smooth[:, :-1] / rows[:, None]) - np.log(columns[:-1]), np.log(smooth[:-1] / rows[:-1, None]).T))
 
-    def assign(batches):
-        for batch in batches:
-            best = np.empty(batch.num_rows, np.int64)
-            words = batch.column("word").to_pylist()
-            for a, b, seen in totals(batch, width):
-                best[a:b] = np.argmax(seen @ weights, axis=1)
-                for i in (a + np.flatnonzero(~seen.any(axis=1))).tolist():
-                    best[i] = zlib.crc32(words[i].encode()) % classes
-            fixed = np.array([given.get(w, -1) for w in words], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(np.where(fixed >= 0, fixed, best), pa.int32())], ["word", "n", "class"])
-
-    sent = chunks.mapInArrow(contexts, "word string, part long, n long, entries binary")
-    return bucketed(met(sent, parts, width).mapInArrow(assign, "word string, n long, class int"), "word", "vocabulary")
+    def assign(table):
+        numbers, ends = joined(table.column("numbers"), np.int32)
+        offsets = np.concatenate(([0], np.cumsum(joined(table.column("sizes"), np.int32)[0]))).astype(np.int32)
+        data = b"".join(table.column("entries").to_pylist())
+        lists = pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+        each = np.concatenate(([0], np.cumsum(np.bincount(numbers))))
+        lists = pa.ListArray.from_arrays(pa.array(each, pa.int32()), lists.take(pa.array(np.argsort(numbers, kind="stable"))))
+        of_rows, _ = joined(table.column("given"), np.int16)
+        given = np.full(len(lists), -1, np.int16)
+        given[numbers[of_rows != -1]] = of_rows[of_rows != -1]  # all chunks that learn a word say the same
+        best = np.empty(len(lists), np.int16)
+        for a, b, seen in totals(pa.RecordBatch.from_arrays([lists], ["entries"]), width):
+            best[a:b] = np.where(seen.any(axis=1), np.argmax(seen @ weights, axis=1), -2 - given[a:b])
+        best = np.where(given >= -1, given, best)
+        return pa.table([table.column("chunk"), table.column("part"), pieces(best[numbers], ends)], ["chunk", "part", "class"])
+
+    sent = chunks.mapInArrow(contexts, "part long, chunk long, numbers binary, sizes binary, entries binary, given binary")
+    return to_chunks(sent.groupBy("part").applyInArrow(assign, "chunk long, part long, class binary"), "classes", "found")
 
 
 def looked_up(listed: DataFrame, words: DataFrame) -> DataFrame:
-    """``chunk, found``: place, count and class of the chunk's words that were learned from; bucketed
-    as the chunks are, so that neither side of their joins moves."""
-    found = listed.select("chunk", "place", "word").join(words, "word")
-    return bucketed(found.groupBy("chunk").agg(F.collect_list(F.struct("place", "n", "class")).alias("found")), "chunk", "classes")
+    """``chunk, found``: classes of the chunk's words, from rows as ``word_rows`` gives them."""
+
+    def of_chunks(lists, rows):
+        if not lists.num_rows:
+            return pa.table({"chunk": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "class": pa.array([], pa.binary())})
+        numbers, ends = joined(lists.column("numbers"), np.int32)
+        of = np.full(int(numbers.max()) + 1, -1, np.int16)
+        of[rows.column("number").to_numpy()] = rows.column("class").to_numpy()
+        return pa.table([lists.column("chunk"), lists.column("part"), pieces(of[numbers], ends)], ["chunk", "part", "class"])
+
+    lists = listed.select("chunk", F.explode("known").alias("x")).select("chunk", "x.part", "x.numbers")
+    both = lists.groupBy("part").cogroup(words.select("part", "number", "class").groupBy("part"))
+    return to_chunks(both.applyInArrow(of_chunks, "chunk long, part long, class binary"), "classes", "found")
 
 
 @dataclasses.dataclass(frozen=True)
@@ -353,13 +488,12 @@ def class_bigrams(chunks: DataFrame, found: DataFrame, classes: int) -> np.ndarr
         for batch in batches:
             for at in range(batch.num_rows):
                 tokens = Tokens(batch, at, True)
-                _, of_word = local_arrays(batch, at, classes)
-                here = of_word[tokens.codes]
+                here = local_classes(batch, at)[tokens.codes]
                 n = np.bincount(tokens.before(here, classes).astype(np.int64) * (classes + 1) + here)
                 pair = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n[pair], pa.int64())], ["pair", "n"])
 
-    rows = chunks.select("chunk", "lengths", "learn", "codes", F.size("words").alias("types")).join(found, "chunk")
+    rows = chunks.select("chunk", "lengths", "learn", "codes", "order").join(found, "chunk")
     pairs = rows.mapInArrow(transitions, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     table = np.zeros((classes + 1) ** 2)
     for r in pairs:
@@ -391,15 +525,17 @@ def fit(chunks: DataFrame, found: DataFrame, words: DataFrame, classes: int, tab
     return Model(int(total), int(types), logs(moves), logs(stats[:, 0]), discount, logs(moves @ free), int(np.argmax(share[:-1] * free[:-1])))
 
 
-def local_arrays(batch: pa.RecordBatch, at: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts (0 if not learned from) and classes (-1) of a chunk's words."""
-    size = batch.column("types")[at].as_py()
-    counts, of_word = np.zeros(size, np.int64), np.full(size, -1, np.int16)
-    found = batch.column("found")[at].values
-    if found is not None:
-        place = found.field("place").to_numpy()
-        counts[place], of_word[place] = found.field("n").to_numpy(), found.field("class").to_numpy()
-    return counts, of_word
+def by_place(batch: pa.RecordBatch, at: int, column: str, field: str, dtype) -> np.ndarray:
+    """What a chunk got from parts, by the places of its words."""
+    order = unpack(batch.column("order")[at].as_py(), np.uint32)
+    out = np.empty(len(order), dtype)
+    out[order], _ = joined(of_parts(batch, column, at, field), dtype)
+    return out
+
+
+def local_classes(batch: pa.RecordBatch, at: int) -> np.ndarray:
+    """Classes of a chunk's words (-1: not learned from)."""
+    return by_place(batch, at, "found", "class", np.int16)
 
 
 def score(chunks: DataFrame, found: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
@@ -409,7 +545,7 @@ def score(chunks: DataFrame, found: DataFrame, model: Model, key: str = "doc_id"
         for batch in batches:
             for at in range(batch.num_rows):
                 tokens = Tokens(batch, at, False)
-                counts, of_word = local_arrays(batch, at, classes)
+                counts, of_word = by_place(batch, at, "known", "n", np.int64), local_classes(batch, at)
                 n, here = counts[tokens.codes], of_word[tokens.codes]
                 starts = tokens.ends - tokens.lengths
                 if model.tokens:
@@ -426,7 +562,7 @@ def score(chunks: DataFrame, found: DataFrame, model: Model, key: str = "doc_id"
                     ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    rows = chunks.select("chunk", "ids", "lengths", "learn", "codes", F.size("words").alias("types")).join(found, "chunk", "left")
+    rows = chunks.select("chunk", "ids", "lengths", "learn", "codes", "order", "known").join(found, "chunk")
     out = rows.mapInArrow(run, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", key)
 
@@ -435,16 +571,14 @@ def document_scores(documents: DataFrame, folds: int = 7, held: int = 2, classes
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity``."""
     chunks = coded(documents, folds, held)
     listed = chunk_words(chunks)
-    words = vocabulary(chunks, *seed_classes(chunks, listed, seeds, classes))
-    found = looked_up(listed, words)
+    found = first_classes(chunks, *seed_classes(chunks, listed, seeds, classes))
     table = class_bigrams(chunks, found, classes)
     for _ in range(sweeps):
-        moved = swept(chunks, found, table)
-        of_moved = looked_up(listed, moved)
-        moved_table = class_bigrams(chunks, of_moved, classes)
+        moved = moved_classes(chunks, found, table)
+        moved_table = class_bigrams(chunks, moved, classes)
         if information(moved_table) <= information(table):
             break
-        words, found, table = moved, of_moved, moved_table
-    scored = score(chunks, found, fit(chunks, found, words, classes, table))
+        found, table = moved, moved_table
+    scored = score(chunks, found, fit(chunks, found, word_rows(chunks, found, named=False), classes, table))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
     return scored.withColumn("held_out", held_out).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -1,6 +1,6 @@
 """Language-model classes: sweeps over all neighbours."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -65,3 +65,34 @@ def test_counts_meet_in_steps(spark, monkeypatch):
     want = rows()
     monkeypatch.setattr(brown, "FAN", 2)
     assert rows() == want and len(want) > 80
+
+
+def test_chunks_and_parts_meet_in_single_rows(spark):
+    """What a chunk gets back is a row from each part, not one for each of its words."""
+    docs = [(i, " ".join(f"w{(i * 7 + k * k) % 900}" for k in range(60))) for i in range(90)]
+    chunks = brown.coded(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 7, 2)
+    listed = brown.chunk_words(chunks)
+    words = brown.vocabulary(chunks, *brown.seed_classes(chunks, listed, 20, 3))
+    found = brown.looked_up(listed, words)
+    assert words.count() > 300
+    assert 1 <= found.selectExpr("max(size(found)) x").first()["x"] <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert chunks.selectExpr("min(types) x").first()["x"] > 100
+
+
+def test_words_learned_from_in_other_chunks_alone(spark, monkeypatch):
+    """Each document is a chunk, so those held out hold words that their chunk does not learn from."""
+    docs = [(i, f"A b{i % 7} a c{i % 5} Ünd{i % 3} x{i} {'long' * 300}{i % 4}") for i in range(40)] + [(None, "a b1 nowhere"), (50, None)]
+    learned = lambda k: k is not None and brown.fold(k, 7) != 2
+    tokens = [[w.decode() for w in (t or "").encode().lower().split()] + ["\n"] for _, t in docs]
+    known = Counter(w for (k, _), t in zip(docs, tokens) if learned(k) for w in t)
+    want = sorted((str(k), len(t), sum(known[w] > 0 for w in t), sum(known.values())) for (k, _), t in zip(docs, tokens))
+    assert any(not learned(k) and k is not None for k, _ in docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(12, "doc_id")
+    scores = []
+    for fan, size in ((1 << 17, 16 << 20), (3, 16 << 20), (1 << 17, 2000)):
+        monkeypatch.setattr(brown, "FAN", fan)
+        monkeypatch.setattr(brown, "PART_BYTES", size, raising=False)
+        got = brown.document_scores(df, classes=3, seeds=6).collect()
+        assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got) == want
+        scores.append(sorted((str(r["doc_id"]), round(r["score"], 6)) for r in got))
+    assert scores[0] == scores[1] == scores[2]
